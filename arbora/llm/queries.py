@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, pii, url_filter, warc
+from . import curriculum, pii, simhash, toxicity, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -112,3 +112,17 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
 }
 SQL = {"op2_warc_revisits": OP2_SQL, "op6_curriculum_mix": OP6_SQL, "op9_url_filter": OP9_SQL}
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compare(_read(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels)).drop("text")
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 5 == 0
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "worst_score", "worst_start", "worst_end")
+
+
+QUERIES |= {"op4_simhash": op4_simhash, "op7_toxicity": op7_toxicity}
