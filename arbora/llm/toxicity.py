@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD, flat, steps, word_hashes, words
+from .common import LOWER, WORD, flat, mix, prefix_hash, span_hash, steps, words
 
-#: Hashed word features (the model is a table of this many numbers, whatever the corpus).
+#: Hashed features (the model is a table of this many numbers, whatever the corpus): words, and their first so many bytes.
 BUCKETS = 1 << 18
+PREFIXES = (5, 6, 7, 8)
 #: At most so many labelled documents train the model, those with the smallest hashes of their ids.
 MAX_TRAIN = 8000
 #: A feature counts from this many training documents on.
@@ -30,17 +31,21 @@ class Model:
     bias: float
 
 
-def _bags(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words' features, words' sentences (numbered over all rows), sentences' rows, words' byte places. Sentences end at . ! ? or a line feed."""
+def _bags(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Features and their sentences (numbered over all rows), sentences' rows, words' byte places and sentences. Sentences end at . ! ? or a line feed."""
     start, end, place = words(raw, offsets, WORD)
-    feature = (word_hashes(LOWER[raw], start, end) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    prefix = prefix_hash(LOWER[raw])
+    hashed = [span_hash(prefix, start, end)]
+    hashed += [span_hash(prefix, start, np.minimum(start + k, end)) + np.uint64(k) for k in PREFIXES]
+    feature = (mix(np.stack(hashed, 1)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    held = np.concatenate([np.ones((len(start), 1), bool), (end - start)[:, None] > np.array(PREFIXES)], 1)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(place))
     stops = np.cumsum(_STOP[raw], dtype=np.int64) if len(raw) else np.zeros(0, np.int64)
     at = stops[start] if len(start) else np.zeros(0, np.int64)
     new = np.ones(len(start), bool)
     new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
     sentence = np.cumsum(new) - 1
-    return feature, sentence, row[new], np.stack([start, end])
+    return feature[held], np.repeat(sentence, held.sum(1)), row[new], np.stack([start, end]), sentence
 
 
 def _sentence_logits(model: Model, feature: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
@@ -55,7 +60,7 @@ def _log_clean(z: np.ndarray) -> np.ndarray:
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
     """Full-batch Adam on the noisy-or likelihood of the documents' labels. Deterministic."""
     raw, offsets = flat(pa.array(texts, pa.string()))
-    feature, sentence, row, _ = _bags(raw, offsets)
+    feature, sentence, row, _, _ = _bags(raw, offsets)
     n = len(texts)
     pair = np.unique(feature * n + row[sentence]) if len(feature) else np.zeros(0, np.int64)
     seen = np.bincount(pair // max(n, 1), minlength=BUCKETS)
@@ -67,7 +72,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, epochs + 1):
         z = b + np.bincount(sentence, w[feature], len(row))
-        p = 1 / (1 + np.exp(-z))
+        p = np.exp(-np.logaddexp(0, -z))
         clean = np.bincount(row, _log_clean(z), n)
         q = np.exp(clean)
         # d loss / d z: p for clean documents, -p q / (1 - q) for toxic ones.
@@ -104,7 +109,7 @@ def _score(model: Model, column: pa.Array) -> list[np.ndarray]:
     for a, b in steps(offsets):
         base = offsets[a]
         part, off = raw[base : offsets[b]], offsets[a : b + 1] - base
-        feature, sentence, row, span = _bags(part, off)
+        feature, sentence, row, span, of_word = _bags(part, off)
         n, k = b - a, len(row)
         z = _sentence_logits(model, feature, sentence, k)
         score = -np.expm1(np.bincount(row, _log_clean(z), n))
@@ -113,10 +118,10 @@ def _score(model: Model, column: pa.Array) -> list[np.ndarray]:
         if k:
             order = np.lexsort((-np.arange(k), z, row))
             top = order[np.append(row[order][1:] != row[order][:-1], True)]
-            begin = np.flatnonzero(np.append(True, sentence[1:] != sentence[:-1]))
-            finish = np.append(begin[1:], len(sentence)) - 1
+            begin = np.flatnonzero(np.append(True, of_word[1:] != of_word[:-1]))
+            finish = np.append(begin[1:], len(of_word)) - 1
             r = row[top]
-            worst[r] = 1 / (1 + np.exp(-z[top]))
+            worst[r] = np.exp(-np.logaddexp(0, -z[top]))
             first[r], last[r] = span[0][begin[top]] - off[r], span[1][finish[top]] - off[r]
         parts.append((score, count, worst, first, last))
     return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0)] * 5

@@ -188,8 +188,9 @@ def deduplicate(pages: DataFrame, least_bytes: int = 100, folder: str | None = N
     originals = records.where("record_type = 'response'").select(
         F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes")
     )
+    # Spark guesses the records' size from the short list of archives; without the hint it may broadcast them all.
     return (
-        records.join(originals, "refers_to_id", "left")
+        records.join(originals.hint("merge"), "refers_to_id", "left")
         .select("page_id", F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     )
 
