@@ -14,12 +14,12 @@ from .common import LOWER, WORD, flat, mix, prefix_hash, span_hash, steps, words
 
 #: Hashed features (the model is a table of this many numbers, whatever the corpus): words, and their first so many bytes.
 BUCKETS = 1 << 18
-PREFIXES = (5, 6, 7, 8)
+PREFIXES = (4, 5, 6, 7, 8)
 #: At most so many labelled documents train the model, those with the smallest hashes of their ids.
 MAX_TRAIN = 8000
 #: A feature counts from this many training documents on.
 LEAST_DOCS = 4
-EPOCHS, RATE, DECAY, START = 150, 0.1, 1e-4, -7.0
+EPOCHS, RATE, DECAY, START = 200, 0.1, 3e-5, -7.0
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 63]] = True  # line feed ! . ?
 SCORED = "score double, n_sentences int, worst_score double, worst_start int, worst_end int"
