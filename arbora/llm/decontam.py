@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, WORD, flat, mix, shingle_hashes, steps, word_hashes, words
@@ -202,17 +202,9 @@ def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     closest and then first window. Null and empty texts and items, and items under MIN_WORDS, find nothing; repeated rows
     are each reported. The benchmark is measured first and sent out in blocks of bounded size.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, math.ceil(1.5 * size / block_bytes)) if size > block_bytes else 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for p in range(passes):
-        block = prepare([(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).orderBy("item_id", "text").collect()])
-        if block is None:
-            continue
-        sent = spark.sparkContext.broadcast(block)
+    for sent in _blocks(docs.sparkSession, benchmark, block_bytes):
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -224,4 +216,30 @@ def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
 
         one = rows.mapInArrow(search, FOUND)
         out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], FOUND)
+    return out if out is not None else docs.sparkSession.createDataFrame([], FOUND)
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, column: str = "n_leaks", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with the number of benchmark items that find() reports for each row; rows keep their places and nothing is shuffled."""
+    out = docs.drop(column).withColumn(column, F.lit(0))
+    for sent in _blocks(docs.sparkSession, benchmark, block_bytes):
+
+        def add(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = _search(sent.value, batch.column(batch.schema.get_field_index("text")), list(range(batch.num_rows)))
+                total = np.bincount([r[0] for r in found], minlength=batch.num_rows) + batch.column(batch.num_columns - 1).to_numpy()
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(total, pa.int32())], batch.schema.names)
+
+        out = out.mapInArrow(add, out.schema)
+    return out
+
+
+def _blocks(spark: SparkSession, benchmark: DataFrame, block_bytes: int):
+    """The benchmark as broadcast blocks of bounded size."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = max(1, math.ceil(1.5 * size / block_bytes)) if size > block_bytes else 1
+    for p in range(passes):
+        block = prepare([(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).orderBy("item_id", "text").collect()])
+        if block is not None:
+            yield spark.sparkContext.broadcast(block)

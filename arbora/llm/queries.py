@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, decontam, pii, simhash, token_scan, toxicity, url_filter, warc
+from . import curriculum, decontam, jaccard, pii, simhash, token_scan, toxicity, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -137,3 +137,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op1_token_counts": op1_token_counts, "op8_decontamination": op8_decontamination}
+
+
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_read(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op10_ngram_jaccard": op10_ngram_jaccard}
