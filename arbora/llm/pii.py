@@ -20,33 +20,48 @@ PLUS_PHONE = r"\+1[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!
 ADDRESS = r"(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[A-Za-z0-9])"
 DATE = r"(?<![A-Za-z0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![A-Za-z0-9-])"
 MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
-#: One pass finds them all; the groups behind back references count from the left.
-ANY = f"{CARD}|{PLUS_PHONE}|{PHONE}|{ADDRESS}|{DATE}|{MAIL}"
+#: One pass finds them all; the groups behind back references count from the left. The look-ahead spares most places the list.
+ANY = f"(?=[0-9+(])(?:{CARD}|{PLUS_PHONE}|{PHONE}|{ADDRESS}|{DATE})|{MAIL}"
+#: Every token holds one of these: four digits in a row, two points among digits, or an @. Other texts skip the search.
+HINT = r"[0-9](?:[0-9]{3}|[0-9]{0,2}\.[0-9]{1,3}\.)|@"
 
 LETTERS, CAPITALS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _feistel(values: Column, radices: Column, key: str, kind: str) -> Column:
     """Symbols permuted by alternating Feistel rounds: each half in turn is shifted, symbol by symbol and modulo its radix,
     by keyed hashes of the other half. A bijection of the symbols for every length and mix of radices."""
-    half = F.floor(F.size(values) / 2).cast("int")
 
     def shifted(own: Column, radix: Column, other: Column, n: Column) -> Column:
-        seed = F.concat_ws("|", F.lit(key), F.lit(kind), n.cast("string"), F.concat_ws(",", other.cast("array<string>")))
-        moved = F.transform(own, lambda v, i: v + F.conv(F.substring(F.sha2(F.concat(seed, F.lit("|"), i.cast("string")), 256), 1, 12), 16, 10).cast("long"))
-        return F.zip_with(moved, radix, lambda v, r: F.pmod(v, r))
-
-    left, right = F.slice(values, 1, half), F.slice(values, half + 1, F.size(values) - half)
-    a, b = F.slice(radices, 1, half), F.slice(radices, half + 1, F.size(radices) - half)
-
-    def one(state: Column, n: Column) -> Column:
-        even = n % 2 == 0
-        l, r = state.getField("l"), state.getField("r")
-        return F.struct(F.when(even, shifted(l, a, r, n)).otherwise(l).alias("l"), F.when(~even, shifted(r, b, l, n)).otherwise(r).alias("r"))
+        def by(seed: Column) -> Column:
+            moved = F.transform(own, lambda v, i: v + F.conv(F.substring(F.sha2(F.concat(seed, i.cast("string")), 256), 1, 12), 16, 10).cast("long"))
+            return F.zip_with(moved, radix, lambda v, r: F.pmod(v, r))
+
+        return _let(F.concat_ws("|", F.lit(key), F.lit(kind), n.cast("string"), F.concat_ws(",", other.cast("array<string>")), F.lit("")), by)
+
+    def rounds(s: Column) -> Column:
+        def one(state: Column, n: Column) -> Column:
+            even = n % 2 == 0
+            l, r = state.getField("l"), state.getField("r")
+            return F.struct(
+                F.when(even, shifted(l, s.getField("a"), r, n)).otherwise(l).alias("l"), F.when(~even, shifted(r, s.getField("b"), l, n)).otherwise(r).alias("r")
+            )
+
+        start = F.struct(s.getField("l").alias("l"), s.getField("r").alias("r"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, one, lambda x: F.concat(x.getField("l"), x.getField("r")))
+
+    def halves(v: Column, x: Column) -> Column:
+        half = F.floor(F.size(v) / 2).cast("int")
+        return F.struct(
+            F.slice(v, 1, half).alias("l"), F.slice(v, half + 1, F.size(v) - half).alias("r"), F.slice(x, 1, half).alias("a"), F.slice(x, half + 1, F.size(x) - half).alias("b")
+        )
 
-    start = F.struct(left.alias("l"), right.alias("r"))
-    end = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, one)
-    return F.concat(end.getField("l"), end.getField("r"))
+    return _let(F.struct(values.alias("v"), radices.alias("x")), lambda t: _let(halves(t.getField("v"), t.getField("x")), rounds))
 
 
 def _same(n: Column, radix: int) -> Column:
@@ -59,72 +74,86 @@ def _digits(token: Column) -> Column:
 
 def _put(token: Column, digits: Column) -> Column:
     """token with its digits replaced, in order; everything else stays in place."""
-    parts = F.transform(F.split(token, ""), lambda c, i: F.struct(c.alias("c"), F.length(F.regexp_replace(F.substring(token, F.lit(1), i + 1), "[^0-9]", "")).alias("n")))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.getField("c").rlike("[0-9]"), F.element_at(digits, p.getField("n")).cast("string")).otherwise(p.getField("c"))), "")
+
+    def filled(d: Column) -> Column:
+        return F.array_join(
+            F.transform(
+                F.split(token, ""),
+                lambda c, i: F.when(c.rlike("[0-9]"), F.element_at(d, F.length(F.regexp_replace(F.substring(token, F.lit(1), i + 1), "[^0-9]", ""))).cast("string")).otherwise(c),
+            ),
+            "",
+        )
+
+    return _let(digits, filled)
 
 
 def _luhn(digits: Column) -> Column:
     """The Luhn sum of digits, of which the last is the check digit."""
-    n = F.size(digits)
 
-    def add(total: Column, d: Column) -> Column:
-        return total + d
+    def total(d: Column) -> Column:
+        doubled = F.transform(d, lambda x, i: F.when((F.size(d) - i) % 2 == 1, x).otherwise(x * 2 - F.when(x > 4, 9).otherwise(0)))
+        return F.aggregate(doubled, F.lit(0).cast("long"), lambda t, x: t + x)
 
-    doubled = F.transform(digits, lambda d, i: F.when((n - i) % 2 == 1, d).otherwise(d * 2 - F.when(d > 4, 9).otherwise(0)))
-    return F.aggregate(doubled, F.lit(0).cast("long"), add)
+    return _let(digits, total)
 
 
 def card_pseudonym(token: Column, key: str = KEY) -> Column:
     """A card number that passes the Luhn check -> another that does; null for any other token."""
-    digits = _digits(token)
-    body = F.slice(digits, 1, F.size(digits) - 1)
-    new = _feistel(body, _same(body, 10), key, "card")
-    check = F.pmod(F.lit(10) - F.pmod(_luhn(F.concat(new, F.array(F.lit(0).cast("long")))), F.lit(10)), F.lit(10))
-    return F.when(_luhn(digits) % 10 == 0, _put(token, F.concat(new, F.array(check.cast("long")))))
+
+    def of(digits: Column) -> Column:
+        body = F.slice(digits, 1, F.size(digits) - 1)
+        new = _let(
+            _feistel(body, _same(body, 10), key, "card"),
+            lambda x: F.concat(x, F.array(F.pmod(F.lit(10) - F.pmod(_luhn(F.concat(x, F.array(F.lit(0).cast("long")))), F.lit(10)), F.lit(10)).cast("long"))),
+        )
+        return F.when(_luhn(digits) % 10 == 0, _put(token, new))
+
+    return _let(_digits(token), of)
 
 
 def phone_pseudonym(token: Column, key: str = KEY) -> Column:
     """The ten national digits are permuted; a leading 1 stays."""
-    digits = _digits(token)
-    lead = F.size(digits) - 10
-    own = F.slice(digits, lead + 1, 10)
-    return _put(token, F.concat(F.slice(digits, 1, lead), _feistel(own, _same(own, 10), key, "phone")))
+
+    def of(digits: Column) -> Column:
+        own = F.slice(digits, F.size(digits) - 9, 10)
+        return _put(token, F.concat(F.slice(digits, 1, F.size(digits) - 10), _feistel(own, _same(own, 10), key, "phone")))
+
+    return _let(_digits(token), of)
 
 
 def address_pseudonym(token: Column, key: str = KEY) -> Column:
     """Four numbers up to 255 -> four such numbers; null if one is larger."""
-    parts = F.transform(F.split(token, r"\."), lambda x: x.cast("long"))
-    new = _feistel(parts, _same(parts, 256), key, "address")
-    return F.when(F.array_max(parts) <= 255, F.array_join(new.cast("array<string>"), "."))
+
+    def of(parts: Column) -> Column:
+        return F.when(F.array_max(parts) <= 255, F.array_join(_feistel(parts, _same(parts, 256), key, "address").cast("array<string>"), "."))
+
+    return _let(F.transform(F.split(token, r"\."), lambda x: x.cast("long")), of)
 
 
 def date_pseudonym(token: Column, key: str = KEY) -> Column:
     """A day of the calendar -> another within its block of SIDE * SIDE days; null if there is no such day."""
-    day = F.date_diff(F.try_to_date(token, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date")).cast("long")
-    block, rest = F.floor(day / (SIDE * SIDE)), F.pmod(day, F.lit(SIDE * SIDE))
-    pair = F.array(F.floor(rest / SIDE).cast("long"), (rest % SIDE).cast("long"))
-    new = _feistel(pair, _same(pair, SIDE), key, "date")
-    moved = block * (SIDE * SIDE) + F.element_at(new, 1) * SIDE + F.element_at(new, 2)
-    return F.when(day.isNotNull(), F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), moved.cast("int")), "yyyy-MM-dd"))
+
+    def of(day: Column) -> Column:
+        rest = F.pmod(day, F.lit(SIDE * SIDE))
+        pair = F.array(F.floor(rest / SIDE).cast("long"), (rest % SIDE).cast("long"))
+        moved = _let(_feistel(pair, _same(pair, SIDE), key, "date"), lambda x: F.floor(day / (SIDE * SIDE)) * (SIDE * SIDE) + F.element_at(x, 1) * SIDE + F.element_at(x, 2))
+        return F.when(day.isNotNull(), F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), moved.cast("int")), "yyyy-MM-dd"))
+
+    return _let(F.date_diff(F.try_to_date(token, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date")).cast("long"), of)
 
 
 def mail_pseudonym(token: Column, key: str = KEY) -> Column:
     """ASCII letters and digits before the @ are permuted within their kind; all else stays."""
-    local = F.substring_index(token, "@", 1)
-    chars = F.split(local, "")
 
     def place(c: Column) -> Column:
-        kinds = [(LETTERS, "[a-z]"), (CAPITALS, "[A-Z]"), (DIGITS, "[0-9]")]
         out = F.lit(0).cast("long")
-        for alphabet, test in kinds:
+        for alphabet, test in ((LETTERS, "[a-z]"), (CAPITALS, "[A-Z]"), (DIGITS, "[0-9]")):
             out = F.when(c.rlike(test), (F.instr(F.lit(alphabet), c) - 1).cast("long")).otherwise(out)
         return out
 
     def radix(c: Column) -> Column:
         return F.when(c.rlike("[a-zA-Z]"), 26).when(c.rlike("[0-9]"), 10).otherwise(1).cast("long")
 
-    new = _feistel(F.transform(chars, place), F.transform(chars, radix), key, "mail")
-
     def symbol(c: Column, v: Column) -> Column:
         at = (v + 1).cast("int")
         return (
@@ -134,7 +163,9 @@ def mail_pseudonym(token: Column, key: str = KEY) -> Column:
             .otherwise(c)
         )
 
-    return F.concat(F.array_join(F.zip_with(chars, new, symbol), ""), F.substring(token, F.length(local) + 1, F.length(token)))
+    local = F.substring_index(token, "@", 1)
+    new = _let(F.split(local, ""), lambda c: F.array_join(F.zip_with(c, _feistel(F.transform(c, place), F.transform(c, radix), key, "mail"), symbol), ""))
+    return F.concat(new, F.substring(token, F.length(local) + 1, F.length(token)))
 
 
 def pseudonym(key: str = KEY) -> Callable[[Column], Column]:
@@ -162,7 +193,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
     stay null with n_private 0. Only rows in which something was found pay for more than one pass of the pattern.
     """
     kept = [c for c in docs.columns if c not in ("n_private", "_found", "_new")]
-    found = F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    found = F.when(F.col(text).rlike("[0-9@]") & F.col(text).rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     rows = docs.select(*kept, found.alias("_found"))
     rows = rows.select("*", F.when(F.size("_found") > 0, F.transform("_found", pseudonym(key))).alias("_new"))
     between = F.split(F.col(text), ANY, -1)
