@@ -18,7 +18,7 @@ MAX_EDITS = 0.2
 #: Items of fewer words match nothing: so short a string proves no leak.
 MIN_WORDS = 8
 #: Random walks, tables of each, sampled symbols in a table. tests/llm measures the recall at the largest edit distance.
-WALKS, TABLES, SAMPLED = 6, 8, 3
+WALKS, TABLES, SAMPLED = 3, 8, 3
 #: Bytes of benchmark text that are sent to the executors at once; a larger benchmark is taken in as many passes as it needs.
 BLOCK_BYTES = 16 << 20
 FOUND = "doc_id long, item_id long, start_word int, n_words int, edits int, start_byte int, end_byte int"
@@ -29,15 +29,16 @@ def _walk_seeds(steps_: int, walk: int) -> np.ndarray:
     return mix(np.arange(steps_, dtype=np.uint64) + np.uint64((walk + 1) << 32)) | np.uint64(1)
 
 
-def cgk_keys(tokens: np.ndarray, start: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
-    """LSH keys (windows x WALKS * TABLES) of the windows tokens[start : start + length], all embedded for item length n.
+def cgk_keys(windows: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """LSH keys (one row for each window, WALKS * TABLES columns) of windows x n tokens, of which the first length count.
 
     The walk emits 3 n symbols: at step j the current token (a pad beyond the end), and then moves on or not by a random
     bit of that token and j, so that equal tails fall into step again after an edit. A table's key hashes the symbols at
     SAMPLED random steps.
     """
-    total = 3 * n
-    keys = np.zeros((len(start), WALKS * TABLES), np.uint64)
+    k, n = windows.shape
+    total, lane = 3 * n, np.arange(k)
+    keys = np.zeros((WALKS * TABLES, k), np.uint64)
     for walk in range(WALKS):
         odd = _walk_seeds(total, walk)
         rng = np.random.Generator(np.random.PCG64(1000 * n + walk))
@@ -45,20 +46,23 @@ def cgk_keys(tokens: np.ndarray, start: np.ndarray, length: np.ndarray, n: int)
         for t in range(TABLES):
             for j in rng.choice(total, min(SAMPLED, total), replace=False):
                 at_step[j].append(walk * TABLES + t)
-        i = np.zeros(len(start), np.int64)
-        for j in range(total):
+        last = max((j for j in range(total) if at_step[j]), default=-1)
+        i = np.zeros(k, np.int64)
+        for j in range(last + 1):
             on = i < length
-            symbol = np.where(on, tokens[np.minimum(start + i, len(tokens) - 1)], _PAD)
+            symbol = np.where(on, windows[lane, np.minimum(i, n - 1)], _PAD)
             for t in at_step[j]:
-                keys[:, t] = mix(keys[:, t] + symbol + np.uint64(j))
+                keys[t] = mix(keys[t] + symbol + np.uint64(j))
             i += on & ((symbol * odd[j]) >> np.uint64(63)).astype(bool)
-    return keys
+    return keys.T
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, b_length: np.ndarray) -> np.ndarray:
     """Levenshtein distances of rows of tokens: a (k x n) and b (k x m, of which the first b_length count)."""
     k, n = a.shape
     m = b.shape[1]
+    if not k:
+        return np.zeros(0, np.int32)
     lane = np.arange(m + 1)
     row = np.broadcast_to(lane, (k, m + 1)).astype(np.int32)
     for i in range(n):
@@ -94,7 +98,7 @@ class Items:
         for n in self.lengths:
             own = np.array([i for i, t in enumerate(self.tokens) if len(t) == n])
             stack = np.concatenate([self.tokens[i] for i in own])
-            self.by_length[n] = own, cgk_keys(stack, np.arange(len(own)) * n, np.full(len(own), n), n)
+            self.by_length[n] = own, cgk_keys(stack.reshape(-1, n), np.full(len(own), n))
 
 
 def allowed(n: int) -> int:
@@ -150,7 +154,8 @@ def _windows(items: Items, g: np.ndarray, h_end: np.ndarray):
 
 def _search(items: Items, column: pa.Array, ids: list) -> list[tuple]:
     raw, offsets = flat(column)
-    out = []
+    # Windows are gathered by length over all rows of the batch, and then embedded and verified together.
+    gathered: dict[int, list[tuple]] = {}
     for a, b in steps(offsets):
         part, off = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         start, end, place = words(part, off, WORD)
@@ -161,35 +166,32 @@ def _search(items: Items, column: pa.Array, ids: list) -> list[tuple]:
         g = shingle_hashes(h, 2)
         g[row[1:] != row[:-1]] = 0
         h_end = place[1:][row]
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for n, at in _windows(items, g, h_end):
             length = np.minimum(n, h_end[at] - at)
-            own, item_keys = items.by_length[n]
-            keys = cgk_keys(h, at, length, n)
-            met = []
-            for t in range(keys.shape[1]):
-                order = np.argsort(item_keys[:, t], kind="stable")
-                sorted_ = item_keys[order, t]
-                lo, hi = np.searchsorted(sorted_, keys[:, t], "left"), np.searchsorted(sorted_, keys[:, t], "right")
-                reps = hi - lo
-                w = np.repeat(np.arange(len(at)), reps)
-                k = order[np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(lo, reps)]
-                met.append(w * len(own) + k)
-            met = np.unique(np.concatenate(met))
-            for part_ in np.array_split(met, max(1, len(met) // 4096)):
-                w, k = part_ // len(own), part_ % len(own)
-                if not len(w):
-                    continue
-                mine = np.stack([items.tokens[own[x]] for x in k])
-                cols = np.minimum(at[w][:, None] + np.arange(n), len(h) - 1)
-                d = edit_distance(mine, h[cols], length[w])
-                for x in np.flatnonzero(d <= allowed(n)):
-                    s = int(at[w[x]])
-                    key = (int(row[s]), int(own[k[x]]))
-                    best[key] = min(best.get(key, (1 << 30, 0, 0)), (int(d[x]), s, int(length[w[x]])))
-        for (r, k), (d, s, m) in sorted(best.items()):
-            out.append((ids[a + r], int(items.ids[k]), s - int(place[r]), m, d, int(start[s] - off[r]), int(end[s + m - 1] - off[r])))
-    return out
+            tokens = h[np.minimum(at[:, None] + np.arange(n), len(h) - 1)]
+            r = row[at]
+            gathered.setdefault(n, []).append((tokens, length, r + a, at - place[r], start[at] - off[r], end[at + length - 1] - off[r]))
+    best: dict[tuple[int, int], tuple] = {}
+    for n, parts in gathered.items():
+        tokens, length, row, place, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+        own, item_keys = items.by_length[n]
+        keys = cgk_keys(tokens, length)
+        met = []
+        for t in range(keys.shape[1]):
+            order = np.argsort(item_keys[:, t], kind="stable")
+            lo, hi = (np.searchsorted(item_keys[order, t], keys[:, t], side) for side in ("left", "right"))
+            reps = hi - lo
+            k = order[np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(lo, reps)]
+            met.append(np.repeat(np.arange(len(row)), reps) * len(own) + k)
+        met = np.unique(np.concatenate(met))
+        mine = np.stack([items.tokens[x] for x in own])
+        for some in np.array_split(met, len(met) // 8192 + 1):
+            w, k = some // len(own), some % len(own)
+            d = edit_distance(mine[k], tokens[w], length[w])
+            for x in np.flatnonzero(d <= allowed(n)):
+                key, v = (int(row[w[x]]), int(own[k[x]])), w[x]
+                best[key] = min(best.get(key, (1 << 30,)), (int(d[x]), int(place[v]), int(length[v]), int(first[v]), int(last[v])))
+    return [(ids[r], int(items.ids[k]), s, m, d, x, y) for (r, k), (d, s, m, x, y) in sorted(best.items())]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
