@@ -16,7 +16,7 @@ from .common import LOWER, WORD, flat, mix, prefix_hash, span_hash, steps, words
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6, 7, 8)
 #: At most so many labelled documents train the model, those with the smallest hashes of their ids.
-MAX_TRAIN = 8000
+MAX_TRAIN = 6000
 #: A feature counts from this many training documents on.
 LEAST_DOCS = 4
 EPOCHS, RATE, DECAY, START = 200, 0.1, 3e-5, -7.0
@@ -60,25 +60,44 @@ def _log_clean(z: np.ndarray) -> np.ndarray:
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
     """Full-batch Adam on the noisy-or likelihood of the documents' labels. Deterministic."""
     raw, offsets = flat(pa.array(texts, pa.string()))
-    feature, sentence, row, _, _ = _bags(raw, offsets)
     n = len(texts)
-    pair = np.unique(feature * n + row[sentence]) if len(feature) else np.zeros(0, np.int64)
-    seen = np.bincount(pair // max(n, 1), minlength=BUCKETS)
-    keep = seen[feature] >= LEAST_DOCS
-    feature, sentence = feature[keep], sentence[keep]
-    used, feature = np.unique(feature, return_inverse=True)
+
+    def bags():
+        for a, b in steps(offsets):
+            feature, sentence, row, _, _ = _bags(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            yield feature, sentence, row + a
+
+    seen = np.zeros(BUCKETS, np.int64)
+    for feature, sentence, row in bags():
+        seen += np.bincount(np.unique(feature * n + row[sentence]) // n, minlength=BUCKETS)
+    used = np.flatnonzero(seen >= LEAST_DOCS)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    parts, sentences = [], 0
+    for feature, sentence, row in bags():
+        kept = place[feature] >= 0
+        parts.append((place[feature[kept]], (sentence[kept] + sentences).astype(np.int32), row))
+        sentences += len(row)
+    if not parts:
+        return Model(np.zeros(BUCKETS), START)
+    feature, sentence, row = (np.concatenate(x) for x in zip(*parts, strict=True))
+    cuts = [slice(i, i + (1 << 20)) for i in range(0, len(feature), 1 << 20)]
     y = np.asarray(labels, float)
     w, b = np.zeros(len(used)), START
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, epochs + 1):
-        z = b + np.bincount(sentence, w[feature], len(row))
+        z = np.full(len(row), b)
+        for c in cuts:
+            lo = sentence[c][0]
+            part = np.bincount(sentence[c] - lo, w[feature[c]])
+            z[lo : lo + len(part)] += part
         p = np.exp(-np.logaddexp(0, -z))
         clean = np.bincount(row, _log_clean(z), n)
         q = np.exp(clean)
         # d loss / d z: p for clean documents, -p q / (1 - q) for toxic ones.
         pull = np.where(y > 0, -q / np.maximum(1 - q, 1e-9), 1.0)
         g = p * pull[row] / max(n, 1)
-        grad = np.append(np.bincount(feature, g[sentence], len(used)) + DECAY * w, g.sum())
+        grad = np.append(sum((np.bincount(feature[c], g[sentence[c]], len(used)) for c in cuts), DECAY * w), g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
