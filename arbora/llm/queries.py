@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, decontam, jaccard, pii, simhash, token_scan, toxicity, url_filter, warc
+from . import curriculum, decontam, jaccard, pii, simhash, suffix_dedup, token_scan, toxicity, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -144,3 +144,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op10_ngram_jaccard": op10_ngram_jaccard}
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op5_suffix_dedup": op5_suffix_dedup}
