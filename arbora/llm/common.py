@@ -39,6 +39,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df as a table in the shared folder, bucketed and sorted by key, so that joins on key need not shuffle it."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("path", scratch_path(spark, name)).option("compression", "zstd").bucketBy(parts, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 

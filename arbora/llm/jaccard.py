@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, flat, mix, shingle_hashes, steps, stored, word_hashes, words
+from .common import LOWER, SPACE, bucketed, flat, mix, shingle_hashes, steps, stored, word_hashes, words
 from .components import components
 
 NGRAM = 5
@@ -37,7 +37,7 @@ NUMERATOR, DENOMINATOR = 75, 100
 SMALL = 16
 _WORD = ~SPACE
 ROWS = "doc_id long, n_shingles long, digest binary"
-TEXTS = "doc_id long, n_shingles long, digest binary, packed binary"
+TEXTS = "doc_id long, n_shingles long, digest binary, sketch binary, packed binary"
 KEYS = "bucket int, base long, keys binary"
 MET = "hot boolean, key long, scheme int, a long, b long, n long"
 
@@ -79,6 +79,26 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many elements fall into each of 2**k cells (at most 255 counted), about eight elements to a cell."""
+    cells = max(64, 1 << max(0, (len(s) - 1).bit_length() - 3)) if len(s) else 64
+    return np.minimum(np.bincount((mix(s + np.uint64(77)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def may_link(x: bytes, y: bytes, n: int, m: int) -> bool:
+    """False only if the sketches show that sets of n and m elements differ in more elements than a link allows."""
+    if min(n, m) * DENOMINATOR < max(n, m) * NUMERATOR:
+        return False
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if len(a) != len(b):
+        # The finer sketch is folded, unless a cell's count is cut off.
+        a, b = (a, b) if len(a) < len(b) else (b, a)
+        if b.max() == 255:
+            return True
+        b = np.minimum(b.reshape(-1, len(a)).sum(0), 255)
+    return int(np.abs(a - b).sum()) * (NUMERATOR + DENOMINATOR) <= (n + m) * (DENOMINATOR - NUMERATOR)
+
+
 def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -146,6 +166,7 @@ def _described(packed: bool):
             columns = [batch.column(0), [len(s) for s in sets], [_digest(s) for s in sets]]
             if packed:
                 raw, off = flat(batch.column(1))
+                columns.append([sketch(s) for s in sets])
                 columns.append([squeeze.compress(LOWER[raw[off[i] : off[i + 1]]].tobytes()) for i in range(len(sets))])
             yield _batch(TEXTS if packed else ROWS, *columns)
 
@@ -245,25 +266,36 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _batch("u long, v long", a[good], b[good])
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of ids that link."""
-    own = texts.select(F.col("id").alias("a"), F.col("packed").alias("x"))
-    other = texts.select(F.col("id").alias("b"), F.col("packed").alias("y"))
-    return pairs.join(own.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(_verify, "u long, v long")
+def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b, na, nb, sa, sb, da, db = (c.to_pylist() for c in batch.columns)
+        good = [i for i in range(len(a)) if may_link(sa[i], sb[i], na[i], nb[i])]
+        if good:
+            yield _batch("a long, b long, da binary, db binary", *[[c[i] for i in good] for c in (a, b, da, db)])
 
 
-def _sized(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow a link."""
-    n = texts.select("id", "n_shingles")
-    p = pairs.join(n.withColumnsRenamed({"id": "a", "n_shingles": "na"}), "a").join(n.withColumnsRenamed({"id": "b", "n_shingles": "nb"}), "b")
-    return p.where(F.least("na", "nb") * DENOMINATOR >= F.greatest("na", "nb") * NUMERATOR).select("a", "b")
+def _links(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """Those of the pairs (a, b) of ids that link, stored: sifted by sketches, and the rest verified.
+
+    The texts' table is bucketed by digest, so that only pairs, and the first text of each, are shuffled.
+    """
+    known = texts.select("id", "n_shingles", "sketch", "digest")
+    one = known.withColumnsRenamed({"id": "a", "n_shingles": "na", "sketch": "sa", "digest": "da"})
+    two = known.withColumnsRenamed({"id": "b", "n_shingles": "nb", "sketch": "sb", "digest": "db"})
+    fits = F.least("na", "nb") * DENOMINATOR >= F.greatest("na", "nb") * NUMERATOR
+    met = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where(fits).select("a", "b", "na", "nb", "sa", "sb", "da", "db")
+    met = stored(met.mapInArrow(_sift, "a long, b long, da binary, db binary"), f"{name}-sifted")
+    own = texts.select(F.col("digest").alias("da"), F.col("packed").alias("x"))
+    other = texts.select(F.col("digest").alias("db"), F.col("packed").alias("y"))
+    both = met.join(own.hint("merge"), "da").join(other.hint("merge"), "db").select("a", "b", "x", "y")
+    return stored(both.mapInArrow(_verify, "u long, v long"), name)
 
 
 def distinct_sets(docs: DataFrame) -> DataFrame:
     """One row for each distinct set that is not empty: id, digest, n_shingles, least doc_id, packed text. Copies meet before the shuffle."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_described(True), TEXTS)
-    once = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("packed").alias("packed"))
-    return stored(once.withColumn("id", F.monotonically_increasing_id()), "jaccard-sets")
+    once = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("packed").alias("packed"))
+    return bucketed(once.withColumn("id", F.monotonically_increasing_id()), "jaccard_sets", "digest")
 
 
 def link_sets(texts: DataFrame) -> DataFrame:
@@ -275,19 +307,40 @@ def link_sets(texts: DataFrame) -> DataFrame:
     few = met.where("NOT hot").select("a", "b")
     hot = _kept(met.where("hot").select("key", F.col("a").alias("id"), "n"), texts)
     star = hot.join(hot.groupBy("key").agg(F.min("id").alias("a")), "key").select("a", F.col("id").alias("b")).where("a < b")
-    links = stored(_links(_sized(few.unionByName(star).distinct(), texts), texts), "jaccard-links")
+    links = _links(few.unionByName(star).distinct(), texts, "jaccard-links")
     if hot.isEmpty():
         return links
     # Sets under a hot key that the links so far leave apart are compared across.
     root = components(links)
     named = hot.join(root.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     apart = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    left = named.join(apart, "key").join(texts.select("id", "n_shingles"), "id")
-    p, q = left.alias("p"), left.alias("q")
-    fits = F.least("p.n_shingles", "q.n_shingles") * DENOMINATOR >= F.greatest("p.n_shingles", "q.n_shingles") * NUMERATOR
-    rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") < F.col("q.root")) & fits)
-    rest = rest.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
-    return links.unionByName(stored(_links(rest, texts), "jaccard-links"))
+    left = stored(named.join(apart, "key").join(texts.select("id", "n_shingles", "sketch"), "id"), "jaccard-apart")
+    rest = left.repartition(parts, "key").sortWithinPartitions("key", "root", "id").mapInArrow(_across, "a long, b long").distinct()
+    return links.unionByName(_links(rest, texts, "jaccard-across"))
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs across components under one hot key whose sizes and sketches allow a link; rows come sorted by key.
+
+    Each set is compared with those before it under its key, on numbers alone, so no pair that is ruled out is ever a row.
+    """
+    key, sizes, roots, ids, sketches = None, [], [], [], []
+    out: set[tuple[int, int]] = set()
+    for batch in batches:
+        for r in batch.select(["key", "root", "id", "n_shingles", "sketch"]).to_pylist():
+            if r["key"] != key:
+                key, sizes, roots, ids, sketches = r["key"], [], [], [], []
+            n = r["n_shingles"]
+            s, t = np.array(sizes, np.int64), np.array(roots, np.int64)
+            near = np.flatnonzero((np.minimum(s, n) * DENOMINATOR >= np.maximum(s, n) * NUMERATOR) & (t != r["root"])) if len(s) else []
+            out.update((min(ids[i], r["id"]), max(ids[i], r["id"])) for i in near if may_link(sketches[i], r["sketch"], sizes[i], n))
+            for held, x in ((sizes, n), (roots, r["root"]), (ids, r["id"]), (sketches, r["sketch"])):
+                held.append(x)
+            if len(out) >= 1 << 17:
+                yield _batch("a long, b long", *zip(*sorted(out), strict=True))
+                out = set()
+    if out:
+        yield _batch("a long, b long", *zip(*sorted(out), strict=True))
 
 
 def _kept(hot: DataFrame, texts: DataFrame) -> DataFrame:
