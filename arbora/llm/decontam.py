@@ -57,20 +57,30 @@ def cgk_keys(windows: np.ndarray, length: np.ndarray) -> np.ndarray:
     return keys.T
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, b_length: np.ndarray) -> np.ndarray:
-    """Levenshtein distances of rows of tokens: a (k x n) and b (k x m, of which the first b_length count)."""
+def edit_distance(a: np.ndarray, b: np.ndarray, b_length: np.ndarray, most: int) -> np.ndarray:
+    """Levenshtein distances of rows of tokens: a (k x n) and b (k x m, of which the first b_length count); above most, most + 1.
+
+    Only the band of the table within most of its diagonal is filled: elsewhere the distance is larger.
+    """
     k, n = a.shape
-    m = b.shape[1]
-    if not k:
-        return np.zeros(0, np.int32)
-    lane = np.arange(m + 1)
-    row = np.broadcast_to(lane, (k, m + 1)).astype(np.int32)
-    for i in range(n):
-        new = np.empty_like(row)
-        new[:, 0] = i + 1
-        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (b != a[:, i : i + 1]))
-        row = (np.minimum.accumulate(new - lane, axis=1) + lane).astype(np.int32)
-    return row[np.arange(k), b_length]
+    far = most + 1
+    width = 2 * most + 1
+    lane = np.arange(width, dtype=np.int16)
+    # Column d of row i stands for j = i + d - most; b is padded so that the band never leaves it.
+    padded = np.zeros((k, n + width), np.uint64)
+    m = min(b.shape[1], n + most)
+    padded[:, most : most + m] = b[:, :m]
+    row = np.full((k, width), far, np.int16)
+    row[:, most:] = lane[: most + 1]
+    for i in range(1, n + 1):
+        new = row + (padded[:, i - 1 : i - 1 + width] != a[:, i - 1 : i])
+        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
+        if i <= most:
+            new[:, : most - i] = far
+            new[:, most - i] = i
+        row = np.minimum(np.minimum.accumulate(new - lane, axis=1) + lane, far)
+    d = b_length - n + most
+    return np.where((d >= 0) & (d < width), row[np.arange(k), np.clip(d, 0, width - 1)], far).astype(np.int32) if k else np.zeros(0, np.int32)
 
 
 @dataclass
@@ -187,7 +197,7 @@ def _search(items: Items, column: pa.Array, ids: list) -> list[tuple]:
         mine = np.stack([items.tokens[x] for x in own])
         for some in np.array_split(met, len(met) // 8192 + 1):
             w, k = some // len(own), some % len(own)
-            d = edit_distance(mine[k], tokens[w], length[w])
+            d = edit_distance(mine[k], tokens[w], length[w], allowed(n))
             for x in np.flatnonzero(d <= allowed(n)):
                 key, v = (int(row[w[x]]), int(own[k[x]])), w[x]
                 best[key] = min(best.get(key, (1 << 30,)), (int(d[x]), int(place[v]), int(length[v]), int(first[v]), int(last[v])))
