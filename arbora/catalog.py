@@ -1,4 +1,655 @@
 """Named queries of the network operators and their DuckDB SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from arbora.functions.text import base_name, sanitize_label
+from arbora.operators import assoc, edges, prep, profile, scores
+from arbora.operators.counts import Variables, cardinalities, drop_parent, families_of, family_counts, with_totals
+from arbora.operators.importance import edge_importance
+from arbora.plans import bootstrap as boot
+from arbora.plans import evaluation, search
+
+VIEWS = {
+    "bn_li": """
+SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS x0, CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END AS x1,
+       CAST(LEAST(2, FLOOR((l_quantity - 1) / 17)) AS INT) AS x2, CAST(LEAST(2, FLOOR(l_extendedprice / 35000)) AS INT) AS x3,
+       CASE WHEN ROUND(l_discount * 100) >= 5 THEN 1 ELSE 0 END AS x4, CAST(FLOOR(ROUND(l_tax * 100) / 3) AS INT) AS x5,
+       CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS x6, CAST(SUBSTR(o_orderpriority, 1, 1) AS INT) - 1 AS x7, c_mktsegment AS grp
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey""",
+    "bn_dep": """
+SELECT a, b, CASE WHEN a = 1 OR b = 1 THEN 1 ELSE 0 END AS c, d, CASE WHEN (a = 1 OR b = 1) AND d = 1 THEN 1 ELSE 0 END AS e,
+       CAST((ln + CASE WHEN a = 1 OR b = 1 THEN 1 ELSE 0 END) % 2 AS INT) AS f
+FROM (SELECT CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END AS a, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS b,
+             CASE WHEN ROUND(l_discount * 100) >= 5 THEN 1 ELSE 0 END AS d, l_linenumber AS ln FROM {lineitem}) t""",
+    "bn_ev": """
+SELECT CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS etype,
+       CAST(FLOOR(EXTRACT(hour FROM ts) / 6) AS INT) AS hour4, CASE WHEN value < 20 THEN 0 WHEN value < 55 THEN 1 ELSE 2 END AS val3,
+       CAST(EXTRACT(day FROM ts) % 2 AS INT) AS day2
+FROM {events}""",
+    "expr_counts": """
+SELECT p_brand AS gene, l_suppkey AS sample, COUNT(*) AS value, MIN(p_size) * 100 AS gene_length
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY p_brand, l_suppkey""",
+    "edges_nat": """
+SELECT s_nationkey AS u, c_nationkey AS v, COUNT(*) AS n, ROUND(SUM(l_extendedprice) / 1000, 3) AS w
+FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
+WHERE s_nationkey <> c_nationkey GROUP BY s_nationkey, c_nationkey""",
+}
+EMB_SQL = "SELECT vec_id AS sample, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS gene, CAST(unnest(embedding) AS DOUBLE) AS value, label AS grp FROM embeddings"
+TABLES = ("lineitem", "orders", "customer", "supplier", "part", "events")
+
+LI = Variables(tuple(f"x{i}" for i in range(8)), (3, 2, 3, 3, 2, 3, 3, 5))
+LI_EDGES = [(0, 2), (1, 2), (2, 3), (4, 3), (6, 7), (0, 7), (5, 4)]
+LI_FAMILIES = families_of(LI_EDGES, 8)
+EV = Variables(("etype", "hour4", "val3", "day2"), (5, 4, 3, 2))
+DEP = Variables(tuple("abcdef"), (2,) * 6)
+ESS = 10.0
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in VIEWS[name]}
+    return spark.sql(VIEWS[name], **used)
+
+
+def _sql(name: str) -> str:
+    return "(" + VIEWS[name].format(**{t: t for t in TABLES}) + ")"
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.posexplode("embedding").alias("gene", "x"))
+    return e.select(F.col("vec_id").alias("sample"), "gene", F.col("x").cast("double").alias("value"), F.col("label").alias("grp"))
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+def _j(parents: Sequence[int], vs: Variables) -> str:
+    out = "0"
+    for p in parents:
+        out = f"({out}) * {vs.cards[p]} + {vs.names[p]}"
+    return f"CAST({out} AS BIGINT)"
+
+
+def _counts_sql(families, vs: Variables, source: str, by: str = "") -> str:
+    g = f"{by}, " if by else ""
+    parts = [f"SELECT {g}{i} AS family, {v} AS v, {_j(ps, vs)} AS j, {vs.names[v]} AS k FROM s" for i, (v, ps) in enumerate(families)]
+    return f"SELECT {g}family, v, j, k, count(*) AS n FROM (WITH s AS MATERIALIZED {source} {' UNION ALL '.join(parts)}) GROUP BY ALL"
+
+
+def _shape_sql(families, vs: Variables) -> str:
+    rows = ", ".join(f"({i}, {f[0]}, {vs.cards[f[0]]}::DOUBLE, {np.prod([vs.cards[p] for p in f[1]] or [1])}::DOUBLE)" for i, f in enumerate(families))
+    return f"(SELECT * FROM (VALUES {rows}) AS t(family, v, r, q))"
+
+
+def _score_sql(families, vs: Variables, source: str, by: str = "") -> str:
+    g = f"{by}, " if by else ""
+    return f"""
+WITH c AS ({_counts_sql(families, vs, source, by)}),
+j AS (SELECT {g}c.family, c.v, j, r, q, sum(n)::DOUBLE AS nj, sum(n * ln(n)) AS s, sum(lgamma(n + 1)) AS gg,
+             sum(lgamma(n + {ESS} / q / r) - lgamma({ESS} / q / r)) AS b
+      FROM c JOIN {_shape_sql(families, vs)} t ON c.family = t.family GROUP BY ALL),
+f AS (SELECT {g}family, v, r, q, sum(nj) AS nn, sum(s - nj * ln(nj)) AS loglik, sum(gg + lgamma(r) - lgamma(nj + r)) AS k2,
+             sum(b + lgamma({ESS} / q) - lgamma({ESS} / q + nj)) AS bdeu FROM j GROUP BY ALL)
+SELECT {g}family, v, loglik, loglik - 0.5 * (r - 1) * q * ln(greatest(nn, 1)) AS bic, k2, bdeu FROM f"""
+
+
+# --- counts -------------------------------------------------------------------------------------------------
+
+
+@query("cardinalities", " UNION ALL ".join(f"SELECT '{n}' AS variable, CAST(max({n}) + 1 AS INT) AS card FROM {_sql('bn_li')}" for n in LI.names))
+def _(spark, sf):
+    return cardinalities(view(spark, sf, "bn_li"), LI.names)
+
+
+@query("family_counts", _counts_sql(LI_FAMILIES, LI, _sql("bn_li")))
+def _(spark, sf):
+    return family_counts(view(spark, sf, "bn_li"), LI_FAMILIES, LI)
+
+
+@query("family_counts_totals", f"WITH c AS ({_counts_sql(LI_FAMILIES, LI, _sql('bn_li'))}) SELECT family, v, j, k, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY GROUPING SETS ((family, v, j, k), (family, v, j))")
+def _(spark, sf):
+    return with_totals(family_counts(view(spark, sf, "bn_li"), LI_FAMILIES, LI))
+
+
+@query("marginalize_parent", _counts_sql([(3, (2,))], LI, _sql("bn_li")))
+def _(spark, sf):
+    family = (3, (2, 4))
+    return drop_parent(family_counts(view(spark, sf, "bn_li"), [family], LI), family, 4, LI)
+
+
+# --- scores -------------------------------------------------------------------------------------------------
+
+
+def _scored(metric: str, name: str) -> None:
+    digits = 4
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        s = scores.score_families(view(spark, sf, "bn_li"), LI_FAMILIES, LI, ESS)
+        return s.select("v", F.round(metric, digits).alias(metric))
+
+    QUERIES[name] = run
+    SQL[name] = f"SELECT v, round({metric}, {digits}) AS {metric} FROM ({_score_sql(LI_FAMILIES, LI, _sql('bn_li'))})"
+
+
+for _m, _n in (("loglik", "node_loglik"), ("bic", "score_bic"), ("k2", "score_k2"), ("bdeu", "score_bdeu")):
+    _scored(_m, _n)
+
+
+def _cpt(name: str, alpha: float) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        c = family_counts(view(spark, sf, "bn_li"), LI_FAMILIES, LI)
+        return scores.probabilities(c, LI_FAMILIES, LI, alpha).select("v", "j", "k", F.round("prob", 9).alias("prob"))
+
+    QUERIES[name] = run
+    SQL[name] = f"""
+WITH c AS ({_counts_sql(LI_FAMILIES, LI, _sql("bn_li"))}),
+g AS (SELECT family, v, r, unnest(range(CAST(q AS BIGINT))) AS j FROM {_shape_sql(LI_FAMILIES, LI)}),
+h AS (SELECT family, v, r, j, CAST(unnest(range(CAST(r AS BIGINT))) AS INT) AS k FROM g),
+d AS (SELECT h.family, h.v, h.r, h.j, h.k, coalesce(n, 0) AS n FROM h LEFT JOIN c ON h.family = c.family AND h.j = c.j AND h.k = c.k),
+t AS (SELECT *, sum(n) OVER (PARTITION BY family, j) AS nj FROM d)
+SELECT v, j, k, round(CASE WHEN nj + {alpha} > 0 THEN (n + {alpha} / r) / (nj + {alpha}) END, 9) AS prob FROM t"""
+
+
+_cpt("cpt_mle", 0.0)
+_cpt("cpt_smoothed", 1.0)
+
+_SPLIT = "(SELECT * FROM {} WHERE x1 = {})"
+
+
+@query(
+    "loglik_dataset",
+    f"""
+WITH fit AS ({_counts_sql(LI_FAMILIES, LI, _SPLIT.format(_sql("bn_li"), 0))}), new AS ({_counts_sql(LI_FAMILIES, LI, _SPLIT.format(_sql("bn_li"), 1))}),
+tot AS (SELECT family, j, sum(n) AS nj FROM fit GROUP BY ALL),
+p AS (SELECT new.family, new.n, ln((coalesce(fit.n, 0) + 1.0::DOUBLE / r) / (coalesce(nj, 0) + 1)) AS lp
+      FROM new LEFT JOIN fit ON new.family = fit.family AND new.j = fit.j AND new.k = fit.k LEFT JOIN tot ON new.family = tot.family AND new.j = tot.j
+      JOIN {_shape_sql(LI_FAMILIES, LI)} s ON new.family = s.family)
+SELECT round(sum(n * lp), 4) AS total, round(sum(n * lp) / sum(n) FILTER (family = 0), 9) AS per_sample,
+       round(sum(n * lp) / sum(n) FILTER (family = 0) / 8, 9) AS per_sample_variable FROM p""",
+)
+def _(spark, sf):
+    df = view(spark, sf, "bn_li")
+    fit, new = (family_counts(df.where(F.col("x1") == x), LI_FAMILIES, LI) for x in (0, 1))
+    return scores.data_loglik(new, fit, LI_FAMILIES, LI, 1.0).select(F.round("total", 4).alias("total"), F.round("per_sample", 9).alias("per_sample"), F.round("per_sample_variable", 9).alias("per_sample_variable"))
+
+
+# --- association --------------------------------------------------------------------------------------------
+
+
+def _pairs_sql(vs: Variables, source: str) -> str:
+    parts = [f"SELECT {u} AS u, {v} AS v, {vs.names[u]} AS a, {vs.names[v]} AS b FROM s" for u, v in assoc.pair_list(len(vs.names))]
+    return f"SELECT u, v, a, b, count(*) AS n FROM (WITH s AS MATERIALIZED {source} {' UNION ALL '.join(parts)}) GROUP BY ALL"
+
+
+def _assoc_sql(vs: Variables, source: str) -> str:
+    cards = ", ".join(map(str, vs.cards))
+    return f"""
+SELECT u, v, sum(n / nn * ln((n / nn + 1e-300) / (na / nn * nb / nn + 1e-300))) AS mi, max(nn) * (sum(n * n / (na * nb)) - 1) AS chi2,
+       CAST(([{cards}][u + 1] - 1) * ([{cards}][v + 1] - 1) AS INT) AS df
+FROM (SELECT u, v, a, b, n::DOUBLE AS n, sum(n::DOUBLE) OVER (PARTITION BY u, v, a) AS na, sum(n::DOUBLE) OVER (PARTITION BY u, v, b) AS nb,
+             sum(n::DOUBLE) OVER (PARTITION BY u, v) AS nn FROM ({_pairs_sql(vs, source)})) GROUP BY u, v"""
+
+
+def _association(spark, sf, name="bn_li", vs=LI):
+    return assoc.association(assoc.pair_counts(view(spark, sf, name), vs), vs)
+
+
+@query("pair_contingency", _pairs_sql(LI, _sql("bn_li")))
+def _(spark, sf):
+    return assoc.pair_counts(view(spark, sf, "bn_li"), LI)
+
+
+@query("mutual_info", f"SELECT u, v, round(mi, 9) AS mi FROM ({_assoc_sql(LI, _sql('bn_li'))})")
+def _(spark, sf):
+    return _association(spark, sf).select("u", "v", F.round("mi", 9).alias("mi"))
+
+
+@query("chi2_stat", f"SELECT u, v, df, round(greatest(chi2, 0), 5) AS chi2 FROM ({_assoc_sql(LI, _sql('bn_li'))})")
+def _(spark, sf):
+    return _association(spark, sf).select("u", "v", "df", F.round("chi2", 5).alias("chi2"))
+
+
+@query(
+    "chi2_pvalue",
+    f"""SELECT u, v, df, round(list_sum(list_transform(range(df // 2), lambda i: exp(-chi2 / 2 + i * ln(chi2 / 2) - lgamma(i + 1)))), 8) AS p
+FROM ({_assoc_sql(EV, _sql("bn_ev"))}) WHERE df % 2 = 0""",
+)
+def _(spark, sf):
+    return assoc.with_p(_association(spark, sf, "bn_ev", EV)).where("df % 2 = 0").select("u", "v", "df", F.round("p", 8).alias("p"))
+
+
+def _cand_sql(strength: str, keep: str) -> str:
+    return f"""
+WITH a AS ({_assoc_sql(LI, _sql("bn_li"))}), b AS (SELECT u, v, {strength} AS s FROM a WHERE {keep}),
+c AS (SELECT v, u, s FROM b UNION ALL SELECT u, v, s FROM b)
+SELECT v, u, s AS strength FROM c QUALIFY row_number() OVER (PARTITION BY v ORDER BY s DESC, u) <= 3"""
+
+
+@query("cand_topk_mi", _cand_sql("round(mi, 9)", "true"))
+def _(spark, sf):
+    return assoc.candidates(_association(spark, sf).withColumn("mi", F.round("mi", 9)), "mi", 3)
+
+
+@query("cand_topk_chi2")
+def _(spark, sf):
+    return assoc.candidates(_association(spark, sf), "chi2", 3, p_threshold=0.5)
+
+
+# --- learning -----------------------------------------------------------------------------------------------
+
+_STEP = [(v, ()) for v in range(6)] + [(v, (u,)) for v in range(6) for u in range(6) if u != v]
+
+
+@query(
+    "greedy_step_add",
+    f"""
+WITH s AS ({_score_sql(_STEP, DEP, _sql("bn_dep"))}),
+d AS (SELECT s.v, CAST([{", ".join(str(f[1][0]) for f in _STEP[6:])}][s.family - 5] AS INT) AS u, round(s.bic - e.bic, 4) AS delta
+      FROM s JOIN s e ON e.family = s.v WHERE s.family >= 6)
+SELECT u, v, delta FROM d ORDER BY delta DESC, v, u LIMIT 1""",
+)
+def _(spark, sf):
+    """The best first addition to an empty network."""
+    s = scores.score_families(view(spark, sf, "bn_dep"), _STEP, DEP, ESS).select("family", "v", "bic")
+    empty = s.where("family < 6").select("v", F.col("bic").alias("base"))
+    u = F.element_at(F.array(*[F.lit(f[1][0]) for f in _STEP[6:]]), F.col("family") - 5)
+    return s.where("family >= 6").join(empty, "v").select(u.alias("u"), "v", F.round(F.col("bic") - F.col("base"), 4).alias("delta")).orderBy(F.col("delta").desc(), "v", "u").limit(1)
+
+
+_SMALL = search.Config(max_iter=25, tabu_tenure=0, assoc_rows=0)
+
+
+@query("hill_climb_edges")
+def _(spark, sf):
+    return search.learn(view(spark, sf, "bn_dep"), _SMALL, vs=DEP).edge_frame(spark)
+
+
+@query("tabu_edges")
+def _(spark, sf):
+    return search.learn(view(spark, sf, "bn_dep"), search.Config(max_iter=8, tabu_tenure=3, assoc_rows=0), vs=DEP).edge_frame(spark)
+
+
+@query("bootstrap_freq")
+def _(spark, sf):
+    # Lines have no key of their own; a number by all columns tells equal ones apart.
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_linestatus", "l_quantity", "l_discount", "l_linenumber").agg(F.count("*").alias("copies"))
+    a, b, d = F.when(F.col("l_linestatus") == "F", 0).otherwise(1), (F.col("l_quantity") > 25).cast("int"), (F.round(F.col("l_discount") * 100) >= 5).cast("int")
+    rows = lines.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(F.hash("l_linestatus", "l_quantity", "l_discount", "l_linenumber", "copy").alias("key"), a.alias("a"), b.alias("b"), d.alias("d"))
+    rows = rows.withColumn("c", F.greatest("a", "b"))
+    return boot.bootstrap(rows, ["key"], 2, (1, 2), search.Config(max_iter=6, tabu_tenure=0, assoc_rows=0), names=["a", "b", "c", "d"])
+
+
+_FREQ = [(1, 0, 1, 8, 0.8), (1, 1, 2, 5, 0.5), (1, 2, 0, 6, 0.6), (1, 3, 1, 1, 0.1), (2, 0, 1, 9, 0.9), (2, 1, 2, 4, 0.4), (2, 2, 0, 1, 0.1), (2, 1, 3, 5, 0.5), (2, 3, 0, 2, 0.2)]
+_FREQ_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"({s}, {u}, {v}, {c}, {p}::DOUBLE)" for s, u, v, c, p in _FREQ) + ") AS t(seed, u, v, count, prob))"
+
+
+@query("bootstrap_integrated", f'SELECT u, v, CAST(sum("count") AS BIGINT) AS count, round(sum(prob) / 2, 9) AS prob FROM {_FREQ_SQL} GROUP BY u, v HAVING sum(prob) / 2 >= 0.2 AND sum("count") >= 2')
+def _(spark, sf):
+    f = spark.createDataFrame(_FREQ, "seed int, u int, v int, count long, prob double")
+    return boot.consensus(boot.integrate(f, 2), acyclic=False).withColumn("prob", F.round("prob", 9))
+
+
+@query("consensus_edges", "SELECT * FROM (VALUES (0, 1, 17::BIGINT, 0.85::DOUBLE), (1, 2, 9::BIGINT, 0.45::DOUBLE), (1, 3, 5::BIGINT, 0.25::DOUBLE)) AS t(u, v, count, prob)")
+def _(spark, sf):
+    f = spark.createDataFrame(_FREQ, "seed int, u int, v int, count long, prob double")
+    return boot.consensus(boot.integrate(f, 2)).withColumn("prob", F.round("prob", 9))
+
+
+# --- importance ---------------------------------------------------------------------------------------------
+
+
+def _importance_sql(by: str = "") -> str:
+    full = [LI_FAMILIES[v] for _, v in sorted(LI_EDGES)]
+    less = [(v, tuple(p for p in LI_FAMILIES[v][1] if p != u)) for u, v in sorted(LI_EDGES)]
+    g = f"{by}, " if by else ""
+    m = len(full)
+    parts = []
+    for i, ((u, v), f, h) in enumerate(zip(sorted(LI_EDGES), full, less, strict=True)):
+        parts.append(f"SELECT {g}{i} AS edge, {u} AS u, {v} AS v, {LI.cards[v]} AS r, {_j(f[1], LI)} AS j, {_j(h[1], LI)} AS h, {LI.names[v]} AS k FROM s")
+    keys = f"{g}edge"
+    return f"""
+WITH x AS ({_score_sql(full + less, LI, _sql("bn_li"), by)}),
+d AS (SELECT {g}family % {m} AS edge, {", ".join(f"sum(CASE WHEN family >= {m} THEN {c} ELSE -{c} END) AS d_{c}" for c in ("loglik", "bic", "k2", "bdeu"))} FROM x GROUP BY ALL),
+c AS (SELECT {g}edge, u, v, r, j, h, k, count(*)::DOUBLE AS n FROM (WITH s AS MATERIALIZED {_sql("bn_li")} {" UNION ALL ".join(parts)}) GROUP BY ALL),
+w AS (SELECT *, sum(n) OVER (PARTITION BY {keys}, j) AS nj, sum(n) OVER (PARTITION BY {keys}, h, k) AS n2, sum(n) OVER (PARTITION BY {keys}, h) AS nj2 FROM c),
+l AS (SELECT *, ln((n2 + 1.0 / r) / (nj2 + 1)) - ln((n + 1.0 / r) / (nj + 1)) AS dl FROM w),
+q AS (SELECT {keys}, u, v, CAST(sum(n) AS BIGINT) AS n_finite, sum(n * dl) / sum(n) AS mean, sum(n * dl * dl) AS ss FROM l GROUP BY ALL)
+SELECT {", ".join(f"q.{by}" for by in [by] if by)}{", " if by else ""}q.u, q.v, round(d_loglik, 4) AS d_loglik, round(d_bic, 4) AS d_bic, round(d_k2, 4) AS d_k2, round(d_bdeu, 4) AS d_bdeu,
+       round(mean, 8) AS mean_dlogl, round(CASE WHEN n_finite > 1 THEN sqrt(greatest((ss - n_finite * mean * mean) / (n_finite - 1), 0)) ELSE 0 END, 6) AS std_dlogl, n_finite
+FROM q JOIN d ON q.edge = d.edge{" AND q." + by + " = d." + by if by else ""}"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    for c in ("d_loglik", "d_bic", "d_k2", "d_bdeu"):
+        df = df.withColumn(c, F.round(c, 4))
+    return df.withColumn("mean_dlogl", F.round("mean_dlogl", 8)).withColumn("std_dlogl", F.round("std_dlogl", 6))
+
+
+@query("edge_importance", _importance_sql())
+def _(spark, sf):
+    return _rounded(edge_importance(view(spark, sf, "bn_li"), LI_EDGES, LI, 1.0, ESS))
+
+
+@query("edge_importance_by_group", _importance_sql("grp"))
+def _(spark, sf):
+    return _rounded(edge_importance(view(spark, sf, "bn_li"), LI_EDGES, LI, 1.0, ESS, by=["grp"]))
+
+
+# --- preparation --------------------------------------------------------------------------------------------
+
+
+@query("cpm_log2", f"SELECT gene, sample, round(log2(value / sum(value) OVER (PARTITION BY sample) * 1e6 + 1), 6) AS value FROM {_sql('expr_counts')}")
+def _(spark, sf):
+    m = prep.log2(prep.normalise(view(spark, sf, "expr_counts"), "cpm"))
+    return m.select("gene", "sample", F.round("value", 6).alias("value"))
+
+
+@query("tpm", f"SELECT gene, sample, round(x / sum(x) OVER (PARTITION BY sample) * 1e6, 4) AS value FROM (SELECT gene, sample, value / (gene_length / 1000.0::DOUBLE) AS x FROM {_sql('expr_counts')})")
+def _(spark, sf):
+    return prep.normalise(view(spark, sf, "expr_counts"), "tpm").select("gene", "sample", F.round("value", 4).alias("value"))
+
+
+_STATS = f"(SELECT gene, avg(value) AS mean, var_pop(value) AS variance, avg(CASE WHEN value > 0 THEN 1.0 ELSE 0 END) AS detected FROM ({EMB_SQL}) GROUP BY gene)"
+
+
+@query("gene_filters", f"SELECT gene, round(mean, 9) AS mean, round(variance, 9) AS variance, round(detected, 9) AS detected FROM {_STATS} WHERE (mean > 0.001 AND detected >= 0.5 OR gene IN (3, 5)) AND variance > 0")
+def _(spark, sf):
+    s = prep.keep_genes(prep.gene_stats(embeddings(spark, sf)), 0.001, 0.5, ["3", "5"])
+    return s.select("gene", *[F.round(c, 9).alias(c) for c in ("mean", "variance", "detected")])
+
+
+@query("top_variance", f"SELECT gene, round(variance, 9) AS variance FROM {_STATS} QUALIFY row_number() OVER (ORDER BY variance DESC, gene) <= 10 OR gene IN (3, 5)")
+def _(spark, sf):
+    return prep.top_variance(prep.gene_stats(embeddings(spark, sf)), 10, ["3", "5"]).select("gene", F.round("variance", 9).alias("variance"))
+
+
+@query("var_quantile", f"SELECT gene FROM {_STATS} WHERE variance >= (SELECT quantile_cont(variance, 0.75) FROM {_STATS})")
+def _(spark, sf):
+    return prep.variance_quantile(prep.gene_stats(embeddings(spark, sf)), 0.75).select("gene")
+
+
+_CODES = f"""(WITH m AS ({EMB_SQL}), e AS (SELECT gene, quantile_cont(value, [1 / 3::DOUBLE, 2 / 3::DOUBLE]) AS e FROM m GROUP BY gene)
+SELECT m.gene, sample, CAST((value >= e[1])::INT + (value >= e[2])::INT AS INT) AS code FROM m JOIN e ON m.gene = e.gene)"""
+
+
+@query("disc_quantile", f"SELECT gene, sample, code FROM {_CODES}")
+def _(spark, sf):
+    return prep.discretise(embeddings(spark, sf)).select("gene", "sample", "code")
+
+
+@query(
+    "disc_uniform",
+    f"""WITH m AS ({EMB_SQL}), e AS (SELECT gene, min(value) AS lo, max(value) AS hi FROM m GROUP BY gene)
+SELECT m.gene, sample, CAST((value >= lo + (hi - lo) * (1 / 3::DOUBLE))::INT + (value >= lo + (hi - lo) * (2 / 3::DOUBLE))::INT AS INT) AS code FROM m JOIN e ON m.gene = e.gene""",
+)
+def _(spark, sf):
+    return prep.discretise(embeddings(spark, sf), method="uniform").select("gene", "sample", "code")
+
+
+@query("disc_compact", f"SELECT gene, sample, CAST(dense_rank() OVER (PARTITION BY gene ORDER BY code) - 1 AS INT) AS code FROM (SELECT gene, sample, code * 2 AS code FROM {_CODES})")
+def _(spark, sf):
+    codes = prep.discretise(embeddings(spark, sf)).withColumn("code", F.col("code") * 2)
+    return prep.informative(prep.compact(codes)).select("gene", "sample", "code")
+
+
+_META = "(SELECT c_custkey AS sample, c_mktsegment AS g FROM customer WHERE c_custkey % 3 <> 0)"
+
+
+@query(
+    "sample_align",
+    f"""WITH j AS (SELECT o_custkey AS sample, min(o_orderkey) AS ix FROM orders GROUP BY 1), k AS (SELECT j.sample, ix, g AS "group" FROM j JOIN {_META} m ON j.sample = m.sample),
+f AS (SELECT "group", min(ix) AS r FROM k GROUP BY 1)
+SELECT k.sample, k."group", CAST(row_number() OVER (ORDER BY r, ix) - 1 AS INT) AS row_index FROM k JOIN f ON k."group" = f."group" """,
+)
+def _(spark, sf):
+    return _aligned(spark, sf)
+
+
+def _aligned(spark, sf):
+    samples = spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.col("o_custkey").alias("sample")).agg(F.min("o_orderkey").alias("ix"))
+    meta = spark.read.parquet(f"{sf}/customer.parquet").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("sample"), F.col("c_mktsegment").alias("group"), F.col("c_custkey").alias("ix"))
+    return prep.align(samples, meta)[0]
+
+
+@query("group_manifest", f'SELECT g AS "group", count(DISTINCT o_custkey) AS n_samples FROM orders JOIN {_META} ON o_custkey = sample GROUP BY 1 HAVING count(DISTINCT o_custkey) >= 2')
+def _(spark, sf):
+    return prep.group_manifest(_aligned(spark, sf))
+
+
+@query(
+    "sanitize_labels",
+    r"""SELECT DISTINCT p_name AS raw, coalesce(nullif(regexp_replace(regexp_replace(trim(p_name), '[^\p{L}\p{N}_.\-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'NA') AS label,
+split_part(p_name || '__1', '__', 1) AS base FROM part""",
+)
+def _(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    return p.select(F.col("p_name").alias("raw"), sanitize_label(F.col("p_name")).alias("label"), base_name(F.concat("p_name", F.lit("__1"))).alias("base")).distinct()
+
+
+# --- edge sets ----------------------------------------------------------------------------------------------
+
+_T, _P = [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4)], [(0, 1), (2, 0), (1, 3), (1, 4)]
+
+
+def _values(rows) -> str:
+    return "(SELECT * FROM (VALUES " + ", ".join(f"({u}, {v})" for u, v in rows) + ") AS t(u, v))"
+
+
+def _pair(spark):
+    return spark.createDataFrame(_T, "u int, v int"), spark.createDataFrame(_P, "u int, v int")
+
+
+_SETS = f"""WITH t AS {_values(_T)}, p AS {_values(_P)}, st AS (SELECT DISTINCT least(u, v) a, greatest(u, v) b FROM t), sp AS (SELECT DISTINCT least(u, v) a, greatest(u, v) b FROM p),
+tp AS (SELECT * FROM t INTERSECT SELECT * FROM p), stp AS (SELECT * FROM st INTERSECT SELECT * FROM sp),
+rev AS (SELECT * FROM (SELECT * FROM p EXCEPT SELECT * FROM t) x WHERE EXISTS (SELECT 1 FROM t WHERE t.u = x.v AND t.v = x.u)),
+c AS (SELECT (SELECT count(*) FROM t) nt, (SELECT count(*) FROM p) np, (SELECT count(*) FROM tp) ntp, (SELECT count(*) FROM st) nst, (SELECT count(*) FROM sp) nsp, (SELECT count(*) FROM stp) nstp, (SELECT count(*) FROM rev) nr)"""
+
+
+@query(
+    "shd_metrics",
+    f"""{_SETS} SELECT nt AS n_true, np AS n_pred, ntp AS tp, np - ntp AS fp, nt - ntp AS fn, nr AS reversed, nst - nstp AS missing, nsp - nstp AS extra, nst - nstp + nsp - nstp + nr AS shd,
+round(ntp / np, 9) AS directed_precision, round(ntp / nt, 9) AS directed_recall, round(2 * ntp / (np + nt), 9) AS directed_f1,
+round(nstp / nsp, 9) AS skeleton_precision, round(nstp / nst, 9) AS skeleton_recall, round(2 * nstp / (nsp + nst), 9) AS skeleton_f1 FROM c""",
+)
+def _(spark, sf):
+    m = edges.structure_metrics(*_pair(spark))
+    return m.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes])
+
+
+@query(
+    "compare_metrics",
+    f"""{_SETS} SELECT nt AS n_true, np AS n_pred, ntp AS tp, np - ntp AS fp, nt - ntp AS fn, nr AS n_reversed, np + nt - 2 * ntp AS symmetric_difference,
+round(ntp / np, 9) AS precision, round(ntp / nt, 9) AS recall, round(2 * ntp / (np + nt), 9) AS f1 FROM c""",
+)
+def _(spark, sf):
+    m = edges.comparison(*_pair(spark))
+    return m.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes])
+
+
+@query(
+    "edge_verdicts",
+    f"""{_SETS} SELECT u, v, CASE WHEN (u, v) IN (SELECT (u, v) FROM t) THEN 'TP' WHEN (v, u) IN (SELECT (u, v) FROM t) THEN 'FP_reversed' ELSE 'FP' END AS status FROM p
+UNION ALL SELECT u, v, 'FN' FROM (SELECT * FROM t EXCEPT SELECT * FROM p)""",
+)
+def _(spark, sf):
+    return edges.verdicts(*_pair(spark))
+
+
+@query("skeleton", f"SELECT DISTINCT least(u, v) AS a, greatest(u, v) AS b FROM {_sql('edges_nat')}")
+def _(spark, sf):
+    return edges.skeleton(view(spark, sf, "edges_nat"))
+
+
+@query("two_cycles", f"WITH e AS {_sql('edges_nat')} SELECT x.u, x.v FROM e x JOIN e y ON x.u = y.v AND x.v = y.u WHERE x.u < x.v")
+def _(spark, sf):
+    return edges.two_cycles(view(spark, sf, "edges_nat"))
+
+
+@query("eval_pairs", f"{_SETS}, e AS {_values([(0, 2), (1, 3), (4, 1)])} SELECT u, v, 'truth' AS side FROM t WHERE (u, v) IN (SELECT (u, v) FROM e) UNION ALL SELECT u, v, 'pred' FROM p WHERE (least(u, v), greatest(u, v)) IN (SELECT (least(u, v), greatest(u, v)) FROM e)")
+def _(spark, sf):
+    t, p = edges.restrict(*_pair(spark), spark.createDataFrame([(0, 2), (1, 3), (4, 1)], "u int, v int"))
+    return t.withColumn("side", F.lit("truth")).unionByName(p.withColumn("side", F.lit("pred")))
+
+
+@query("descendants", f"WITH RECURSIVE e AS {_values(_T)}, r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u) SELECT u, v FROM r")
+def _(spark, sf):
+    return evaluation.reachable(_pair(spark)[0])
+
+
+@query("sid")
+def _(spark, sf):
+    return evaluation.sid(spark, 5, _T, _P)
+
+
+# --- networks -----------------------------------------------------------------------------------------------
+
+_NET = evaluation.Network(
+    ["rain", "sprinkler", "grass"], [["n", "y"], ["n", "y"], ["dry", "wet"]], [[], [0], [1, 0]],
+    [np.array([[0.75, 0.25]]), np.array([[0.5, 0.5], [0.875, 0.125]]), np.array([[1.0, 0.0], [0.25, 0.75], [0.125, 0.875], [0.0625, 0.9375]])],
+)
+_JOINT = """(SELECT rain, sprinkler, grass, r.p * s.p * g.p AS p
+FROM (VALUES (0, 0.75::DOUBLE), (1, 0.25)) r(rain, p) JOIN (VALUES (0, 0, 0.5::DOUBLE), (0, 1, 0.5), (1, 0, 0.875), (1, 1, 0.125)) s(rain, sprinkler, p) USING (rain)
+JOIN (VALUES (0, 0, 0, 1.0::DOUBLE), (0, 0, 1, 0.0), (0, 1, 0, 0.25), (0, 1, 1, 0.75), (1, 0, 0, 0.125), (1, 0, 1, 0.875), (1, 1, 0, 0.0625), (1, 1, 1, 0.9375)) g(sprinkler, rain, grass, p) USING (rain, sprinkler))"""
+
+
+@query("joint_distribution", f"SELECT rain, sprinkler, grass, p FROM {_JOINT}")
+def _(spark, sf):
+    return evaluation.joint(spark, _NET)
+
+
+@query(
+    "kl_divergence",
+    f"""WITH p AS {_JOINT}, a AS (SELECT rain, sum(p) AS pa FROM p GROUP BY 1), b AS (SELECT sprinkler, sum(p) AS pb FROM p GROUP BY 1), c AS (SELECT grass, sum(p) AS pc FROM p GROUP BY 1)
+SELECT round(sum(CASE WHEN p > 0 THEN p * (ln(p) - ln(pa * pb * pc)) ELSE 0 END), 9) AS kl FROM p JOIN a USING (rain) JOIN b USING (sprinkler) JOIN c USING (grass)""",
+)
+def _(spark, sf):
+    """The divergence of the product of the marginals: the network's total correlation."""
+    m1, m2 = 0.75 * 0.5 + 0.25 * 0.125, 0.0
+    for r, s in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        m2 += _NET.tables[0][0, r] * _NET.tables[1][r, s] * _NET.tables[2][s * 2 + r, 1]
+    flat = evaluation.Network(_NET.names, _NET.states, [[], [], []], [_NET.tables[0], np.array([[1 - m1, m1]]), np.array([[1 - m2, m2]])])
+    return evaluation.kl_divergence(spark, _NET, flat).select(F.round("kl", 9).alias("kl"))
+
+
+@query("ancestral_sample")
+def _(spark, sf):
+    return evaluation.sample(spark, _NET, 20_000, 7).groupBy(*_NET.names).agg(F.count("*").alias("n"))
+
+
+_RUNS = [("asia", 100, 3.0, 0.5), ("asia", 100, 5.0, float("inf")), ("asia", 500, 2.0, None), ("sachs", 100, float("nan"), 0.25), ("sachs", 100, 7.5, 0.75)]
+
+
+@query(
+    "benchmark_summary",
+    """WITH r AS (SELECT * FROM (VALUES ('asia', 100, 3.0::DOUBLE, 0.5::DOUBLE), ('asia', 100, 5.0, 'inf'::DOUBLE), ('asia', 500, 2.0, NULL), ('sachs', 100, 'nan'::DOUBLE, 0.25), ('sachs', 100, 7.5, 0.75)) t(network, rows_, shd, kl)),
+l AS (SELECT network, rows_, 'shd' AS metric, shd AS x FROM r UNION ALL SELECT network, rows_, 'kl', kl FROM r),
+f AS (SELECT network, rows_, metric, CASE WHEN isfinite(x) THEN x END AS x FROM l)
+SELECT network, rows_ AS n_rows, metric, avg(x) AS mean, CASE WHEN count(x) = 1 THEN 0 ELSE stddev_samp(x) END AS sd, count(x) AS n, count(*) - count(x) AS n_missing FROM f GROUP BY ALL""",
+)
+def _(spark, sf):
+    return evaluation.benchmark_summary(spark.createDataFrame(_RUNS, "network string, n_rows int, shd double, kl double"), ["network", "n_rows"], ["shd", "kl"])
+
+
+# --- views of edges -----------------------------------------------------------------------------------------
+
+_E = _sql("edges_nat")
+_ENDS = f"(SELECT u AS node, 1 AS o, 0 AS i FROM {_E} UNION ALL SELECT v, 0, 1 FROM {_E})"
+_DEGREES = f"(SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, CAST(count(*) AS BIGINT) AS degree FROM {_ENDS} GROUP BY node)"
+
+
+@query("edge_rank_norm", f"SELECT u, v, w, round((row_number() OVER (ORDER BY w, u, v) - 1) / (count(*) OVER () - 1), 9) AS norm FROM {_E}")
+def _(spark, sf):
+    return edges.normalised(view(spark, sf, "edges_nat"), "w").select("u", "v", "w", F.round("norm", 9).alias("norm"))
+
+
+@query(
+    "edge_hist32",
+    f"""WITH e AS {_E}, l AS (SELECT min(w) AS lo, max(w) AS hi FROM e), b AS (SELECT CAST(least(31, floor((w - lo) / ((hi - lo) / 32))) AS INT) AS bin, count(*) AS n FROM e, l GROUP BY 1),
+g AS (SELECT CAST(range AS INT) AS bin, coalesce(n, 0) AS n FROM range(32) LEFT JOIN b ON range = bin)
+SELECT bin, n, CAST(sum(n) OVER (ORDER BY bin DESC) AS BIGINT) AS at_least FROM g""",
+)
+def _(spark, sf):
+    return edges.histogram(view(spark, sf, "edges_nat"), "w")
+
+
+@query("edge_filter_and_or", f"SELECT u, v, 'and' AS how FROM {_E} WHERE n >= 90 AND w <= 6000 UNION ALL SELECT u, v, 'or' FROM {_E} WHERE n >= 120 OR w <= 2000")
+def _(spark, sf):
+    e = view(spark, sf, "edges_nat")
+    a = edges.filtered(e, [edges.condition("n", "ge", 90), edges.condition("w", "le", 6000)]).select("u", "v", F.lit("and").alias("how"))
+    return a.unionByName(edges.filtered(e, [edges.condition("n", "ge", 120), edges.condition("w", "le", 2000)], "or").select("u", "v", F.lit("or").alias("how")))
+
+
+@query("edge_nearest_quantile", f"SELECT CAST(w AS DOUBLE) AS value FROM (SELECT w, row_number() OVER (ORDER BY w) AS place, count(*) OVER () AS n FROM {_E}) WHERE place = floor(0.7 * (n - 1) + 0.5) + 1")
+def _(spark, sf):
+    return edges.nearest_quantile(view(spark, sf, "edges_nat"), "w", 0.7)
+
+
+@query("edge_topn", f"SELECT u, v, w, CAST(row_number() OVER (ORDER BY w DESC, u DESC, v DESC) AS INT) AS rank FROM {_E} QUALIFY rank <= 20")
+def _(spark, sf):
+    return edges.ranked(view(spark, sf, "edges_nat"), "w").where("rank <= 20").select("u", "v", "w", "rank")
+
+
+@query("edge_topn_by_source", f"SELECT u, v, w FROM {_E} QUALIFY row_number() OVER (PARTITION BY u ORDER BY w DESC, v) <= 2")
+def _(spark, sf):
+    return edges.top(view(spark, sf, "edges_nat"), "w", 2, by=["u"]).select("u", "v", "w")
+
+
+@query("node_degree", f"SELECT *, CASE WHEN in_degree = 0 THEN 'source' WHEN out_degree = 0 THEN 'sink' ELSE 'middle' END AS role FROM {_DEGREES}")
+def _(spark, sf):
+    return edges.degrees(view(spark, sf, "edges_nat"))
+
+
+@query("hub_subgraph", f"WITH h AS (SELECT node FROM {_DEGREES} ORDER BY degree DESC, node LIMIT 5) SELECT u, v FROM {_E} WHERE u IN (SELECT node FROM h) AND v IN (SELECT node FROM h)")
+def _(spark, sf):
+    e = view(spark, sf, "edges_nat")
+    return edges.induced(e, edges.hubs(e, 5)).select("u", "v")
+
+
+@query("ego_network", f"WITH t AS {_values(_T)} SELECT u, v FROM t WHERE u IN (3, 1, 2, 4) AND v IN (3, 1, 2, 4)")
+def _(spark, sf):
+    return edges.ego(_pair(spark)[0], spark.createDataFrame([(3,)], "node int")).select("u", "v")
+
+
+@query("network_payload", f"WITH e AS {_E}, d AS {_DEGREES} SELECT e.u, e.v, e.n, CASE WHEN e.n > 90 THEN e.w END AS importance, CASE WHEN e.n % 2 = 0 THEN 0.5::DOUBLE END AS prob, a.degree AS u_degree, b.degree AS v_degree FROM e JOIN d a ON e.u = a.node JOIN d b ON e.v = b.node")
+def _(spark, sf):
+    e = view(spark, sf, "edges_nat")
+    imp = e.where("n > 90").select("u", "v", F.col("w").alias("importance"))
+    return edges.payload(e.select("u", "v", "n"), imp, e.where("n % 2 = 0").select("u", "v", F.lit(0.5).alias("prob")))
+
+
+# --- profiles -----------------------------------------------------------------------------------------------
+
+_NUM = ("l_quantity", "l_discount", "l_tax", "l_linenumber")
+
+
+@query(
+    "matrix_profile",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", min({c})::DOUBLE AS minimum, max({c})::DOUBLE AS maximum, CAST(min(({c} = floor({c}))::INT) AS INT) AS is_integer, count(DISTINCT {c}) AS n_unique,
+round(avg(CASE WHEN {c} = 0 THEN 1.0 ELSE 0 END), 9) AS zero_frac, count(*) - count({c}) AS n_missing, CAST((min({c}) = max({c}))::INT AS INT) AS is_constant FROM lineitem"""
+        for c in _NUM
+    ),
+)
+def _(spark, sf):
+    return profile.matrix_profile(spark.read.parquet(f"{sf}/lineitem.parquet"), _NUM).withColumn("zero_frac", F.round("zero_frac", 9))
+
+
+@query("variance_profile", f"WITH s AS {_STATS}, q AS (SELECT quantile_cont(variance, [0, 0.25, 0.5, 0.75, 1]) AS q FROM s) SELECT {', '.join(f'round(q[{i + 1}], 9) AS q{i}' for i in range(5))}, (SELECT count(*) FROM s WHERE variance < q[3] / 2) AS n_low FROM q")
+def _(spark, sf):
+    p = profile.variance_profile(prep.gene_stats(embeddings(spark, sf)))
+    return p.select(*[F.round(f"q{i}", 9).alias(f"q{i}") for i in range(5)], "n_low")
