@@ -80,23 +80,24 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """How many elements fall into each of 2**k cells (at most 255 counted), about eight elements to a cell."""
-    cells = max(64, 1 << max(0, (len(s) - 1).bit_length() - 3)) if len(s) else 64
-    return np.minimum(np.bincount((mix(s + np.uint64(77)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+    """Whether an odd number of elements falls into each of 2**k cells, at least four cells to an element."""
+    cells = max(512, 1 << (4 * max(1, len(s)) - 1).bit_length())
+    odd = (np.bincount((mix(s + np.uint64(77)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def folded(x: np.ndarray, size: int) -> np.ndarray:
+    """A sketch with fewer cells: those that become one add up."""
+    return x if len(x) == size else np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
 
 
 def may_link(x: bytes, y: bytes, n: int, m: int) -> bool:
-    """False only if the sketches show that sets of n and m elements differ in more elements than a link allows."""
+    """False only if sizes or sketches show that sets of n and m elements differ in more elements than a link allows."""
     if min(n, m) * DENOMINATOR < max(n, m) * NUMERATOR:
         return False
-    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
-    if len(a) != len(b):
-        # The finer sketch is folded, unless a cell's count is cut off.
-        a, b = (a, b) if len(a) < len(b) else (b, a)
-        if b.max() == 255:
-            return True
-        b = np.minimum(b.reshape(-1, len(a)).sum(0), 255)
-    return int(np.abs(a - b).sum()) * (NUMERATOR + DENOMINATOR) <= (n + m) * (DENOMINATOR - NUMERATOR)
+    size = min(len(x), len(y)) // 8
+    odd = folded(np.frombuffer(x, np.uint64), size) ^ folded(np.frombuffer(y, np.uint64), size)
+    return int(np.bitwise_count(odd).sum()) * (NUMERATOR + DENOMINATOR) <= (n + m) * (DENOMINATOR - NUMERATOR)
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -322,23 +323,38 @@ def link_sets(texts: DataFrame) -> DataFrame:
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs across components under one hot key whose sizes and sketches allow a link; rows come sorted by key.
 
-    Each set is compared with those before it under its key, on numbers alone, so no pair that is ruled out is ever a row.
+    Sketches are compared as blocks of bits, so no pair that is ruled out is ever a row.
     """
-    key, sizes, roots, ids, sketches = None, [], [], [], []
     out: set[tuple[int, int]] = set()
+
+    def compare(rows: list[dict]) -> None:
+        if len(rows) < 2:
+            return
+        n = np.array([r["n_shingles"] for r in rows], np.int64)
+        root = np.array([r["root"] for r in rows], np.int64)
+        ids = np.array([r["id"] for r in rows], np.int64)
+        size = min(len(r["sketch"]) for r in rows) // 8
+        bits = np.stack([folded(np.frombuffer(r["sketch"], np.uint64), size) for r in rows])
+        step = max(1, (1 << 21) // (len(rows) * size))
+        for i in range(0, len(rows), step):
+            k = slice(i, i + step)
+            fits = (np.minimum(n[k, None], n) * DENOMINATOR >= np.maximum(n[k, None], n) * NUMERATOR) & (root[k, None] < root)
+            odd = np.bitwise_count(bits[k, None] ^ bits).sum(-1, dtype=np.int64)
+            x, y = np.nonzero(fits & (odd * (NUMERATOR + DENOMINATOR) <= (n[k, None] + n) * (DENOMINATOR - NUMERATOR)))
+            u, v = ids[x + i], ids[y]
+            out.update(zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist(), strict=True))
+
+    held: list[dict] = []
     for batch in batches:
         for r in batch.select(["key", "root", "id", "n_shingles", "sketch"]).to_pylist():
-            if r["key"] != key:
-                key, sizes, roots, ids, sketches = r["key"], [], [], [], []
-            n = r["n_shingles"]
-            s, t = np.array(sizes, np.int64), np.array(roots, np.int64)
-            near = np.flatnonzero((np.minimum(s, n) * DENOMINATOR >= np.maximum(s, n) * NUMERATOR) & (t != r["root"])) if len(s) else []
-            out.update((min(ids[i], r["id"]), max(ids[i], r["id"])) for i in near if may_link(sketches[i], r["sketch"], sizes[i], n))
-            for held, x in ((sizes, n), (roots, r["root"]), (ids, r["id"]), (sketches, r["sketch"])):
-                held.append(x)
-            if len(out) >= 1 << 17:
-                yield _batch("a long, b long", *zip(*sorted(out), strict=True))
-                out = set()
+            if held and held[-1]["key"] != r["key"]:
+                compare(held)
+                held = []
+                if len(out) >= 1 << 17:
+                    yield _batch("a long, b long", *zip(*sorted(out), strict=True))
+                    out.clear()
+            held.append(r)
+    compare(held)
     if out:
         yield _batch("a long, b long", *zip(*sorted(out), strict=True))
 
