@@ -35,7 +35,7 @@ CONTEXTS = "gram long, ask boolean, id long, first int, before int, context bina
 RESULT = "id long, n_removed long, n_spans long, kept_sha256 string"
 FULL, ASK, PARTNER, CROWD_ASK, CROWD_PARTNER = range(5)
 RUN = np.dtype([("gram", "<u8"), ("context", "<u8"), ("first", "<u4"), ("before", "u1"), ("span", "u1"), ("owner", "<u2")])
-STRING = np.dtype([("a", "<u8"), ("b", "<u8"), ("start", "<u4"), ("ask", "u1"), ("pad", "u1"), ("owner", "<u2")])
+STRING = np.dtype([("a", "<u8"), ("b", "<u8"), ("owner", "<i8"), ("start", "<u4"), ("ask", "<u4")])
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -153,7 +153,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[tup
 
     def joined():
         records = [np.frombuffer(x, dtype) for _, _, x in held]
-        return np.concatenate(records), np.concatenate([r["owner"].astype(np.int64) + base for r, (_, base, _) in zip(records, held, strict=True)])
+        return np.concatenate(records), np.concatenate([r["owner"].astype(np.int64) + base for r, (_, base, _) in zip(records, held, strict=True)])  # STRING: base 0
 
     for batch in batches:
         for bucket, base, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -189,18 +189,36 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _batch(MET, what[k], r["gram"][k].view(np.int64), ids[k], r["first"][k].astype(np.int64), r["before"][k].astype(np.int64), r["span"][k].astype(np.int64))
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Offsets and values of a list column; no row becomes a Python object."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.offsets.to_numpy(), column.values
+
+
+def _asked(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """gram, first, before, span, kind of what each row asks for (see _request)."""
+    offsets, values = _lists(column)
+    gram, code = (values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        c = code[a:b]
+        yield gram[a:b], c >> 20, (c >> 12) & 255, (c >> 4) & 255, c & 15
+
+
+def _request():
+    """A run's gram, and the rest of it as one number."""
+    return F.struct("gram", (F.shiftleft(F.col("first").cast("long"), 20) + F.shiftleft("before", 12) + F.shiftleft("span", 4) + F.col("kind")).alias("code"))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The contexts that a document's runs ask for."""
     loose = zstandard.ZstdDecompressor()
     for batch in batches:
-        for id_, packed, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            text = loose.decompress(packed)
-            for i in range(0, len(asked), 4096):
-                part = asked[i : i + 4096]
-                yield _batch(
-                    CONTEXTS, [x["gram"] for x in part], [x["kind"] == ASK for x in part], [id_] * len(part), [x["first"] for x in part], [x["before"] for x in part],
-                    [text[x["first"] : x["first"] + x["span"] + LENGTH] for x in part],
-                )
+        for id_, packed, (gram, first, before, span, kind) in zip(batch.column(0).to_pylist(), batch.column(1), _asked(batch.column(2)), strict=True):
+            text = loose.decompress(packed.as_py())
+            for i in range(0, len(gram), 4096):
+                k = slice(i, i + 4096)
+                contexts = [text[a : a + n + LENGTH] for a, n in zip(first[k].tolist(), span[k].tolist(), strict=True)]
+                yield _batch(CONTEXTS, gram[k], kind[k] == ASK, np.full(len(contexts), id_), first[k], before[k], contexts)
 
 
 def common_length(prefix: np.ndarray, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -337,17 +355,27 @@ def _strings(buckets: int):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loose = zstandard.ZstdDecompressor()
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            records = np.concatenate(held)
+            held.clear()
+            yield from _dealt(records, (records["a"] >> np.uint64(32)).astype(np.int64) % buckets, buckets, 0)
+
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for id_, packed, asked in zip(ids.tolist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = np.frombuffer(loose.decompress(packed), np.uint8)
-                at = np.concatenate([np.arange(x["first"], x["first"] + x["span"] + 1) for x in asked])
+            for id_, packed, (_, first, _, span, kind) in zip(batch.column(0).to_pylist(), batch.column(1), _asked(batch.column(2)), strict=True):
+                raw = np.frombuffer(loose.decompress(packed.as_py()), np.uint8)
+                count = span + 1
+                at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 out = np.zeros(len(at), STRING)
                 for name, view in (("a", raw), ("b", raw ^ np.uint8(0x5A))):
                     out[name] = mix(span_hash(prefix_hash(view), at, at + LENGTH))
-                out["start"] = at
-                out["ask"] = np.repeat([x["kind"] == CROWD_ASK for x in asked], [x["span"] + 1 for x in asked])
-                yield from _dealt(out, (out["a"] >> np.uint64(32)).astype(np.int64) % buckets, buckets, id_)
+                out["start"], out["owner"], out["ask"] = at, id_, np.repeat(kind == CROWD_ASK, count)
+                held.append(out)
+                if sum(map(len, held)) > 1 << 19:
+                    yield from flush()
+        if held:
+            yield from flush()
 
     return task
 
@@ -369,14 +397,16 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     loose = zstandard.ZstdDecompressor()
     for batch in batches:
         rows = []
-        for id_, packed, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            raw = np.frombuffer(loose.decompress(packed), np.uint8)
-            step = np.zeros(len(raw) + 1, np.int32)
-            np.add.at(step, [s["start"] for s in spans], 1)
-            np.add.at(step, [s["stop"] for s in spans], -1)
+        offsets, values = _lists(batch.column(2))
+        codes = values.to_numpy(zero_copy_only=False)
+        for i, (id_, packed) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+            raw = np.frombuffer(loose.decompress(packed.as_py()), np.uint8)
+            start, size = codes[offsets[i] : offsets[i + 1]] >> 9, codes[offsets[i] : offsets[i + 1]] & 511
+            step = np.bincount(start, minlength=len(raw) + 1) - np.bincount(start + size, minlength=len(raw) + 1)
             gone = np.cumsum(step[:-1]) > 0
             rows.append((id_, int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
-        yield _batch(RESULT, *zip(*rows, strict=True)) if rows else _batch(RESULT, *[[]] * 4)
+        if rows:
+            yield _batch(RESULT, *zip(*rows, strict=True))
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
@@ -395,7 +425,7 @@ def spans(texts: DataFrame) -> DataFrame:
     full = met.where(F.col("kind") == FULL).select("id", F.col("first").alias("start"), (F.col("first") + F.col("span") + LENGTH).alias("stop"))
 
     def asked(kinds: list[int]) -> DataFrame:
-        rows = met.where(F.col("kind").isin(kinds)).groupBy("id").agg(F.collect_list(F.struct("gram", "kind", "first", "before", "span")).alias("asked"))
+        rows = met.where(F.col("kind").isin(kinds)).groupBy("id").agg(F.collect_list(_request()).alias("asked"))
         return long_.select("id", "packed").join(rows.hint("merge"), "id").select("id", "packed", "asked")
 
     contexts = asked([ASK, PARTNER]).mapInArrow(_cut, CONTEXTS)
@@ -417,7 +447,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     texts = distinct_texts(docs)
     long_ = F.col("n_bytes") >= LENGTH
-    alone = spans(texts).groupBy("id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    # A span is one number: its start, and its length, which is under 512. A document's spans are as many as its strings at most.
+    code = F.shiftleft(F.col("start").cast("long"), 9) + (F.col("stop") - F.col("start"))
+    alone = spans(texts).select("id", code.alias("span")).groupBy("id").agg(F.collect_list("span").alias("spans"))
     cut = texts.where(long_ & (F.col("copies") == 1)).select("id", "packed").join(alone.hint("merge"), "id").select("id", "packed", "spans").mapInArrow(_removed, RESULT)
     whole = long_ & (F.col("copies") > 1)
     found = texts.select("id", "sha", "n_bytes", "copies").join(cut.hint("merge"), "id", "left").select(
