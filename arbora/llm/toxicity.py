@@ -19,7 +19,9 @@ PREFIXES = (4, 5, 6, 7, 8)
 MAX_TRAIN = 6000
 #: A feature counts from this many training documents on.
 LEAST_DOCS = 4
-EPOCHS, RATE, DECAY, START = 200, 0.1, 3e-5, -7.0
+EPOCHS, RATE, START = 200, 0.1, -7.0
+#: Strength of the Gaussian prior on the weights, against the sum over training documents: the fewer, the more it tells.
+PRIOR = 0.2
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 63]] = True  # line feed ! . ?
 SCORED = "score double, n_sentences int, worst_score double, worst_start int, worst_end int"
@@ -97,7 +99,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
         # d loss / d z: p for clean documents, -p q / (1 - q) for toxic ones.
         pull = np.where(y > 0, -q / np.maximum(1 - q, 1e-9), 1.0)
         g = p * pull[row] / max(n, 1)
-        grad = np.append(sum((np.bincount(feature[c], g[sentence[c]], len(used)) for c in cuts), DECAY * w), g.sum())
+        grad = np.append(sum((np.bincount(feature[c], g[sentence[c]], len(used)) for c in cuts), PRIOR / max(n, 1) * w), g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
