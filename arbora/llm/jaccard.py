@@ -11,8 +11,9 @@ sets that are worth less index their empty segments too, and so find each other;
 The numbers below are chosen by cost: deletions cost a key for each element, empty segments would be hot.
 
 Keys that many sets share (more than SMALL) are not expanded to pairs. As a pair shares 1 + c keys, each set may leave out
-its c most shared ones, which removes keys that a common passage alone makes; what is left links each set with the key's
-smallest one, and only sets that are then still in different components are compared across.
+its c most shared ones, which removes keys that a common passage alone makes; what is left is joined by
+stars of two levels, and only sets that are then still in different components are compared across, block by block. That last
+step compares sketches of as many pairs as such sets have under a key: it is spread over tasks, but not linear.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ NGRAM = 5
 #: Links need NUMERATOR * union <= DENOMINATOR * intersection: 0.75.
 NUMERATOR, DENOMINATOR = 75, 100
 SMALL = 16
+#: About so many sets of a hot key are compared with so many others in one go.
+BLOCK = 1024
 _WORD = ~SPACE
 ROWS = "doc_id long, n_shingles long, digest binary"
 TEXTS = "doc_id long, n_shingles long, digest binary, sketch binary, packed binary"
@@ -189,7 +192,7 @@ def _index(buckets: int):
                 near = (ids[a : a + 4096] >= ids[a]) & (ids[a : a + 4096] - ids[a] < 1 << 16)
                 b = a + (len(near) if near.all() else int(np.argmin(near)))
                 keys, owner = _keys(shingle_sets(_unpack(batch.column(1).slice(a, b - a))))
-                bucket = (keys >> np.uint64(48)).astype(np.int64) % buckets
+                bucket = (keys >> np.uint64(32)).astype(np.int64) % buckets
                 packed = (keys << np.uint64(16)) | (ids[a:b][owner] - ids[a]).astype(np.uint64)
                 order = np.argsort(bucket, kind="stable")
                 edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -234,7 +237,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pairs[:] = [np.unique(np.concatenate(pairs), axis=0)]
         hot = np.repeat(count > SMALL, count)
         if hot.any():
-            name = (bucket[hot] << 48) | keys[hot].astype(np.int64)
+            name = (mix(bucket[hot].astype(np.uint64)) ^ keys[hot]).view(np.int64)
             n = np.repeat(count, count)[hot]
             yield _batch(MET, np.ones(len(n), bool), name, np.zeros(len(n), np.int32), ids[hot], np.repeat(ids[start], count)[hot], n)
 
@@ -303,25 +306,33 @@ def link_sets(texts: DataFrame) -> DataFrame:
     """distinct_sets() -> verified links (u, v) of ids that connect all that any links connect: stored."""
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = texts.where("n_shingles >= 3").select("id", "packed").mapInArrow(_index(8 * parts), KEYS)
-    met = stored(keys.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, MET), "jaccard-met")
+    keys = texts.where("n_shingles >= 3").select("id", "packed").mapInArrow(_index(2 * parts), KEYS)
+    met = stored(keys.repartitionById(parts, F.expr(f"bucket % {parts}")).sortWithinPartitions("bucket").mapInArrow(_meet, MET), "jaccard-met")
     few = met.where("NOT hot").select("a", "b")
     hot = _kept(met.where("hot").select("key", F.col("a").alias("id"), "n"), texts)
-    star = hot.join(hot.groupBy("key").agg(F.min("id").alias("a")), "key").select("a", F.col("id").alias("b")).where("a < b")
+    # Stars of two levels, about sqrt(n) of them under a key of n sets, so that no set is in many pairs.
+    hot = hot.withColumn("salt", F.pmod(F.xxhash64("id", "key"), F.ceil(F.sqrt("n"))))
+    heads = stored(hot.groupBy("key", "salt").agg(F.min("id").alias("a")), "jaccard-heads")
+    tops = heads.join(heads.groupBy("key").agg(F.min("a").alias("top")), "key").select(F.col("top").alias("a"), F.col("a").alias("b"))
+    star = hot.join(heads, ["key", "salt"]).select("a", F.col("id").alias("b")).unionByName(tops).where("a < b")
     links = _links(few.unionByName(star).distinct(), texts, "jaccard-links")
     if hot.isEmpty():
         return links
     # Sets under a hot key that the links so far leave apart are compared across.
     root = components(links)
     named = hot.join(root.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    apart = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    left = stored(named.join(apart, "key").join(texts.select("id", "n_shingles", "sketch"), "id"), "jaccard-apart")
-    rest = left.repartition(parts, "key").sortWithinPartitions("key", "root", "id").mapInArrow(_across, "a long, b long").distinct()
+    apart = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo < hi").select("key", "blocks")
+    left = named.join(apart, "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+    left = stored(left.join(texts.select("id", "n_shingles", "sketch"), "id"), "jaccard-apart")
+    # Each pair of a key's blocks is compared by itself: a task holds two blocks, however many sets share the key.
+    dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    rest = dealt.select("key", "lo", "hi", "block", "root", "id", "n_shingles", "sketch").repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "root", "id").mapInArrow(_across, "a long, b long").distinct()
     return links.unionByName(_links(rest, texts, "jaccard-across"))
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across components under one hot key whose sizes and sketches allow a link; rows come sorted by key.
+    """Pairs across components, between two blocks under one hot key, whose sizes and sketches allow a link; rows come sorted by
+    key and blocks.
 
     Sketches are compared as blocks of bits, so no pair that is ruled out is ever a row.
     """
@@ -333,12 +344,14 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.array([r["n_shingles"] for r in rows], np.int64)
         root = np.array([r["root"] for r in rows], np.int64)
         ids = np.array([r["id"] for r in rows], np.int64)
+        block = np.array([r["block"] for r in rows], np.int64)
+        within = rows[0]["lo"] == rows[0]["hi"]
         size = min(len(r["sketch"]) for r in rows) // 8
         bits = np.stack([folded(np.frombuffer(r["sketch"], np.uint64), size) for r in rows])
         step = max(1, (1 << 21) // (len(rows) * size))
         for i in range(0, len(rows), step):
             k = slice(i, i + step)
-            fits = (np.minimum(n[k, None], n) * DENOMINATOR >= np.maximum(n[k, None], n) * NUMERATOR) & (root[k, None] < root)
+            fits = (np.minimum(n[k, None], n) * DENOMINATOR >= np.maximum(n[k, None], n) * NUMERATOR) & (root[k, None] < root) & (within | (block[k, None] != block))
             odd = np.bitwise_count(bits[k, None] ^ bits).sum(-1, dtype=np.int64)
             x, y = np.nonzero(fits & (odd * (NUMERATOR + DENOMINATOR) <= (n[k, None] + n) * (DENOMINATOR - NUMERATOR)))
             u, v = ids[x + i], ids[y]
@@ -346,8 +359,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held: list[dict] = []
     for batch in batches:
-        for r in batch.select(["key", "root", "id", "n_shingles", "sketch"]).to_pylist():
-            if held and held[-1]["key"] != r["key"]:
+        for r in batch.to_pylist():
+            if held and any(held[-1][c] != r[c] for c in ("key", "lo", "hi")):
                 compare(held)
                 held = []
                 if len(out) >= 1 << 17:
@@ -366,7 +379,7 @@ def _kept(hot: DataFrame, texts: DataFrame) -> DataFrame:
     # The lower of its two schemes has the fewer spare keys, floor(floor(u / 3) / 50), and there u >= 3 n / 4 - 1.
     spare = F.floor(F.floor((F.col("n_shingles") * 3 / 4 - 1) / 3) / 50)
     ranked = hot.join(n, "id").withColumn("place", F.row_number().over(order))
-    return stored(ranked.where(F.col("place") > spare).select("key", "id"), "jaccard-hot")
+    return stored(ranked.where(F.col("place") > spare).select("key", "id", "n"), "jaccard-hot")
 
 
 def join(docs: DataFrame) -> DataFrame:
