@@ -35,6 +35,7 @@ CONTEXTS = "gram long, ask boolean, id long, first int, before int, context bina
 RESULT = "id long, n_removed long, n_spans long, kept_sha256 string"
 FULL, ASK, PARTNER, CROWD_ASK, CROWD_PARTNER = range(5)
 RUN = np.dtype([("gram", "<u8"), ("context", "<u8"), ("first", "<u4"), ("before", "u1"), ("span", "u1"), ("owner", "<u2")])
+SPOT = np.dtype([("owner", "<i8"), ("start", "<u4")])
 STRING = np.dtype([("a", "<u8"), ("b", "<u8"), ("owner", "<i8"), ("start", "<u4"), ("ask", "<u4")])
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -380,17 +381,46 @@ def _strings(buckets: int):
     return task
 
 
-def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for r, ids in _buckets(batches, STRING):
-        order = np.lexsort((r["b"], r["a"]))
-        r, ids = r[order], ids[order]
-        new = np.append(True, (r["a"][1:] != r["a"][:-1]) | (r["b"][1:] != r["b"][:-1]))
-        count = np.diff(np.append(np.flatnonzero(new), len(r)))
-        k = np.flatnonzero((np.repeat(count, count) > 1) & (r["ask"] == 1))
-        for i in range(0, len(k), 1 << 16):
-            j = k[i : i + (1 << 16)]
-            s = r["start"][j].astype(np.int64)
-            yield _batch(SPANS, ids[j], s, s + LENGTH)
+def _equal(buckets: int):
+    """The crowded strings that repeat, dealt by their documents."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            spots = np.concatenate(held)
+            held.clear()
+            yield from _dealt(spots, (mix(spots["owner"].view(np.uint64)) >> np.uint64(32)).astype(np.int64) % buckets, buckets, 0)
+
+        for r, ids in _buckets(batches, STRING):
+            order = np.lexsort((r["b"], r["a"]))
+            r, ids = r[order], ids[order]
+            new = np.append(True, (r["a"][1:] != r["a"][:-1]) | (r["b"][1:] != r["b"][:-1]))
+            count = np.diff(np.append(np.flatnonzero(new), len(r)))
+            k = np.flatnonzero((np.repeat(count, count) > 1) & (r["ask"] == 1))
+            spots = np.zeros(len(k), SPOT)
+            spots["owner"], spots["start"] = ids[k], r["start"][k]
+            held.append(spots)
+            if sum(map(len, held)) > 1 << 20:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    return task
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One span for each stretch of repeating strings of a document that overlap or touch."""
+    for r, ids in _buckets(batches, SPOT):
+        start = r["start"].astype(np.int64)
+        order = np.lexsort((start, ids))
+        start, ids = start[order], ids[order]
+        new = np.append(True, (ids[1:] != ids[:-1]) | (start[1:] > start[:-1] + LENGTH))[: len(ids)]
+        lo = np.flatnonzero(new)
+        hi = np.append(lo[1:], len(ids)) - 1
+        for i in range(0, len(lo), 1 << 16):
+            k = slice(i, i + (1 << 16))
+            yield _batch(SPANS, ids[lo[k]], start[lo[k]], start[hi[k]] + LENGTH)
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,9 +429,10 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         offsets, values = _lists(batch.column(2))
         codes = values.to_numpy(zero_copy_only=False)
+        low = (1 << 32) - 1
         for i, (id_, packed) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
             raw = np.frombuffer(loose.decompress(packed.as_py()), np.uint8)
-            start, size = codes[offsets[i] : offsets[i + 1]] >> 9, codes[offsets[i] : offsets[i + 1]] & 511
+            start, size = codes[offsets[i] : offsets[i + 1]] >> 32, codes[offsets[i] : offsets[i + 1]] & low
             step = np.bincount(start, minlength=len(raw) + 1) - np.bincount(start + size, minlength=len(raw) + 1)
             gone = np.cumsum(step[:-1]) > 0
             rows.append((id_, int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
@@ -420,8 +451,12 @@ def spans(texts: DataFrame) -> DataFrame:
     """The repeated spans (id, start, stop; they may overlap) of distinct texts of LENGTH bytes or more. Stored tables only."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     long_ = texts.where(F.col("n_bytes") >= LENGTH)
-    keys = long_.select("id", "packed").mapInArrow(_index(8 * parts), KEYS)
-    met = stored(keys.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, MET), "suffix-met")
+
+    def by_bucket(rows: DataFrame) -> DataFrame:
+        return rows.repartitionById(parts, F.expr(f"bucket % {parts}")).sortWithinPartitions("bucket")
+
+    keys = long_.select("id", "packed").mapInArrow(_index(2 * parts), KEYS)
+    met = stored(by_bucket(keys).mapInArrow(_meet, MET), "suffix-met")
     full = met.where(F.col("kind") == FULL).select("id", F.col("first").alias("start"), (F.col("first") + F.col("span") + LENGTH).alias("stop"))
 
     def asked(kinds: list[int]) -> DataFrame:
@@ -433,8 +468,8 @@ def spans(texts: DataFrame) -> DataFrame:
     out = full.unionByName(stored(some, "suffix-spans"))
     if met.where(F.col("kind") == CROWD_ASK).isEmpty():
         return out
-    strings = asked([CROWD_ASK, CROWD_PARTNER]).mapInArrow(_strings(8 * parts), KEYS)
-    crowd = strings.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_equal, SPANS)
+    strings = asked([CROWD_ASK, CROWD_PARTNER]).mapInArrow(_strings(2 * parts), KEYS)
+    crowd = by_bucket(by_bucket(strings).mapInArrow(_equal(2 * parts), KEYS)).mapInArrow(_joined, SPANS)
     return out.unionByName(stored(crowd, "suffix-crowd"))
 
 
@@ -447,8 +482,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     texts = distinct_texts(docs)
     long_ = F.col("n_bytes") >= LENGTH
-    # A span is one number: its start, and its length, which is under 512. A document's spans are as many as its strings at most.
-    code = F.shiftleft(F.col("start").cast("long"), 9) + (F.col("stop") - F.col("start"))
+    # A span is one number: its start and its length. A document's spans are as many as its strings at most.
+    code = F.shiftleft(F.col("start").cast("long"), 32) + (F.col("stop") - F.col("start"))
     alone = spans(texts).select("id", code.alias("span")).groupBy("id").agg(F.collect_list("span").alias("spans"))
     cut = texts.where(long_ & (F.col("copies") == 1)).select("id", "packed").join(alone.hint("merge"), "id").select("id", "packed", "spans").mapInArrow(_removed, RESULT)
     whole = long_ & (F.col("copies") > 1)
