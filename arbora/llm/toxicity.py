@@ -75,31 +75,30 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
     used = np.flatnonzero(seen >= LEAST_DOCS)
     place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
-    parts, sentences = [], 0
+    # A chunk's features, by sentence, and each sentence's number of them; chunks are never joined, so memory stays at 4 bytes a feature.
+    parts, rows = [], []
     for feature, sentence, row in bags():
-        kept = place[feature] >= 0
-        parts.append((place[feature[kept]], (sentence[kept] + sentences).astype(np.int32), row))
-        sentences += len(row)
+        at = place[feature]
+        parts.append((at[at >= 0], np.bincount(sentence[at >= 0], minlength=len(row)).astype(np.int32)))
+        rows.append(row)
     if not parts:
         return Model(np.zeros(BUCKETS), START)
-    feature, sentence, row = (np.concatenate(x) for x in zip(*parts, strict=True))
-    cuts = [slice(i, i + (1 << 20)) for i in range(0, len(feature), 1 << 20)]
+    row = np.concatenate(rows)
+    first = np.cumsum([0, *(len(count) for _, count in parts)])
     y = np.asarray(labels, float)
     w, b = np.zeros(len(used)), START
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, epochs + 1):
         z = np.full(len(row), b)
-        for c in cuts:
-            lo = sentence[c][0]
-            part = np.bincount(sentence[c] - lo, w[feature[c]])
-            z[lo : lo + len(part)] += part
+        for (feature, count), lo in zip(parts, first, strict=False):
+            z[lo : lo + len(count)] += np.bincount(np.repeat(np.arange(len(count)), count), w[feature], len(count))
         p = np.exp(-np.logaddexp(0, -z))
         clean = np.bincount(row, _log_clean(z), n)
         q = np.exp(clean)
         # d loss / d z: p for clean documents, -p q / (1 - q) for toxic ones.
         pull = np.where(y > 0, -q / np.maximum(1 - q, 1e-9), 1.0)
         g = p * pull[row] / max(n, 1)
-        grad = np.append(sum((np.bincount(feature[c], g[sentence[c]], len(used)) for c in cuts), PRIOR / max(n, 1) * w), g.sum())
+        grad = np.append(sum((np.bincount(feature, np.repeat(g[lo : lo + len(count)], count), len(used)) for (feature, count), lo in zip(parts, first, strict=False)), PRIOR / max(n, 1) * w), g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
