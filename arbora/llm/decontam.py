@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, WORD, flat, mix, shingle_hashes, steps, word_hashes, words
 
-#: A window matches an item if it is within this share of the item's words in edits.
+#: A span of words matches an item if it is within this share of the item's words in edits: replaced, dropped or added.
 MAX_EDITS = 0.2
 #: Items of fewer words match nothing: so short a string proves no leak.
 MIN_WORDS = 8
@@ -83,6 +83,30 @@ def edit_distance(a: np.ndarray, b: np.ndarray, b_length: np.ndarray, most: int)
     return np.where((d >= 0) & (d < width), row[np.arange(k), np.clip(d, 0, width - 1)], far).astype(np.int32) if k else np.zeros(0, np.int32)
 
 
+def best_spans(a: np.ndarray, b: np.ndarray, b_length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edits, start, end) of the span of each row of b (k x m, of which the first b_length count) that is closest to the
+    same row of a (k x n): the first such start, and then the length nearest to n. Spans of any length are considered.
+    """
+    (k, n), m = a.shape, b.shape[1]
+    # A cell holds the edits times one, a number beyond every place, plus the first start that reaches it with so few.
+    one = 1 << int(m).bit_length()
+    kind = np.int32 if (n + m + 1) * one < 1 << 31 else np.int64
+    lane = np.arange(m + 1, dtype=kind)
+    row = np.tile(lane, (k, 1))
+    for i in range(n):
+        new = row + kind(one)
+        np.minimum(new[:, 1:], row[:, :-1] + (b != a[:, i : i + 1]) * kind(one), out=new[:, 1:])
+        new -= lane * kind(one)
+        np.minimum.accumulate(new, axis=1, out=new)
+        new += lane * kind(one)
+        row = new
+    row[lane > b_length[:, None]] = np.iinfo(kind).max
+    least = row.min(axis=1, keepdims=True)
+    edits, start = (least // one).ravel(), (least % one).ravel()
+    off_n = np.where(row == least, np.abs(lane - start[:, None] - n), n + m + 1)
+    return edits.astype(np.int64), start.astype(np.int64), off_n.argmin(axis=1)
+
+
 @dataclass
 class Items:
     """A block of benchmark items, ready to be looked up."""
@@ -116,7 +140,7 @@ def allowed(n: int) -> int:
 
 
 def needed(n: int) -> int:
-    """Pairs of neighbouring words that a window shares with an item of n words within the allowed edits: each edit spoils two at most."""
+    """Pairs of neighbouring words that a span shares with an item of n words within the allowed edits: each edit spoils two at most."""
     return max(1, n - 1 - 2 * allowed(n))
 
 
@@ -129,8 +153,9 @@ def prepare(rows: list[tuple[int, str]]) -> Items | None:
 
 
 def _windows(items: Items, g: np.ndarray, h_end: np.ndarray):
-    """(length, starts) of windows that share enough pairs of words with the items of that length. g: hash of the pair at each
-    place, 0 where it would cross documents; h_end: where each place's document ends. Nothing within the allowed edits is lost."""
+    """(length, starts) where a span of that length and the allowed edits shares enough pairs of words with the items of that
+    length. g: hash of the pair at each place, 0 where it would cross documents; h_end: where each place's document ends.
+    Nothing within the allowed edits is lost: a span has allowed(n) words more than the item at most."""
     hit = items.bitmap[(g >> np.uint64(42)).astype(np.int64)]
     at = np.flatnonzero(hit)
     if not len(at):
@@ -138,8 +163,8 @@ def _windows(items: Items, g: np.ndarray, h_end: np.ndarray):
     slot = np.minimum(np.searchsorted(items.grams, g[at]), len(items.grams) - 1)
     true = items.grams[slot] == g[at]
     at, mask = at[true], items.masks[slot[true]]
-    longest, least = items.lengths[-1], min(map(needed, items.lengths))
-    # Places from which a window of the greatest length holds enough pairs of any item; only these are looked at further.
+    longest, least = items.lengths[-1] + allowed(items.lengths[-1]), min(map(needed, items.lengths))
+    # Places from which a span of the greatest length holds enough pairs of any item; only these are looked at further.
     near = np.zeros(len(g) + 1, bool)
     if len(at) < least:
         return
@@ -154,7 +179,7 @@ def _windows(items: Items, g: np.ndarray, h_end: np.ndarray):
         own = at[(mask >> np.uint64(c % 64)) & np.uint64(1) == 1]
         if len(own) < needed(n):
             continue
-        last = np.minimum(near + n, h_end[near])
+        last = np.minimum(near + n + allowed(n), h_end[near])
         room = last - near >= n - allowed(n)
         count = np.searchsorted(own, last - 1) - np.searchsorted(own, near)
         good = near[room & (count >= needed(n))]
@@ -179,39 +204,58 @@ def _search(items: Items, column: pa.Array, ids: list) -> list[tuple]:
         for n, at in _windows(items, g, h_end):
             length = np.minimum(n, h_end[at] - at)
             tokens = h[np.minimum(at[:, None] + np.arange(n), len(h) - 1)]
-            r = row[at]
-            gathered.setdefault(n, []).append((tokens, length, r + a, at - place[r], start[at] - off[r], end[at + length - 1] - off[r]))
+            # Windows that start within the same allowed(n) + 1 words share a stretch, which holds every span that starts or
+            # ends within the allowed edits of one of them.
+            e, r = allowed(n), row[at]
+            piece = (at - place[r]) // (e + 1)
+            fresh = np.ones(len(at), bool)
+            fresh[1:] = (r[1:] != r[:-1]) | (piece[1:] != piece[:-1])
+            r, piece = r[fresh], piece[fresh] * (e + 1) + place[r[fresh]]
+            lo, hi = np.maximum(piece - e, place[r]), np.minimum(piece + n + 2 * e, place[r + 1])
+            stretch = h[np.minimum(lo[:, None] + np.arange(n + 3 * e), len(h) - 1)]
+            gathered.setdefault(n, []).append((tokens, length, fresh, stretch, hi - lo, r + a, lo - place[r]))
     best: dict[tuple[int, int], tuple] = {}
     for n, parts in gathered.items():
-        tokens, length, row, place, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+        tokens, length, fresh, stretch, width, row, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         own, item_keys = items.by_length[n]
-        keys = cgk_keys(tokens, length)
-        met = []
-        for t in range(keys.shape[1]):
-            order = np.argsort(item_keys[:, t], kind="stable")
-            lo, hi = (np.searchsorted(item_keys[order, t], keys[:, t], side) for side in ("left", "right"))
-            reps = hi - lo
-            k = order[np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(lo, reps)]
-            met.append(np.repeat(np.arange(len(row)), reps) * len(own) + k)
-        met = np.unique(np.concatenate(met))
+        met = _met(cgk_keys(tokens, length), item_keys, np.cumsum(fresh) - 1)
         mine = np.stack([items.tokens[x] for x in own])
-        for some in np.array_split(met, len(met) // 8192 + 1):
+        for some in np.array_split(met, len(met) * stretch.shape[1] // (1 << 19) + 1):
             w, k = some // len(own), some % len(own)
-            d = edit_distance(mine[k], tokens[w], length[w], allowed(n))
+            d, first, last = best_spans(mine[k], stretch[w], width[w])
             for x in np.flatnonzero(d <= allowed(n)):
-                key, v = (int(row[w[x]]), int(own[k[x]])), w[x]
-                best[key] = min(best.get(key, (1 << 30,)), (int(d[x]), int(place[v]), int(length[v]), int(first[v]), int(last[v])))
-    return [(ids[r], int(items.ids[k]), s, m, d, x, y) for (r, k), (d, s, m, x, y) in sorted(best.items())]
+                key, s = (int(row[w[x]]), int(own[k[x]])), int(place[w[x]])
+                m = int(last[x] - first[x])
+                best[key] = min(best.get(key, (1 << 30,)), (int(d[x]), s + int(first[x]), abs(m - n), m))
+    out, seen = [], -1
+    for (r, k), (d, s, _, m) in sorted(best.items()):
+        if r != seen:
+            (start, end, _), seen = words(raw[offsets[r] : offsets[r + 1]], np.array([0, offsets[r + 1] - offsets[r]]), WORD), r
+        out.append((ids[r], items.ids[k], s, m, d, int(start[s]), int(end[s + m - 1])))
+    return out
+
+
+def _met(keys: np.ndarray, item_keys: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+    """Pairs (stretch * items + item, ascending) of which a window of the stretch and the item have a key in common."""
+    met = []
+    for t in range(keys.shape[1]):
+        order = np.argsort(item_keys[:, t], kind="stable")
+        lo, hi = (np.searchsorted(item_keys[order, t], keys[:, t], side) for side in ("left", "right"))
+        reps = hi - lo
+        k = order[np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(lo, reps)]
+        met.append(np.unique(np.repeat(stretch, reps) * len(item_keys) + k))
+    return np.unique(np.concatenate(met))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The benchmark items that stand in a document: doc_id, item_id, start_word, n_words, edits, start_byte, end_byte.
 
     Words are runs of ASCII letters and digits and of anything beyond ASCII, A-Z lower-cased. Item-sized windows from
-    every word of every whole text are considered; those that share too few pairs of neighbouring words with the items
-    of their length cannot be within the allowed edits and are left out; the others are embedded (CGK) and looked up
-    in the tables of sampled symbols, and what meets is verified by edit distance. One row for each document row and item, its
-    closest and then first window. Null and empty texts and items, and items under MIN_WORDS, find nothing; repeated rows
+    every word of every whole text are considered; those where a span of the item's length and the allowed edits shares too
+    few pairs of neighbouring words with the items of that length are left out, as no span from there can be within the
+    allowed edits; the others are embedded (CGK) and looked up in the tables of sampled symbols, and where one meets an
+    item, all spans around it, shorter and longer ones too, are verified by edit distance. One row for each document row and
+    item, its closest and then first span. Null and empty texts and items, and items under MIN_WORDS, find nothing; repeated rows
     are each reported. The benchmark is measured first and sent out in blocks of bounded size.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -231,6 +231,47 @@ def test_decontamination(spark, frame):
     assert decontam.find(frame([]), bench).count() == 0 and decontam.find(frame(docs), bench.limit(0)).count() == 0
 
 
+def changed(text, k, kind):
+    """text with k words inside it replaced, dropped, added, or one of these each."""
+    w = text.split()
+    for p in sorted(rng.sample(range(1, len(w) - 1), k), reverse=True):
+        how = rng.choice(["replaced", "dropped", "added"]) if kind == "mixed" else kind
+        w[p : p + (how != "added")] = [] if how == "dropped" else [rng.choice(WORDS)]
+    return " ".join(w)
+
+
+def closest(a, b):
+    """(edits, start, words) of the span of b closest to a: the first, and then the one of the length nearest to a's; by brute force."""
+    n, e, best = len(a), decontam.allowed(len(a)), []
+    for m in range(n - e, n + e + 1):
+        s = np.arange(len(b) - m + 1)
+        if len(s):
+            d = decontam.edit_distance(np.repeat(a[None], len(s), 0), b[s[:, None] + np.arange(m)], np.full(len(s), m), e)
+            best += [(int(x), int(y), abs(m - n), m) for x, y in zip(d, s, strict=True)]
+    d, start, _, m = min(best, default=(e + 1, 0, 0, 0))
+    return d, start, m
+
+
+def test_decontamination_of_dropped_and_added_words(spark, frame):
+    items = [(i, prose(n)) for i, n in enumerate([8, 10, 15, 20, 31, 45, 60])]
+    docs = [
+        prose(rng.choice([0, 1, 30])) + " " + changed(t, decontam.allowed(len(t.split())), kind) + " " + prose(rng.choice([0, 1, 25]))
+        for _, t in items
+        for kind in ("replaced", "dropped", "added", "mixed")
+        for _ in range(4)
+    ]
+    ids = {w: i for i, w in enumerate(WORDS)}
+    words = lambda t: np.array([ids[w] for w in t.split()], np.uint64)
+    want = {(d, i): closest(words(u), words(t)) for d, t in enumerate(docs) for i, u in items}
+    want = {k: v for k, v in want.items() if v[0] <= decontam.allowed(len(items[k[1]][1].split()))}
+    found = decontam.find(frame(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): (r.edits, r.start_word, r.n_words) for r in found}
+    assert len(want) >= len(docs) and len(got) >= 0.95 * len(want)
+    assert all(want[k] == v for k, v in got.items())
+    for r in found:
+        assert docs[r.doc_id].encode()[r.start_byte : r.end_byte].decode().split() == docs[r.doc_id].split()[r.start_word : r.start_word + r.n_words]
+
+
 def test_edit_distance():
     def plain(x, y):
         row = list(range(len(y) + 1))
