@@ -17,7 +17,7 @@ from .common import LOWER, WORD, flat, mix, shingle_hashes, steps, word_hashes,
 MAX_EDITS = 0.2
 #: Items of fewer words match nothing: so short a string proves no leak.
 MIN_WORDS = 8
-#: Random walks, tables of each, sampled symbols in a table. tests/llm measures the recall at the largest edit distance.
+#: Random walks, tables of each, sampled symbols in a table. The README gives their recall; what they miss is found by counting pairs.
 WALKS, TABLES, SAMPLED = 3, 8, 3
 #: Bytes of benchmark text that are sent to the executors at once; a larger benchmark is taken in as many passes as it needs.
 BLOCK_BYTES = 16 << 20
@@ -117,7 +117,7 @@ class Items:
     grams: np.ndarray | None = None
     masks: np.ndarray | None = None
     bitmap: np.ndarray | None = None
-    by_length: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.lengths = sorted({len(t) for t in self.tokens})
@@ -132,7 +132,11 @@ class Items:
         for n in self.lengths:
             own = np.array([i for i, t in enumerate(self.tokens) if len(t) == n])
             stack = np.concatenate([self.tokens[i] for i in own])
-            self.by_length[n] = own, cgk_keys(stack.reshape(-1, n), np.full(len(own), n))
+            # Each item's own pairs of words: the pair and the item's place in own, ascending.
+            of = np.repeat(np.arange(len(own)), n - 1)
+            pair = np.concatenate([shingle_hashes(self.tokens[i], 2) for i in own])
+            fresh = np.unique(np.stack([pair, of.astype(np.uint64)]), axis=1)
+            self.by_length[n] = own, cgk_keys(stack.reshape(-1, n), np.full(len(own), n)), fresh[0], fresh[1].astype(np.int64)
 
 
 def allowed(n: int) -> int:
@@ -213,12 +217,15 @@ def _search(items: Items, column: pa.Array, ids: list) -> list[tuple]:
             r, piece = r[fresh], piece[fresh] * (e + 1) + place[r[fresh]]
             lo, hi = np.maximum(piece - e, place[r]), np.minimum(piece + n + 2 * e, place[r + 1])
             stretch = h[np.minimum(lo[:, None] + np.arange(n + 3 * e), len(h) - 1)]
-            gathered.setdefault(n, []).append((tokens, length, fresh, stretch, hi - lo, r + a, lo - place[r]))
+            inner = lo[:, None] + np.arange(n + 3 * e - 1)
+            pairs = np.where(inner < hi[:, None] - 1, g[np.minimum(inner, len(g) - 1)], 0)
+            gathered.setdefault(n, []).append((tokens, length, fresh, stretch, pairs, hi - lo, r + a, lo - place[r]))
     best: dict[tuple[int, int], tuple] = {}
     for n, parts in gathered.items():
-        tokens, length, fresh, stretch, width, row, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        own, item_keys = items.by_length[n]
+        tokens, length, fresh, stretch, pairs, width, row, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        own, item_keys, item_pairs, of = items.by_length[n]
         met = _met(cgk_keys(tokens, length), item_keys, np.cumsum(fresh) - 1)
+        met = np.union1d(met, _sharing(pairs, item_pairs, of, len(own), needed(n)))
         mine = np.stack([items.tokens[x] for x in own])
         for some in np.array_split(met, len(met) * stretch.shape[1] // (1 << 19) + 1):
             w, k = some // len(own), some % len(own)
@@ -247,15 +254,32 @@ def _met(keys: np.ndarray, item_keys: np.ndarray, stretch: np.ndarray) -> np.nda
     return np.unique(np.concatenate(met))
 
 
+def _sharing(pairs: np.ndarray, item_pairs: np.ndarray, of: np.ndarray, n_items: int, least: int) -> np.ndarray:
+    """Pairs (stretch * items + item, ascending) that share at least least pairs of words: none within the allowed edits shares fewer."""
+    out = [np.zeros(0, np.int64)]
+    size = max(1, (1 << 19) // pairs.shape[1])
+    for a in range(0, len(pairs), size):
+        some = pairs[a : a + size].ravel()
+        lo = np.searchsorted(item_pairs, some, "left")
+        hit = np.flatnonzero(item_pairs[np.minimum(lo, len(item_pairs) - 1)] == some)
+        lo = lo[hit]
+        reps = np.searchsorted(item_pairs, some[hit], "right") - lo
+        k = of[np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(lo, reps)]
+        both, count = np.unique(np.repeat(hit // pairs.shape[1] + a, reps) * n_items + k, return_counts=True)
+        out.append(both[count >= least])
+    return np.concatenate(out)
+
+
 def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The benchmark items that stand in a document: doc_id, item_id, start_word, n_words, edits, start_byte, end_byte.
 
     Words are runs of ASCII letters and digits and of anything beyond ASCII, A-Z lower-cased. Item-sized windows from
     every word of every whole text are considered; those where a span of the item's length and the allowed edits shares too
     few pairs of neighbouring words with the items of that length are left out, as no span from there can be within the
-    allowed edits; the others are embedded (CGK) and looked up in the tables of sampled symbols, and where one meets an
-    item, all spans around it, shorter and longer ones too, are verified by edit distance. One row for each document row and
-    item, its closest and then first span. Null and empty texts and items, and items under MIN_WORDS, find nothing; repeated rows
+    allowed edits; the others are embedded (CGK) and looked up in the tables of sampled symbols. Where one meets an
+    item there, or shares enough pairs of words with it, all spans around it, shorter and longer ones too, are verified by edit
+    distance; so what the tables miss is found too, and the result is exact. One row for each document row and
+    item, its closest and then first span. Null and empty texts and items, items with a null item_id, and items under MIN_WORDS, find nothing; repeated rows
     are each reported. The benchmark is measured first and sent out in blocks of bounded size.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -276,9 +300,12 @@ def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, column: str = "n_leaks", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with the number of benchmark items that find() reports for each row; rows keep their places and nothing is shuffled."""
+    """docs with the number of benchmark items in each row, found as find() does; rows keep their places and nothing is shuffled.
+
+    Items with a null item_id, which find() can't report, are counted too.
+    """
     out = docs.drop(column).withColumn(column, F.lit(0))
-    for sent in _blocks(docs.sparkSession, benchmark, block_bytes):
+    for sent in _blocks(docs.sparkSession, benchmark, block_bytes, unnamed=True):
 
         def add(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -290,9 +317,11 @@ def mark(docs: DataFrame, benchmark: DataFrame, column: str = "n_leaks", block_b
     return out
 
 
-def _blocks(spark: SparkSession, benchmark: DataFrame, block_bytes: int):
-    """The benchmark as broadcast blocks of bounded size."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+def _blocks(spark: SparkSession, benchmark: DataFrame, block_bytes: int, unnamed: bool = False):
+    """The benchmark as broadcast blocks of bounded size; with unnamed, items with a null item_id are among them."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL").distinct()
+    if not unnamed:
+        items = items.where("item_id IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, math.ceil(1.5 * size / block_bytes)) if size > block_bytes else 1
     for p in range(passes):

@@ -272,6 +272,22 @@ def test_decontamination_of_dropped_and_added_words(spark, frame):
         assert docs[r.doc_id].encode()[r.start_byte : r.end_byte].decode().split() == docs[r.doc_id].split()[r.start_word : r.start_word + r.n_words]
 
 
+def test_decontamination_loses_nothing_at_the_largest_edit_distance():
+    for kind, n in itertools.product(("replaced", "dropped", "added", "mixed"), (8, 15, 30, 45)):
+        items = [(i, prose(n)) for i in range(200)]
+        docs = [prose(20) + " " + changed(t, decontam.allowed(n), kind) + " " + prose(20) for _, t in items]
+        got = {(r[0], r[1]) for r in decontam._search(decontam.prepare(items), pa.array(docs), list(range(200)))}
+        assert {(i, i) for i in range(200)} <= got
+
+
+def test_decontamination_marks_items_without_id(spark, frame):
+    items = [(None, prose(20)), (7, prose(20))]
+    docs = frame([prose(10) + " " + t for _, t in items] + [prose(40)])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert [r.n_leaks for r in decontam.mark(docs, bench).orderBy("doc_id").collect()] == [1, 1, 0]
+    assert [(r.doc_id, r.item_id) for r in decontam.find(docs, bench).collect()] == [(1, 7)]
+
+
 def test_edit_distance():
     def plain(x, y):
         row = list(range(len(y) + 1))
