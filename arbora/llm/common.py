@@ -9,26 +9,58 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles at once (a longer document is a step of its own).
 CHUNK_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SYMBOL = np.random.Generator(np.random.PCG64(20240501)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+#: Folders of local sessions, by application, and what has been stored.
+_OWN: dict[str, str] = {}
+_WRITTEN: list[tuple[str, str]] = []
 _POW = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Names for helper columns that clash with none of the taken ones, in Spark's sense (case does not tell names apart)."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a folder of its own
+    for as long as it lives; a cluster has none that all its machines would see, and raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="arbora-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="arbora-")
+        found = _OWN[context.applicationId]
     return found.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark.sparkContext.applicationId, path))
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what this application's operators have stored so far. Call it when their results have been written or collected."""
+    own = [p for app, p in _WRITTEN if app == spark.sparkContext.applicationId]
+    _WRITTEN[:] = [(app, p) for app, p in _WRITTEN if app != spark.sparkContext.applicationId]
+    for path in own:
+        fs, base = filesystem(path if "://" in path else f"file://{path}")
+        if fs.get_file_info(base).type != pafs.FileType.NotFound:
+            fs.delete_dir(base)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -39,13 +71,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """df as a table in the shared folder, bucketed and sorted by key, so that joins on key need not shuffle it."""
+def bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, bucketed and sorted by key, so that joins on key need not shuffle it; and the table's
+    name, by which the caller drops it from the catalogue."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.option("path", scratch_path(spark, name)).option("compression", "zstd").bucketBy(parts, key).sortBy(key).saveAsTable(table)
-    return spark.table(table)
+    return spark.table(table), table
+
+
+#: A key that more than this share of all rows hold is hot. There are at most 1000 such keys, whatever the data.
+HOT_SHARE = 0.001
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, copies: str, values: list[str]) -> DataFrame:
+    """rows left-joined to table by a string or binary key (one row for each key that is not null, with the number of rows that
+    hold it); values are null where there is none.
+
+    Rows of hot keys never meet in one task: the table's rows of hot keys, at most 1 / HOT_SHARE of them, are broadcast, and
+    the rows that they serve get a key of their own for the shuffled join, which then finds nothing.
+    """
+    total = table.agg(F.sum(copies)).first()[0] or 0
+    names = [*rows.columns, key, *values]
+    hot_key, hit, other, *hot_values = fresh(names, "hot_key", "hit", "other", *[f"hot_{v}" for v in values])
+    # A function of the row, so that a repeated task deals it to the same place.
+    own = F.concat(F.lit("~"), F.hex(F.xxhash64(*rows.columns))).cast(rows.schema[key].dataType)
+    hot = table.where(F.col(copies) > max(1, int(total * HOT_SHARE))).select(F.col(key).alias(hot_key), F.lit(True).alias(hit), *[F.col(v).alias(h) for v, h in zip(values, hot_values, strict=True)])
+    joined = rows.join(F.broadcast(hot), F.col(key) == F.col(hot_key), "left")  # 1000 rows at most, see above
+    joined = joined.withColumn(other, F.when(F.col(hit).isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(own))
+    rest = table.select(F.col(key).alias(hot_key), *values)
+    out = joined.drop(hot_key).join(rest.hint("merge"), F.col(other) == F.col(hot_key), "left")
+    return out.select(*rows.columns, *[F.when(F.col(hit), F.col(h)).otherwise(F.col(v)).alias(v) for v, h in zip(values, hot_values, strict=True)])
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 KEY = "arbora-demo-key"
 ROUNDS = 8
-#: A day belongs to one of equal blocks of SIDE * SIDE days, within which it is permuted.
-SIDE = 270
-FIRST_DAY = "1900-01-01"
+#: Spans of the calendar from 0001-01-01 to 9999-12-31, as (first day, number of days); a day is permuted within its span.
+FIRST_DAY = "0001-01-01"
+SPANS = ((0, 693595), (693595, 73049), (766644, 2885415))  # to 1899, 1900 to 2099, from 2100 on
 
 # Fixed patterns. Cards are 13 to 19 digits at a stretch, or in the usual groups; all are validated before anything is changed.
 CARD = r"(?<![A-Za-z0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![A-Za-z0-9])"
@@ -112,11 +115,22 @@ def card_pseudonym(token: Column, key: str = KEY) -> Column:
 
 
 def phone_pseudonym(token: Column, key: str = KEY) -> Column:
-    """The ten national digits are permuted; a leading 1 stays."""
+    """The ten national digits are permuted; a leading 1 stays.
+
+    Area and exchange codes begin with 2 to 9 in every North American number, and so they do in its pseudonym. A number in
+    telephone notation whose area or exchange code begins with 0 or 1 can't be called, but may be somebody's misprint: it
+    is replaced too, and that digit stays 0 or 1. So each kind is permuted within itself.
+    """
+
+    def lead(i: Column) -> Column:
+        return (i == 0) | (i == 3)
 
     def of(digits: Column) -> Column:
         own = F.slice(digits, F.size(digits) - 9, 10)
-        return _put(token, F.concat(F.slice(digits, 1, F.size(digits) - 10), _feistel(own, _same(own, 10), key, "phone")))
+        radix = F.transform(own, lambda d, i: F.when(~lead(i), 10).when(d >= 2, 8).otherwise(2).cast("long"))
+        base = F.transform(own, lambda d, i: F.when(lead(i) & (d >= 2), 2).otherwise(0).cast("long"))
+        moved = F.zip_with(_feistel(F.zip_with(own, base, lambda d, b: d - b), radix, key, "phone"), base, lambda d, b: d + b)
+        return _put(token, F.concat(F.slice(digits, 1, F.size(digits) - 10), moved))
 
     return _let(_digits(token), of)
 
@@ -130,16 +144,36 @@ def address_pseudonym(token: Column, key: str = KEY) -> Column:
     return _let(F.transform(F.split(token, r"\."), lambda x: x.cast("long")), of)
 
 
+def _walk(place: Column, span: Column, key: str) -> Column:
+    """A permutation of the days of a span, 0 .. size - 1. The Feistel network permutes a square of side * side numbers, of which
+    the last few lie beyond size: from there it is applied again until the number is back (cycle walking). A walk has at
+    most as many steps as there are numbers beyond, so it always ends; hardly any day takes one."""
+    size, side = span.getField("size"), span.getField("side")
+
+    def step(x: Column) -> Column:
+        pair = F.array(F.floor(x / side).cast("long"), F.pmod(x, side))
+        return _let(_feistel(pair, F.array(side, side), key, span.getField("name")), lambda v: F.element_at(v, 1) * side + F.element_at(v, 2))
+
+    def on(x: Column) -> Column:
+        return F.when(x < size, x).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), side * side - size), x, lambda y, _: F.when(y < size, y).otherwise(step(y))))
+
+    return _let(step(place), on)
+
+
 def date_pseudonym(token: Column, key: str = KEY) -> Column:
-    """A day of the calendar -> another within its block of SIDE * SIDE days; null if there is no such day."""
+    """A day from 0001-01-01 to 9999-12-31 -> another such day of its span of the calendar (SPANS); null if there is no such day."""
 
     def of(day: Column) -> Column:
-        rest = F.pmod(day, F.lit(SIDE * SIDE))
-        pair = F.array(F.floor(rest / SIDE).cast("long"), (rest % SIDE).cast("long"))
-        moved = _let(_feistel(pair, _same(pair, SIDE), key, "date"), lambda x: F.floor(day / (SIDE * SIDE)) * (SIDE * SIDE) + F.element_at(x, 1) * SIDE + F.element_at(x, 2))
-        return F.when(day.isNotNull(), F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), moved.cast("int")), "yyyy-MM-dd"))
+        span = F.lit(None)
+        for i, (first, size) in enumerate(SPANS):
+            fields = {"first": first, "size": size, "side": math.isqrt(size - 1) + 1}
+            own = F.struct(*[F.lit(v).cast("long").alias(k) for k, v in fields.items()], F.lit(f"date{i}").alias("name"))
+            span = F.when((day >= first) & (day < first + size), own).otherwise(span)
+        moved = _let(span, lambda s: F.when(s.isNotNull(), _walk(day - s.getField("first"), s, key) + s.getField("first")))
+        return F.date_add(F.lit(FIRST_DAY).cast("date"), moved.cast("int")).cast("string")
 
-    return _let(F.date_diff(F.try_to_date(token, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date")).cast("long"), of)
+    # A cast, unlike a format, knows no time zone.
+    return _let(F.date_diff(token.try_cast("date"), F.lit(FIRST_DAY).cast("date")).cast("long"), of)
 
 
 def mail_pseudonym(token: Column, key: str = KEY) -> Column:
@@ -187,19 +221,21 @@ def pseudonym(key: str = KEY) -> Callable[[Column], Column]:
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """docs with the text column pseudonymised, and n_private, the number of tokens that changed.
 
-    Found and validated: payment cards (Luhn; the pseudonym passes it too), North American telephone numbers, IPv4
+    Found and validated: payment cards (Luhn; the pseudonym passes it too), telephone numbers in North American notation, IPv4
     addresses, ISO dates (real days become real days), and the local part of e-mail addresses. Equal values have equal
     pseudonyms everywhere, different values of one kind different ones. What fails validation stays as it is. Null texts
-    stay null with n_private 0. Only rows in which something was found pay for more than one pass of the pattern.
+    stay null with n_private 0; rows are independent, so repeated rows and null ids need no care. Only rows in which something
+    was found pay for more than one pass of the pattern. A column of docs named n_private is replaced, all others are kept.
     """
-    kept = [c for c in docs.columns if c not in ("n_private", "_found", "_new")]
+    kept = [c for c in docs.columns if c != "n_private"]
+    old, new = fresh(docs.columns, "found", "new")
     found = F.when(F.col(text).rlike("[0-9@]") & F.col(text).rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    rows = docs.select(*kept, found.alias("_found"))
-    rows = rows.select("*", F.when(F.size("_found") > 0, F.transform("_found", pseudonym(key))).alias("_new"))
+    rows = docs.select(*kept, found.alias(old))
+    rows = rows.select("*", F.when(F.size(old) > 0, F.transform(old, pseudonym(key))).alias(new))
     between = F.split(F.col(text), ANY, -1)
-    joined = F.array_join(F.zip_with(between, "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
+    joined = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    changed = F.size(F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda x: x))
     return rows.select(
-        *[F.when(F.col("_new").isNotNull(), joined).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in kept],
-        F.when(F.col("_new").isNotNull(), changed).otherwise(0).alias("n_private"),
+        *[F.when(F.col(new).isNotNull(), joined).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in kept],
+        F.when(F.col(new).isNotNull(), changed).otherwise(0).alias("n_private"),
     )

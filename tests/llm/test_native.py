@@ -1,6 +1,10 @@
 """URL rules, archives, pseudonyms and mixing."""
 
 import hashlib
+import math
+import random
+import re
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +32,13 @@ def test_url_rules(spark):
     assert url_filter.judge(df, url_filter.rules_table(spark, [])).where("verdict = 'allow'").count() == len(urls) + 1
 
 
+def test_url_helper_columns_and_hot_places(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "http://x.net/a").when(F.col("id") % 3 == 1, None).otherwise(F.concat(F.lit("http://h"), "id", F.lit(".org/fr/"))).alias("url"), F.lit(1).alias("_rank"), F.lit(2).alias("place"), F.lit(3).alias("hit"))
+    got = url_filter.judge(df, url_filter.rules_table(spark, URL_RULES))
+    assert got.columns == ["id", "url", "_rank", "place", "hit", "host", "path", "rule", "verdict"]
+    assert {(r.rule, r["count"]) for r in got.where("_rank = 1 AND place = 2 AND hit = 3").groupBy("rule").count().collect()} == {("net/", 1000), (None, 1000), ("org/fr/", 1000)}
+
+
 def test_url_empty(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), url_filter.rules_table(spark, URL_RULES)).count() == 0
 
@@ -74,11 +85,94 @@ def test_pseudonyms(spark):
     assert all(other[i] != got[i].text for i in range(len(TOKENS)))
 
 
-def test_pseudonyms_are_a_permutation(spark):
-    days = spark.range(0, 5000).select(F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("t"))
-    assert days.select(pii.date_pseudonym(F.col("t")).alias("p")).distinct().count() == 5000
-    phones = spark.range(0, 2000).select(F.format_string("+1 (212) 555-%04d", "id").alias("t"))
-    assert phones.select(pii.phone_pseudonym(F.col("t")).alias("p")).distinct().count() == 2000
+# The same permutations in plain Python, from the definition: alternating rounds, each half shifted by hashes of the other.
+
+
+def feistel(values, radices, kind, key=pii.KEY):
+    h = len(values) // 2
+    state, radix = [list(values[:h]), list(values[h:])], [radices[:h], radices[h:]]
+    for n in range(pii.ROUNDS):
+        own, other = (0, 1) if n % 2 == 0 else (1, 0)
+        seed = "|".join([key, kind, str(n), ",".join(map(str, state[other])), ""])
+        state[own] = [(v + int(hashlib.sha256(f"{seed}{i}".encode()).hexdigest()[:12], 16)) % r for i, (v, r) in enumerate(zip(state[own], radix[own]))]
+    return state[0] + state[1]
+
+
+def put(token, digits):
+    left = iter(digits)
+    return "".join(str(next(left)) if c.isdigit() else c for c in token)
+
+
+def plain(token):
+    digits = [int(c) for c in token if c.isdigit()]
+    if "@" in token:
+        local, at, rest = token.partition("@")
+        kinds = [(pii.LETTERS, 26) if c in pii.LETTERS else (pii.CAPITALS, 26) if c in pii.CAPITALS else (pii.DIGITS, 10) if c in pii.DIGITS else ("", 1) for c in local]
+        new = feistel([max(k.find(c), 0) if k else 0 for c, (k, _) in zip(local, kinds)], [r for _, r in kinds], "mail")
+        return "".join(k[v] if k else c for c, (k, _), v in zip(local, kinds, new)) + at + rest
+    if re.fullmatch(r"\d{4}-\d\d-\d\d", token):
+        try:
+            day = date.fromisoformat(token).toordinal() - 1
+        except ValueError:
+            return token
+        i = max(i for i, (first, _) in enumerate(pii.SPANS) if first <= day)
+        first, size = pii.SPANS[i]
+        side, x = math.isqrt(size - 1) + 1, day - first
+        while True:
+            a, b = feistel([x // side, x % side], [side, side], f"date{i}")
+            x = a * side + b
+            if x < size:
+                return date.fromordinal(x + first + 1).isoformat()
+    if token.count(".") == 3 and "(" not in token and "+" not in token:
+        parts = [int(x) for x in token.split(".")]
+        return ".".join(map(str, feistel(parts, [256] * 4, "address"))) if max(parts) < 256 else token
+    if token[0] in "+(" or re.match(r"\d{3}[.-]\d{3}[.-]\d{4}$", token):
+        own = digits[-10:]
+        lead = [i in (0, 3) for i in range(10)]
+        radix = [(8 if d > 1 else 2) if x else 10 for d, x in zip(own, lead)]
+        base = [2 if x and d > 1 else 0 for d, x in zip(own, lead)]
+        return put(token, digits[:-10] + [v + b for v, b in zip(feistel([d - b for d, b in zip(own, base)], radix, "phone"), base)])
+    if not luhn(token):
+        return token
+    body = feistel(digits[:-1], [10] * (len(digits) - 1), "card")
+    return put(token, body + [next(c for c in range(10) if luhn("".join(map(str, [*body, c]))))])
+
+
+def test_pseudonyms_against_plain_python(spark):
+    draw = random.Random(5)
+    tokens = [*TOKENS, "4111111111111112", "300.1.2.3", "000-000-0000", "212-055-0199", "+1.212.555.0199", "A.b-9_c@x.org", "9999-12-31", "0001-01-01", "1899-12-31", "1900-01-01", "2099-12-31", "2100-01-01", "0000-01-01", "2023-02-29", "1582-10-10"]
+    tokens += [date.fromordinal(draw.randint(1, 3652059)).isoformat() for _ in range(150)]
+    tokens += [f"({draw.randint(0, 999):03}) {draw.randint(0, 999):03}-{draw.randint(0, 9999):04}" for _ in range(50)]
+    tokens += [".".join(str(draw.randint(0, 255)) for _ in range(4)) for _ in range(30)] + [str(draw.randint(10**15, 10**16)) for _ in range(60)]
+    df = spark.createDataFrame([(i, f"<{t}>") for i, t in enumerate(tokens)] + [(None, f"<{tokens[0]}>")], "doc_id long, text string")
+    got = {r.doc_id: r.text[1:-1] for r in pii.pseudonymise(df).collect()}
+    assert {i: got[i] for i in range(len(tokens))} == {i: plain(t) for i, t in enumerate(tokens)}
+    assert got[None] == got[0]
+
+
+def test_dates_stay_in_the_calendar(spark):
+    """A bijection of each span's first and last days, and of a stretch of the shortest span; nothing leaves 0001 to 9999."""
+    first = F.lit("0001-01-01").cast("date")
+    edges = [(max(0, a - 300), a + 300) for a, _ in pii.SPANS] + [(3652059 - 300, 3652059), (700000, 704000)]
+    days = spark.createDataFrame([(d,) for d in sorted({d for a, b in edges for d in range(a, b)})], "d int")
+    rows = days.select("d", pii.date_pseudonym(F.date_add(first, F.col("d")).cast("string")).alias("p")).collect()
+    found = [date.fromisoformat(r.p).toordinal() - 1 for r in rows]
+    assert len(set(found)) == len(rows)
+    span = lambda d: max(i for i, (a, _) in enumerate(pii.SPANS) if a <= d)
+    assert all(span(r.d) == span(n) for r, n in zip(rows, found, strict=True))
+
+
+def test_phones_stay_numbers_that_can_be_called(spark):
+    df = spark.range(0, 2000).select(F.format_string("+1 (212) 555-%04d", "id").alias("t"))
+    got = [r.p for r in df.select(pii.phone_pseudonym(F.col("t")).alias("p")).collect()]
+    assert len(set(got)) == 2000 and all(re.fullmatch(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", p) for p in got)
+
+
+def test_pseudonyms_keep_other_columns(spark):
+    df = spark.createDataFrame([(1, "call 10.0.0.1", 3, 4)], "doc_id long, text string, found int, `_new` int").withColumn("_found", F.lit(5))
+    r = pii.pseudonymise(df).first()
+    assert (r.found, r._new, r._found, r.n_private) == (3, 4, 5, 1)
+    assert pii.pseudonymise(df.limit(0)).count() == 0
 
 
 def test_mix(frame):
@@ -102,3 +196,31 @@ def test_mix(frame):
     order = curriculum.training_order(curriculum.mix(df)).select("position").collect()
     assert [r[0] for r in order] == sorted(r[0] for r in order) and len(order) == sum(len(r.positions) for r in got)
     assert curriculum.mix(frame([])).count() == 0
+    clashing = df.withColumns({"_key": F.lit(1), "_tie": F.lit(2), "_piece": F.lit(3), "_before": F.lit(7), "row": F.lit(8), "p": F.lit(9), "passes": F.lit(10)})
+    r = curriculum.mix(clashing).first()
+    assert (r._key, r._tie, r._piece, r._before, r.row, r.p, r.passes) == (1, 2, 3, 7, 8, 9, 10)
+
+
+@pytest.mark.parametrize("piece_rows", [5, 1 << 16])
+def test_mix_by_walking(spark, piece_rows):
+    """What is taken, and when, by walking each source's order word by word."""
+    draw = random.Random(3)
+    rows = [(i, "w " * draw.randint(0, 30), f"s{i % 4}" if i % 9 else None) for i in range(90)]
+    rows += [(5, rows[5][1], rows[5][2]), (None, "a b c", "s1"), (None, "a b c", "s1")]
+    got = curriculum.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), piece_rows=piece_rows).collect()
+    assert len(got) == len(rows)
+    taken, first = {}, {}
+    for s in {r[2] for r in rows}:
+        own = sorted(((hashlib.md5("|".join(["mix", *([str(r[0])] if r[0] is not None else [])]).encode()).hexdigest(), r[0] or 0, len(r[1].split())) for r in rows if r[2] == s))
+        whole = round(next(r.target for r in got if r.source == s))
+        walked, sizes = [0] * len(own), [n for _, _, n in own]
+        at = 0
+        for _ in range(2):
+            for k, n in enumerate(sizes):
+                walked[k] += max(0, min(n, whole - at))
+                at += n
+        for (_, d, n), t in zip(own, walked, strict=True):
+            taken.setdefault((s, d), []).append(t)
+    for r in got:
+        first.setdefault((r.source, r.doc_id or 0), []).append(r.taken)
+    assert {k: sorted(v) for k, v in first.items()} == {k: sorted(v) for k, v in taken.items()}
