@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh, stored
+
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 REPEATS = 2
 #: Relative weight of a source at equally spaced points of the training run, by its place among the sources: falling, rising, level.
 SHAPES = ((1.5, 1.0, 0.5), (0.5, 1.0, 1.5), (1.0, 1.0, 1.0))
-#: Pieces of a source's order, each summed by a task of its own before the pieces' sums are added up.
-PIECES = 1024
+#: Documents (ids and sizes, not texts) of a piece of a source's order; each piece is summed by a task of its own.
+PIECE_ROWS = 1 << 16
 NON_SPACE = r"[^\x20\x09-\x0D]+"
 
 
@@ -63,44 +67,60 @@ def _invert(weight: Column, demand: Column, taken: Column, knots: int) -> Column
     return F.least((i - 1) / F.lit(float(n)) + F.least(x, F.lit(1.0 / n)), F.lit(1.0))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, repeats=REPEATS, shapes=SHAPES, seed: str = "mix", pieces: int = PIECES) -> DataFrame:
-    """docs with size, source_size, target, taken and positions (fractions of the run; position: the first, null if not taken), in training order.
+def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, repeats=REPEATS, shapes=SHAPES, seed: str = "mix", piece_rows: int = PIECE_ROWS, keep: list[str] | None = None) -> DataFrame:
+    """docs (of its columns, those in keep) with size, source_size, target, taken and positions (fractions of the run; position: the first, null if not taken), in training order.
 
     A document's size is its number of words. Each source's documents stand in the order of a keyed hash (ties: doc_id,
     then text hash); the mix walks that order round and round until the source's target is met, so each document is taken
     floor(target / source_size) whole times, those before the cut once more, and the one at the cut in part: no document
     is taken more than repeats times its size. The first word of a document is demanded when the integral of its source's
     weight schedule reaches the words before it; that time is its position, and rows are range-sorted by it, rows that
-    are not taken last. Empty and null texts have size 0 and are not taken. Sources may be null. Columns of docs named
-    like the new ones are replaced.
+    are not taken last. Empty and null texts have size 0 and are not taken. Sources and ids may be null; of repeated rows, each
+    has a place of its own. Columns of docs named like the new ones are replaced, all others are kept whatever their names.
+
+    docs are stored once with a number for each row, and counted then. All ordering is done on numbers and sizes; the other
+    columns are moved only to be joined to the result and sorted.
     """
     new = ["size", "source_size", "target", "taken", "position", "positions"]
-    kept = [c for c in docs.columns if c not in new]
+    kept = [c for c in docs.columns if c not in new and (keep is None or c in keep)]
+    row, words_, order, tie = fresh([*docs.columns, *new], "row", "words", "order", "tie")
     key = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string")))
-    piece = (F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * pieces / F.lit(1 << 32)).cast("int")
-    # What orders and sizes a row is computed in the scan, so that texts are only moved if the caller keeps them.
-    rows = docs.select(*kept, word_count(F.col("text")).cast("long").alias("size"), key.alias("_key"), F.xxhash64("text").alias("_tie")).withColumn("_piece", piece)
-    piece_sizes = rows.groupBy("source", "_piece").agg(F.sum("size").alias("_words"))
-    upto = Window.partitionBy("source").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    piece_sizes = piece_sizes.withColumn("_start", F.coalesce(F.sum("_words").over(upto), F.lit(0)))
-    sources = targets(piece_sizes.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, share, repeats)
+    needed = [*kept, *[c for c in ("doc_id", "source") if c not in kept]]
+    held = stored(docs.select(*needed, F.monotonically_increasing_id().alias(row), word_count(F.col("text")).cast("long").alias(words_), key.alias(order), F.xxhash64("text").alias(tie)), "mix-rows")
+    plan = _plan(held.select(F.col(row).alias("row"), "doc_id", "source", F.col(words_).alias("size"), F.col(order).alias("key"), F.col(tie).alias("tie")), weights, share, repeats, shapes, piece_rows)
+    if set(kept) <= {"doc_id", "source"}:  # nothing else to fetch
+        return plan.select(*kept, *new).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    # The plan is the side that a task holds; texts only stream by, unsorted.
+    plan = plan.select(F.col("row").alias(row), *new).hint("shuffle_hash")
+    joined = held.select(*needed, row).join(plan, row)
+    return joined.orderBy(F.col("position").asc_nulls_last(), "doc_id").select(*kept, *new)
+
+
+def _plan(rows: DataFrame, weights, share, repeats, shapes, piece_rows: int) -> DataFrame:
+    """row, doc_id, source, size, key, tie -> row, doc_id, source and the new columns of mix()."""
+    pieces = max(1, math.ceil(rows.count() / piece_rows))
+    rows = rows.withColumn("piece", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * pieces / F.lit(1 << 32)).cast("int"))
+    piece_sizes = rows.groupBy("source", "piece").agg(F.sum("size").alias("words"))
+    upto = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    piece_sizes = piece_sizes.withColumn("start", F.coalesce(F.sum("words").over(upto), F.lit(0)))
+    sources = targets(piece_sizes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, repeats)
     weight, demand = _schedule(F.col("place"), F.col("target"), shapes)
-    sources = sources.withColumn("_weight", weight).withColumn("_demand", demand).withColumnRenamed("source", "_s")
-    plan = piece_sizes.join(sources, F.col("source").eqNullSafe(F.col("_s")))
-    plan = plan.select(F.col("source").alias("_s"), F.col("_piece").alias("_p"), "_start", "source_size", "target", "_weight", "_demand")
-    within = Window.partitionBy("source", "_piece").orderBy("_key", "doc_id", "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_piece") == F.col("_p")))
+    sources = sources.withColumn("weights", weight).withColumn("demand", demand).withColumnRenamed("source", "s")
+    plan = piece_sizes.join(sources, F.col("source").eqNullSafe(F.col("s")))
+    plan = plan.select(F.col("source").alias("s"), F.col("piece").alias("p"), "start", "source_size", "target", "weights", "demand")
+    within = Window.partitionBy("source", "piece").orderBy("key", "doc_id", "tie", "row").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("piece") == F.col("p")))
     whole = F.round(F.col("target")).cast("long")
     times = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0)
-    offset = F.col("_start") + F.col("_before")
+    offset = F.col("start") + F.col("before")
     more = F.greatest(F.lit(0), F.least(F.col("size"), whole - times * F.col("source_size") - offset))
     rows = rows.withColumn("taken", (times * F.col("size") + more).cast("long"))
     passes = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    rows = rows.withColumn("_passes", F.filter(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda n: n < passes))
-    at = F.transform("_passes", lambda n: _invert(F.col("_weight"), F.col("_demand"), (offset + n * F.col("source_size")).cast("double"), len(shapes[0])))
+    rows = rows.withColumn("passes", F.filter(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda n: n < passes))
+    at = F.transform("passes", lambda n: _invert(F.col("weights"), F.col("demand"), (offset + n * F.col("source_size")).cast("double"), len(shapes[0])))
     rows = rows.withColumn("positions", at).withColumn("position", F.when(F.size("positions") > 0, F.element_at("positions", 1)))
-    return rows.select(*kept, *new).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return rows.select("row", "doc_id", "source", "size", "source_size", "target", "taken", "position", "positions")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:

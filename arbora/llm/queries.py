@@ -34,7 +34,7 @@ def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = curriculum.mix(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    mixed = curriculum.mix(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep=["doc_id", "source"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
