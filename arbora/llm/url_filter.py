@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh, spread_join, stored
+
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hex digits of the short hash prefix on which urls and rules are joined (32 bits).
 SHORT = 8
@@ -31,8 +33,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     with the rule's; the longest rule (code points of host and path) wins, block before allow, then the rule's text.
     Each url is expanded only into the shapes that rules have (labels of the host, length of the path), so any rule path
     works and the expansion is bounded by the rule list. Urls and rules meet on a 32-bit prefix of SHA-256; the whole
-    digest is then compared. Null or malformed urls have an empty host and path. Repeated rows stay; columns of pages
-    named like the new ones are replaced.
+    digest is then compared. Null or malformed urls have an empty host and path. Repeated rows stay, an empty table gives an
+    empty one; columns of pages named like the new ones are replaced, all others are kept whatever their names.
     """
     host, path = host_and_path(F.col(url))
     rules = (
@@ -44,11 +46,12 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     # A few numbers: shapes are pairs of a label count and a path length, however many rules there are.
     shapes = [(r.labels, r.chars) for r in rules.select("labels", "chars").distinct().orderBy("labels", "chars").collect()]
     ranked = rules.select(
-        F.sha2("rule", 256).alias("_digest"), "rule", "action",
-        F.struct(F.length("rule").alias("len"), F.when(F.col("action") == "block", 1).otherwise(0).alias("hard"), "rule", "action").alias("_rank"),
-    ).select("_digest", "_rank", F.substring("_digest", 1, SHORT).alias("_short"))
+        F.sha2("rule", 256).alias("digest"), F.struct(F.length("rule").alias("len"), F.when(F.col("action") == "block", 1).otherwise(0).alias("hard"), "rule", "action").alias("rank")
+    ).withColumn("short", F.substring("digest", 1, SHORT))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     rows = pages.select(*kept, host.alias("host"), path.alias("path"))
+    if not shapes:
+        return rows.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     labels = F.split("host", r"\.")
     expressions = [
         F.when(
@@ -57,21 +60,21 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
         )
         for n, m in shapes
     ]
-    if not shapes:
-        return rows.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     # Judged once for each distinct host and path, so that a hot url costs one row.
-    places = rows.select("host", "path").distinct()
+    places = rows.groupBy("host", "path").agg(F.count("*").alias("copies"))
     asked = (
-        places.select("host", "path", F.explode(F.array_compact(F.array(*expressions))).alias("_e"))
-        .select("host", "path", F.sha2("_e", 256).alias("_full"))
-        .withColumn("_short", F.substring("_full", 1, SHORT))
-    )
-    best = (
-        asked.join(ranked, "_short")
-        .where(F.col("_full") == F.col("_digest"))
-        .groupBy("host", "path")
-        .agg(F.max("_rank").alias("_rank"))
-    )
-    return rows.join(best, ["host", "path"], "left").select(
-        *kept, "host", "path", F.col("_rank.rule").alias("rule"), F.coalesce("_rank.action", F.lit(default)).alias("verdict")
+        places.select("host", "path", "copies", F.explode(F.array_compact(F.array(*expressions))).alias("e"))
+        .select("host", "path", "copies", F.sha2("e", 256).alias("full"))
+        .withColumn("short", F.substring("full", 1, SHORT))
     )
+    best = asked.join(ranked, "short").where(F.col("full") == F.col("digest")).groupBy("host", "path", "copies").agg(F.max("rank").alias("rank"))
+    # The verdicts go back to the rows by one key, of hot places by a broadcast.
+    place, rank = fresh(rows.columns, "place", "rank")
+    best = best.select(_place().alias(place), "copies", F.col("rank").alias(rank))
+    judged = spread_join(rows.withColumn(place, _place()), stored(best, "url-places"), place, "copies", [rank])
+    return judged.select(*kept, "host", "path", F.col(f"{rank}.rule").alias("rule"), F.coalesce(f"{rank}.action", F.lit(default)).alias("verdict"))
+
+
+def _place() -> Column:
+    """host and path as one string: a host has no slash, and a path that is not empty begins with one."""
+    return F.concat("host", "path")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, scratch_path, stored
+from .common import filesystem, scratch_path, spread_join, stored
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEADERS = "page_id long, uri string, payload_digest string, payload_bytes long, archive string, offset long, length long"
@@ -46,7 +46,7 @@ def _parse(record: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block.partition(b"\r\n\r\n")[2]
 
 
-def _members(stream, size: int = 1 << 20) -> Iterator[bytes]:
+def _members(stream, size: int = 1 << 16) -> Iterator[bytes]:
     """The gzip members of a stream, one at a time."""
     unzip, parts, data = zlib.decompressobj(31), [], b""
     while True:
@@ -95,7 +95,7 @@ def resolve(headers: DataFrame, least_bytes: int = 100) -> DataFrame:
 
     Of records with equal payloads of at least least_bytes, the one with the smallest page_id is the response (null ids
     last; among equal ids the first archive place), the others revisit it. The digest groups are reduced before they
-    are shuffled, and the join back to a hot digest can be split by Spark.
+    are shuffled, and rows of a hot digest are not brought together to learn its response.
     """
     fresh = F.md5(F.concat_ws("|", "archive", F.col("offset").cast("string")))
     record_id = F.regexp_replace(fresh, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
@@ -103,14 +103,15 @@ def resolve(headers: DataFrame, least_bytes: int = 100) -> DataFrame:
     first = (
         headers.where(F.col("payload_bytes") >= least_bytes)
         .groupBy("payload_digest")
-        .agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "archive", "offset", "record_id")).alias("_o"))
-        .select("payload_digest", F.col("_o.record_id").alias("_first"))
+        .agg(F.count("*").alias("copies"), F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "archive", "offset", "record_id")).alias("o"))
+        .select("payload_digest", "copies", F.col("o.record_id").alias("first"))
     )
-    revisit = F.col("_first") != F.col("record_id")
-    return headers.join(first, "payload_digest", "left").select(
+    revisit = F.col("first") != F.col("record_id")
+    # Only digests that repeat have anything to tell, and hot ones are broadcast.
+    return spread_join(headers, stored(first.where("copies > 1"), "warc-first"), "payload_digest", "copies", ["first"]).select(
         *headers.columns,
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("_first")).alias("refers_to_id"),
+        F.when(revisit, F.col("first")).alias("refers_to_id"),
     )
 
 
@@ -183,15 +184,15 @@ def deduplicate(pages: DataFrame, least_bytes: int = 100, folder: str | None = N
     spark: SparkSession = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
     headers = write_archives(pages, f"{folder}/raw")
-    manifest = write_deduplicated(resolve(headers, least_bytes), f"{folder}/raw", f"{folder}/deduplicated")
-    records = read_archives(manifest, f"{folder}/deduplicated")
-    originals = records.where("record_type = 'response'").select(
-        F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes")
-    )
-    # Spark guesses the records' size from the short list of archives; without the hint it may broadcast them all.
-    return (
-        records.join(originals.hint("merge"), "refers_to_id", "left")
-        .select("page_id", F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    # Stored before they are sorted by place, which reads them twice (once for a sample).
+    resolved = stored(resolve(headers, least_bytes), "warc-resolved")
+    manifest = write_deduplicated(resolved, f"{folder}/raw", f"{folder}/deduplicated")
+    records = stored(read_archives(manifest, f"{folder}/deduplicated"), "warc-records")  # the archives are read once
+    revisits = records.where("record_type = 'revisit'").groupBy("refers_to_id").agg(F.count("*").alias("copies"))
+    originals = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("bytes"))
+    originals = stored(revisits.join(originals.hint("merge"), "refers_to_id"), "warc-originals")
+    return spread_join(records, originals, "refers_to_id", "copies", ["refers_to", "bytes"]).select(
+        "page_id", F.coalesce("payload_bytes", "bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"
     )
 
 
