@@ -7,16 +7,19 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, flat, mix, shingle_hashes, steps, word_hashes, words
+from .common import LOWER, SPACE, flat, mix, shingle_hashes, spread_join, steps, stored, word_hashes, words
 
 BITS = 128
 #: Blocks that a fingerprint is cut into; each table is keyed by BLOCKS - radius of them.
 BLOCKS = 5
 RADIUS = 3
+#: Parts of a block key's fingerprints, each compared by itself with those that are asked.
+SALTS = 8
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _WORD = ~SPACE
 
@@ -57,33 +60,41 @@ def to_hex(bits: np.ndarray) -> list[str]:
 def with_next(docs: DataFrame, task, schema: str) -> DataFrame:
     """Runs task(iterator of (doc_id, text, next text)) -> rows over docs in ascending doc_id, each with its successor.
 
-    The ids are cut at quantiles into pieces (a few for each shuffle partition). Each piece also gets the first document
-    of the next, so that a task needs no other piece; the first document follows the last. Null ids come last and equal
-    ids stand in the order of their texts. Texts are moved once; only the pieces' first ids reach the driver.
+    The ids are cut at quantiles into pieces (a few for each shuffle partition); a piece is found by binary search among the
+    cuts. Each piece also gets the first document of the next, so that a task needs no other piece; the first document
+    follows the last. Equal ids stand in the order of their texts' hashes; null ids come last, in that order too, and are
+    cut by it. Texts are moved once; only the cuts and the pieces' first ids reach the driver, a few for each partition.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("c")).first().c or []
-    cuts = sorted(set(cuts))
-    piece = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0))
-    docs = docs.withColumn("_piece", piece.cast("int"))
-    heads = [(r["_piece"], r["first"]) for r in docs.groupBy("_piece").agg(F.min("doc_id").alias("first")).orderBy("_piece").collect()]
+    cuts = np.array(sorted(set(cuts)), np.int64)
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.int64), "right").astype(np.int32))
+
+    by_hash = F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * n).cast("int")
+    docs = docs.withColumn("piece", F.when(F.col("doc_id").isNull(), by_hash + len(cuts) + 1).otherwise(place(F.coalesce("doc_id", F.lit(0).cast("long")))))
+    first = F.min(F.struct("doc_id", "h")).alias("first")
+    heads = [(r.piece, r.first.doc_id, r.first.h) for r in docs.groupBy("piece").agg(first).orderBy("piece").collect()]
     if not heads:
         return spark.createDataFrame([], schema)
-    before = [(p, first, heads[i - 1][0]) for i, (p, first) in enumerate(heads)]
-    table = F.broadcast(spark.createDataFrame(before, "_p int, _first long, _to int"))  # a row for each piece
-    tails = docs.join(table, (F.col("_piece") == F.col("_p")) & F.col("doc_id").eqNullSafe(F.col("_first"))).select("doc_id", "text", F.col("_to").alias("_piece"), F.lit(1).alias("_tail"))
-    rows = docs.withColumn("_tail", F.lit(0)).unionByName(tails)
-    rows = rows.repartition(n, "_piece").sortWithinPartitions("_piece", "_tail", F.col("doc_id").asc_nulls_last(), "text")
+    before = [(p, first, h, heads[i - 1][0]) for i, (p, first, h) in enumerate(heads)]
+    table = F.broadcast(spark.createDataFrame(before, "p int, first long, first_h long, to int"))  # a row for each piece
+    at_head = (F.col("piece") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("h") == F.col("first_h"))
+    tails = docs.join(table, at_head).dropDuplicates(["piece"]).select("doc_id", "text", "h", F.col("to").alias("piece"), F.lit(1).alias("tail"))
+    rows = docs.withColumn("tail", F.lit(0)).unionByName(tails)
+    rows = rows.repartition(n, "piece").sortWithinPartitions("piece", "tail", F.col("doc_id").asc_nulls_last(), "h").select("doc_id", "text", "piece", "tail")
 
     def pairs(batches: Iterator[pa.RecordBatch]):
-        held, closed = None, None
+        held = None
         for batch in batches:
             for doc_id, text, piece, tail in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if held is not None and piece == held[2]:
                     yield held[0], held[1], text
-                held, closed = ((doc_id, text, piece), closed) if not tail else (None, piece)
+                held = (doc_id, text, piece) if not tail else None
 
     return rows.mapInArrow(lambda batches: task(pairs(batches)), schema)
 
@@ -137,22 +148,71 @@ def _words(fingerprint: Column) -> Column:
     return F.array(*[F.conv(F.substring(fingerprint, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(BITS // 32)])
 
 
+def _edges(blocks: int) -> list[int]:
+    """Where the blocks of a fingerprint begin, in hex digits, and its end."""
+    return [round(i * BITS / 4 / blocks) for i in range(blocks + 1)]
+
+
+def _tables(rows: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """rows (fingerprint, ...) once for each table: table, key (a hash of the blocks that the table puts to the front), w."""
+    edge = _edges(blocks)
+    keys = [F.xxhash64(*[F.substring("fingerprint", edge[i] + 1, edge[i + 1] - edge[i]) for i in c]) for c in combinations(range(blocks), blocks - radius)]
+    return rows.select("*", _words(F.col("fingerprint")).alias("w"), F.posexplode(F.array(*keys)).alias("table", "key"))
+
+
+def _near(radius: int, blocks: int) -> tuple[Column, Column]:
+    """Of rows a and b that met under a key: their distance, and whether they are near and this is the first table in which they
+    agree, so that each pair is found once without being compared with other pairs."""
+    edge, choices = _edges(blocks), list(combinations(range(blocks), blocks - radius))
+    distance = sum(F.bit_count(F.col("a.w")[i].bitwiseXOR(F.col("b.w")[i])) for i in range(BITS // 32))
+    equal = sum((F.substring("a.fingerprint", edge[i] + 1, edge[i + 1] - edge[i]) == F.substring("b.fingerprint", edge[i] + 1, edge[i + 1] - edge[i])).cast("int") * (1 << i) for i in range(blocks))
+    mine = F.element_at(F.array(*[F.lit(sum(1 << i for i in c)) for c in choices]), F.col("a.table") + 1)
+    upto = F.element_at(F.array(*[F.lit((2 << c[-1]) - 1) for c in choices]), F.col("a.table") + 1)
+    return distance.cast("int"), (distance <= radius) & (equal.bitwiseAND(upto) == mine)
+
+
+def _checked(radius: int, blocks: int) -> None:
+    if not 0 <= radius < blocks:
+        raise ValueError("blocks must exceed radius")
+
+
 def near_pairs(found: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """All pairs a < b of distinct fingerprints within the Hamming radius, with their distance.
 
     found: fingerprint (hex; nulls and repeats are dropped first, so copies cost nothing). Fingerprints are cut into blocks;
     two within the radius agree on at least blocks - radius of them, so each choice of so many blocks is a table whose key
     is those blocks, permuted to the front. Pairs are compared within the join and kept once, from the first table in
-    which they agree. blocks must exceed radius.
+    which they agree. blocks must exceed radius. The result is as large as the number of near pairs; near_counts() is not.
     """
-    if blocks <= radius:
-        raise ValueError("blocks must exceed radius")
-    digits = BITS // 4
-    edge = [round(i * digits / blocks) for i in range(blocks + 1)]
-    choices = list(combinations(range(blocks), blocks - radius))
-    keys = [F.concat(F.lit(f"{t}:"), *[F.substring("fingerprint", edge[i] + 1, edge[i + 1] - edge[i]) for i in c]) for t, c in enumerate(choices)]
-    tables = found.where("fingerprint IS NOT NULL").select("fingerprint").distinct().select("fingerprint", _words(F.col("fingerprint")).alias("w"), F.explode(F.array(*keys)).alias("key"))
+    _checked(radius, blocks)
+    tables = _tables(found.where("fingerprint IS NOT NULL").select("fingerprint").distinct(), radius, blocks)
+    distance, near = _near(radius, blocks)
     a, b = tables.alias("a"), tables.alias("b")
-    distance = sum(F.bit_count(F.col("a.w")[i].bitwiseXOR(F.col("b.w")[i])) for i in range(BITS // 32))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fingerprint") < F.col("b.fingerprint")) & (distance <= radius))
-    return met.select(F.col("a.fingerprint").alias("a"), F.col("b.fingerprint").alias("b"), distance.cast("int").alias("distance")).distinct()
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.table") == F.col("b.table"))
+    return a.join(b, same & (F.col("a.fingerprint") < F.col("b.fingerprint")) & near).select(F.col("a.fingerprint").alias("a"), F.col("b.fingerprint").alias("b"), distance.alias("distance"))
+
+
+def near_counts(found: DataFrame, asked: Column, radius: int = RADIUS, blocks: int = BLOCKS, salts: int = SALTS) -> DataFrame:
+    """fingerprint, copies, n_near: for each distinct fingerprint of the rows that are asked, how many rows of found hold it, and
+    how many other rows hold it or one within the radius.
+
+    found: fingerprint (hex, nulls are passed over), and what asked needs. Copies are counted before anything meets. The asked
+    fingerprints are looked up in the block tables of all; each block key is dealt to so many tasks, to all of which its
+    asked fingerprints go, so that a key that many fingerprints share is compared in parts.
+    """
+    _checked(radius, blocks)
+    own = found.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.count("*").alias("n"), F.max(F.coalesce(asked, F.lit(False)).cast("int")).alias("asked"))
+    own = stored(own, "simhash-distinct")
+    b = _tables(own.select("fingerprint", "n"), radius, blocks).withColumn("salt", F.pmod(F.xxhash64("fingerprint"), F.lit(salts)).cast("int")).alias("b")
+    a = _tables(own.where("asked = 1").select("fingerprint"), radius, blocks).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("a")
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.table") == F.col("b.table")) & (F.col("a.salt") == F.col("b.salt"))
+    counts = b.join(a.hint("merge"), same & _near(radius, blocks)[1]).groupBy(F.col("a.fingerprint").alias("fingerprint")).agg((F.sum("b.n") - 1).alias("n_near"))
+    return counts.join(own.select("fingerprint", F.col("n").alias("copies")).hint("merge"), "fingerprint")
+
+
+def with_neighbours(docs: DataFrame, asked: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """compare(docs) with n_near, for the rows that are asked (a condition on compare()'s columns) the number of other rows of which
+    the fingerprint is within the radius, and else null."""
+    found = stored(compare(docs), "simhash")
+    counts = stored(near_counts(found, asked, radius, blocks), "simhash-near")
+    return spread_join(found, counts, "fingerprint", "copies", ["n_near"]).withColumn("n_near", F.when(asked, F.col("n_near")))

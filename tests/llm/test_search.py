@@ -157,11 +157,63 @@ def test_simhash(spark, frame, corpus):
     want = {(min(a, b), max(a, b)) for a, b in itertools.combinations(number, 2) if (number[a] ^ number[b]).bit_count() <= 9}
     found = spark.createDataFrame([(f,) for f in number] * 2 + [(None,)], "fingerprint string")
     pairs = {(r.a, r.b): r.distance for r in simhash.near_pairs(found, radius=9, blocks=11).collect()}
+    assert len(pairs) == simhash.near_pairs(found, radius=9, blocks=11).count()
     assert set(pairs) == want and all((number[a] ^ number[b]).bit_count() == d for (a, b), d in pairs.items())
     with pytest.raises(ValueError):
         simhash.near_pairs(found, 3, 3)
 
 
+def brute_fingerprint(text):
+    """Bit by bit, from the terms' hashes: each term votes with its frequency."""
+    w = [x.encode() for x in (text or "").replace("\u0085", "x").split()]
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in w]
+    h = [int(simhash.word_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0]) for x in low]
+    terms = Counter(int(simhash.shingle_hashes(np.array(p, np.uint64), 2)[0]) for p in zip(h, h[1:])) if len(h) > 1 else Counter(h)
+    bits = []
+    for half in (1, 2):
+        hashed = {t: int(simhash.mix(np.array([(t + 0x51ED2701 * half) % 2**64], np.uint64))[0]) for t in terms}
+        for i in range(64):
+            bits.append(int(sum(n if hashed[t] >> i & 1 else -n for t, n in terms.items()) > 0))
+    return np.packbits(np.array(bits, np.uint8)).tobytes().hex()
+
+
+def test_fingerprints_bit_by_bit(corpus):
+    texts = [t for t in corpus if t is None or t.isascii()]
+    assert simhash.to_hex(simhash.fingerprints(pa.array(texts))) == [brute_fingerprint(t) for t in texts]
+
+
+@pytest.mark.parametrize("radius, blocks", [(3, 5), (9, 11), (0, 2)])
+def test_neighbours_of_asked_rows(spark, radius, blocks):
+    gen = random.Random(radius)
+    base = [gen.getrandbits(128) for _ in range(5)]
+    prints = [f"{x ^ sum(1 << b for b in gen.sample(range(128), gen.randint(0, 5))):032x}" for x in base for _ in range(60)] + [f"{base[0]:032x}"] * 40
+    rows = [(i, f) for i, f in enumerate(prints)] + [(None, prints[0]), (600, None)]
+    found = spark.createDataFrame(rows, "doc_id long, fingerprint string")
+    got = {r.fingerprint: (r.copies, r.n_near) for r in simhash.near_counts(found, F.col("doc_id") % 50 == 0, radius, blocks).collect()}
+    all_ = [f for _, f in rows if f]
+    near = lambda f: sum((int(f, 16) ^ int(g, 16)).bit_count() <= radius for g in all_) - 1
+    assert got == {f: (all_.count(f), near(f)) for d, f in rows if f and d is not None and d % 50 == 0}
+
+
+def test_neighbours_in_the_query(spark, frame, corpus):
+    rows = {r.doc_id: r for r in simhash.with_neighbours(frame([*corpus, *corpus[:60]]), F.col("doc_id") % 50 == 0).collect()}
+    near = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count() <= simhash.RADIUS
+    for i, r in rows.items():
+        assert r.n_near == (None if i % 50 else sum(near(r.fingerprint, x.fingerprint) for x in rows.values()) - 1)
+    assert simhash.with_neighbours(frame([]), F.lit(True)).count() == 0
+
+
+def test_successors_over_many_pieces(spark):
+    gen = random.Random(4)
+    rows = [(gen.randrange(-500, 500), f"t{i}") for i in range(400)] + [(None, f"n{i}") for i in range(60)] + [(None, "n0"), (7, "t0"), (7, "t0")]
+    got = simhash.compare(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).select("doc_id", "edited_sha256").collect()
+    want = Counter()
+    order = sorted(((d is None, d or 0, h, t) for (d, t), h in zip(rows, [r.h for r in spark.createDataFrame(rows, "d long, t string").select(F.xxhash64("t").alias("h")).collect()])))
+    for (none, d, _, t), (*_, x) in zip(order, order[1:] + order[:1]):
+        want[None if none else d, hashlib.sha256((t[: len(t) - len(t) // 2] + x[: len(t) // 2]).encode()).hexdigest()] += 1
+    assert Counter(map(tuple, got)) == want
+
+
 def test_simhash_edges(spark, frame):
     one = simhash.compare(frame(["a b c d"])).first()
     assert one.near_next == 1.0
