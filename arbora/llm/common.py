@@ -86,19 +86,26 @@ HOT_SHARE = 0.001
 
 
 def spread_join(rows: DataFrame, table: DataFrame, key: str, copies: str, values: list[str]) -> DataFrame:
-    """rows left-joined to table by a string or binary key (one row for each key that is not null, with the number of rows that
-    hold it); values are null where there is none.
+    """rows left-joined to table by a string, binary or non-negative long key (one row for each key that is not null, with the
+    number of rows that hold it); values are null where there is none.
 
     Rows of hot keys never meet in one task: the table's rows of hot keys, at most 1 / HOT_SHARE of them, are broadcast, and
     the rows that they serve get a key of their own for the shuffled join, which then finds nothing.
     """
     total = table.agg(F.sum(copies)).first()[0] or 0
-    names = [*rows.columns, key, *values]
-    hot_key, hit, other, *hot_values = fresh(names, "hot_key", "hit", "other", *[f"hot_{v}" for v in values])
-    # A function of the row, so that a repeated task deals it to the same place.
-    own = F.concat(F.lit("~"), F.hex(F.xxhash64(*rows.columns))).cast(rows.schema[key].dataType)
-    hot = table.where(F.col(copies) > max(1, int(total * HOT_SHARE))).select(F.col(key).alias(hot_key), F.lit(True).alias(hit), *[F.col(v).alias(h) for v, h in zip(values, hot_values, strict=True)])
-    joined = rows.join(F.broadcast(hot), F.col(key) == F.col(hot_key), "left")  # 1000 rows at most, see above
+    return spread(rows, table, key, values, table.where(F.col(copies) > max(1, int(total * HOT_SHARE))))
+
+
+def spread(rows: DataFrame, table: DataFrame, key: str, values: list[str], hot: DataFrame | None) -> DataFrame:
+    """spread_join() where the caller names the table's hot rows, if any; their number and size must have a bound, as they are broadcast."""
+    if hot is None:
+        return rows.join(table.select(key, *values).hint("merge"), key, "left").select(*rows.columns, *values)
+    hot_key, hit, other, *hot_values = fresh([*rows.columns, key, *values], "hot_key", "hit", "other", *[f"hot_{v}" for v in values])
+    # A function of the row, so that a repeated task deals it to the same place; it equals no key.
+    kind, own = rows.schema[key].dataType, F.xxhash64(*rows.columns)
+    own = own.bitwiseOR(F.lit(-1 << 63)) if kind.simpleString() == "bigint" else F.concat(F.lit("~"), F.hex(own)).cast(kind)
+    hot = hot.select(F.col(key).alias(hot_key), F.lit(True).alias(hit), *[F.col(v).alias(h) for v, h in zip(values, hot_values, strict=True)])
+    joined = rows.join(F.broadcast(hot), F.col(key) == F.col(hot_key), "left")  # bounded, see above
     joined = joined.withColumn(other, F.when(F.col(hit).isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(own))
     rest = table.select(F.col(key).alias(hot_key), *values)
     out = joined.drop(hot_key).join(rest.hint("merge"), F.col(other) == F.col(hot_key), "left")

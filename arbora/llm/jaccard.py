@@ -12,8 +12,10 @@ The numbers below are chosen by cost: deletions cost a key for each element, emp
 
 Keys that many sets share (more than SMALL) are not expanded to pairs. As a pair shares 1 + c keys, each set may leave out
 its c most shared ones, which removes keys that a common passage alone makes; what is left is joined by
-stars of two levels, and only sets that are then still in different components are compared across, block by block. That last
-step compares sketches of as many pairs as such sets have under a key: it is spread over tasks, but not linear.
+stars of two levels. Sets that are then still in different components get new keys in place of the hot one: the elements that come
+first when all are ordered by how many such sets hold them, rarest first, as many as a set can miss and one more. Sets that
+link have one of these in common (prefix filter), and a passage that many sets share gives none as long as they have rarer
+elements. Only sets of different components that share such a key are compared, by sketch and block by block.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, bucketed, flat, mix, shingle_hashes, steps, stored, word_hashes, words
+from .common import HOT_SHARE, LOWER, SPACE, bucketed, flat, fresh, mix, shingle_hashes, spread, spread_join, steps, stored, word_hashes, words
 from .components import components
 
 NGRAM = 5
@@ -38,6 +40,10 @@ NUMERATOR, DENOMINATOR = 75, 100
 SMALL = 16
 #: About so many sets of a hot key are compared with so many others in one go.
 BLOCK = 1024
+#: Sketches and packed texts up to this size are broadcast to the pairs of a set that very many pairs name.
+HOT_BYTES = 1 << 16
+#: Cells in which the elements of sets under hot keys are counted: a table of this many numbers, whatever the data.
+CELLS = 1 << 18
 _WORD = ~SPACE
 ROWS = "doc_id long, n_shingles long, digest binary"
 TEXTS = "doc_id long, n_shingles long, digest binary, sketch binary, packed binary"
@@ -278,30 +284,74 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch("a long, b long, da binary, db binary", *[[c[i] for i in good] for c in (a, b, da, db)])
 
 
+def _hot(pairs: DataFrame, key: str, table: DataFrame, size: str) -> DataFrame | None:
+    """The rows of table that more than a thousandth of all pairs name, so 1000 at most, and are no longer than HOT_BYTES each."""
+    least = max(SMALL, int(pairs.count() * HOT_SHARE))
+    named = [r[0] for r in pairs.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > least).select(key).collect()]
+    return table.where(F.col(key).isin(named) & (F.octet_length(size) <= HOT_BYTES)) if named else None
+
+
 def _links(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     """Those of the pairs (a, b) of ids that link, stored: sifted by sketches, and the rest verified.
 
-    The texts' table is bucketed by digest, so that only pairs, and the first text of each, are shuffled.
+    The texts' table is bucketed by digest, so that only pairs, and the first text of each, are shuffled. A set that very many
+    pairs name is broadcast to them instead (see _hot), so that its pairs do not meet in one task.
     """
     known = texts.select("id", "n_shingles", "sketch", "digest")
     one = known.withColumnsRenamed({"id": "a", "n_shingles": "na", "sketch": "sa", "digest": "da"})
     two = known.withColumnsRenamed({"id": "b", "n_shingles": "nb", "sketch": "sb", "digest": "db"})
     fits = F.least("na", "nb") * DENOMINATOR >= F.greatest("na", "nb") * NUMERATOR
-    met = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where(fits).select("a", "b", "na", "nb", "sa", "sb", "da", "db")
+    pairs = stored(pairs, f"{name}-pairs")
+    met = spread(pairs, one, "a", ["na", "sa", "da"], _hot(pairs, "a", one, "sa"))
+    met = met.join(two.hint("merge"), "b").where(fits).select("a", "b", "na", "nb", "sa", "sb", "da", "db")
     met = stored(met.mapInArrow(_sift, "a long, b long, da binary, db binary"), f"{name}-sifted")
     own = texts.select(F.col("digest").alias("da"), F.col("packed").alias("x"))
     other = texts.select(F.col("digest").alias("db"), F.col("packed").alias("y"))
-    both = met.join(own.hint("merge"), "da").join(other.hint("merge"), "db").select("a", "b", "x", "y")
+    both = spread(met, own, "da", ["x"], _hot(met, "da", own, "x")).join(other.hint("merge"), "db").select("a", "b", "x", "y")
     return stored(both.mapInArrow(_verify, "u long, v long"), name)
 
 
-def distinct_sets(docs: DataFrame) -> DataFrame:
-    """One row for each distinct set that is not empty: id, digest, n_shingles, least doc_id, packed text. Copies meet before the shuffle."""
+def distinct_sets(docs: DataFrame) -> tuple[DataFrame, str]:
+    """One row for each distinct set that is not empty: id, digest, n_shingles, least doc_id, copies, packed text; and the name of
+    the table that holds them. Copies meet before the shuffle."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_described(True), TEXTS)
-    once = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("packed").alias("packed"))
+    once = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("packed").alias("packed"))
     return bucketed(once.withColumn("id", F.monotonically_increasing_id()), "jaccard_sets", "digest")
 
 
+def _apart(named: DataFrame) -> DataFrame:
+    """Of key, id, root, the keys whose sets are in more than one component, with the number of blocks that their sets make."""
+    keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return named.join(keys.where("lo < hi").select("key", "blocks"), "key")
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a task's sets hold an element of each cell."""
+    total = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for s in shingle_sets(_unpack(batch.column(0))):
+            total += np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    at = np.flatnonzero(total)
+    yield _batch("cell int, n long", at, total[at])
+
+
+def _prefixes(counts: np.ndarray):
+    """Each set's rarest elements as keys: as many as a linked set can lack, and one more. Any order that is the same for all sets
+    will do, so the counts of cells do."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, roots = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            sets = shingle_sets(_unpack(batch.column(2)))
+            first = [s[np.lexsort((s, counts[(s & np.uint64(CELLS - 1)).astype(np.int64)]))][: len(s) + (-len(s) * NUMERATOR) // DENOMINATOR + 1] for s in sets]
+            size = [len(x) for x in first]
+            for i in range(0, len(sets), 256):
+                k = slice(i, i + 256)
+                yield _batch("key long, id long, root long", np.concatenate(first[k]).view(np.int64), np.repeat(ids[k], size[k]), np.repeat(roots[k], size[k]))
+
+    return task
+
+
 def link_sets(texts: DataFrame) -> DataFrame:
     """distinct_sets() -> verified links (u, v) of ids that connect all that any links connect: stored."""
     spark = texts.sparkSession
@@ -318,12 +368,17 @@ def link_sets(texts: DataFrame) -> DataFrame:
     links = _links(few.unionByName(star).distinct(), texts, "jaccard-links")
     if hot.isEmpty():
         return links
-    # Sets under a hot key that the links so far leave apart are compared across.
+    # Sets under a hot key that the links so far leave apart meet again under rarer keys, and are compared there.
     root = components(links)
     named = hot.join(root.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    apart = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo < hi").select("key", "blocks")
-    left = named.join(apart, "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
-    left = stored(left.join(texts.select("id", "n_shingles", "sketch"), "id"), "jaccard-apart")
+    lone = _apart(named).select("id", "root").distinct()
+    sets = stored(lone.join(texts.select("id", "n_shingles", "sketch", "packed"), "id"), "jaccard-apart")
+    counts = np.zeros(CELLS, np.int64)
+    for r in sets.select("packed").mapInArrow(_held, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # CELLS rows at most
+        counts[r.cell] = r.n
+    keys = stored(sets.select("id", "root", "packed").mapInArrow(_prefixes(counts), "key long, id long, root long"), "jaccard-prefixes")
+    left = _apart(keys).withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+    left = stored(left.join(sets.select("id", "n_shingles", "sketch"), "id"), "jaccard-left")
     # Each pair of a key's blocks is compared by itself: a task holds two blocks, however many sets share the key.
     dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
     rest = dealt.select("key", "lo", "hi", "block", "root", "id", "n_shingles", "sketch").repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "root", "id").mapInArrow(_across, "a long, b long").distinct()
@@ -390,37 +445,44 @@ def join(docs: DataFrame) -> DataFrame:
     nothing and keep their own doc_id. component_id is the smallest doc_id reachable (null ids are passed over: a
     component of null ids alone has none). Repeated rows stay. Exact up to collisions of 64-bit shingle hashes.
     """
-    named = _classes(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_described(False), ROWS)
-    return rows.join(named.hint("merge"), "digest", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # Empty sets need no class, and rows of a set that very many rows hold do not meet in one task.
+    rows = rows.withColumn("digest", F.when(F.col("n_shingles") > 0, F.col("digest")))
+    named = spread_join(rows, _classes(docs), "digest", "copies", ["component_id"])
+    return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """digest, component_id and leader (the digest of the component's first set) of each distinct set."""
-    texts = distinct_sets(docs)
+    """digest, copies, component_id and leader (the digest of the component's first set) of each distinct set: stored."""
+    texts, table = distinct_sets(docs)
     root = components(link_sets(texts))
-    member = texts.select("id", "digest", F.col("doc_id").alias("least")).join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    first = member.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.struct(F.col("least").isNull(), "least", "digest")).getField("digest").alias("leader"))
-    return member.join(first, "root").select("digest", "component_id", "leader")
+    member = texts.select("id", "digest", "copies", F.col("doc_id").alias("least")).join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    # Most components are one set or a few; those of very many sets are reduced before they are shuffled.
+    first = member.groupBy("root").agg(F.count("*").alias("members"), F.min("least").alias("component_id"), F.min(F.struct(F.col("least").isNull(), "least", "digest")).getField("digest").alias("leader"))
+    out = spread_join(member, stored(first, "jaccard-roots"), "root", "members", ["component_id", "leader"])
+    out = stored(out.select("digest", "copies", "component_id", "leader"), "jaccard-classes")
+    docs.sparkSession.sql(f"DROP TABLE {table}")
+    return out
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each component of join(), that of its smallest doc_id, and all rows without words, which are linked with nothing.
 
-    Of repeated rows with that id one is kept. Only the leaders' ids and digests are joined to the texts.
+    Of repeated rows with that id one is kept. Only the leaders' ids and digests are joined to the texts. Columns of docs are
+    kept whatever their names.
     """
-    leaders = _classes(docs).where("digest = leader").select(F.col("digest").alias("_digest"), F.col("component_id").alias("_id"))
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_n long", "_digest binary"])
+    digest, least = fresh(docs.columns, "digest", "least")
+    leaders = _classes(docs).where("digest = leader").select(F.col("digest").alias(digest), F.col("component_id").alias(least))
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{digest}` binary"])
+    at = docs.columns.index("text")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(batch.schema.get_field_index("text")))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary())], [*batch.schema.names, "_n", "_digest"]
-            )
+            sets = shingle_sets(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())], [*batch.schema.names, digest])
 
     rows = docs.mapInArrow(add, fields)
-    bare = rows.where("_n = 0").select(docs.columns)
-    # Copies of a leader with other ids go before the join: only rows with the leader's own id get to it twice.
-    led = rows.where("_n > 0").join(leaders.hint("merge"), "_digest").where(F.col("doc_id").eqNullSafe(F.col("_id")))
-    return led.dropDuplicates(["_digest"]).select(docs.columns).unionByName(bare)
+    bare = rows.where(F.col(digest).isNull()).select(docs.columns)
+    # Only rows with a leader's own id go into the join, so copies with other ids stay where they are.
+    led = rows.join(leaders.hint("merge"), (rows[digest] == leaders[digest]) & F.col("doc_id").eqNullSafe(F.col(least))).drop(leaders[digest])
+    return led.dropDuplicates([digest]).select(docs.columns).unionByName(bare)
