@@ -123,7 +123,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels")
     scored = toxicity.score(docs, toxicity.fit(docs, labels)).drop("text")
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 5 == 0
-    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "worst_score", "worst_start", "worst_end")
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "worst_score", "worst_start", "worst_end", F.size("located").alias("n_located"), "located")
 
 
 QUERIES |= {"op4_simhash": op4_simhash, "op7_toxicity": op7_toxicity}

@@ -7,16 +7,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD, flat, mix, prefix_hash, span_hash, steps, words
+from .common import LOWER, WORD, flat, mix, prefix_hash, span_hash, steps, stored, words
 
 #: Hashed features (the model is a table of this many numbers, whatever the corpus): words, and their first so many bytes.
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6, 7, 8)
-#: At most so many labelled documents train the model, those with the smallest hashes of their ids.
+#: At most so many labelled documents, and bytes of their texts, train the model: those with the smallest hashes of their ids.
 MAX_TRAIN = 6000
+MAX_BYTES = 48 << 20
+#: Sentences from this score on are located.
+THRESHOLD = 0.5
 #: A feature counts from this many training documents on.
 LEAST_DOCS = 4
 EPOCHS, RATE, START = 200, 0.1, -7.0
@@ -24,7 +27,7 @@ EPOCHS, RATE, START = 200, 0.1, -7.0
 PRIOR = 0.2
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 63]] = True  # line feed ! . ?
-SCORED = "score double, n_sentences int, worst_score double, worst_start int, worst_end int"
+SCORED = "score double, n_sentences int, worst_score double, worst_start int, worst_end int, located array<struct<score:double,start:int,end:int>>"
 
 
 @dataclass
@@ -107,8 +110,9 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
     return Model(weights, float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Learns from at most max_train labelled documents whose crc32 of the id, modulo 5, is not 0.
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> Model:
+    """Learns from labelled documents whose crc32 of the id, modulo 5, is not 0: at most max_train, and as many as max_bytes hold,
+    in the order of a hash of their ids.
 
     Null ids and null labels are left out; of several labels of one id the largest counts, of several texts the first by
     code point. With no labelled row the model calls everything clean.
@@ -118,14 +122,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    rows = stored(rows, "toxicity-sample")
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = rows.select("doc_id", F.octet_length("text").alias("n")).select("doc_id", F.sum("n").over(order).alias("upto"))  # max_train rows
+    sample = rows.join(upto.where(F.col("upto") <= max_bytes), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     return train([r.text for r in sample], [int(r.toxic) for r in sample])
 
 
-def _score(model: Model, column: pa.Array) -> list[np.ndarray]:
-    """For each row: score, number of sentences, the worst sentence's score, start and end (UTF-8 bytes; 0, 0 if there is none)."""
+def _score(model: Model, column: pa.Array, threshold: float) -> list[np.ndarray]:
+    """For each row: score, number of sentences, the worst sentence's score, start and end (UTF-8 bytes; 0, 0 if there is none), and
+    how many sentences reach the threshold; then these sentences' scores, starts and ends."""
     raw, offsets = flat(column)
-    parts = []
+    parts, spots = [], []
     for a, b in steps(offsets):
         base = offsets[a]
         part, off = raw[base : offsets[b]], offsets[a : b + 1] - base
@@ -134,35 +142,42 @@ def _score(model: Model, column: pa.Array) -> list[np.ndarray]:
         z = _sentence_logits(model, feature, sentence, k)
         score = -np.expm1(np.bincount(row, _log_clean(z), n))
         count = np.bincount(row, minlength=n)
-        worst, first, last = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        worst, first, last, many = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         if k:
             order = np.lexsort((-np.arange(k), z, row))
             top = order[np.append(row[order][1:] != row[order][:-1], True)]
             begin = np.flatnonzero(np.append(True, of_word[1:] != of_word[:-1]))
             finish = np.append(begin[1:], len(of_word)) - 1
+            p, start, end = np.exp(-np.logaddexp(0, -z)), span[0][begin] - off[row], span[1][finish] - off[row]
             r = row[top]
-            worst[r] = np.exp(-np.logaddexp(0, -z[top]))
-            first[r], last[r] = span[0][begin[top]] - off[r], span[1][finish[top]] - off[r]
-        parts.append((score, count, worst, first, last))
-    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0)] * 5
+            worst[r], first[r], last[r] = p[top], start[top], end[top]
+            bad = np.flatnonzero(p >= threshold)
+            many = np.bincount(row[bad], minlength=n)
+            spots.append((p[bad], start[bad], end[bad]))
+        parts.append((score, count, worst, first, last, many))
+    found = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0)] * 6
+    return [*found, *([np.concatenate(x) for x in zip(*spots, strict=True)] if spots else [np.zeros(0)] * 3)]
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with score (noisy-or of its sentences), n_sentences, worst_score, and the worst sentence's worst_start and worst_end.
+def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs with score (noisy-or of its sentences), n_sentences, worst_score, the worst sentence's worst_start and worst_end, and
+    located: score, start and end of every sentence whose own score reaches the threshold, in order. Places are UTF-8 bytes.
 
     Only the text is an input. Null and empty texts have no sentence and score 0. The model has a fixed size and is sent
-    to the executors once. Columns of docs named like the new ones are replaced.
+    to the executors once. Columns of docs named like the new ones are replaced, all others are kept.
     """
     new = [x.split()[0] for x in SCORED.split(", ")]
     kept = [c for c in docs.columns if c not in new]
     sent = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.select(*kept)
-    types = [pa.float64(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
+    at, types = kept.index(text), [pa.float64(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _score(sent.value, batch.column(batch.schema.get_field_index(text)))
-            columns = [pa.array(x, t) for x, t in zip(([x.astype(t.to_pandas_dtype()) for x, t in zip(found, types, strict=True)]), types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *new])
+            *plain, many, p, start, end = _score(sent.value, batch.column(at), threshold)
+            columns = [pa.array(x.astype(t.to_pandas_dtype()), t) for x, t in zip(plain, types, strict=True)]
+            spots = pa.StructArray.from_arrays([pa.array(p, pa.float64()), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["score", "start", "end"])
+            located = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)).astype(np.int32)), spots)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns, located], [*batch.schema.names, *new])
 
     return docs.mapInArrow(add, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), SCORED]))
