@@ -15,9 +15,10 @@ from .common import LOWER, WORD, flat, mix, shingle_hashes, steps, word_hashes,
 
 #: A span of words matches an item if it is within this share of the item's words in edits: replaced, dropped or added.
 MAX_EDITS = 0.2
-#: Items of fewer words match nothing: so short a string proves no leak.
+#: Items of fewer words match only where their word sequence stands unchanged.
 MIN_WORDS = 8
-#: Random walks, tables of each, sampled symbols in a table. The README gives their recall; what they miss is found by counting pairs.
+#: Random walks, tables of each, sampled symbols in a table. tests/llm hold their recall at the largest edit distance, and the README
+#: gives it; what they miss is found by counting pairs.
 WALKS, TABLES, SAMPLED = 3, 8, 3
 #: Bytes of benchmark text that are sent to the executors at once; a larger benchmark is taken in as many passes as it needs.
 BLOCK_BYTES = 16 << 20
@@ -118,11 +119,20 @@ class Items:
     masks: np.ndarray | None = None
     bitmap: np.ndarray | None = None
     by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    #: Of items under MIN_WORDS, by length: the hashes of their sequences, ascending, and which items they are.
+    short: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.lengths = sorted({len(t) for t in self.tokens})
+        self.lengths = sorted({len(t) for t in self.tokens if len(t) >= MIN_WORDS})
+        for n in sorted({len(t) for t in self.tokens if len(t) < MIN_WORDS}):
+            own = np.array([i for i, t in enumerate(self.tokens) if len(t) == n])
+            keys = np.concatenate([shingle_hashes(self.tokens[i], n) for i in own])
+            order = np.argsort(keys, kind="stable")
+            self.short[n] = keys[order], own[order]
         pairs: dict[int, int] = {}
         for t in self.tokens:
+            if len(t) < MIN_WORDS:
+                continue
             for g in shingle_hashes(t, 2).tolist():
                 pairs[g] = pairs.get(g, 0) | 1 << (self.lengths.index(len(t)) % 64)
         self.grams = np.array(sorted(pairs), np.uint64)
@@ -152,7 +162,7 @@ def prepare(rows: list[tuple[int, str]]) -> Items | None:
     raw, offsets = flat(pa.array([t for _, t in rows], pa.string()))
     start, end, place = words(raw, offsets, WORD)
     h = word_hashes(LOWER[raw], start, end)
-    kept = [(i, h[place[k] : place[k + 1]]) for k, (i, _) in enumerate(rows) if place[k + 1] - place[k] >= MIN_WORDS]
+    kept = [(i, h[place[k] : place[k + 1]]) for k, (i, _) in enumerate(rows) if place[k + 1] > place[k]]
     return Items(np.array([i for i, _ in kept]), [t for _, t in kept]) if kept else None
 
 
@@ -191,17 +201,34 @@ def _windows(items: Items, g: np.ndarray, h_end: np.ndarray):
             yield n, good
 
 
+def _equal(items: Items, h: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(words, row, item, place) where the word sequence of an item under MIN_WORDS stands."""
+    for n, (keys, own) in items.short.items():
+        g = shingle_hashes(h, n)
+        at = np.flatnonzero(row[: len(g)] == row[n - 1 : n - 1 + len(g)])
+        lo, hi = np.searchsorted(keys, g[at], "left"), np.searchsorted(keys, g[at], "right")
+        for p, x, y in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+            for k in own[x:y].tolist():
+                if (items.tokens[k] == h[p : p + n]).all():
+                    yield n, int(row[p]), k, p
+
+
 def _search(items: Items, column: pa.Array, ids: list) -> list[tuple]:
     raw, offsets = flat(column)
     # Windows are gathered by length over all rows of the batch, and then embedded and verified together.
     gathered: dict[int, list[tuple]] = {}
+    best: dict[tuple[int, int], tuple] = {}
     for a, b in steps(offsets):
         part, off = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         start, end, place = words(part, off, WORD)
-        if len(start) < 2:
+        if not len(start):
             continue
         h = word_hashes(LOWER[part], start, end)
         row = np.repeat(np.arange(b - a), np.diff(place))
+        for n, r, k, s in _equal(items, h, row):
+            best.setdefault((r + a, k), (0, s - int(place[r]), 0, n))  # places ascend, so the first counts
+        if not items.lengths or len(h) < 2:
+            continue
         g = shingle_hashes(h, 2)
         g[row[1:] != row[:-1]] = 0
         h_end = place[1:][row]
@@ -220,7 +247,6 @@ def _search(items: Items, column: pa.Array, ids: list) -> list[tuple]:
             inner = lo[:, None] + np.arange(n + 3 * e - 1)
             pairs = np.where(inner < hi[:, None] - 1, g[np.minimum(inner, len(g) - 1)], 0)
             gathered.setdefault(n, []).append((tokens, length, fresh, stretch, pairs, hi - lo, r + a, lo - place[r]))
-    best: dict[tuple[int, int], tuple] = {}
     for n, parts in gathered.items():
         tokens, length, fresh, stretch, pairs, width, row, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         own, item_keys, item_pairs, of = items.by_length[n]
@@ -279,7 +305,8 @@ def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     allowed edits; the others are embedded (CGK) and looked up in the tables of sampled symbols. Where one meets an
     item there, or shares enough pairs of words with it, all spans around it, shorter and longer ones too, are verified by edit
     distance; so what the tables miss is found too, and the result is exact. One row for each document row and
-    item, its closest and then first span. Null and empty texts and items, items with a null item_id, and items under MIN_WORDS, find nothing; repeated rows
+    item, its closest and then first span. Items under MIN_WORDS words, for which a few edits leave nothing to tell them by, are found where
+    their word sequence stands unchanged. Null and empty texts and items, and items with a null item_id, find nothing; repeated rows
     are each reported. The benchmark is measured first and sent out in blocks of bounded size.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

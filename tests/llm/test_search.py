@@ -266,12 +266,13 @@ def test_decontamination(spark, frame):
         for i, u in items:
             a, b = words(u), words(t)
             n = len(a)
-            if n < decontam.MIN_WORDS or not len(b):
+            if not n or not len(b):
                 continue
             s = np.arange(len(b))
             m = np.minimum(n, len(b) - s)
-            e = decontam.edit_distance(np.repeat(a[None], len(b), 0), b[np.minimum(s[:, None] + np.arange(n), len(b) - 1)], m, decontam.allowed(n)).min()
-            if e <= decontam.allowed(n):
+            most = decontam.allowed(n) if n >= decontam.MIN_WORDS else 0
+            e = decontam.edit_distance(np.repeat(a[None], len(b), 0), b[np.minimum(s[:, None] + np.arange(n), len(b) - 1)], m, most).min()
+            if e <= most:
                 want[d, i] = int(e)
     assert set(got) <= set(want)
     assert len(got) >= 0.95 * len(want) and len(want) > 40
@@ -332,6 +333,24 @@ def test_decontamination_loses_nothing_at_the_largest_edit_distance():
         assert {(i, i) for i in range(200)} <= got
 
 
+@pytest.mark.parametrize("kind", ["replaced", "dropped", "added", "mixed"])
+def test_tables_alone_find_most_at_the_largest_edit_distance(monkeypatch, kind):
+    """Without the count of pairs, which would find all: what the CGK tables are worth."""
+    monkeypatch.setattr(decontam, "_sharing", lambda *_: np.zeros(0, np.int64))
+    for n in (8, 10, 15, 20, 30, 45, 60):
+        items = [(i, prose(n)) for i in range(200)]
+        docs = [prose(20) + " " + changed(t, decontam.allowed(n), kind) + " " + prose(20) for _, t in items]
+        got = {(r[0], r[1]) for r in decontam._search(decontam.prepare(items), pa.array(docs), list(range(200)))}
+        assert len({(i, i) for i in range(200)} & got) >= 0.95 * 200, n
+
+
+def test_short_items_stand_unchanged(spark, frame):
+    items = [(1, "Kappa lambda"), (2, "kappa, lambda mu!"), (3, "omega"), (4, "one two three four five six seven"), (5, "...")]
+    docs = ["x kappa LAMBDA mu y kappa lambda", "kappa mu lambda", "kappa", "one two three four five six seven", "one two three four five six", "", None]
+    found = decontam.find(frame(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.start_word, r.n_words, r.edits) for r in found) == [(0, 1, 1, 2, 0), (0, 2, 1, 3, 0), (3, 4, 0, 7, 0)]
+
+
 def test_decontamination_marks_items_without_id(spark, frame):
     items = [(None, prose(20)), (7, prose(20))]
     docs = frame([prose(10) + " " + t for _, t in items] + [prose(40)])
@@ -380,7 +399,15 @@ def test_toxicity(spark, frame):
         if labels[i][1] and got[i].score >= 0.5:
             sentence = texts[i].encode()[got[i].worst_start : got[i].worst_end].decode().lower()
             assert any(b in sentence for b in bad)
-    assert got[400].score == got[401].score == got[402].score == 0 and got[400].n_sentences == 0
+    for r in got.values():
+        own = (texts[r.doc_id] if r.doc_id < 400 else "").encode()
+        assert [x.score >= 0.5 and own[x.start : x.end].strip() != b"" for x in r.located] == [True] * len(r.located)
+        assert (r.worst_score >= 0.5) == bool(r.located) and (not r.located or max(x.score for x in r.located) == r.worst_score)
+        bags = [s for s in own.decode().split(". ") if s]
+        assert not r.located or all(own[x.start : x.end].decode() in bags for x in r.located)
+    assert got[400].score == got[401].score == got[402].score == 0 and got[400].n_sentences == 0 and got[400].located == []
+    few = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"), max_bytes=200)
+    assert np.count_nonzero(few.weights) == 0
     assert toxicity.score(frame([]), model).count() == 0
     nothing = toxicity.fit(df, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(df, nothing).where("score >= 0.5").count() == 0
