@@ -211,7 +211,7 @@ def _index(buckets: int):
     return task
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], small: int) -> Iterator[pa.RecordBatch]:
     """Pairs that meet under a key of few sets, and the rows of keys of many. Buckets come one after another."""
     held: list[tuple[int, int, bytes]] = []
     pairs: list[np.ndarray] = []
@@ -232,16 +232,16 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, keys, bucket, new = ids[once], keys[once], bucket[once], new[once]
         start = np.flatnonzero(new)
         count = np.diff(np.append(start, len(ids)))
-        for gap in range(1, SMALL):
-            s = start[(count > gap) & (count <= SMALL)]
-            n = count[(count > gap) & (count <= SMALL)]
+        for gap in range(1, small):
+            s = start[(count > gap) & (count <= small)]
+            n = count[(count > gap) & (count <= small)]
             if not len(s):
                 break
             i = np.repeat(s, n - gap) + np.arange((n - gap).sum()) - np.repeat(np.cumsum(n - gap) - (n - gap), n - gap)
             pairs.append(np.stack([ids[i], ids[i + gap]], 1))
             if sum(map(len, pairs)) > 1 << 20:
                 pairs[:] = [np.unique(np.concatenate(pairs), axis=0)]
-        hot = np.repeat(count > SMALL, count)
+        hot = np.repeat(count > small, count)
         if hot.any():
             name = (mix(bucket[hot].astype(np.uint64)) ^ keys[hot]).view(np.int64)
             n = np.repeat(count, count)[hot]
@@ -319,9 +319,9 @@ def distinct_sets(docs: DataFrame) -> tuple[DataFrame, str]:
     return bucketed(once.withColumn("id", F.monotonically_increasing_id()), "jaccard_sets", "digest")
 
 
-def _apart(named: DataFrame) -> DataFrame:
+def _apart(named: DataFrame, block: int) -> DataFrame:
     """Of key, id, root, the keys whose sets are in more than one component, with the number of blocks that their sets make."""
-    keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     return named.join(keys.where("lo < hi").select("key", "blocks"), "key")
 
 
@@ -352,12 +352,12 @@ def _prefixes(counts: np.ndarray):
     return task
 
 
-def link_sets(texts: DataFrame) -> DataFrame:
+def link_sets(texts: DataFrame, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """distinct_sets() -> verified links (u, v) of ids that connect all that any links connect: stored."""
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = texts.where("n_shingles >= 3").select("id", "packed").mapInArrow(_index(2 * parts), KEYS)
-    met = stored(keys.repartitionById(parts, F.expr(f"bucket % {parts}")).sortWithinPartitions("bucket").mapInArrow(_meet, MET), "jaccard-met")
+    met = stored(keys.repartitionById(parts, F.expr(f"bucket % {parts}")).sortWithinPartitions("bucket").mapInArrow(lambda batches: _meet(batches, small), MET), "jaccard-met")
     few = met.where("NOT hot").select("a", "b")
     hot = _kept(met.where("hot").select("key", F.col("a").alias("id"), "n"), texts)
     # Stars of two levels, about sqrt(n) of them under a key of n sets, so that no set is in many pairs.
@@ -371,13 +371,13 @@ def link_sets(texts: DataFrame) -> DataFrame:
     # Sets under a hot key that the links so far leave apart meet again under rarer keys, and are compared there.
     root = components(links)
     named = hot.join(root.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    lone = _apart(named).select("id", "root").distinct()
+    lone = _apart(named, block).select("id", "root").distinct()
     sets = stored(lone.join(texts.select("id", "n_shingles", "sketch", "packed"), "id"), "jaccard-apart")
     counts = np.zeros(CELLS, np.int64)
     for r in sets.select("packed").mapInArrow(_held, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # CELLS rows at most
         counts[r.cell] = r.n
     keys = stored(sets.select("id", "root", "packed").mapInArrow(_prefixes(counts), "key long, id long, root long"), "jaccard-prefixes")
-    left = _apart(keys).withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+    left = _apart(keys, block).withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
     left = stored(left.join(sets.select("id", "n_shingles", "sketch"), "id"), "jaccard-left")
     # Each pair of a key's blocks is compared by itself: a task holds two blocks, however many sets share the key.
     dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
@@ -437,7 +437,7 @@ def _kept(hot: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(ranked.where(F.col("place") > spare).select("key", "id", "n"), "jaccard-hot")
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text), by links of Jaccard similarity 0.75 or more.
 
     Words are maximal runs of anything but ASCII white space, A-Z lower-cased; a set holds the distinct shingles of five
@@ -448,14 +448,14 @@ def join(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_described(False), ROWS)
     # Empty sets need no class, and rows of a set that very many rows hold do not meet in one task.
     rows = rows.withColumn("digest", F.when(F.col("n_shingles") > 0, F.col("digest")))
-    named = spread_join(rows, _classes(docs), "digest", "copies", ["component_id"])
+    named = spread_join(rows, _classes(docs, small, block), "digest", "copies", ["component_id"])
     return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _classes(docs: DataFrame) -> DataFrame:
+def _classes(docs: DataFrame, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """digest, copies, component_id and leader (the digest of the component's first set) of each distinct set: stored."""
     texts, table = distinct_sets(docs)
-    root = components(link_sets(texts))
+    root = components(link_sets(texts, small, block))
     member = texts.select("id", "digest", "copies", F.col("doc_id").alias("least")).join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     # Most components are one set or a few; those of very many sets are reduced before they are shuffled.
     first = member.groupBy("root").agg(F.count("*").alias("members"), F.min("least").alias("component_id"), F.min(F.struct(F.col("least").isNull(), "least", "digest")).getField("digest").alias("leader"))
