@@ -1,11 +1,17 @@
 """Operator 5: removal of byte strings that repeat anywhere, by hash-compared suffix sorts.
 
 A string of LENGTH bytes is represented by its anchor, the leftmost of its K-byte grams with the least hash, which depends on
-the string alone: equal strings have equal anchors at equal offsets. Consecutive strings with one anchor are a run. Runs meet
-under their anchor's gram. A run whose whole context equals another's repeats entirely. The other runs that share a gram are
-compared by suffix sorts of what follows and what precedes the anchor: prefix polynomial hashes and binary search give the
-common extension of two suffixes in logarithmic time, a mergesort orders them, and the neighbours' common lengths are verified
-byte by byte. A string at offset o repeats if two runs agree on o bytes before and LENGTH - o bytes after the anchor.
+the string alone: equal strings have equal anchors at equal offsets. Consecutive strings with one anchor are a run, and a
+run's bytes are its context. Runs meet under their anchor's gram. There are three ways from there:
+
+- A run whose whole context equals another's repeats entirely. Contexts are equal if the 128-bit BLAKE2b digests of their bytes are.
+- The other runs that share a gram are compared by suffix sorts of what follows and what precedes the anchor: prefix polynomial
+  hashes and binary search give the common extension of two suffixes in logarithmic time, a mergesort orders them, and the
+  neighbours' common lengths are verified byte by byte. A string at offset o repeats if two runs agree on o bytes before and
+  LENGTH - o bytes after the anchor.
+- A gram with more than CROWD different contexts would be one large sort. Its strings are taken one by one instead: those that repeat
+  within a task are found by two polynomial hashes and verified byte by byte, and one of each goes on, under the 128-bit BLAKE2b
+  digest of its bytes, to meet those of other tasks. So a string that very many texts hold is a few rows for each task.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, mix, prefix_hash, span_hash, steps, stored
+from .common import flat, mix, prefix_hash, span_hash, spread_join, steps, stored
 
 LENGTH = 200
 K = 32
@@ -29,14 +35,15 @@ PIECE = 1 << 22
 CROWD = 256
 TEXTS = "sha binary, n_bytes long, packed binary"
 KEYS = "bucket int, base long, keys binary"
+DEALT = "found boolean, bucket int, base long, keys binary"
 MET = "kind int, gram long, id long, first int, before int, span int"
 SPANS = "id long, start int, stop int"
 CONTEXTS = "gram long, ask boolean, id long, first int, before int, context binary"
 RESULT = "id long, n_removed long, n_spans long, kept_sha256 string"
 FULL, ASK, PARTNER, CROWD_ASK, CROWD_PARTNER = range(5)
-RUN = np.dtype([("gram", "<u8"), ("context", "<u8"), ("first", "<u4"), ("before", "u1"), ("span", "u1"), ("owner", "<u2")])
+RUN = np.dtype([("gram", "<u8"), ("context", "<u8", 2), ("first", "<u4"), ("before", "u1"), ("span", "u1"), ("owner", "<u2")])
 SPOT = np.dtype([("owner", "<i8"), ("start", "<u4")])
-STRING = np.dtype([("a", "<u8"), ("b", "<u8"), ("owner", "<i8"), ("start", "<u4"), ("ask", "<u4")])
+STRING = np.dtype([("digest", "<u8", 2), ("owner", "<i8"), ("start", "<u4"), ("ask", "<u4")])
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -57,6 +64,13 @@ def _least(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
+def _digests(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit digests of raw[start:end], as pairs of numbers."""
+    view = memoryview(np.ascontiguousarray(raw))
+    found = [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), "<u8").reshape(-1, 2).copy()
+
+
 def runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of a chunk of documents (RUN records, owner = row; first = byte place of its first string in the row)."""
     none = np.zeros(0, RUN)
@@ -81,22 +95,30 @@ def runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros(len(new), RUN)
     out["gram"] = mix(gram[a] + np.uint64(1))
     out["before"], out["span"] = a - first, last - first
-    out["context"] = mix(span_hash(prefix, first, last + LENGTH) + mix((out["before"].astype(np.uint64) << np.uint64(8)) + out["span"]))
+    out["context"] = _digests(raw, first, last + LENGTH)
+    # Contexts are equal only if their anchors and numbers of strings are, too.
+    out["context"][:, 0] ^= mix((out["before"].astype(np.uint64) << np.uint64(8)) + out["span"])
     out["owner"], out["first"] = row[first], first - offsets[row[first]]
     return out
 
 
-def _pieces(raw: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+def _pieces(raw: np.ndarray, offsets: np.ndarray, piece: int) -> Iterator[np.ndarray]:
     """runs() of all rows, long rows in overlapping pieces."""
     for a, b in steps(offsets):
         lo, hi = offsets[a], offsets[b]
-        if hi - lo <= PIECE:
+        if hi - lo <= piece:
             found = runs(raw[lo:hi], offsets[a : b + 1] - lo)
             found["owner"] += np.uint16(a)
             yield found
             continue
-        for cut in range(lo, hi - LENGTH + 1, PIECE):
-            part = raw[cut : min(hi, cut + PIECE + LENGTH - 1)]
+        if b - a > 1:  # several rows that are a step together, under a small piece
+            for i in range(a, b):
+                found = np.concatenate([*_pieces(raw, offsets[i : i + 2], piece), np.zeros(0, RUN)])
+                found["owner"] += np.uint16(i)
+                yield found
+            continue
+        for cut in range(lo, hi - LENGTH + 1, piece):
+            part = raw[cut : min(hi, cut + piece + LENGTH - 1)]
             found = runs(part, np.array([0, len(part)]))
             found["owner"] += np.uint16(a)
             found["first"] += np.uint32(cut - lo)
@@ -134,13 +156,13 @@ def _dealt(records: np.ndarray, bucket: np.ndarray, buckets: int, base: int) ->
         yield _batch(KEYS, full, np.full(len(full), base), [records[edge[i] : edge[i + 1]].tobytes() for i in full])
 
 
-def _index(buckets: int):
+def _index(buckets: int, piece: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for a, b in _groups(ids):
                 raw, offsets = flat(_unpack(batch.column(1).slice(a, b - a)))
-                found = np.concatenate([*_pieces(raw, offsets), np.zeros(0, RUN)])
+                found = np.concatenate([*_pieces(raw, offsets, piece), np.zeros(0, RUN)])
                 found["owner"] = (ids[a:b] - ids[a])[found["owner"]]
                 yield from _dealt(found, (found["gram"] >> np.uint64(32)).astype(np.int64) % buckets, buckets, int(ids[a]))
 
@@ -167,27 +189,31 @@ def _buckets(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[tup
         yield joined()
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(crowd: int):
     """Runs that repeat entirely, and those to compare with others of their gram."""
-    for r, ids in _buckets(batches, RUN):
-        order = np.lexsort((r["context"], r["gram"]))
-        r, ids = r[order], ids[order]
-        gram = np.append(True, r["gram"][1:] != r["gram"][:-1])
-        context = gram | np.append(True, r["context"][1:] != r["context"][:-1])
-        at = np.flatnonzero(context)
-        copies = np.repeat(np.diff(np.append(at, len(r))), np.diff(np.append(at, len(r))))
-        group = np.cumsum(gram) - 1
-        different = np.bincount(group, context)[group]
-        single = np.bincount(group, copies == 1)[group] > 0
-        kind = np.full(len(r), -1)
-        kind[copies > 1] = FULL
-        asks = (copies == 1) & (different > 1)
-        kind[asks] = np.where(different[asks] > CROWD, CROWD_ASK, ASK)
-        partner = context & (copies > 1) & (different > 1) & single
-        for own, what in ((np.flatnonzero(kind >= 0), kind), (np.flatnonzero(partner), np.where(different > CROWD, CROWD_PARTNER, PARTNER))):
-            for i in range(0, len(own), 1 << 16):
-                k = own[i : i + (1 << 16)]
-                yield _batch(MET, what[k], r["gram"][k].view(np.int64), ids[k], r["first"][k].astype(np.int64), r["before"][k].astype(np.int64), r["span"][k].astype(np.int64))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, ids in _buckets(batches, RUN):
+            order = np.lexsort((r["context"][:, 1], r["context"][:, 0], r["gram"]))
+            r, ids = r[order], ids[order]
+            gram = np.append(True, r["gram"][1:] != r["gram"][:-1])
+            context = gram | np.append(True, (r["context"][1:] != r["context"][:-1]).any(1))
+            at = np.flatnonzero(context)
+            copies = np.repeat(np.diff(np.append(at, len(r))), np.diff(np.append(at, len(r))))
+            group = np.cumsum(gram) - 1
+            different = np.bincount(group, context)[group]
+            single = np.bincount(group, copies == 1)[group] > 0
+            kind = np.full(len(r), -1)
+            kind[copies > 1] = FULL
+            asks = (copies == 1) & (different > 1)
+            kind[asks] = np.where(different[asks] > crowd, CROWD_ASK, ASK)
+            partner = context & (copies > 1) & (different > 1) & single
+            for own, what in ((np.flatnonzero(kind >= 0), kind), (np.flatnonzero(partner), np.where(different > crowd, CROWD_PARTNER, PARTNER))):
+                for i in range(0, len(own), 1 << 16):
+                    k = own[i : i + (1 << 16)]
+                    yield _batch(MET, what[k], r["gram"][k].view(np.int64), ids[k], r["first"][k].astype(np.int64), r["before"][k].astype(np.int64), r["span"][k].astype(np.int64))
+
+    return task
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -351,29 +377,54 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(held)
 
 
+def _same(a: np.ndarray, b: np.ndarray, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the strings raw[at : at + LENGTH] by their hashes a and b, and in that order, the place of the first string with the same bytes."""
+    order = np.lexsort((b, a))
+    new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))[: len(order)]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    windows = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)
+    for i in range(0, len(order), 1 << 14):
+        k = slice(i, i + (1 << 14))
+        lied = (windows[at[order[k]]] != windows[at[order[first[k]]]]).any(1)
+        first[k][lied] = np.arange(i, i + len(lied))[lied]  # one that only looked equal stands for itself
+    return order, first
+
+
 def _strings(buckets: int):
-    """Every string of the crowded runs, as two hashes, dealt by them."""
+    """The strings of the crowded runs: those that repeat within a task, dealt by their documents (found), and one of each, dealt by its digest."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loose = zstandard.ZstdDecompressor()
-        held: list[np.ndarray] = []
+        held: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            records = np.concatenate(held)
+            raws, ids, starts, asks, one, two = zip(*held, strict=True)
             held.clear()
-            yield from _dealt(records, (records["a"] >> np.uint64(32)).astype(np.int64) % buckets, buckets, 0)
+            size = [len(x) for x in starts]
+            raw, base = np.concatenate(raws), np.cumsum([0, *map(len, raws[:-1])])
+            owner, start, ask = np.repeat(np.array(ids, np.int64), size), np.concatenate(starts), np.concatenate(asks)
+            at = start + np.repeat(base, size)
+            order, first = _same(np.concatenate(one), np.concatenate(two), raw, at)
+            many = np.bincount(first, minlength=len(order))
+            again = order[(many[first] > 1) & ask[order]]
+            spots = np.zeros(len(again), SPOT)
+            spots["owner"], spots["start"] = owner[again], start[again]
+            yield from _flagged(True, _dealt(spots, _of_owner(spots["owner"], buckets), buckets, 0))
+            lead = np.flatnonzero(many)
+            kept = order[lead]
+            out = np.zeros(len(kept), STRING)
+            out["digest"] = _digests(raw, at[kept], at[kept] + LENGTH)
+            out["owner"], out["start"], out["ask"] = owner[kept], start[kept], ask[kept] & (many[lead] == 1)
+            yield from _flagged(False, _dealt(out, (out["digest"][:, 0] >> np.uint64(32)).astype(np.int64) % buckets, buckets, 0))
 
         for batch in batches:
             for id_, packed, (_, first, _, span, kind) in zip(batch.column(0).to_pylist(), batch.column(1), _asked(batch.column(2)), strict=True):
                 raw = np.frombuffer(loose.decompress(packed.as_py()), np.uint8)
                 count = span + 1
                 at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                out = np.zeros(len(at), STRING)
-                for name, view in (("a", raw), ("b", raw ^ np.uint8(0x5A))):
-                    out[name] = mix(span_hash(prefix_hash(view), at, at + LENGTH))
-                out["start"], out["owner"], out["ask"] = at, id_, np.repeat(kind == CROWD_ASK, count)
-                held.append(out)
-                if sum(map(len, held)) > 1 << 19:
+                hashes = [span_hash(prefix_hash(view), at, at + LENGTH) for view in (raw, raw ^ np.uint8(0x5A))]
+                held.append((raw, id_, at, np.repeat(kind == CROWD_ASK, count), *hashes))
+                if sum(len(x[2]) for x in held) > 1 << 18 or sum(len(x[0]) for x in held) > 1 << 25:
                     yield from flush()
         if held:
             yield from flush()
@@ -381,8 +432,17 @@ def _strings(buckets: int):
     return task
 
 
+def _of_owner(owner: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(owner.view(np.uint64)) >> np.uint64(32)).astype(np.int64) % buckets
+
+
+def _flagged(found: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([found] * batch.num_rows), *batch.columns], ["found", *batch.schema.names])
+
+
 def _equal(buckets: int):
-    """The crowded strings that repeat, dealt by their documents."""
+    """The crowded strings that repeat in another task, dealt by their documents."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -390,12 +450,12 @@ def _equal(buckets: int):
         def flush() -> Iterator[pa.RecordBatch]:
             spots = np.concatenate(held)
             held.clear()
-            yield from _dealt(spots, (mix(spots["owner"].view(np.uint64)) >> np.uint64(32)).astype(np.int64) % buckets, buckets, 0)
+            yield from _dealt(spots, _of_owner(spots["owner"], buckets), buckets, 0)
 
         for r, ids in _buckets(batches, STRING):
-            order = np.lexsort((r["b"], r["a"]))
+            order = np.lexsort((r["digest"][:, 1], r["digest"][:, 0]))
             r, ids = r[order], ids[order]
-            new = np.append(True, (r["a"][1:] != r["a"][:-1]) | (r["b"][1:] != r["b"][:-1]))
+            new = np.append(True, (r["digest"][1:] != r["digest"][:-1]).any(1))
             count = np.diff(np.append(np.flatnonzero(new), len(r)))
             k = np.flatnonzero((np.repeat(count, count) > 1) & (r["ask"] == 1))
             spots = np.zeros(len(k), SPOT)
@@ -447,7 +507,7 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return stored(once.withColumn("id", F.monotonically_increasing_id()), "suffix-texts")
 
 
-def spans(texts: DataFrame) -> DataFrame:
+def spans(texts: DataFrame, crowd: int = CROWD, piece: int = PIECE) -> DataFrame:
     """The repeated spans (id, start, stop; they may overlap) of distinct texts of LENGTH bytes or more. Stored tables only."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     long_ = texts.where(F.col("n_bytes") >= LENGTH)
@@ -455,8 +515,8 @@ def spans(texts: DataFrame) -> DataFrame:
     def by_bucket(rows: DataFrame) -> DataFrame:
         return rows.repartitionById(parts, F.expr(f"bucket % {parts}")).sortWithinPartitions("bucket")
 
-    keys = long_.select("id", "packed").mapInArrow(_index(2 * parts), KEYS)
-    met = stored(by_bucket(keys).mapInArrow(_meet, MET), "suffix-met")
+    keys = long_.select("id", "packed").mapInArrow(_index(2 * parts, piece), KEYS)
+    met = stored(by_bucket(keys).mapInArrow(_meet(crowd), MET), "suffix-met")
     full = met.where(F.col("kind") == FULL).select("id", F.col("first").alias("start"), (F.col("first") + F.col("span") + LENGTH).alias("stop"))
 
     def asked(kinds: list[int]) -> DataFrame:
@@ -468,31 +528,35 @@ def spans(texts: DataFrame) -> DataFrame:
     out = full.unionByName(stored(some, "suffix-spans"))
     if met.where(F.col("kind") == CROWD_ASK).isEmpty():
         return out
-    strings = asked([CROWD_ASK, CROWD_PARTNER]).mapInArrow(_strings(2 * parts), KEYS)
-    crowd = by_bucket(by_bucket(strings).mapInArrow(_equal(2 * parts), KEYS)).mapInArrow(_joined, SPANS)
-    return out.unionByName(stored(crowd, "suffix-crowd"))
+    strings = stored(asked([CROWD_ASK, CROWD_PARTNER]).mapInArrow(_strings(2 * parts), DEALT), "suffix-strings")
+    met_again = by_bucket(strings.where("NOT found").drop("found")).mapInArrow(_equal(2 * parts), KEYS)
+    crowded = by_bucket(strings.where("found").drop("found").unionByName(met_again)).mapInArrow(_joined, SPANS)
+    return out.unionByName(stored(crowded, "suffix-crowd"))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, crowd: int = CROWD, piece: int = PIECE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs (doc_id, text).
 
     Removed is each byte that a string of LENGTH bytes covers which also starts elsewhere, in any row or the same one.
     Texts are UTF-8 bytes; null and shorter texts lose nothing. A text of LENGTH bytes or more that several rows hold
-    (repeated rows too) is removed whole. Null ids are kept as they are.
+    (repeated rows too) is removed whole. Null ids are kept as they are. An empty table gives an empty one; other columns are
+    not read.
     """
     texts = distinct_texts(docs)
     long_ = F.col("n_bytes") >= LENGTH
     # A span is one number: its start and its length. A document's spans are as many as its strings at most.
     code = F.shiftleft(F.col("start").cast("long"), 32) + (F.col("stop") - F.col("start"))
-    alone = spans(texts).select("id", code.alias("span")).groupBy("id").agg(F.collect_list("span").alias("spans"))
+    alone = spans(texts, crowd, piece).select("id", code.alias("span")).groupBy("id").agg(F.collect_list("span").alias("spans"))
     cut = texts.where(long_ & (F.col("copies") == 1)).select("id", "packed").join(alone.hint("merge"), "id").select("id", "packed", "spans").mapInArrow(_removed, RESULT)
     whole = long_ & (F.col("copies") > 1)
     found = texts.select("id", "sha", "n_bytes", "copies").join(cut.hint("merge"), "id", "left").select(
-        "sha",
+        "sha", "copies",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
     )
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("sha"))
-    return rows.join(found.hint("merge"), "sha").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    # Rows of a text that very many rows hold do not meet in one task.
+    values = ["n_removed", "n_spans", "kept_sha256"]
+    return spread_join(rows, stored(found, "suffix-found"), "sha", "copies", values).select("doc_id", "n_bytes", *values)

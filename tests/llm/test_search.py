@@ -58,11 +58,10 @@ def brute_components(texts):
     return {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("small", [2, 16])
-def test_jaccard(frame, corpus, monkeypatch, small):
-    monkeypatch.setattr(jaccard, "SMALL", small)
+@pytest.mark.parametrize("small, block", [(2, 4), (16, 1024)])
+def test_jaccard(frame, corpus, small, block):
     df = frame(corpus).withColumn("digest", F.lit("mine"))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df, small, block).collect()}
     assert got == brute_components(corpus)
 
 
@@ -114,13 +113,27 @@ def brute_repeats(texts, n=200):
     return out
 
 
-@pytest.mark.parametrize("crowd", [1, 256])
-def test_suffix_dedup(frame, corpus, monkeypatch, crowd):
-    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+@pytest.mark.parametrize("crowd, piece", [(1, 700), (256, 1 << 22)])
+def test_suffix_dedup(spark, frame, corpus, crowd, piece):
+    """Also with every gram crowded, and with most texts cut to pieces; repeated rows, null ids and clashing names."""
     block = prose(60)
     texts = [*corpus, "ab" * 400, "z" * 199, "z" * 900, block + "!" + block, block[:300], prose(20) + block[5:250] + prose(20)]
-    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(frame(texts)).collect()}
-    assert got == brute_repeats(texts)
+    df = frame(texts).withColumns({"id": F.lit(1), "sha": F.lit(2), "copies": F.lit(3)})
+    df = df.unionByName(df.where("doc_id IN (3, 170)")).withColumn("doc_id", F.when(F.col("doc_id") != 5, F.col("doc_id")))
+    texts = [*texts, *[texts[i] for i in (3, 170)]]
+    want = brute_repeats(texts)
+    want = Counter((None if i == 5 else [*range(len(texts) - 2), 3, 170][i], *v) for i, v in want.items())
+    assert Counter(map(tuple, suffix_dedup.remove_repeats(df, crowd, piece).collect())) == want
+
+
+def test_suffix_dedup_of_nothing(frame):
+    assert suffix_dedup.remove_repeats(frame([])).count() == 0
+
+
+def test_equal_hashes_of_different_strings_are_found_out():
+    raw = np.frombuffer(b"x" * 200 + b"y" * 200 + b"x" * 200, np.uint8)
+    order, first = suffix_dedup._same(np.zeros(3, np.uint64), np.zeros(3, np.uint64), raw, np.array([0, 200, 400]))
+    assert order.tolist() == [0, 1, 2] and first.tolist() == [0, 1, 0]
 
 
 def test_suffix_order():
