@@ -192,7 +192,7 @@ def _(spark, sf):
 
 
 def _pairs_sql(vs: Variables, source: str) -> str:
-    parts = [f"SELECT {u} AS u, {v} AS v, {vs.names[u]} AS a, {vs.names[v]} AS b FROM s" for u, v in assoc.pair_list(len(vs.names))]
+    parts = [f"SELECT {u} AS u, {v} AS v, {vs.names[u]} AS a, {vs.names[v]} AS b FROM s" for v in range(len(vs.names)) for u in range(v)]
     return f"SELECT u, v, a, b, count(*) AS n FROM (WITH s AS MATERIALIZED {source} {' UNION ALL '.join(parts)}) GROUP BY ALL"
 
 
@@ -206,7 +206,7 @@ FROM (SELECT u, v, a, b, n::DOUBLE AS n, sum(n::DOUBLE) OVER (PARTITION BY u, v,
 
 
 def _association(spark, sf, name="bn_li", vs=LI):
-    return assoc.association(assoc.pair_counts(view(spark, sf, name), vs), vs)
+    return assoc.associations(view(spark, sf, name), vs)
 
 
 @query("pair_contingency", _pairs_sql(LI, _sql("bn_li")))
@@ -271,7 +271,7 @@ def _(spark, sf):
     return s.where("family >= 6").join(empty, "v").select(u.alias("u"), "v", F.round(F.col("bic") - F.col("base"), 4).alias("delta")).orderBy(F.col("delta").desc(), "v", "u").limit(1)
 
 
-_SMALL = search.Config(max_iter=25, tabu_tenure=0, assoc_rows=0)
+_SMALL = search.Config(tabu_tenure=0, assoc_rows=0)
 
 
 @query("hill_climb_edges")
@@ -281,17 +281,22 @@ def _(spark, sf):
 
 @query("tabu_edges")
 def _(spark, sf):
-    return search.learn(view(spark, sf, "bn_dep"), search.Config(max_iter=8, tabu_tenure=3, assoc_rows=0), vs=DEP).edge_frame(spark)
+    return search.learn(view(spark, sf, "bn_dep"), search.Config(max_iter=60, tabu_tenure=3, assoc_rows=0), vs=DEP).edge_frame(spark)
 
 
 @query("bootstrap_freq")
 def _(spark, sf):
-    # Lines have no key of their own; a number by all columns tells equal ones apart.
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_linestatus", "l_quantity", "l_discount", "l_linenumber").agg(F.count("*").alias("copies"))
+    return boot.bootstrap(_keyed(spark, sf), ["key"], 20, (1, 2), search.Config(tabu_tenure=0, assoc_rows=0), names=list("abcdef"))
+
+
+def _keyed(spark, sf):
+    """bn_dep with a key: lines have none of their own; a number by all columns tells equal ones apart."""
+    columns = ["l_linestatus", "l_quantity", "l_discount", "l_linenumber"]
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(*columns).agg(F.count("*").alias("copies"))
+    rows = lines.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     a, b, d = F.when(F.col("l_linestatus") == "F", 0).otherwise(1), (F.col("l_quantity") > 25).cast("int"), (F.round(F.col("l_discount") * 100) >= 5).cast("int")
-    rows = lines.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(F.hash("l_linestatus", "l_quantity", "l_discount", "l_linenumber", "copy").alias("key"), a.alias("a"), b.alias("b"), d.alias("d"))
-    rows = rows.withColumn("c", F.greatest("a", "b"))
-    return boot.bootstrap(rows, ["key"], 2, (1, 2), search.Config(max_iter=6, tabu_tenure=0, assoc_rows=0), names=["a", "b", "c", "d"])
+    c = F.greatest(a, b)
+    return rows.select(F.xxhash64(*columns, "copy").alias("key"), a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"), (c * d).alias("e"), ((F.col("l_linenumber") + c) % 2).cast("int").alias("f"))
 
 
 _FREQ = [(1, 0, 1, 8, 0.8), (1, 1, 2, 5, 0.5), (1, 2, 0, 6, 0.6), (1, 3, 1, 1, 0.1), (2, 0, 1, 9, 0.9), (2, 1, 2, 4, 0.4), (2, 2, 0, 1, 0.1), (2, 1, 3, 5, 0.5), (2, 3, 0, 2, 0.2)]

@@ -24,6 +24,17 @@ def lgamma(x: Column) -> Column:
     return (y - 0.5) * F.log(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + series - F.log(product)
 
 
+def lgamma_array(x: np.ndarray) -> np.ndarray:
+    """lgamma() of an array."""
+    y = x + 8
+    product = x.copy()
+    for i in range(1, 8):
+        product *= x + i
+    r2 = 1 / (y * y)
+    series = (1 / 12 - r2 * (1 / 360 - r2 * (1 / 1260 - r2 * (1 / 1680 - r2 / 1188)))) / y
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - np.log(product)
+
+
 def mixed_radix(columns: Sequence[Column], cards: Sequence[int]) -> Column:
     """The configuration index of the columns, the last one the least significant digit; 0 for none."""
     out = F.lit(0).cast("long")

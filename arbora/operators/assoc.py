@@ -2,58 +2,159 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora.functions.math import chi2_tail
 
-from .counts import Variables
+from .counts import Packed, Variables, chunks, pack
 
 _TINY = 1e-300
+#: Bytes of the tables that a task sums at once; more columns are taken in stripes, each a scan of the columns from its first on.
+STRIPE_BYTES = 256 << 20
+#: Rows and columns of one matrix product.
+ROWS, COLUMNS = 1024, 128
+CELLS = "u int, v int, a int, b int, n long"
+TABLE = "u int, v int, mi double, chi2 double, df int"
 
 
 def sample_rows(df: DataFrame, key: Sequence[Column], rows: int, seed: int = 2025) -> DataFrame:
     """About-the-first rows in the order of a keyed hash of each row's key: the same ones in every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(rows)
+    return df.orderBy(F.xxhash64(F.lit(seed), *key), F.xxhash64(F.lit(seed + 1), *key)).limit(rows)
 
 
-def pair_list(n: int, budget: int = 0, seed: int = 2025) -> list[tuple[int, int]]:
-    """All pairs u < v; with a budget, at most so many partners drawn for each v."""
+def pair_mask(n: int, budget: int, seed: int = 2025) -> np.ndarray | None:
+    """Which pairs u < v a budget leaves: at most so many partners drawn for each v. None: all."""
     if not 0 < budget < n - 1:
-        return list(combinations(range(n), 2))
-    import random
-
-    out = set()
+        return None
+    out = np.zeros((n, n), bool)
     for v in range(n):
-        for u in random.Random(f"{seed}:{v}").sample([x for x in range(n) if x != v], budget):
-            out.add((min(u, v), max(u, v)))
-    return sorted(out)
-
-
-def pair_counts(df: DataFrame, vs: Variables, pairs: Sequence[tuple[int, int]] | None = None) -> DataFrame:
-    """u, v, a, b, n of the cells that occur, for all pairs in one scan with map-side sums."""
-    pairs = pair_list(len(vs.names)) if pairs is None else pairs
-    cells = [F.struct(F.lit(u).alias("u"), F.lit(v).alias("v"), F.col(vs.names[u]).cast("int").alias("a"), F.col(vs.names[v]).cast("int").alias("b")) for u, v in pairs]
-    return df.select(F.explode(F.array(*cells)).alias("c")).groupBy("c.u", "c.v", "c.a", "c.b").agg(F.count("*").alias("n"))
-
-
-def association(cells: DataFrame, vs: Variables) -> DataFrame:
-    """u, v, mi (nats), chi2, df of pair_counts(). No degrees of freedom: chi2 0."""
-    cells = (
-        cells.withColumn("na", F.sum("n").over(Window.partitionBy("u", "v", "a")))
-        .withColumn("nb", F.sum("n").over(Window.partitionBy("u", "v", "b")))
-        .withColumn("total", F.sum("n").over(Window.partitionBy("u", "v")))
-    )
-    p, pa, pb = (F.col(c) / F.col("total") for c in ("n", "na", "nb"))
-    card = F.array(*[F.lit(int(c)) for c in vs.cards])
-    df = ((F.element_at(card, F.col("u") + 1) - 1) * (F.element_at(card, F.col("v") + 1) - 1)).cast("int")
-    # Cells that do not occur add their expectation; the identity sums them without listing them.
-    chi2 = F.max("total") * (F.sum(F.col("n") * F.col("n") / (F.col("na") * F.col("nb"))) - 1)
-    out = cells.groupBy("u", "v").agg(F.sum(p * F.log((p + _TINY) / (pa * pb + _TINY))).alias("mi"), chi2.alias("chi2"))
-    return out.withColumn("df", df).withColumn("chi2", F.when(F.col("df") > 0, F.greatest("chi2", F.lit(0.0))).otherwise(0.0))
+        u = np.random.Generator(np.random.PCG64([seed, v])).choice(n - 1, budget, replace=False)
+        u += u >= v
+        out[np.minimum(u, v), np.maximum(u, v)] = True
+    return out
+
+
+def _stripes(cards: Sequence[int]) -> list[tuple[int, int]]:
+    """Ranges of variables whose tables with all later ones fit into STRIPE_BYTES."""
+    out, first, size = [], 0, 0
+    for u, r in enumerate(cards):
+        own = r * sum(cards[u:]) * 8
+        if size and size + own > STRIPE_BYTES:
+            out.append((first, u))
+            first, size = u, 0
+        size += own
+    return [*out, (first, len(cards))]
+
+
+def _summed(cards: Sequence[int], first: int, last: int, all_cards: Sequence[int]):
+    """Variables from a stripe's first on -> u (counted from that one), cells: states of u x states of the variables from u on.
+
+    Rows become one-hot vectors, and the tables of all pairs are products of blocks of their matrix; sums are exact.
+    """
+    offset = np.concatenate([[0], np.cumsum(cards)])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: list[np.ndarray] = []
+        blocks = [(a, min(a + COLUMNS, last)) for a in range(0, last, COLUMNS)]
+        for held in chunks(batches, all_cards):
+            states = np.stack([held[first + x] for x in range(len(cards))], 1).astype(np.int64)
+            for i in range(0, len(states), ROWS):
+                some = states[i : i + ROWS]
+                hot = np.zeros((len(some), offset[-1]), np.float32)
+                hot[np.arange(len(some))[:, None], some + offset[:-1]] = 1
+                products = [hot[:, offset[a] : offset[b]].T @ hot[:, offset[a] :] for a, b in blocks]
+                if not total:
+                    total = [p.astype(np.float64) for p in products]
+                else:
+                    for t, p in zip(total, products, strict=True):
+                        t += p
+        for (a, b), t in zip(blocks, total, strict=False):
+            for u in range(a, b):
+                own = t[offset[u] - offset[a] : offset[u + 1] - offset[a], offset[u] - offset[a] :].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([u], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["u", "cells"])
+
+    return task
+
+
+def _pairs(df: DataFrame | Packed, vs: Variables, mask: np.ndarray | None, emit: Callable, schema: str) -> DataFrame:
+    """emit(u, table, offsets of the columns from u on, those that the mask leaves) for each variable, over tables summed for the whole of df.
+
+    Each task sums what it reads and sends one table a variable, so what is shuffled grows with the tables and the number of tasks.
+    """
+    cards = [int(c) for c in vs.cards]
+    parts = []
+    data = df if isinstance(df, Packed) else pack(df, vs)
+    for first, last in _stripes(cards):
+        rows = data.rows.where((F.col("var") >= first) & (F.col("var") < len(cards)))
+        parts.append(rows.mapInArrow(_summed(cards[first:], first, last - first, cards), "u int, cells binary").withColumn("u", F.col("u") + first))
+    tables = reduce(DataFrame.unionByName, parts)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> Iterator[pa.RecordBatch]:
+            offset = np.concatenate([[0], np.cumsum(cards[u:])])
+            kept = np.arange(u + 1, len(cards))
+            if mask is not None:
+                kept = kept[mask[u, u + 1 :]]
+            if len(kept):
+                yield from emit(u, total.reshape(cards[u], -1), offset, kept)
+
+        u, total = -1, np.zeros(0, np.int64)
+        for batch in batches:
+            for x, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(cells.as_buffer(), np.int64)
+                if x != u:
+                    if u >= 0:
+                        yield from done()
+                    u, total = x, own.copy()
+                else:
+                    total += own
+        if u >= 0:
+            yield from done()
+
+    return tables.repartition("u").sortWithinPartitions("u").mapInArrow(added, schema)
+
+
+def pair_counts(df: DataFrame | Packed, vs: Variables, budget: int = 0, seed: int = 2025) -> DataFrame:
+    """u, v, a, b, n of the cells that occur, for all pairs u < v (or those of a budget) in one scan."""
+
+    def emit(u, total, offset, kept):
+        for v in kept:
+            own = total[:, offset[v - u] : offset[v - u + 1]]
+            a, b = np.nonzero(own)
+            n = len(a)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, x, np.int32)) for x in (u, v)] + [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(own[a, b])], ["u", "v", "a", "b", "n"])
+
+    return _pairs(df, vs, pair_mask(len(vs.names), budget, seed), emit, CELLS)
+
+
+def associations(df: DataFrame | Packed, vs: Variables, budget: int = 0, seed: int = 2025) -> DataFrame:
+    """u, v, mi (nats), chi2, df of all pairs u < v (or those of a budget). No degrees of freedom: chi2 0."""
+    cards = np.array(vs.cards)
+
+    def emit(u, total, offset, kept):
+        n = total.sum(dtype=np.float64) / max(1, len(offset) - 1)
+        na = total[:, : offset[1]].sum(1, dtype=np.float64)[:, None]
+        nb = total.sum(0, dtype=np.float64)[None]
+        seen = total > 0
+        p = total / n
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mi = np.where(seen, p * np.log((p + _TINY) / (na / n * nb / n + _TINY)), 0.0).sum(0)
+            square = np.where(seen, total.astype(np.float64) ** 2 / (na * nb), 0.0).sum(0)
+        mi, square = (np.add.reduceat(x, offset[:-1])[kept - u] for x in (mi, square))
+        free = (cards[u] - 1) * (cards[kept] - 1)
+        # Cells that do not occur add their expectation; the identity sums them without listing them.
+        chi2 = np.where(free > 0, np.maximum(n * (square - 1), 0.0), 0.0)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(kept), u, np.int32)), pa.array(kept.astype(np.int32)), pa.array(mi), pa.array(chi2), pa.array(free.astype(np.int32))], ["u", "v", "mi", "chi2", "df"]
+        )
+
+    return _pairs(df, vs, pair_mask(len(vs.names), budget, seed), emit, TABLE)
 
 
 def with_p(table: DataFrame) -> DataFrame:

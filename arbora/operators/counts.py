@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import math
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +85,128 @@ def family_counts(df: DataFrame, families: Sequence[Family], vs: Variables, by:
     return rows.groupBy(*by, "family", "v", "j", "k").agg(n.cast("long").alias("n"))
 
 
+#: A table up to this many cells is summed in an array of all its cells, a larger one by the cells that occur.
+DENSE = 1 << 16
+CELLS = "family int, v int, r int, q long, j long, k int, n long"
+
+
+def poisson(h: np.ndarray, run: int) -> np.ndarray:
+    """How often each row, given by a 64-bit hash of its key, is in a resample: Poisson(1) by inversion, the same in any task."""
+    x = (h.view(np.uint64) ^ np.uint64(run * 0x9E3779B97F4A7C15 % (1 << 64))) + np.uint64(0x632BE59BD9B4E019)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return np.searchsorted(_POISSON, (x >> np.uint64(11)).astype(np.float64) / (1 << 53), "right")
+
+
+#: Cumulative probabilities of Poisson(1), the limit of how often a row is drawn; 18 terms cover double precision.
+_POISSON = np.cumsum(np.exp(-1.0) / np.array([math.factorial(i) for i in range(18)], float))
+
+
+@dataclass(frozen=True)
+class Packed:
+    """A discrete table by columns: a row (part, var, states) for each variable of each chunk of rows, the parts of a chunk next to each
+    other. Plans over it have three columns, however many variables there are, and a scan can pick its variables."""
+
+    rows: DataFrame
+    vs: Variables
+    weight: bool = False
+    key: bool = False
+
+
+def state_type(cards: Sequence[int], var: int) -> np.dtype:
+    """States are bytes where they fit; the weight and the key, which come after the variables, are 64-bit numbers."""
+    return np.dtype("<i8" if var >= len(cards) else "u1" if cards[var] <= 256 else "<i4")
+
+
+PACKED = "part long, var int, states binary"
+
+
+def pack(df: DataFrame, vs: Variables, weight: str | None = None, key: str | None = None) -> Packed:
+    """df by columns; weight and key: columns of 64-bit numbers that say how often a row counts and what tells it apart."""
+    extra = [c for c in (weight, key) if c]
+    kinds = [state_type(vs.cards, i) for i in range(len(vs.names) + len(extra))]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, batch in enumerate(batches):
+            blobs = [c.to_numpy(zero_copy_only=False).astype(t).tobytes() for c, t in zip(batch.columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(blobs), part)), pa.array(np.arange(len(blobs), dtype=np.int32)), pa.array(blobs, pa.binary())], ["part", "var", "states"])
+
+    columns = df.select(*[F.col(n).cast("int").alias(n) for n in vs.names], *[F.col(c).cast("long").alias(c) for c in extra])
+    return Packed(columns.mapInArrow(task, PACKED), vs, bool(weight), bool(key))
+
+
+def chunks(batches: Iterator[pa.RecordBatch], cards: Sequence[int]) -> Iterator[dict[int, np.ndarray]]:
+    """Chunk after chunk, its variables' states."""
+    part, held = None, {}
+    for batch in batches:
+        for p, var, states in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if held and (p != part or var in held):
+                yield held
+                held = {}
+            part, held[var] = p, np.frombuffer(states.as_buffer(), state_type(cards, var))
+    if held:
+        yield held
+
+
+def partial_cells(data: Packed, requests: Sequence[tuple[int | None, Family]]) -> DataFrame:
+    """family (place in requests), v, r, q, j, k, n of the cells that occur in a task's rows, for any number of families in one scan.
+
+    A request is a resample's number, or None for the rows as they are, and a family. Rows of a resample are weighed by
+    poisson() of the table's key, others by its weight, if any. Each task sums its rows in numpy and sends its tables once;
+    they are dealt by family, so whatever is grouped by family next needs no other shuffle.
+    """
+    vs, cards = data.vs, data.vs.cards
+    used = sorted({x for _, (v, ps) in requests for x in (v, *ps)})
+    d = len(vs.names)
+    weight, key = (d if data.weight else None), (d + data.weight if data.key else None)
+    shapes = [(v, [(p, vs.cards[p]) for p in ps], vs.cards[v], configurations((v, ps), vs.cards), run) for run, (v, ps) in requests]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: list = [None] * len(shapes)
+        for held in chunks(batches, cards):
+            states = {x: held[x].astype(np.int64) for x in used}
+            rows = len(states[used[0]])
+            w = None if weight is None else held[weight]
+            weights: dict = {}
+            for i, (v, ps, r, q, run) in enumerate(shapes):
+                if run not in weights:
+                    weights[run] = w if run is None else poisson(held[key], run) * (1 if w is None else w)
+                cell = np.zeros(rows, np.int64)
+                for p, card in ps:
+                    cell = cell * card + states[p]
+                cell = cell * r + states[v]
+                if q * r <= DENSE:
+                    own = np.bincount(cell, weights[run], q * r)
+                    total[i] = own if total[i] is None else total[i] + own
+                else:
+                    some, back = np.unique(cell, return_inverse=True)
+                    known = total[i] or {}
+                    for c, m in zip(some.tolist(), np.bincount(back, weights[run]).tolist(), strict=True):
+                        known[c] = known.get(c, 0) + m
+                    total[i] = known
+        for a in range(0, len(shapes), 4096):
+            out = []
+            for i in range(a, min(a + 4096, len(shapes))):
+                if total[i] is None:
+                    continue
+                v, _, r, q, _ = shapes[i]
+                cell = np.flatnonzero(total[i]) if q * r <= DENSE else np.array([c for c, m in total[i].items() if m], np.int64)
+                n = total[i][cell] if q * r <= DENSE else np.array([total[i][c] for c in cell.tolist()])
+                out.append(np.stack([np.full(len(cell), x) for x in (i, v, r, q)] + [cell // r, cell % r, n.astype(np.int64)]))
+            if out:
+                columns = np.concatenate(out, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] * 3 + [pa.int64()] * 2 + [pa.int32(), pa.int64()], strict=True)], [x.split()[0] for x in CELLS.split(", ")])
+
+    needed = [*used, *[x for x in (weight, key) if x is not None]]
+    rows = data.rows if len(needed) > 256 else data.rows.where(F.col("var").isin(needed))
+    return rows.mapInArrow(task, CELLS).repartition("family")
+
+
+def count_cells(data: Packed, requests: Sequence[tuple[int | None, Family]]) -> DataFrame:
+    """partial_cells() summed over the tasks."""
+    return partial_cells(data, requests).groupBy("family", "v", "r", "q", "j", "k").agg(F.sum("n").alias("n"))
+
+
 def with_totals(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """counts and, with k null, the total of each configuration: an aggregate of the aggregate."""
     totals = counts.groupBy(*by, "family", "v", "j").agg(F.sum("n").alias("n")).withColumn("k", F.lit(None).cast("int"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbora.functions.math import lgamma
+from arbora.functions.math import lgamma, lgamma_array
 
-from .counts import Family, Variables, configurations, family_counts
+from .counts import Family, Packed, Variables, configurations, family_counts, partial_cells
 
 
 def _shapes(families: Sequence[Family], vs: Variables, what: int) -> Column:
@@ -24,10 +26,15 @@ def score_counts(counts: DataFrame, families: Sequence[Family], vs: Variables, e
     Natural logarithms; N is the number of rows counted (at least 1); a family has all its configurations, whether seen or
     not; what was not seen adds nothing to K2 and BDeu.
     """
+    r, q = _shapes(families, vs, 0), _shapes(families, vs, 1)
+    return score_cells(counts.withColumn("r", r).withColumn("q", q), ess, by)
+
+
+def score_cells(cells: DataFrame, ess: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
+    """score_counts() of counts that bring their families' numbers of states r and of configurations q."""
     keys = [*by, "family", "v"]
-    r, q = _shapes(families, vs, 0).cast("double"), _shapes(families, vs, 1).cast("double")
     n = F.col("n").cast("double")
-    cells = counts.where("n > 0").withColumn("_r", r).withColumn("_q", q)
+    cells = cells.where("n > 0").withColumn("_r", F.col("r").cast("double")).withColumn("_q", F.col("q").cast("double"))
     a_j, a_jk = F.lit(float(ess)) / F.col("_q"), F.lit(float(ess)) / F.col("_q") / F.col("_r")
     rows = cells.groupBy(*keys, "j", "_r", "_q").agg(
         F.sum("n").cast("double").alias("nj"),
@@ -45,6 +52,52 @@ def score_counts(counts: DataFrame, families: Sequence[Family], vs: Variables, e
     return rows.select(*keys, "loglik", bic.alias("bic"), "k2", "bdeu")
 
 
+SCORED = "family int, loglik double, bic double, k2 double, bdeu double"
+
+
+def _scores(cells: np.ndarray, ess: float) -> pa.RecordBatch:
+    """Scores of whole families from their cells (columns family, r, q, j, k, n), some of which several tasks counted."""
+    order = np.lexsort((cells[4], cells[3], cells[0]))
+    family, r, q, j, k, n = cells[:, order]
+    new_j = np.append(True, (family[1:] != family[:-1]) | (j[1:] != j[:-1]))
+    cell = np.flatnonzero(new_j | np.append(True, k[1:] != k[:-1]))
+    n = np.add.reduceat(n, cell).astype(float)
+    family, r, q, new_j = family[cell], r[cell].astype(float), q[cell].astype(float), new_j[cell]
+    at = np.flatnonzero(new_j)
+    a = ess / q
+    nj = np.add.reduceat(n, at)
+    loglik = np.add.reduceat(n * np.log(n), at) - nj * np.log(nj)
+    k2 = np.add.reduceat(lgamma_array(n + 1), at) + lgamma_array(r[at]) - lgamma_array(nj + r[at])
+    bdeu = np.add.reduceat(lgamma_array(n + a / r) - lgamma_array(a / r), at) + lgamma_array(a[at]) - lgamma_array(a[at] + nj)
+    family, r, q = family[at], r[at], q[at]
+    one = np.flatnonzero(np.append(True, family[1:] != family[:-1]))
+    total, loglik, k2, bdeu = (np.add.reduceat(x, one) for x in (nj, loglik, k2, bdeu))
+    bic = loglik - 0.5 * (r[one] - 1) * q[one] * np.log(np.maximum(total, 1))
+    return pa.RecordBatch.from_arrays([pa.array(family[one].astype(np.int32)), *map(pa.array, (loglik, bic, k2, bdeu))], [x.split()[0] for x in SCORED.split(", ")])
+
+
+def score_requests(data: Packed, requests: Sequence[tuple[int | None, Family]], ess: float = 1.0) -> DataFrame:
+    """family (place in requests), loglik, bic, k2, bdeu of any number of families in one job of two stages. What score_cells() says
+    in columns is said in numpy here, as a search asks for it so often that planning those columns takes longer than the counting."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            some = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (0, 2, 3, 4, 5, 6)])
+            while size > 1 << 20 and some.shape[1] and (cut := int(np.searchsorted(some[0], held[-1][0, -1], "right"))) < some.shape[1]:
+                held.append(some[:, :cut])
+                yield _scores(np.concatenate(held, 1), ess)
+                some, held, size = some[:, cut:], [], 0
+            if some.shape[1]:
+                held.append(some)
+                size += some.shape[1]
+        if held:
+            yield _scores(np.concatenate(held, 1), ess)
+
+    return partial_cells(data, requests).sortWithinPartitions("family").mapInArrow(task, SCORED)
+
+
 def score_families(df: DataFrame, families: Sequence[Family], vs: Variables, ess: float = 1.0, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     return score_counts(family_counts(df, families, vs, by, weight), families, vs, ess, by)
 

@@ -3,82 +3,54 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import replace
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.operators.counts import Variables, variables
-from arbora.operators.scores import score_families
+from arbora.operators.counts import pack, variables
 
-from .search import Config, Graph, Scorer, candidate_parents, climb
+from .search import Config, Graph, candidate_parents, kept, scored, unused, walk
 
-#: Cumulative probabilities of Poisson(1), the limit of how often a row is drawn; 18 covers double precision.
-_POISSON = []
-_p, _c = 0.36787944117144233, 0.0
-for _i in range(18):
-    _c += _p
-    _POISSON.append(_c)
-    _p /= _i + 1
 
-
-def draws(row: Sequence[Column], seed: Column, replicate: Column) -> Column:
-    """How often a row is in a resample: Poisson(1) by a hash of the row's key, so any task finds the same number."""
-    u = (F.pmod(F.xxhash64(seed, replicate, *row), F.lit(1 << 53)) / F.lit(float(1 << 53))).cast("double")
-    out = F.lit(0)
-    for c in _POISSON:
-        out = out + (u > c).cast("int")
-    return out
-
-
-def resample_counts(df: DataFrame, families, vs: Variables, key: Sequence[str], runs: Sequence[tuple[int, int]], ess: float = 1.0) -> DataFrame:
-    """seed, replicate and the scores of families in each resample; all resamples in one scan, none is materialised."""
-    grid = F.explode(F.array(*[F.struct(F.lit(s).alias("seed"), F.lit(b).alias("replicate")) for s, b in runs]))
-    rows = df.select("*", grid.alias("_run")).select(*df.columns, F.col("_run.seed").alias("seed"), F.col("_run.replicate").alias("replicate"))
-    rows = rows.withColumn("_w", draws([F.col(c) for c in key], F.col("seed"), F.col("replicate"))).where("_w > 0")
-    return score_families(rows, families, vs, ess, by=["seed", "replicate"], weight="_w")
+def run_number(seed: int, replicate: int) -> int:
+    return (seed << 32) + replicate
 
 
 def bootstrap(df: DataFrame, key: Sequence[str], replicates: int = 100, seeds: Sequence[int] = (2025,), cfg: Config = Config(), init: Iterable[tuple[int, int]] = (), names: Sequence[str] | None = None) -> DataFrame:
     """seed, u, v, count, prob: how many resamples' networks have the edge. key: columns that tell rows apart.
 
-    Candidate parents are found once, on the data themselves, and all cardinalities are those of the data. A resample's scores are
-    sums of weights over the shared scan, so the data are neither copied nor sent anywhere.
+    A row is drawn Poisson(1) times by a hash of its key, seed and replicate. Candidate parents are found once, on the data
+    themselves, and all cardinalities are those of the data. All resamples are searched in lockstep: each round is one scan in
+    which every resample gets the scores it asks for, so there are as many rounds as the longest search has iterations,
+    however many resamples there are, and the data are neither copied nor sent anywhere.
     """
     spark = df.sparkSession
     vs = variables(df, names or [c for c in df.columns if c not in key])
-    data = df.select(*key, *vs.names).cache()
+    init = list(init)
+    h = unused(vs.names, "key")
+    data = kept(pack(df.select(*vs.names, F.xxhash64(*key).alias(h)), vs, key=h))
     found: list[tuple[int, int, int]] = []
     try:
-        cand = candidate_parents(data.select(*vs.names), vs, cfg)
-        for seed in seeds:
-            for b in range(replicates):
-                found += [(seed, u, v) for u, v in climb(len(vs.names), cand, _scorer(data, vs, key, (seed, b), cfg), replace(cfg), init).edges]
+        cand = candidate_parents(df.select(*vs.names), vs, cfg)
+        searches = {(s, b): walk(len(vs.names), cand, cfg, init) for s in seeds for b in range(replicates)}
+        known: dict = {run: {} for run in searches}
+        needed = {run: next(search) for run, search in searches.items()}
+        while needed:
+            ask = [(run, f) for run, fs in needed.items() for f in dict.fromkeys(fs) if f not in known[run]]
+            for (run, f), x in zip(ask, scored(data, [(run_number(*run), f) for run, f in ask], cfg.score.lower(), cfg.ess), strict=True):
+                known[run][f] = x
+            for run, fs in list(needed.items()):
+                try:
+                    needed[run] = searches[run].send({f: known[run][f] for f in fs})
+                except StopIteration as end:
+                    found += [(run[0], u, v) for u, v in end.value.edges]
+                    del needed[run]
     finally:
-        data.unpersist()
+        data.rows.unpersist()
     edges = spark.createDataFrame(found, "seed int, u int, v int")
     return edges.groupBy("seed", "u", "v").agg(F.count("*").alias("count")).withColumn("prob", F.col("count") / replicates)
 
 
-def _scorer(data: DataFrame, vs: Variables, key: Sequence[str], run: tuple[int, int], cfg: Config) -> Scorer:
-    known: dict = {}
-
-    def ask(families: list) -> dict:
-        new = sorted({f for f in families if f not in known})
-        if new:
-            for r in resample_counts(data, new, vs, key, [run], cfg.ess).select("family", cfg.score).collect():
-                known[new[r.family]] = r[cfg.score]
-        return {f: known.get(f, 0.0) for f in families}
-
-    return ask
-
-
-def replicate_grid(spark, replicates: int, seeds: Sequence[int]) -> DataFrame:
-    """One row for each run, for sweeps that learn whole small tables in parallel."""
-    return spark.createDataFrame(pd.DataFrame([(s, b) for s in seeds for b in range(replicates)], columns=["seed", "replicate"]))
-
-
 def integrate(frequencies: DataFrame, seeds: int) -> DataFrame:
     """u, v, count, prob over seeds: counts are added, probabilities averaged over all seeds (absent is 0)."""
     return frequencies.groupBy("u", "v").agg(F.sum("count").cast("long").alias("count"), (F.sum("prob") / seeds).alias("prob"))

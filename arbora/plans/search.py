@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Generator, Iterable, Sequence
+from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.operators.assoc import association, candidates, pair_counts, pair_list, sample_rows
-from arbora.operators.counts import Family, Variables, families_of, normal, variables
-from arbora.operators.scores import score_families
+from arbora.operators.assoc import associations, candidates, sample_rows
+from arbora.operators.counts import Family, Packed, Variables, families_of, normal, pack, variables
+from arbora.operators.scores import score_families, score_requests
+from arbora.scratch import stored
 
 EPS = 1e-12
 SCORES = ("bic", "k2", "bdeu")
-#: A batch of families scored in one scan.
-BATCH = 512
+#: Families scored in one scan.
+BATCH = 1 << 14
+#: Data of at most so many different rows are searched as these rows and their numbers.
+COMPACT = 1 << 14
 Move = tuple[str, int, int]
+_RANK = {"add": 0, "remove": 1, "reverse": 2}
 
 
 @dataclass(frozen=True)
@@ -102,18 +107,22 @@ class Graph:
 Scorer = Callable[[list[Family]], dict[Family, float]]
 
 
-def spark_scorer(df: DataFrame, vs: Variables, score: str, ess: float) -> Scorer:
-    """Scores of families, in one job for each batch that asks for unseen ones. df should be cached."""
+def scored(data: Packed, requests: list[tuple[int | None, Family]], score: str, ess: float) -> list[float]:
+    """The score of each request (see partial_cells()), one job for each BATCH of them; 0 where there are no rows."""
+    out = [0.0] * len(requests)
+    for i in range(0, len(requests), BATCH):
+        for r in score_requests(data, requests[i : i + BATCH], ess).select("family", score).collect():
+            out[i + r.family] = r[score]
+    return out
+
+
+def spark_scorer(data: Packed, score: str, ess: float) -> Scorer:
+    """Scores of families, in one job for each batch that asks for unseen ones. The packed rows should be cached."""
     known: dict[Family, float] = {}
 
     def ask(families: list[Family]) -> dict[Family, float]:
         new = sorted({f for f in families if f not in known})
-        for i in range(0, len(new), BATCH):
-            part = new[i : i + BATCH]
-            for r in score_families(df, part, vs, ess).select("family", score).collect():
-                known[part[r.family]] = r[score]
-            for f in part:
-                known.setdefault(f, 0.0)  # no rows
+        known.update(zip(new, scored(data, [(None, f) for f in new], score, ess), strict=True))
         return {f: known[f] for f in families}
 
     return ask
@@ -125,67 +134,97 @@ def candidate_parents(df: DataFrame, vs: Variables, cfg: Config) -> list[set[int
     if cfg.top_k <= 0 and cfg.mi_threshold <= 0 and cfg.p_threshold >= 1:
         return [set(range(n)) - {v} for v in range(n)]
     if cfg.assoc_rows:
-        df = sample_rows(df, [F.col(c) for c in vs.names], cfg.assoc_rows, cfg.seed)
-    table = association(pair_counts(df, vs, pair_list(n, cfg.assoc_budget, cfg.seed)), vs)
+        df = sample_rows(df, [F.col(c) for c in vs.names], cfg.assoc_rows, cfg.seed).repartition(df.sparkSession.sparkContext.defaultParallelism)
+    table = associations(df, vs, cfg.assoc_budget, cfg.seed)
     out: list[set[int]] = [set() for _ in range(n)]
-    for r in candidates(table, cfg.cand_metric, cfg.top_k, cfg.mi_threshold, cfg.p_threshold).collect():
+    for r in candidates(table, cfg.cand_metric, cfg.top_k, cfg.mi_threshold, cfg.p_threshold).select("v", "u").collect():
         out[r.v].add(r.u)
     return out
 
 
-def _moves(g: Graph, cand: Sequence[set[int]], cfg: Config) -> list[Move]:
-    """Legal moves in the order in which ties are resolved: by child, additions, removals, reversals, by parent."""
-    top_in, top_out = cfg.max_parents or g.n, cfg.max_children or g.n
-    out: list[Move] = []
-    for v in range(g.n):
-        if len(g.parents[v]) < top_in:
-            out += [("add", u, v) for u in sorted(cand[v]) if u != v and u not in g.parents[v] and len(g.children[u]) < top_out and not g.reaches(v, u)]
-        own = sorted(g.parents[v])
-        out += [("remove", u, v) for u in own]
-        for u in own:
-            if v in cand[u] and len(g.parents[u]) < top_in and len(g.children[v]) < top_out:
-                g.remove(u, v)
-                free = not g.reaches(u, v)
-                g.add(u, v)
-                if free:
-                    out.append(("reverse", u, v))
-    return out
-
-
-def _changes(g: Graph, move: Move) -> list[tuple[int, Family]]:
-    op, u, v = move
-    if op == "add":
-        return [(v, normal(v, g.parents[v] | {u}))]
-    if op == "remove":
-        return [(v, normal(v, g.parents[v] - {u}))]
-    return [(v, normal(v, g.parents[v] - {u})), (u, normal(u, g.parents[u] | {v}))]
-
-
-def climb(n: int, cand: Sequence[set[int]], scorer: Scorer, cfg: Config, init: Iterable[tuple[int, int]] = ()) -> Result:
-    """The search itself. The first of the best moves is taken; greedy stops where no move gains more than EPS, tabu goes on with the best move that is
-    not forbidden (or that beats the aspiration level) and returns the best network met."""
+class Gains:
+    """What each move would add to the score. Only moves into nodes whose parents changed are computed anew."""
+
+    def __init__(self, g: Graph, cand: Sequence[set[int]], cfg: Config) -> None:
+        self.g, self.top_in, self.top_out = g, cfg.max_parents or g.n, cfg.max_children or g.n
+        self.cand = [sorted(c - {v}) for v, c in enumerate(cand)]
+        self.at = [{u: i for i, u in enumerate(c)} for c in self.cand]
+        self.first = np.cumsum([0, *map(len, self.cand)])
+        self.child = np.repeat(np.arange(g.n), np.diff(self.first))
+        self.parent = np.array([u for c in self.cand for u in c], np.int64)
+        self.add = np.full(self.first[-1], -np.inf)
+        self.less: dict[tuple[int, int], float] = {}
+        self.own = [0.0] * g.n
+
+    def families(self, v: int) -> list[Family]:
+        """All that moves into v need: its own family, with one more candidate, and with one parent less."""
+        p = self.g.parents[v]
+        more = [normal(v, p | {u}) for u in self.cand[v] if u not in p] if len(p) < self.top_in else []
+        return [normal(v, p), *more, *[normal(v, p - {u}) for u in p]]
+
+    def update(self, v: int, known: dict[Family, float]) -> None:
+        p, base = self.g.parents[v], known[normal(v, self.g.parents[v])]
+        self.own[v] = base
+        room = len(p) < self.top_in
+        self.add[self.first[v] : self.first[v + 1]] = [known[normal(v, p | {u})] - base if room and u not in p else -np.inf for u in self.cand[v]]
+        self.less = {e: d for e, d in self.less.items() if e[1] != v} | {(u, v): known[normal(v, p - {u})] - base for u in p}
+
+    def best(self, allowed: Callable[[Move, float], bool]) -> tuple[Move, float] | None:
+        """The legal and allowed move of the greatest gain. Of those within EPS the first: by child, additions, removals, reversals, by parent."""
+        edges = sorted(self.less)
+        turned = [self.less[u, v] + self.add[self.first[u] + self.at[u][v]] if v in self.at[u] else -np.inf for u, v in edges]
+        gain = np.concatenate([self.add, [self.less[e] for e in edges], turned])
+        n, m = len(self.add), len(edges)
+
+        def move(i: int) -> Move:
+            if i < n:
+                return "add", int(self.parent[i]), int(self.child[i])
+            return ("remove" if i < n + m else "reverse", *edges[(i - n) % m])
+
+        while len(gain) and (top := int(np.argmax(gain))) is not None and gain[top] > -np.inf:
+            level = gain[top]
+            for i in sorted(np.flatnonzero(gain >= level - EPS).tolist(), key=lambda i: (move(i)[2], _RANK[move(i)[0]], move(i)[1])):
+                if self._legal(*move(i)) and allowed(move(i), float(gain[i])):
+                    return move(i), float(gain[i])
+                gain[i] = -np.inf
+        return None
+
+    def _legal(self, op: str, u: int, v: int) -> bool:
+        g = self.g
+        if op == "add":
+            return len(g.children[u]) < self.top_out and not g.reaches(v, u)
+        if op == "remove":
+            return True
+        if len(g.children[v]) >= self.top_out:
+            return False
+        g.remove(u, v)
+        free = not g.reaches(u, v)
+        g.add(u, v)
+        return free
+
+
+def walk(n: int, cand: Sequence[set[int]], cfg: Config, init: Iterable[tuple[int, int]] = ()) -> Generator[list[Family], dict[Family, float], Result]:
+    """The search itself: yields the families whose scores it needs, is sent them, and returns the result. The first of the best
+    moves is taken; greedy stops where no move gains more than EPS, tabu goes on with the best move that is not forbidden (or
+    that beats the aspiration level) and returns the best network met."""
     g = Graph(n, init)
-    own = scorer([normal(v, g.parents[v]) for v in range(n)])
-    node = [own[normal(v, g.parents[v])] for v in range(n)]
-    total = best = start = sum(node)
+    gains = Gains(g, cand, cfg)
+    known = yield [f for v in range(n) for f in gains.families(v)]
+    for v in range(n):
+        gains.update(v, known)
+    total = best = start = sum(gains.own)
     best_edges, trace, done = g.edges(), [], 0
     until: dict[Move, int] = {}
     for it in range(cfg.max_iter):
-        moves = [(m, _changes(g, m)) for m in _moves(g, cand, cfg)]
-        scores = scorer([f for _, c in moves for _, f in c])
-        pick, gain = None, 0.0 if cfg.tabu_tenure == 0 else -1e300
-        level = start if cfg.aspiration == "initial" else best
-        for m, c in moves:
-            delta = sum(scores[f] - node[x] for x, f in c)
-            if cfg.tabu_tenure and until.get(m, 0) > it and total + delta <= level + EPS:
-                continue
-            if delta > gain + (EPS if pick else 0.0):
-                pick, gain = (m, c), delta
-        if pick is None or (cfg.tabu_tenure == 0 and gain <= EPS):
+
+        def allowed(m: Move, gain: float, it=it, total=total, best=best) -> bool:
+            level = start if cfg.aspiration == "initial" else best
+            return not (cfg.tabu_tenure and until.get(m, 0) > it and total + gain <= level + EPS)
+
+        found = gains.best(allowed)
+        if found is None or (cfg.tabu_tenure == 0 and found[1] <= EPS):
             break
-        (op, u, v), changed = pick
-        for x, f in changed:
-            node[x] = scores[f]
+        (op, u, v), gain = found
         total += gain
         if op != "add":
             g.remove(u, v)
@@ -201,21 +240,53 @@ def climb(n: int, cand: Sequence[set[int]], scorer: Scorer, cfg: Config, init: I
         trace.append((done, op, u, v, gain, total, better))
         if better:
             best, best_edges = total, g.edges()
+        changed = [v, u] if op == "reverse" else [v]
+        known = yield [f for x in changed for f in gains.families(x)]
+        for x in changed:
+            gains.update(x, known)
     return Result(best_edges, best, done, trace)
 
 
+def climb(n: int, cand: Sequence[set[int]], scorer: Scorer, cfg: Config, init: Iterable[tuple[int, int]] = ()) -> Result:
+    """walk() with all scores from one scorer."""
+    search = walk(n, cand, cfg, init)
+    needed = next(search)
+    while True:
+        try:
+            needed = search.send(scorer(needed))
+        except StopIteration as end:
+            return end.value
+
+
 def learn(df: DataFrame, cfg: Config = Config(), init: Iterable[tuple[int, int]] = (), names: Sequence[str] | None = None, vs: Variables | None = None) -> Result:
-    """Learns a network from a table of discrete columns."""
+    """Learns a network from a table of discrete columns. Of few possible rows only the different ones and their numbers are kept."""
     vs = vs or variables(df, names)
-    data = df.select(*vs.names).cache()
+    rows, weight = df.select(*vs.names), None
+    if np.prod([float(c) for c in vs.cards]) <= COMPACT:
+        weight = unused(vs.names, "rows")
+        rows = rows.groupBy(*vs.names).agg(F.count("*").alias(weight))
+    data = kept(pack(rows, vs, weight))
     try:
-        result = climb(len(vs.names), candidate_parents(data, vs, cfg), spark_scorer(data, vs, cfg.score.lower(), cfg.ess), cfg, init)
+        cand = candidate_parents(df.select(*vs.names), vs, cfg)
+        result = climb(len(vs.names), cand, spark_scorer(data, cfg.score.lower(), cfg.ess), cfg, init)
     finally:
-        data.unpersist()
+        data.rows.unpersist()
     result.vs = vs
     return result
 
 
+def kept(data: Packed) -> Packed:
+    """data stored and cached: a search plans many small jobs over them, and each would otherwise go through the plan that made them."""
+    return replace(data, rows=stored(data.rows, "packed").cache())
+
+
+def unused(names: Sequence[str], name: str) -> str:
+    """name, with as many underscores before it as make it none of names."""
+    while name.lower() in {n.lower() for n in names}:
+        name = f"_{name}"
+    return name
+
+
 def score_network(df: DataFrame, edges: Iterable[tuple[int, int]], vs: Variables, ess: float = 1.0) -> DataFrame:
     """v, loglik, bic, k2, bdeu of a given network, without any search."""
     return score_families(df, families_of(edges, len(vs.names)), vs, ess).drop("family")

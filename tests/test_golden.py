@@ -2,13 +2,15 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from arbora.functions.math import chi2_tail, digits, lgamma, mixed_radix
 from arbora.operators import assoc, scores
-from arbora.operators.counts import Variables, drop_parent, family_counts, variables
+from arbora.operators.counts import Variables, count_cells, drop_parent, family_counts, pack, poisson, variables
 from arbora.operators.importance import edge_importance
+from arbora.plans import bootstrap as boot
 from arbora.plans.search import Config, Graph, learn, score_network
 
 ROWS = [tuple(map(int, r)) for r in "000 001 011 111 110 112 000 102 112 000 111 010".split()]
@@ -42,8 +44,36 @@ def test_scores(data):
         assert (got.loglik, got.bic, got.k2, got.bdeu) == pytest.approx(want, abs=1e-9)
 
 
+def test_scores_of_requests(data):
+    """The same in numpy, from packed columns; rows with a weight count as often."""
+    packed = pack(data, VS)
+    found = {r.family: r for r in scores.score_requests(packed, [(None, f) for f in FAMILIES], 10.0).collect()}
+    weighed = pack(data.groupBy(*VS.names).agg(F.count("*").alias("w")), VS, weight="w")
+    again = {r.family: r for r in scores.score_requests(weighed, [(None, f) for f in FAMILIES], 10.0).collect()}
+    for i, want in enumerate(EXPECTED):
+        for got in (found[i], again[i]):
+            assert (got.loglik, got.bic, got.k2, got.bdeu) == pytest.approx(want, abs=1e-9)
+    cells = {(r.family, r.j, r.k): r.n for r in count_cells(packed, [(None, f) for f in FAMILIES]).collect()}
+    assert cells == {(r.family, r.j, r.k): r.n for r in family_counts(data, FAMILIES, VS).collect()}
+
+
+def test_resamples_are_poisson():
+    h = np.random.Generator(np.random.PCG64(1)).integers(-(1 << 63), 1 << 63, 200_000, dtype=np.int64)
+    w, x = poisson(h, 1), poisson(h, 2)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w, x)[0, 1]) < 0.01
+    assert (poisson(h[::-1].copy(), 1)[::-1] == w).all()
+
+
+def test_bootstrap_in_lockstep(spark):
+    rows = spark.range(600).select("id", (F.col("id") % 2).cast("int").alias("a"), (F.col("id") % 2 * (F.col("id") % 7 > 0).cast("int")).cast("int").alias("b"), (F.floor(F.col("id") / 3) % 2).cast("int").alias("c"))
+    got = {(r.seed, r.u, r.v): r for r in boot.bootstrap(rows, ["id"], 5, (1, 2), Config(tabu_tenure=0)).collect()}
+    for seed in (1, 2):
+        assert sum(r["count"] for (s, u, v), r in got.items() if s == seed and {u, v} == {0, 1}) == 5
+        assert all(r.prob == r["count"] / 5 for r in got.values())
+
+
 def test_association(data):
-    got = {(r.u, r.v): r for r in assoc.with_p(assoc.association(assoc.pair_counts(data, VS), VS)).collect()}
+    got = {(r.u, r.v): r for r in assoc.with_p(assoc.associations(data, VS)).collect()}
     for pair, mi, chi2, df, p in (((0, 1), 0.135655577411, 3.0857142857, 1, 0.0789825793), ((0, 2), 0.253597110566, 4.8, 2, 0.0907179533), ((1, 2), 0.052198147791, 1.2342857143, 2, 0.5394836195)):
         r = got[pair]
         assert (r.mi, r.chi2, r.df, r.p) == pytest.approx((mi, chi2, df, p), abs=1e-9)
