@@ -2,75 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbora.scratch import clear_scratch, fresh, scratch_path, shared_dir, stored
+
+__all__ = ["clear_scratch", "fresh", "scratch_path", "shared_dir", "stored"]
+
 #: Bytes of text that one vectorised step handles at once (a longer document is a step of its own).
 CHUNK_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SYMBOL = np.random.Generator(np.random.PCG64(20240501)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-#: Folders of local sessions, by application, and what has been stored.
-_OWN: dict[str, str] = {}
-_WRITTEN: list[tuple[str, str]] = []
 _POW = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def fresh(taken: list[str], *names: str) -> list[str]:
-    """Names for helper columns that clash with none of the taken ones, in Spark's sense (case does not tell names apart)."""
-    used, out = {t.lower() for t in taken}, []
-    for name in names:
-        while name.lower() in used:
-            name = f"_{name}"
-        used.add(name.lower())
-        out.append(name)
-    return out
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a folder of its own
-    for as long as it lives; a cluster has none that all its machines would see, and raises."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if context.applicationId not in _OWN:
-            _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="arbora-")
-        found = _OWN[context.applicationId]
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark.sparkContext.applicationId, path))
-    return path
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Deletes what this application's operators have stored so far. Call it when their results have been written or collected."""
-    own = [p for app, p in _WRITTEN if app == spark.sparkContext.applicationId]
-    _WRITTEN[:] = [(app, p) for app, p in _WRITTEN if app != spark.sparkContext.applicationId]
-    for path in own:
-        fs, base = filesystem(path if "://" in path else f"file://{path}")
-        if fs.get_file_info(base).type != pafs.FileType.NotFound:
-            fs.delete_dir(base)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
     """df as a table in the shared folder, bucketed and sorted by key, so that joins on key need not shuffle it; and the table's
     name, by which the caller drops it from the catalogue."""
