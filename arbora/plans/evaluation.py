@@ -90,41 +90,58 @@ def closure(start: set[int], step: list[set[int]]) -> set[int]:
     return out
 
 
-def separated(n: int, edges: Edges, a: int, b: int, given: set[int]) -> bool:
-    """d-separation in the moralised graph of ancestors; an end among the given counts as separated."""
-    if a in given or b in given:
-        return True
-    parents, _ = neighbours(n, edges)
-    kept = {a, b} | given
-    kept |= closure(kept, parents)
-    near: dict[int, set[int]] = {x: set() for x in kept}
-    for v in kept:
-        ps = sorted(parents[v])
-        for i, p in enumerate(ps):
-            near[v].add(p)
-            near[p].add(v)
-            for q in ps[:i]:
-                near[p].add(q)
-                near[q].add(p)
-    todo, seen = [a], {a}
+def connected(start: set[int], parents: list[set[int]], children: list[set[int]], given: set[int], skip: set[tuple[int, int]] = frozenset()) -> set[int]:
+    """All nodes that an open path joins to start, given the nodes: a ball is passed along edges, up from where it came or down.
+
+    From above a ball goes on to children unless the node is given, and bounces back to parents if the node or one of its
+    descendants is given; from below it goes on in both directions unless the node is given. Edges in skip are not there.
+    """
+    above = set(given)
+    todo = list(given)
     while todo:
-        for y in near[todo.pop()] - seen - given:
-            if y == b:
-                return False
-            seen.add(y)
-            todo.append(y)
-    return True
+        x = todo.pop()
+        new = {p for p in parents[x] if (p, x) not in skip} - above
+        above |= new
+        todo += new
+    reached, seen = set(), set()
+    balls = [(x, True) for x in start]
+    while balls:
+        x, from_below = balls.pop()
+        if (x, from_below) in seen:
+            continue
+        seen.add((x, from_below))
+        if x not in given:
+            reached.add(x)
+            balls += [(c, False) for c in children[x] if (x, c) not in skip]
+        if (x not in given) if from_below else (x in above):
+            balls += [(p, True) for p in parents[x] if (p, x) not in skip]
+    return reached
 
 
-def valid_adjustment(n: int, edges: Edges, i: int, j: int, given: set[int]) -> bool:
-    """Whether adjusting for the given nodes yields the effect of i on j in the network."""
-    _, children = neighbours(n, edges)
-    if j not in closure({i}, children):
-        return separated(n, edges, i, j, given)
-    causal = {c for c in children[i] if c == j or j in closure({c}, children)}
-    if given & (causal | closure(causal, children)):
-        return False
-    return separated(n, [e for e in edges if not (e[0] == i and e[1] in causal)], i, j, given)
+def separated(n: int, edges: Edges, a: int, b: int, given: set[int]) -> bool:
+    """d-separation; an end among the given counts as separated."""
+    parents, children = neighbours(n, edges)
+    return a in given or b in given or b not in connected({a}, parents, children, given)
+
+
+def wrong_effects(i: int, parents: list[set[int]], children: list[set[int]], below: list[set[int]], given: set[int]) -> int:
+    """Of how many other nodes adjusting for the given ones gets the effect of i wrong. below: each node's descendants.
+
+    For a node that i does not cause, an open path is wrong. Of a node that i causes, what adjusts must not lie on a causal
+    path or below one, and no path may be open but those that begin with an edge of i toward the node.
+    """
+    open_ = set() if i in given else connected({i}, parents, children, given)
+    wrong = sum(j not in given and j in open_ for j in range(len(parents)) if j != i and j not in below[i])
+    by_first: dict[frozenset, list[int]] = {}
+    for j in below[i]:
+        by_first.setdefault(frozenset(c for c in children[i] if c == j or j in below[c]), []).append(j)
+    for first, nodes in by_first.items():
+        if given & first.union(*(below[c] for c in first)):
+            wrong += len(nodes)
+        elif i not in given:
+            still = connected({i}, parents, children, given, {(i, c) for c in first})
+            wrong += sum(j not in given and j in still for j in nodes)
+    return wrong
 
 
 def sid(spark: SparkSession, n: int, truth: Edges, pred: Edges) -> DataFrame:
@@ -134,9 +151,12 @@ def sid(spark: SparkSession, n: int, truth: Edges, pred: Edges) -> DataFrame:
         raise ValueError("both networks must be acyclic")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, other = neighbours(n, truth)[0], neighbours(n, pred)[0]
+        (own, children), other = neighbours(n, truth), neighbours(n, pred)[0]
+        below: list[set[int]] = [set() for _ in range(n)]
+        for v in reversed(topological_order(n, truth)):
+            below[v] = children[v].union(*(below[c] for c in children[v]))
         for batch in batches:
-            wrong = [0 if own[i] == other[i] else sum(not valid_adjustment(n, truth, i, j, other[i]) for j in range(n) if j != i) for i in batch["id"]]
+            wrong = [0 if own[i] == other[i] else wrong_effects(i, own, children, below, other[i]) for i in batch["id"]]
             yield pd.DataFrame({"i": batch["id"].astype("int32"), "errors": pd.Series(wrong, dtype="int64")})
 
     return spark.range(n).repartition(min(n, 64)).mapInPandas(count, "i int, errors long")
@@ -151,6 +171,8 @@ def reachable(edges: DataFrame, depth: int | None = None) -> DataFrame:
         longer = a.join(b, F.col("a.v") == F.col("b.u")).select(F.col("a.u").alias("u"), F.col("b.v").alias("v"))
         new = out.unionByName(longer).distinct().cache()
         m = new.count()
+        if rounds:
+            out.unpersist()
         out, rounds = new, rounds + 1
         if m == n:
             break
@@ -205,6 +227,32 @@ def kl_divergence(spark: SparkSession, p: Network, q: Network, max_states: int =
     return a.join(b, list(p.names)).agg(F.sum(term).alias("kl"))
 
 
+def kl_by_family(spark: SparkSession, p: Network, q: Network) -> DataFrame:
+    """kl_divergence() without listing all states: the sum over nodes of what q's table of a node adds, given p's joint of the node and
+    its parents in q. That joint needs only the node's, its parents' and their ancestors' tables; it is summed out as it is built."""
+    above = neighbours(len(p.names), p.edges())[0]
+    rank = {v: i for i, v in enumerate(p.order())}
+    total = None
+    for v in range(len(p.names)):
+        for net, sign in ((p, 1.0), (q, -1.0)):
+            kept = {v, *net.parents[v]}
+            needed = sorted(kept | closure(kept, above), key=rank.get)
+            df = spark.range(1).select(F.lit(1.0).alias("p"))
+            for i, x in enumerate(needed):
+                df = df.select("*", F.explode(F.array(*[F.lit(k) for k in range(p.cards[x])])).alias(p.names[x]))
+                j = mixed_radix([F.col(p.names[y]) for y in p.parents[x]], [p.cards[y] for y in p.parents[x]])
+                flat = F.array(*[F.lit(float(t)) for t in p.tables[x].ravel()])
+                df = df.withColumn("p", F.col("p") * F.element_at(flat, (j * p.cards[x] + F.col(p.names[x]) + 1).cast("int"))).where("p > 0")
+                later = kept.union(*(p.parents[y] for y in needed[i + 1 :]))
+                df = df.groupBy(*[p.names[y] for y in needed[: i + 1] if y in later]).agg(F.sum("p").alias("p"))
+            j = mixed_radix([F.col(p.names[y]) for y in net.parents[v]], [p.cards[y] for y in net.parents[v]])
+            flat = F.array(*[F.lit(float(t)) for t in net.tables[v].ravel()])
+            t = F.element_at(flat, (j * p.cards[v] + F.col(p.names[v]) + 1).cast("int"))
+            one = df.agg((sign * F.sum(F.col("p") * F.when(t > 0, F.log(t)).otherwise(float("-inf")))).alias("kl"))
+            total = one if total is None else total.unionByName(one)
+    return total.agg(F.greatest(F.sum("kl"), F.lit(0.0)).alias("kl"))
+
+
 def benchmark_summary(rows: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """by..., metric, mean, sd, n, n_missing. Null, NaN and infinite values are missing; a single value has sd 0."""
     long = rows.unpivot(list(by), [c for c in metrics], "metric", "value")

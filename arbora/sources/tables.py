@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,15 +28,24 @@ def read_discrete(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_edges(spark: SparkSession, path: str, vs: Variables | None = None) -> DataFrame:
-    """u, v of a list of edges by index or, with vs, by name; tab, comma or space separated; # comments and a header word are skipped."""
+    """u, v of a list of edges by index or, with vs, by index or name; tab, comma or space separated; # comments and a header word are
+    skipped, repeated edges count once. Loops, and with vs places and names that no variable has, raise.
+    """
     lines = spark.read.text(path).where("trim(value) <> '' AND NOT ltrim(value) LIKE '#%'")
     p = F.split(F.trim("value"), r"[\t, ]+")
     rows = lines.select(p[0].alias("a"), p[1].alias("b")).where(~F.lower("a").isin("u", "parent", "from", "source"))
-    if vs is None:
-        return rows.select(F.col("a").cast("int").alias("u"), F.col("b").cast("int").alias("v")).where("u <> v").distinct()
-    names = spark.createDataFrame([(i, n) for i, n in enumerate(vs.names)], "i int, n string")
-    a, b = names.withColumnsRenamed({"i": "u", "n": "a"}), names.withColumnsRenamed({"i": "v", "n": "b"})
-    return rows.join(a, "a").join(b, "b").select("u", "v").distinct()
+
+    def place(c: str) -> Column:
+        index = F.when(F.col(c).rlike("^-?[0-9]+$"), F.col(c).cast("int"))
+        if vs is not None:
+            known = F.map_from_arrays(F.array(*[F.lit(n) for n in vs.names]), F.array(*[F.lit(i) for i in range(len(vs.names))]))
+            index = F.coalesce(F.try_element_at(known, F.col(c)), index)
+            index = F.when((index >= 0) & (index < len(vs.names)), index)
+        return index
+
+    out = rows.select(place("a").alias("u"), place("b").alias("v"), F.concat_ws(" -> ", "a", "b").alias("edge"))
+    good = F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))
+    return out.where(F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("not an edge of the network: "), "edge")).isNotNull())).select("u", "v").distinct()
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
