@@ -13,7 +13,7 @@ from arbora.operators import assoc, edges, prep, profile, scores
 from arbora.operators.counts import Variables, cardinalities, drop_parent, families_of, family_counts, with_totals
 from arbora.operators.importance import edge_importance
 from arbora.plans import bootstrap as boot
-from arbora.plans import evaluation, search
+from arbora.plans import evaluation, search, workflow
 
 VIEWS = {
     "bn_li": """
@@ -299,22 +299,6 @@ def _keyed(spark, sf):
     return rows.select(F.xxhash64(*columns, "copy").alias("key"), a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"), (c * d).alias("e"), ((F.col("l_linenumber") + c) % 2).cast("int").alias("f"))
 
 
-_FREQ = [(1, 0, 1, 8, 0.8), (1, 1, 2, 5, 0.5), (1, 2, 0, 6, 0.6), (1, 3, 1, 1, 0.1), (2, 0, 1, 9, 0.9), (2, 1, 2, 4, 0.4), (2, 2, 0, 1, 0.1), (2, 1, 3, 5, 0.5), (2, 3, 0, 2, 0.2)]
-_FREQ_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"({s}, {u}, {v}, {c}, {p}::DOUBLE)" for s, u, v, c, p in _FREQ) + ") AS t(seed, u, v, count, prob))"
-
-
-@query("bootstrap_integrated", f'SELECT u, v, CAST(sum("count") AS BIGINT) AS count, round(sum(prob) / 2, 9) AS prob FROM {_FREQ_SQL} GROUP BY u, v HAVING sum(prob) / 2 >= 0.2 AND sum("count") >= 2')
-def _(spark, sf):
-    f = spark.createDataFrame(_FREQ, "seed int, u int, v int, count long, prob double")
-    return boot.consensus(boot.integrate(f, 2), acyclic=False).withColumn("prob", F.round("prob", 9))
-
-
-@query("consensus_edges", "SELECT * FROM (VALUES (0, 1, 17::BIGINT, 0.85::DOUBLE), (1, 2, 9::BIGINT, 0.45::DOUBLE), (1, 3, 5::BIGINT, 0.25::DOUBLE)) AS t(u, v, count, prob)")
-def _(spark, sf):
-    f = spark.createDataFrame(_FREQ, "seed int, u int, v int, count long, prob double")
-    return boot.consensus(boot.integrate(f, 2)).withColumn("prob", F.round("prob", 9))
-
-
 # --- importance ---------------------------------------------------------------------------------------------
 
 
@@ -412,7 +396,8 @@ def _(spark, sf):
     return prep.informative(prep.compact(codes)).select("gene", "sample", "code")
 
 
-_META = "(SELECT c_custkey AS sample, c_mktsegment AS g FROM customer WHERE c_custkey % 3 <> 0)"
+# Customers in debt have no group here, so that some samples stay without one.
+_META = "(SELECT c_custkey AS sample, c_mktsegment AS g FROM customer WHERE c_acctbal >= 0)"
 
 
 @query(
@@ -427,7 +412,7 @@ def _(spark, sf):
 
 def _aligned(spark, sf):
     samples = spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.col("o_custkey").alias("sample")).agg(F.min("o_orderkey").alias("ix"))
-    meta = spark.read.parquet(f"{sf}/customer.parquet").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("sample"), F.col("c_mktsegment").alias("group"), F.col("c_custkey").alias("ix"))
+    meta = spark.read.parquet(f"{sf}/customer.parquet").where("c_acctbal >= 0").select(F.col("c_custkey").alias("sample"), F.col("c_mktsegment").alias("group"), F.col("c_custkey").alias("ix"))
     return prep.align(samples, meta)[0]
 
 
@@ -448,18 +433,26 @@ def _(spark, sf):
 
 # --- edge sets ----------------------------------------------------------------------------------------------
 
-_T, _P = [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4)], [(0, 1), (2, 0), (1, 3), (1, 4)]
+#: A network taken for true and one taken for predicted: of the trade between nations what is frequent, some of it turned round.
+_TRUE = "SELECT CAST(u AS INT) AS u, CAST(v AS INT) AS v FROM {e} WHERE n % 3 <> 0"
+_PRED = "SELECT CAST(CASE WHEN n % 5 = 0 THEN v ELSE u END AS INT) AS u, CAST(CASE WHEN n % 5 = 0 THEN u ELSE v END AS INT) AS v FROM {e} WHERE n % 3 <> 1"
+_SOME = "SELECT CAST(u AS INT) AS u, CAST(v AS INT) AS v FROM {e} WHERE n % 2 = 0"
+_E = _sql("edges_nat")
+
+
+def _network(spark, sf, text: str) -> DataFrame:
+    return spark.sql(text, e=view(spark, sf, "edges_nat"))
 
 
-def _values(rows) -> str:
-    return "(SELECT * FROM (VALUES " + ", ".join(f"({u}, {v})" for u, v in rows) + ") AS t(u, v))"
+def _pair(spark, sf):
+    return _network(spark, sf, _TRUE), _network(spark, sf, _PRED)
 
 
-def _pair(spark):
-    return spark.createDataFrame(_T, "u int, v int"), spark.createDataFrame(_P, "u int, v int")
+def _distinct(text: str) -> str:
+    return f"(SELECT DISTINCT u, v FROM ({text.format(e=_E)}) x)"
 
 
-_SETS = f"""WITH t AS {_values(_T)}, p AS {_values(_P)}, st AS (SELECT DISTINCT least(u, v) a, greatest(u, v) b FROM t), sp AS (SELECT DISTINCT least(u, v) a, greatest(u, v) b FROM p),
+_SETS = f"""WITH t AS {_distinct(_TRUE)}, p AS {_distinct(_PRED)}, st AS (SELECT DISTINCT least(u, v) a, greatest(u, v) b FROM t), sp AS (SELECT DISTINCT least(u, v) a, greatest(u, v) b FROM p),
 tp AS (SELECT * FROM t INTERSECT SELECT * FROM p), stp AS (SELECT * FROM st INTERSECT SELECT * FROM sp),
 rev AS (SELECT * FROM (SELECT * FROM p EXCEPT SELECT * FROM t) x WHERE EXISTS (SELECT 1 FROM t WHERE t.u = x.v AND t.v = x.u)),
 c AS (SELECT (SELECT count(*) FROM t) nt, (SELECT count(*) FROM p) np, (SELECT count(*) FROM tp) ntp, (SELECT count(*) FROM st) nst, (SELECT count(*) FROM sp) nsp, (SELECT count(*) FROM stp) nstp, (SELECT count(*) FROM rev) nr)"""
@@ -472,7 +465,7 @@ round(ntp / np, 9) AS directed_precision, round(ntp / nt, 9) AS directed_recall,
 round(nstp / nsp, 9) AS skeleton_precision, round(nstp / nst, 9) AS skeleton_recall, round(2 * nstp / (nsp + nst), 9) AS skeleton_f1 FROM c""",
 )
 def _(spark, sf):
-    m = edges.structure_metrics(*_pair(spark))
+    m = edges.structure_metrics(*_pair(spark, sf))
     return m.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes])
 
 
@@ -482,7 +475,7 @@ def _(spark, sf):
 round(ntp / np, 9) AS precision, round(ntp / nt, 9) AS recall, round(2 * ntp / (np + nt), 9) AS f1 FROM c""",
 )
 def _(spark, sf):
-    m = edges.comparison(*_pair(spark))
+    m = edges.comparison(*_pair(spark, sf))
     return m.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes])
 
 
@@ -492,7 +485,7 @@ def _(spark, sf):
 UNION ALL SELECT u, v, 'FN' FROM (SELECT * FROM t EXCEPT SELECT * FROM p)""",
 )
 def _(spark, sf):
-    return edges.verdicts(*_pair(spark))
+    return edges.verdicts(*_pair(spark, sf))
 
 
 @query("skeleton", f"SELECT DISTINCT least(u, v) AS a, greatest(u, v) AS b FROM {_sql('edges_nat')}")
@@ -505,20 +498,48 @@ def _(spark, sf):
     return edges.two_cycles(view(spark, sf, "edges_nat"))
 
 
-@query("eval_pairs", f"{_SETS}, e AS {_values([(0, 2), (1, 3), (4, 1)])} SELECT u, v, 'truth' AS side FROM t WHERE (u, v) IN (SELECT (u, v) FROM e) UNION ALL SELECT u, v, 'pred' FROM p WHERE (least(u, v), greatest(u, v)) IN (SELECT (least(u, v), greatest(u, v)) FROM e)")
+@query("eval_pairs", f"{_SETS}, e AS {_distinct(_SOME)} SELECT u, v, 'truth' AS side FROM t WHERE (u, v) IN (SELECT (u, v) FROM e) UNION ALL SELECT u, v, 'pred' FROM p WHERE (least(u, v), greatest(u, v)) IN (SELECT (least(u, v), greatest(u, v)) FROM e)")
 def _(spark, sf):
-    t, p = edges.restrict(*_pair(spark), spark.createDataFrame([(0, 2), (1, 3), (4, 1)], "u int, v int"))
+    t, p = edges.restrict(*(x.distinct() for x in _pair(spark, sf)), _network(spark, sf, _SOME))
     return t.withColumn("side", F.lit("truth")).unionByName(p.withColumn("side", F.lit("pred")))
 
 
-@query("descendants", f"WITH RECURSIVE e AS {_values(_T)}, r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u) SELECT u, v FROM r")
+_RARE = "SELECT CAST(u AS INT) AS u, CAST(v AS INT) AS v FROM {e} WHERE n % 11 = 0 AND u < v"
+
+
+@query("descendants", f"WITH RECURSIVE e AS {_distinct(_RARE)}, r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u) SELECT u, v FROM r")
 def _(spark, sf):
-    return evaluation.reachable(_pair(spark)[0])
+    return evaluation.reachable(_network(spark, sf, _RARE))
 
 
 @query("sid")
 def _(spark, sf):
-    return evaluation.sid(spark, 5, _T, _P)
+    """Of the network that greedy search finds, against the one that made the data."""
+    found = search.learn(view(spark, sf, "bn_dep"), _SMALL, vs=DEP)
+    return evaluation.sid(spark, 6, [(0, 2), (1, 2), (2, 4), (3, 4), (2, 5)], found.edges)
+
+
+@query("verdict_counts", f"""{_SETS} SELECT 'TP' AS status, ntp AS n FROM c WHERE ntp > 0 UNION ALL SELECT 'FP_reversed', nr FROM c WHERE nr > 0
+UNION ALL SELECT 'FP', np - ntp - nr FROM c WHERE np - ntp - nr > 0 UNION ALL SELECT 'FN', nt - ntp FROM c WHERE nt > ntp""")
+def _(spark, sf):
+    return workflow.verdict_counts(edges.verdicts(*_pair(spark, sf)))
+
+
+@query("consensus_edges", f"""WITH f AS (SELECT s AS seed, u, v, n + s AS c, ((n + s) % 97) / 100.0::DOUBLE AS prob FROM ({_RARE.format(e=_E).replace("AS v FROM", "AS v, n FROM")}) x, range(1, 4) r(s))
+SELECT u, v, CAST(sum(c) AS BIGINT) AS count, round(sum(prob) / 3, 9) AS prob FROM f GROUP BY u, v HAVING sum(prob) / 3 >= 0.2 AND sum(c) >= 2""")
+def _(spark, sf):
+    """Edges from a smaller to a larger nation close no cycle, so all past the thresholds stay."""
+    n = spark.sql(_RARE.replace("AS v FROM", "AS v, n FROM"), e=view(spark, sf, "edges_nat")).withColumn("seed", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])))
+    f = n.select("seed", "u", "v", (F.col("n") + F.col("seed")).alias("count"), ((F.col("n") + F.col("seed")) % 97 / 100.0).alias("prob"))
+    return boot.consensus(boot.integrate(f, 3)).withColumn("prob", F.round("prob", 9))
+
+
+@query("bootstrap_integrated", f"""WITH f AS (SELECT s AS seed, u, v, n + s AS c, ((n + s) % 97) / 100.0::DOUBLE AS prob FROM {_E} e, range(1, 4) r(s) WHERE (n + s) % 4 <> 0)
+SELECT u, v, CAST(sum(c) AS BIGINT) AS count, round(sum(prob) / 3, 9) AS prob FROM f GROUP BY u, v""")
+def _(spark, sf):
+    n = view(spark, sf, "edges_nat").withColumn("seed", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)]))).where("(n + seed) % 4 <> 0")
+    f = n.select("seed", "u", "v", (F.col("n") + F.col("seed")).alias("count"), ((F.col("n") + F.col("seed")) % 97 / 100.0).alias("prob"))
+    return boot.integrate(f, 3).withColumn("prob", F.round("prob", 9))
 
 
 # --- networks -----------------------------------------------------------------------------------------------
@@ -556,23 +577,23 @@ def _(spark, sf):
     return evaluation.sample(spark, _NET, 20_000, 7).groupBy(*_NET.names).agg(F.count("*").alias("n"))
 
 
-_RUNS = [("asia", 100, 3.0, 0.5), ("asia", 100, 5.0, float("inf")), ("asia", 500, 2.0, None), ("sachs", 100, float("nan"), 0.25), ("sachs", 100, 7.5, 0.75)]
+_BENCH = "SELECT event_type AS network, CAST(user_id % 3 AS INT) AS n_rows, CASE WHEN value > 400 THEN NULL ELSE value END AS shd, CASE WHEN value < 1 THEN CAST('Infinity' AS DOUBLE) WHEN value > 300 THEN CAST('NaN' AS DOUBLE) ELSE value / 7 END AS kl FROM {t}"
 
 
 @query(
     "benchmark_summary",
-    """WITH r AS (SELECT * FROM (VALUES ('asia', 100, 3.0::DOUBLE, 0.5::DOUBLE), ('asia', 100, 5.0, 'inf'::DOUBLE), ('asia', 500, 2.0, NULL), ('sachs', 100, 'nan'::DOUBLE, 0.25), ('sachs', 100, 7.5, 0.75)) t(network, rows_, shd, kl)),
-l AS (SELECT network, rows_, 'shd' AS metric, shd AS x FROM r UNION ALL SELECT network, rows_, 'kl', kl FROM r),
-f AS (SELECT network, rows_, metric, CASE WHEN isfinite(x) THEN x END AS x FROM l)
-SELECT network, rows_ AS n_rows, metric, avg(x) AS mean, CASE WHEN count(x) = 1 THEN 0 ELSE stddev_samp(x) END AS sd, count(x) AS n, count(*) - count(x) AS n_missing FROM f GROUP BY ALL""",
+    f"""WITH r AS ({_BENCH.format(t="events")}),
+l AS (SELECT network, n_rows, 'shd' AS metric, shd AS x FROM r UNION ALL SELECT network, n_rows, 'kl', kl FROM r),
+f AS (SELECT network, n_rows, metric, CASE WHEN isfinite(x) THEN x END AS x FROM l)
+SELECT network, n_rows, metric, round(avg(x), 6) AS mean, round(CASE WHEN count(x) = 1 THEN 0 ELSE stddev_samp(x) END, 6) AS sd, count(x) AS n, count(*) - count(x) AS n_missing FROM f GROUP BY ALL""",
 )
 def _(spark, sf):
-    return evaluation.benchmark_summary(spark.createDataFrame(_RUNS, "network string, n_rows int, shd double, kl double"), ["network", "n_rows"], ["shd", "kl"])
+    rows = spark.sql(_BENCH, t=spark.read.parquet(f"{sf}/events.parquet"))
+    return evaluation.benchmark_summary(rows, ["network", "n_rows"], ["shd", "kl"]).withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
 
 
 # --- views of edges -----------------------------------------------------------------------------------------
 
-_E = _sql("edges_nat")
 _ENDS = f"(SELECT u AS node, 1 AS o, 0 AS i FROM {_E} UNION ALL SELECT v, 0, 1 FROM {_E})"
 _DEGREES = f"(SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, CAST(count(*) AS BIGINT) AS degree FROM {_ENDS} GROUP BY node)"
 
@@ -625,9 +646,30 @@ def _(spark, sf):
     return edges.induced(e, edges.hubs(e, 5)).select("u", "v")
 
 
-@query("ego_network", f"WITH t AS {_values(_T)} SELECT u, v FROM t WHERE u IN (3, 1, 2, 4) AND v IN (3, 1, 2, 4)")
+@query("ego_network", f"WITH t AS {_distinct(_RARE)}, k AS (SELECT 3 AS x UNION SELECT u FROM t WHERE v = 3 UNION SELECT v FROM t WHERE u = 3) SELECT u, v FROM t WHERE u IN (SELECT x FROM k) AND v IN (SELECT x FROM k)")
+def _(spark, sf):
+    return edges.ego(_network(spark, sf, _RARE).distinct(), spark.createDataFrame([(3,)], "node int")).select("u", "v")
+
+
+@query("node_neighbours", f"SELECT DISTINCT 'parent' AS side, u AS node FROM {_E} WHERE v = 7 UNION ALL SELECT DISTINCT 'child', v FROM {_E} WHERE u = 7")
+def _(spark, sf):
+    return workflow.neighbours_of(view(spark, sf, "edges_nat"), 7)
+
+
+@query("strongest_share", f"WITH r AS (SELECT *, row_number() OVER (ORDER BY w) AS place, count(*) OVER () AS k FROM {_E}) SELECT u, v, w FROM r WHERE w >= (SELECT w FROM r WHERE place = floor(0.7::DOUBLE * (k - 1) + 0.5) + 1)")
+def _(spark, sf):
+    return workflow.strongest_share(view(spark, sf, "edges_nat"), "w").select("u", "v", "w")
+
+
+@query("node_search", f"SELECT n_name AS name, degree FROM {_DEGREES} d JOIN nation ON node = n_nationkey WHERE contains(lower(n_name), 'i') ORDER BY degree DESC, name LIMIT 40")
+def _(spark, sf):
+    nodes = edges.degrees(view(spark, sf, "edges_nat")).join(spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("node"), F.col("n_name").alias("name")), "node")
+    return workflow.find_nodes(nodes.select("name", "degree"), "I")
+
+
+@query("group_tops", f"SELECT u % 5 AS grp, CAST(row_number() OVER (PARTITION BY u % 5 ORDER BY w DESC, u, v) AS INT) AS place, u, v, w AS value, (SELECT max(w) FROM {_E}) AS greatest FROM {_E} QUALIFY place <= 3")
 def _(spark, sf):
-    return edges.ego(_pair(spark)[0], spark.createDataFrame([(3,)], "node int")).select("u", "v")
+    return workflow.group_tops(view(spark, sf, "edges_nat").withColumn("grp", F.col("u") % 5), "grp", "w", 3)
 
 
 @query("network_payload", f"WITH e AS {_E}, d AS {_DEGREES} SELECT e.u, e.v, e.n, CASE WHEN e.n > 90 THEN e.w END AS importance, CASE WHEN e.n % 2 = 0 THEN 0.5::DOUBLE END AS prob, a.degree AS u_degree, b.degree AS v_degree FROM e JOIN d a ON e.u = a.node JOIN d b ON e.v = b.node")

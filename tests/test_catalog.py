@@ -19,5 +19,6 @@ def test_search_finds_the_injected_skeleton(spark):
 def test_sid_of_equal_networks_is_zero(spark):
     from arbora.plans.evaluation import sid
 
-    assert sid(spark, 5, catalog._T, catalog._T).groupBy().sum("errors").first()[0] == 0
-    assert sid(spark, 5, catalog._T, []).groupBy().sum("errors").first()[0] > 0
+    truth = [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4)]
+    assert sid(spark, 5, truth, truth).groupBy().sum("errors").first()[0] == 0
+    assert sid(spark, 5, truth, []).groupBy().sum("errors").first()[0] > 0
