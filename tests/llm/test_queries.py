@@ -1,27 +1,11 @@
-"""The queries against their SQL, and the pipeline."""
+"""The queries against their SQL."""
 
 import pytest
 from oracle import SF, same
 
-import corpus_pipeline
 from arbora.llm import queries
-from arbora.llm.common import stored
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     same(queries.QUERIES[name](spark, SF), queries.SQL[name], SF)
-
-
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, before = docs.columns, {r.doc_id: r.text for r in docs.collect()}
-    sizes = [len(before)]
-    for name, stage in corpus_pipeline.STAGES:
-        new = stored(stage(spark, docs, SF), f"test-{name}")
-        assert set(columns) <= set(new.columns) if stage is corpus_pipeline.STAGES[-1][1] else new.columns == columns
-        assert {r.doc_id for r in new.select("doc_id").collect()} <= {r.doc_id for r in docs.select("doc_id").collect()}
-        docs = new
-        sizes.append(docs.count())
-    assert sizes[0] > sizes[1] >= sizes[2] >= sizes[3] == sizes[4] == sizes[5] > 0.5 * sizes[0]
-    assert docs.select("text").distinct().count() == sizes[5]

@@ -244,6 +244,14 @@ def test_token_counts(frame, corpus, block):
     assert got == {i: len(encoder.encode(t or "")) for i, t in enumerate(corpus)}
 
 
+def test_token_counts_of_nothing_null_ids_and_repeats(spark, frame):
+    assert token_scan.count_tokens(frame([])).count() == 0
+    df = spark.createDataFrame([(None, "a b"), (3, "a b"), (3, "a b"), (4, None)], "doc_id long, text string").withColumns({"file": F.lit(1), "ordinal": F.lit(2)})
+    got = [(r.doc_id, r.n_tokens) for r in token_scan.count_tokens(df).collect()]
+    n = dict(got)[3]
+    assert n > 0 and sorted(got, key=str) == sorted([(None, n), (3, n), (3, n), (4, 0)], key=str)
+
+
 def test_stitching_over_blocks(spark, tmp_path):
     ids = [5, 6, 2, 2, *[9] * 25, 2, 7, 7]
     np.array(ids, "<u2").tofile(tmp_path / "a.tok")
