@@ -98,7 +98,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, repeats=REPEATS, shapes=S
 
 def _plan(rows: DataFrame, weights, share, repeats, shapes, piece_rows: int) -> DataFrame:
     """row, doc_id, source, size, key, tie -> row, doc_id, source and the new columns of mix()."""
-    pieces = max(1, math.ceil(rows.count() / piece_rows))
+    # At least a piece for each shuffle partition, so that a hot source is spread over all of them.
+    pieces = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / piece_rows))
     rows = rows.withColumn("piece", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * pieces / F.lit(1 << 32)).cast("int"))
     piece_sizes = rows.groupBy("source", "piece").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
