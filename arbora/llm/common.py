@@ -47,10 +47,8 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, copies: str, values
     return spread(rows, table, key, values, table.where(F.col(copies) > max(1, int(total * HOT_SHARE))))
 
 
-def spread(rows: DataFrame, table: DataFrame, key: str, values: list[str], hot: DataFrame | None) -> DataFrame:
-    """spread_join() where the caller names the table's hot rows, if any; their number and size must have a bound, as they are broadcast."""
-    if hot is None:
-        return rows.join(table.select(key, *values).hint("merge"), key, "left").select(*rows.columns, *values)
+def spread(rows: DataFrame, table: DataFrame, key: str, values: list[str], hot: DataFrame) -> DataFrame:
+    """spread_join() where the caller names the table's hot rows, none or more; their number and size must have a bound, as they are broadcast."""
     hot_key, hit, other, *hot_values = fresh([*rows.columns, key, *values], "hot_key", "hit", "other", *[f"hot_{v}" for v in values])
     # A function of the row, so that a repeated task deals it to the same place; it equals no key.
     kind, own = rows.schema[key].dataType, F.xxhash64(*rows.columns)

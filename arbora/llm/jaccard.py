@@ -284,11 +284,12 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch("a long, b long, da binary, db binary", *[[c[i] for i in good] for c in (a, b, da, db)])
 
 
-def _hot(pairs: DataFrame, key: str, table: DataFrame, size: str) -> DataFrame | None:
-    """The rows of table that more than a thousandth of all pairs name, so 1000 at most, and are no longer than HOT_BYTES each."""
+def _hot(pairs: DataFrame, key: str, table: DataFrame, size: str) -> DataFrame:
+    """The rows of table that more than a thousandth of all pairs name, so 1000 at most, and are no longer than HOT_BYTES each.
+    There may be none: the pairs then go the same way."""
     least = max(SMALL, int(pairs.count() * HOT_SHARE))
     named = [r[0] for r in pairs.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > least).select(key).collect()]
-    return table.where(F.col(key).isin(named) & (F.octet_length(size) <= HOT_BYTES)) if named else None
+    return table.where(F.col(key).isin(named) & (F.octet_length(size) <= HOT_BYTES))
 
 
 def _links(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
