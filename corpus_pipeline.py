@@ -43,7 +43,7 @@ STAGES = [
     ("mixing", order_for_training),
 ]
 
-#: Models, shingle joins and embeddings are not SQL; tests/llm checks columns, ids and counts of each stage, not its rows.
+#: Models, shingle joins and embeddings are not SQL; tests/llm checks each stage's rows on a small corpus of planted cases.
 ORACLE_SQL = None
 
 
