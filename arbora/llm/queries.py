@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, decontam, jaccard, pii, simhash, suffix_dedup, token_scan, toxicity, url_filter, warc
+from . import curriculum, decontam, jaccard, merkle, pii, simhash, suffix_dedup, token_scan, toxicity, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -152,3 +152,58 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op5_suffix_dedup": op5_suffix_dedup}
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    lowered = merkle.leaf("doc_id", "source", "lang", "n_chars", F.translate("text", url_filter.UPPER, url_filter.LOWERED))
+    proofs = merkle.manifest(docs, keep={"tampered": F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, lowered)})
+    checked = merkle.verified(proofs.withColumn("tampered", F.coalesce("tampered", "leaf")), "tampered")
+    return checked.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("proof"))).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _merkle_sql(levels: int = 6, over: int = 3) -> str:
+    """SQL of the manifest for sources of up to 16**levels rows and up to 16**over sources."""
+
+    def field(value: str) -> str:
+        return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+    # CRC-32 bit by bit: each byte is put in at the first of its eight steps.
+    crc = "xor(list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ord(c)::UBIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384::UBIGINT)), 4294967295::UBIGINT)"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"t AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lowered)} END AS tampered FROM documents)",
+        "d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM t)",
+        "a0 AS (SELECT source AS g, p, leaf AS h FROM d)",
+    ]
+
+    def level(name: str, i: int) -> list[str]:
+        return [
+            f"{name}r{i} AS (SELECT g, p // 16 AS run, list(h ORDER BY p) AS hs, sum(count(*)) OVER (PARTITION BY g) AS n FROM {name}{i} GROUP BY g, p // 16)",
+            f"{name}{i + 1} AS (SELECT g, run AS p, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM {name}r{i})",
+        ]
+
+    for i in range(levels):
+        parts += level("a", i)
+    parts.append(f"b0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS p, h, g AS source FROM a{levels})")
+    for i in range(over):
+        parts += level("b", i)
+    parts.append(f"f0 AS (SELECT d.doc_id, d.leaf, d.source, d.p, b0.p AS s, b0.h AS subroot, (SELECT h FROM b{over}) AS root, '' AS proof, coalesce(tampered, leaf) AS f FROM d JOIN b0 ON d.source IS NOT DISTINCT FROM b0.source)")
+    done = 0
+    for name, group, place, n in (("a", "source", "p", levels), ("b", "0", "s", over)):
+        for i in range(n):
+            at, step = f"{place} // {16**i} % 16", f"{place} // {16 ** (i + 1)}"
+            left, right = f"array_to_string(hs[1:{at}], '')", f"array_to_string(hs[{at} + 2:], '')"
+            parts.append(
+                f"f{done + 1} AS (SELECT doc_id, leaf, source, f{done}.p, s, subroot, root, CASE WHEN n = 1 THEN proof ELSE proof || {left} || {right} END AS proof, "
+                f"CASE WHEN n = 1 THEN f ELSE sha256({left} || f || {right}) END AS f FROM f{done} JOIN {name}r{i} ON g IS NOT DISTINCT FROM {group} AND run = {step})"
+            )
+            done += 1
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified FROM f{done}"
+
+
+QUERIES |= {"op13_merkle_manifest": op13_merkle_manifest}
+SQL |= {"op13_merkle_manifest": _merkle_sql()}
