@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, decontam, jaccard, merkle, pii, simhash, suffix_dedup, token_scan, toxicity, url_filter, warc
+from . import curriculum, decontam, jaccard, merkle, pii, simhash, suffix_dedup, token_scan, topk, toxicity, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -207,3 +207,22 @@ def _merkle_sql(levels: int = 6, over: int = 3) -> str:
 
 QUERIES |= {"op13_merkle_manifest": op13_merkle_manifest}
 SQL |= {"op13_merkle_manifest": _merkle_sql()}
+
+
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS nth, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, q.nth, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.nth <> c.nth WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY nth ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+QUERIES |= {"op11_topk_search": op11_topk_search}
+SQL |= {"op11_topk_search": OP11_SQL}
