@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, decontam, jaccard, merkle, pii, simhash, suffix_dedup, token_scan, topk, toxicity, url_filter, warc
+from . import curriculum, decontam, jaccard, merkle, phrases, pii, simhash, suffix_dedup, token_scan, topk, toxicity, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -226,3 +226,36 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 QUERIES |= {"op11_topk_search": op11_topk_search}
 SQL |= {"op11_topk_search": OP11_SQL}
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_read(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (
+  SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w CROSS JOIN (VALUES (1), (2), (3)) sizes(m))),
+c AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM c WHERE m = 1 GROUP BY lang),
+k AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM c WHERE m > 1 AND f >= 10),
+inside AS (
+  SELECT lang, part, max(a) AS longest
+  FROM (SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS part FROM k WHERE m = 3) GROUP BY lang, part),
+kept AS (SELECT k.* FROM k LEFT JOIN inside ON k.lang = inside.lang AND k.phrase = part WHERE longest IS NULL OR 100 * longest < 50 * a),
+cuts AS (
+  SELECT kept.lang, kept.phrase, a, cut, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS cut FROM kept) kept
+  JOIN c l ON l.lang = kept.lang AND l.phrase = array_to_string(ws[1:cut], ' ')
+  JOIN c r ON r.lang = kept.lang AND r.phrase = array_to_string(ws[cut + 1:], ' ')),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM cuts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE nth = 1)
+SELECT ranked.lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000
+"""
+QUERIES |= {"op12_phrase_mining": op12_phrase_mining}
+SQL |= {"op12_phrase_mining": OP12_SQL}
