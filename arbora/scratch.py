@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,27 @@ def fresh(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+def set_aside(df: DataFrame, needed: Sequence[str], new: Sequence[str] = ()) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with the columns that an operator needs under these very names, those named like the ones it adds left out, and all others
+    under names that clash with nothing; and what gives a result's columns their own names back.
+
+    Names are told apart as Spark does, by case only where a needed name is there in its own case too; others may hold dots, backticks or
+    anything else, and may repeat.
+    """
+    serves = {}
+    for name in needed:
+        found = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+        if len(found) != 1:
+            raise ValueError(f"there must be one column {name}; there are {len(found)}")
+        serves[found[0]] = name
+    added = {n.lower() for n in new}
+    stand_ins = fresh([*needed, *new], *[f"other_{i}" for i in range(len(df.columns))])
+    names = [serves.get(i, stand_ins[i]) for i in range(len(df.columns))]
+    own = dict(zip(names, df.columns, strict=True))
+    out = df.toDF(*names).drop(*[n for i, n in enumerate(names) if i not in serves and df.columns[i].lower() in added])
+    return out, lambda result: result.toDF(*[own.get(c, c) for c in result.columns])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a folder of its own
     for as long as it lives; a cluster has none that all its machines would see, and raises."""
