@@ -10,9 +10,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.scratch import clear_scratch, fresh, scratch_path, shared_dir, stored
+from arbora.scratch import clear_scratch, fresh, scratch_path, set_aside, shared_dir, stored
 
-__all__ = ["clear_scratch", "fresh", "scratch_path", "shared_dir", "stored"]
+__all__ = ["clear_scratch", "fresh", "scratch_path", "set_aside", "shared_dir", "stored"]
 
 #: Bytes of text that one vectorised step handles at once (a longer document is a step of its own).
 CHUNK_BYTES = 1 << 20

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, stored
+from .common import fresh, set_aside, stored
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -82,18 +82,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, repeats=REPEATS, shapes=S
     columns are moved only to be joined to the result and sorted.
     """
     new = ["size", "source_size", "target", "taken", "position", "positions"]
-    kept = [c for c in docs.columns if c not in new and (keep is None or c in keep)]
+    if keep is not None:
+        docs = docs.drop(*[c for c in docs.columns if c not in (*keep, "doc_id", "source", "text")])
+    docs, back = set_aside(docs, ["doc_id", "source", "text"], new)
+    kept = [c for c in docs.columns if keep is None or c not in ("doc_id", "source", "text") or c in keep]
     row, words_, order, tie = fresh([*docs.columns, *new], "row", "words", "order", "tie")
     key = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string")))
     needed = [*kept, *[c for c in ("doc_id", "source") if c not in kept]]
     held = stored(docs.select(*needed, F.monotonically_increasing_id().alias(row), word_count(F.col("text")).cast("long").alias(words_), key.alias(order), F.xxhash64("text").alias(tie)), "mix-rows")
     plan = _plan(held.select(F.col(row).alias("row"), "doc_id", "source", F.col(words_).alias("size"), F.col(order).alias("key"), F.col(tie).alias("tie")), weights, share, repeats, shapes, piece_rows)
     if set(kept) <= {"doc_id", "source"}:  # nothing else to fetch
-        return plan.select(*kept, *new).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+        return back(plan.orderBy(F.col("position").asc_nulls_last(), "doc_id").select(*kept, *new))
     # The plan is the side that a task holds; texts only stream by, unsorted.
     plan = plan.select(F.col("row").alias(row), *new).hint("shuffle_hash")
     joined = held.select(*needed, row).join(plan, row)
-    return joined.orderBy(F.col("position").asc_nulls_last(), "doc_id").select(*kept, *new)
+    return back(joined.orderBy(F.col("position").asc_nulls_last(), "doc_id").select(*kept, *new))
 
 
 def _plan(rows: DataFrame, weights, share, repeats, shapes, piece_rows: int) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD, flat, mix, shingle_hashes, steps, word_hashes, words
+from .common import LOWER, WORD, flat, mix, set_aside, shingle_hashes, steps, word_hashes, words
 
 #: A span of words matches an item if it is within this share of the item's words in edits: replaced, dropped or added.
 MAX_EDITS = 0.2
@@ -331,7 +331,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, column: str = "n_leaks", block_b
 
     Items with a null item_id, which find() can't report, are counted too.
     """
-    out = docs.drop(column).withColumn(column, F.lit(0))
+    docs, back = set_aside(docs, ["text"], [column])
+    out = docs.withColumn(column, F.lit(0))
     for sent in _blocks(docs.sparkSession, benchmark, block_bytes, unnamed=True):
 
         def add(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -341,7 +342,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, column: str = "n_leaks", block_b
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(total, pa.int32())], batch.schema.names)
 
         out = out.mapInArrow(add, out.schema)
-    return out
+    return back(out)
 
 
 def _blocks(spark: SparkSession, benchmark: DataFrame, block_bytes: int, unnamed: bool = False):

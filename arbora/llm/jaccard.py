@@ -30,8 +30,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import HOT_SHARE, LOWER, SPACE, bucketed, flat, fresh, mix, shingle_hashes, spread, spread_join, steps, stored, word_hashes, words
+from .common import HOT_SHARE, LOWER, SPACE, bucketed, flat, fresh, mix, set_aside, shingle_hashes, spread, spread_join, steps, stored, word_hashes, words
 from .components import components
 
 NGRAM = 5
@@ -472,9 +473,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Of repeated rows with that id one is kept. Only the leaders' ids and digests are joined to the texts. Columns of docs are
     kept whatever their names.
     """
+    docs, back = set_aside(docs, ["doc_id", "text"])
     digest, least = fresh(docs.columns, "digest", "least")
     leaders = _classes(docs).where("digest = leader").select(F.col("digest").alias(digest), F.col("component_id").alias(least))
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{digest}` binary"])
+    fields = StructType([*docs.schema, StructField(digest, BinaryType())])
     at = docs.columns.index("text")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -486,4 +488,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     bare = rows.where(F.col(digest).isNull()).select(docs.columns)
     # Only rows with a leader's own id go into the join, so copies with other ids stay where they are.
     led = rows.join(leaders.hint("merge"), (rows[digest] == leaders[digest]) & F.col("doc_id").eqNullSafe(F.col(least))).drop(leaders[digest])
-    return led.dropDuplicates([digest]).select(docs.columns).unionByName(bare)
+    return back(led.dropDuplicates([digest]).select(docs.columns).unionByName(bare))

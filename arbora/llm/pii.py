@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, set_aside
 
 KEY = "arbora-demo-key"
 ROUNDS = 8
@@ -227,15 +227,16 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
     stay null with n_private 0; rows are independent, so repeated rows and null ids need no care. Only rows in which something
     was found pay for more than one pass of the pattern. A column of docs named n_private is replaced, all others are kept.
     """
-    kept = [c for c in docs.columns if c != "n_private"]
+    docs, back = set_aside(docs, [text], ["n_private"])
     old, new = fresh(docs.columns, "found", "new")
     found = F.when(F.col(text).rlike("[0-9@]") & F.col(text).rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    rows = docs.select(*kept, found.alias(old))
+    rows = docs.select("*", found.alias(old))
     rows = rows.select("*", F.when(F.size(old) > 0, F.transform(old, pseudonym(key))).alias(new))
     between = F.split(F.col(text), ANY, -1)
     joined = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     changed = F.size(F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda x: x))
-    return rows.select(
-        *[F.when(F.col(new).isNotNull(), joined).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in kept],
+    rows = rows.select(
+        *[F.when(F.col(new).isNotNull(), joined).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns],
         F.when(F.col(new).isNotNull(), changed).otherwise(0).alias("n_private"),
     )
+    return back(rows)

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import LOWER, WORD, flat, mix, prefix_hash, span_hash, steps, stored, words
+from .common import LOWER, WORD, flat, mix, prefix_hash, set_aside, span_hash, steps, stored, words
 
 #: Hashed features (the model is a table of this many numbers, whatever the corpus): words, and their first so many bytes.
 BUCKETS = 1 << 18
@@ -111,11 +112,12 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> Model:
-    """Learns from labelled documents whose crc32 of the id, modulo 5, is not 0: at most max_train, and as many as max_bytes hold,
-    in the order of a hash of their ids.
+    """Learns from labelled documents whose crc32 of the id, modulo 5, is not 0: at most max_train in the order of a hash of their ids, of
+    which a text that doesn't fit into what is left of max_bytes is passed over, and the next ones are not.
 
     Null ids and null labels are left out; of several labels of one id the largest counts, of several texts the first by
-    code point. With no labelled row the model calls everything clean.
+    code point. With no labelled row the model calls everything clean; where there are some, but max_bytes
+    holds none of their texts, it raises.
     """
     own = F.crc32(F.col("doc_id").cast("string"))
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(own % 5 != 0)
@@ -123,9 +125,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_byte
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     rows = stored(rows, "toxicity-sample")
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = rows.select("doc_id", F.octet_length("text").alias("n")).select("doc_id", F.sum("n").over(order).alias("upto"))  # max_train rows
-    sample = rows.join(upto.where(F.col("upto") <= max_bytes), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    order, taken, left = (F.xxhash64("doc_id"), F.col("doc_id")), [], max_bytes
+    for r in rows.select("doc_id", F.octet_length("text").alias("n")).orderBy(*order).collect():  # at most max_train numbers
+        if r.n <= left:
+            taken.append((r.doc_id,))
+            left -= r.n
+    if not taken and not rows.isEmpty():
+        raise ValueError(f"no labelled text fits into {max_bytes} bytes")
+    picked = docs.sparkSession.createDataFrame(taken, StructType([rows.schema["doc_id"]]))
+    sample = rows.join(F.broadcast(picked), "doc_id", "left_semi").orderBy(*order).collect()  # at most max_bytes
     return train([r.text for r in sample], [int(r.toxic) for r in sample])
 
 
@@ -167,10 +175,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     to the executors once. Columns of docs named like the new ones are replaced, all others are kept.
     """
     new = [x.split()[0] for x in SCORED.split(", ")]
-    kept = [c for c in docs.columns if c not in new]
+    docs, back = set_aside(docs, [text], new)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.select(*kept)
-    at, types = kept.index(text), [pa.float64(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
+    at, types = docs.columns.index(text), [pa.float64(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,4 +187,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
             located = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)).astype(np.int32)), spots)
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns, located], [*batch.schema.names, *new])
 
-    return docs.mapInArrow(add, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), SCORED]))
+    return back(docs.mapInArrow(add, StructType([*docs.schema, *StructType.fromDDL(SCORED)])))

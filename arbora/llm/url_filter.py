@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, spread_join, stored
+from .common import fresh, set_aside, spread_join, stored
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hex digits of the short hash prefix on which urls and rules are joined (32 bits).
@@ -36,6 +36,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     digest is then compared. Null or malformed urls have an empty host and path. Repeated rows stay, an empty table gives an
     empty one; columns of pages named like the new ones are replaced, all others are kept whatever their names.
     """
+    new = ["host", "path", "rule", "verdict"]
+    pages, back = set_aside(pages, [url], new)
     host, path = host_and_path(F.col(url))
     rules = (
         rules.where("action IS NOT NULL AND host IS NOT NULL AND host <> ''")
@@ -48,10 +50,10 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     ranked = rules.select(
         F.sha2("rule", 256).alias("digest"), F.struct(F.length("rule").alias("len"), F.when(F.col("action") == "block", 1).otherwise(0).alias("hard"), "rule", "action").alias("rank")
     ).withColumn("short", F.substring("digest", 1, SHORT))
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    kept = pages.columns
     rows = pages.select(*kept, host.alias("host"), path.alias("path"))
     if not shapes:
-        return rows.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+        return back(rows.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
     labels = F.split("host", r"\.")
     expressions = [
         F.when(
@@ -72,7 +74,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     place, rank = fresh(rows.columns, "place", "rank")
     best = best.select(_place().alias(place), "copies", F.col("rank").alias(rank))
     judged = spread_join(rows.withColumn(place, _place()), stored(best, "url-places"), place, "copies", [rank])
-    return judged.select(*kept, "host", "path", F.col(f"{rank}.rule").alias("rule"), F.coalesce(f"{rank}.action", F.lit(default)).alias("verdict"))
+    return back(judged.select(*kept, "host", "path", F.col(f"{rank}.rule").alias("rule"), F.coalesce(f"{rank}.action", F.lit(default)).alias("verdict")))
 
 
 def _place() -> Column:
