@@ -1,4 +1,7 @@
-"""A corpus from documents: toxicity, near duplicates, benchmark leaks, private data, and the order of training."""
+"""A corpus from documents: toxicity, near duplicates, benchmark leaks, private data, and the order of training.
+
+Each stage but the last returns the columns of its documents, whatever their names; columns that only happen to be called like one that an
+operator adds are set aside while it works."""
 
 from __future__ import annotations
 
@@ -6,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm import curriculum, decontam, jaccard, pii, toxicity
-from arbora.llm.common import stored
+from arbora.llm.common import set_aside, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model learnt from the labels scores under 0.5."""
+    docs, back = set_aside(docs, ["doc_id", "text"])
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("score < 0.5").select(docs.columns)
+    return back(toxicity.score(docs, model).where("score < 0.5").select(docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,12 +26,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item stands."""
-    return decontam.mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_leaks = 0").select(docs.columns)
+    docs, back = set_aside(docs, ["text"])
+    return back(decontam.mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_leaks = 0").select(docs.columns))
 
 
 def hide_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their private numbers, dates and addresses replaced; n_chars follows."""
-    return pii.pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    docs, back = set_aside(docs, ["text", "n_chars"])
+    return back(pii.pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns))
 
 
 def order_for_training(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
