@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +25,11 @@ DEPTH, LOAD = 3, 4
 #: hash into slices, each a scan of its own. Beyond MAX_SLICES the cells get fuller, so that more rare phrases are counted and dropped.
 LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 27
 SLICE_BYTES, MAX_SLICES = 64 << 20, 16
-#: Cells of a block of a sketch, the piece that tasks send and add up.
-BLOCK = 1 << 16
-#: Distinct phrases that a task holds before it sends what it has.
-HELD = 1 << 22
+#: Blocks of a line of a sketch's slice, the pieces that tasks send and add up.
+BLOCKS = 128
+#: Phrases that a task holds before it sends what it has, and bytes of text that it takes at a time.
+HELD = 1 << 20
+STEP_BYTES = 4 << 20
 #: Bytes that end a piece of a text, and bytes that stand in no word.
 ENDS = np.zeros(256, bool)
 ENDS[[*b".,;:!?\n\x0b\x0c\r"]] = True
@@ -44,21 +46,22 @@ class Counter:
 
     def __init__(self, max_words: int):
         self.max_words, self.bits = max_words, 63 // max_words
-        self.clear()
-
-    def clear(self) -> None:
-        self.codes: dict[tuple[str, bytes], int] = {}
-        self.names: list[tuple[str, bytes]] = []
-        self.key, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.parts: list[np.ndarray] = []
         self.held = 0
+        self.forget()
+
+    def forget(self) -> None:
+        # Words by code, after their language and a tab; their hashes, and how long the language is.
+        self.codes: dict[bytes, int] = {b"": 0}
+        self.names = [b""]
+        self.hash, self.tab = array("Q", [0]), array("i", [0])
 
     def add(self, texts: pa.Array, langs: pa.Array) -> Iterator[None]:
-        """Counts the phrases of the texts; yields whenever what is held should be sent, after which the caller clears it."""
+        """Collects the phrases of the texts; yields whenever the caller should take() them."""
         raw, offsets = flat(texts)
         lang = langs.fill_null("und").dictionary_encode()
-        lang_of, lang_names = lang.indices.to_numpy(), lang.dictionary.to_pylist()
-        for a, b in steps(offsets, 8 << 20):
+        lang_of, lang_names = lang.indices.to_numpy(), [x.encode() + b"\t" for x in lang.dictionary.to_pylist()]
+        for a, b in steps(offsets, STEP_BYTES):
             part, off = LOWER[raw[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
             start, end, place = words(part, off, _WORD)
             if not len(start):
@@ -67,45 +70,52 @@ class Counter:
             bounds = np.append(0, np.cumsum(end - start)).astype(np.int32)
             spelled = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(part[_WORD[part]])]).dictionary_encode()
             spelling = spelled.dictionary.to_pylist()
-            pair = lang_of[a:b][owner].astype(np.int64) * len(spelling) + spelled.indices.to_numpy()
+            pair = pa.array(lang_of[a:b][owner].astype(np.int64) * len(spelling) + spelled.indices.to_numpy())
             # A word goes on with the next one if no end of a piece or text stands between them.
-            ends = np.append(0, np.cumsum(ENDS[part]))
-            on = (owner[1:] == owner[:-1]) & (ends[start[1:]] == ends[end[:-1]])
+            ends = np.flatnonzero(ENDS[part])
+            on = (owner[1:] == owner[:-1]) & (np.diff(np.searchsorted(ends, start)) == 0)
             step = max(1, (1 << self.bits) // 2 - self.max_words)  # so many words always have codes
             for i in range(0, len(pair), step):
-                some, back = np.unique(pair[i : i + step + self.max_words - 1], return_inverse=True)
-                if len(self.names) + len(some) >= (1 << self.bits) - 1:
+                some = pair.slice(i, step + self.max_words - 1).dictionary_encode()
+                if len(self.names) + len(some.dictionary) >= 1 << self.bits:
                     yield
-                codes = np.array([self.code(lang_names[x // len(spelling)], spelling[x % len(spelling)]) for x in some.tolist()], np.int64)
-                self.phrases(codes[back], on[i:], step)
+                    self.forget()
+                codes = np.array([self.code(lang_names[x // len(spelling)], spelling[x % len(spelling)]) for x in some.dictionary.to_pylist()], np.int64)
+                self.phrases(codes[some.indices.to_numpy()], on[i:], step)
                 if self.held > HELD:
-                    self.settle()
-                    if self.held > HELD // 2:
-                        yield
-
-    def code(self, lang: str, word: bytes) -> int:
-        found = self.codes.get((lang, word))
-        if found is None:
-            self.names.append((lang, word))
-            found = self.codes[lang, word] = len(self.names)
+                    yield
+
+    def code(self, lang: bytes, word: bytes) -> int:
+        name = lang + word
+        found = self.codes.setdefault(name, len(self.names))
+        if found == len(self.names):
+            self.names.append(name)
+            self.hash.append(xxhash.xxh64_intdigest(name))  # the same in every task
+            self.tab.append(len(lang))
         return found
 
+    def spelled(self, codes: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """Languages and words of codes."""
+        some, back = np.unique(codes, return_inverse=True)
+        names = [(self.names[c], self.tab[c]) for c in some.tolist()]
+        at = pa.array(back)
+        return pa.array([n[: max(0, k - 1)].decode() for n, k in names], pa.string()).take(at), pa.array([n[k:].decode() for n, k in names], pa.string()).take(at)
+
     def phrases(self, code: np.ndarray, on: np.ndarray, step: int) -> None:
-        """Counts the phrases that begin with one of the first step words."""
+        """Adds the phrases that begin with one of the first step words."""
         phrase, going = code, np.ones(len(code), bool)
         for m in range(self.max_words):
             if m:
                 phrase = phrase[:-1] + (code[m:] << np.int64(self.bits * m))
                 going = going[:-1] & on[m - 1 : m - 1 + len(phrase)]
-            keys, n = np.unique(phrase[:step][going[:step]], return_counts=True)
-            self.parts.append((keys, n))
-            self.held += len(keys)
+            self.parts.append(phrase[:step][going[:step]])
+            self.held += len(self.parts[-1])
 
-    def settle(self) -> None:
-        if self.parts:
-            key, back = np.unique(np.concatenate([self.key, *[k for k, _ in self.parts]]), return_inverse=True)
-            self.count = np.bincount(back, np.concatenate([self.count, *[n for _, n in self.parts]])).astype(np.int64)
-            self.key, self.parts, self.held = key, [], len(key)
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct phrases collected since the last time, ascending, and how often each occurs."""
+        out = np.unique(np.concatenate([np.zeros(0, np.int64), *self.parts]), return_counts=True)
+        self.parts, self.held = [], 0
+        return out
 
     def word(self, key: np.ndarray, i: int) -> np.ndarray:
         return (key >> np.int64(self.bits * i)) & np.int64((1 << self.bits) - 1)
@@ -113,12 +123,8 @@ class Counter:
     def sizes(self, key: np.ndarray) -> np.ndarray:
         return np.sum([self.word(key, i) > 0 for i in range(self.max_words)], 0)
 
-    def word_hashes(self) -> np.ndarray:
-        """By code; the same in every task."""
-        return np.array([0, *(int.from_bytes(hashlib.blake2b(g.encode() + b"\t" + w, digest_size=8).digest(), "little") for g, w in self.names)], np.uint64)
-
-    def hashes(self, key: np.ndarray, of: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(key), np.uint64)
+    def hashes(self, key: np.ndarray) -> np.ndarray:
+        of, h = np.frombuffer(self.hash, np.uint64), np.zeros(len(key), np.uint64)
         for i in range(self.max_words):
             w = self.word(key, i)
             h = np.where(w > 0, mix(h * np.uint64(0x9E3779B97F4A7C15) + of[w]), h)
@@ -140,24 +146,28 @@ def _sketches(max_words: int, cells: int, slices: int, most: int):
         own = Counter(max_words)
 
         def send() -> Iterator[pa.RecordBatch]:
-            own.settle()
-            h = own.hashes(own.key, own.word_hashes())
-            part = _slice(h, slices)
-            for line in range(DEPTH):
-                cell, back = np.unique(part * cells + _cells(h, line, cells), return_inverse=True)
-                n = np.minimum(np.bincount(back, own.count), most).astype(np.uint16)
-                block = cell // BLOCK
-                first = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(cell) else np.zeros(0, np.int64)
+            key, count = own.take()
+            h = own.hashes(key)
+            part = _slice(h, slices) * cells
+            count = np.minimum(count, most)
+            for line in range(DEPTH if len(key) else 0):
+                # Sorted with their counts in one number each.
+                both = np.sort(((part + _cells(h, line, cells)) << 16) | count)
+                cell = both >> 16
+                begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+                n = np.minimum(np.add.reduceat(both & 65535, begin), most).astype(np.uint16)
+                cell = cell[begin]
+                block = cell // (cells // BLOCKS)
+                first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
                 last = np.append(first[1:], len(cell))
                 for i in range(0, len(first), 512):
                     spans = list(zip(first[i : i + 512].tolist(), last[i : i + 512].tolist(), strict=True))
                     at = block[first[i : i + 512]]
                     # Distances of places are small numbers, which compress well.
-                    places = [pa.compress(np.diff(cell[a:b] % BLOCK, prepend=0).astype(np.uint16).tobytes(), "zstd", asbytes=True) for a, b in spans]
+                    places = [pa.compress(np.diff(cell[a:b] % (cells // BLOCKS), prepend=0).astype(np.uint32).tobytes(), "zstd", asbytes=True) for a, b in spans]
                     counts = [pa.compress(n[a:b].tobytes(), "zstd", asbytes=True) for a, b in spans]
-                    columns = [(at * BLOCK // cells).astype(np.int32), np.full(len(at), line, np.int32), at, np.array([b - a for a, b in spans], np.int32)]
+                    columns = [(at // BLOCKS).astype(np.int32), np.full(len(at), line, np.int32), at, np.array([b - a for a, b in spans], np.int32)]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(places, pa.binary()), pa.array(counts, pa.binary())], [x.split()[0] for x in SKETCH.split(", ")])
-            own.clear()
 
         for batch in batches:
             for _ in own.add(batch.column(0), batch.column(1)):
@@ -167,11 +177,11 @@ def _sketches(max_words: int, cells: int, slices: int, most: int):
     return task
 
 
-def _added(most: int):
+def _added(most: int, block_cells: int):
     """Task: blocks of sketches, sorted by slice, line and block -> slice, line, block, the bits of the cells that reach most."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total = None, np.zeros(BLOCK, np.int32)
+        at, total = None, np.zeros(block_cells, np.int32)
 
         def done() -> pa.RecordBatch:
             bits = np.packbits(total >= most, bitorder="little").tobytes()
@@ -182,8 +192,8 @@ def _added(most: int):
                 if (s, line, block) != at:
                     if at is not None:
                         yield done()
-                    at, total = (s, line, block), np.zeros(BLOCK, np.int32)
-                cell = np.cumsum(np.frombuffer(pa.decompress(places, n * 2, "zstd", asbytes=True), np.uint16), dtype=np.int64)
+                    at, total = (s, line, block), np.zeros(block_cells, np.int32)
+                cell = np.cumsum(np.frombuffer(pa.decompress(places, n * 4, "zstd", asbytes=True), np.uint32), dtype=np.int64)
                 total[cell] = np.minimum(total[cell] + np.frombuffer(pa.decompress(counts, n * 2, "zstd", asbytes=True), np.uint16), most)
         if at is not None:
             yield done()
@@ -196,6 +206,7 @@ def _survivors(max_words: int, cells: int, slices: int, which: int, sent):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Counter(max_words)
+        names = [x.split()[0] for x in COUNTS.split(", ")]
 
         def possible(h: np.ndarray) -> np.ndarray:
             some = np.flatnonzero(_slice(h, slices) == which)
@@ -207,26 +218,24 @@ def _survivors(max_words: int, cells: int, slices: int, which: int, sent):
             return out
 
         def send() -> Iterator[pa.RecordBatch]:
-            own.settle()
-            size = own.sizes(own.key)
-            h = own.hashes(own.key, own.word_hashes())
-            kept = np.flatnonzero(possible(h))
-            spelled = pa.array([b"", *(w for _, w in own.names)], pa.binary()).cast(pa.string())
-            lang = pa.array(["", *(g for g, _ in own.names)], pa.string())
-            if which == 0 and len(own.key):
-                one = size == 1
-                langs, back = np.unique(np.array(lang.take(pa.array(own.key[one])).to_pylist(), object), return_inverse=True)
-                n = np.bincount(back, own.count[one]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([""] * len(langs), pa.string()), pa.array(np.zeros(len(langs), np.int32)), pa.array(n)], [x.split()[0] for x in COUNTS.split(", ")])
+            every, count = own.take()
+            kept = np.flatnonzero(possible(own.hashes(every)))
+            if which == 0 and len(every):
+                total: dict[bytes, int] = {}
+                one = every < 1 << own.bits
+                for c, n in zip(every[one].tolist(), count[one].tolist(), strict=True):
+                    lang = own.names[c][: own.tab[c] - 1]
+                    total[lang] = total.get(lang, 0) + n
+                m = len(total)
+                yield pa.RecordBatch.from_arrays([pa.array([g.decode() for g in total]), pa.array([""] * m), pa.array(np.zeros(m, np.int32)), pa.array(list(total.values()), pa.int64())], names)
             for a in range(0, len(kept), 1 << 16):
-                some = kept[a : a + (1 << 16)]
-                key, m = own.key[some], size[some]
-                text = spelled.take(pa.array(own.word(key, 0)))
+                key = every[kept[a : a + (1 << 16)]]
+                m = own.sizes(key)
+                lang, text = own.spelled(own.word(key, 0))
                 for i in range(1, max_words):
-                    more = pc.binary_join_element_wise(text, spelled.take(pa.array(own.word(key, i))), " ")
+                    more = pc.binary_join_element_wise(text, own.spelled(own.word(key, i))[1], " ")
                     text = pc.if_else(pa.array(m > i), more, text)
-                yield pa.RecordBatch.from_arrays([lang.take(pa.array(own.word(key, 0))), text, pa.array(m.astype(np.int32)), pa.array(own.count[some])], [x.split()[0] for x in COUNTS.split(", ")])
-            own.clear()
+                yield pa.RecordBatch.from_arrays([lang, text, pa.array(m.astype(np.int32)), pa.array(count[kept[a : a + (1 << 16)]])], names)
 
         for batch in batches:
             for _ in own.add(batch.column(0), batch.column(1)):
@@ -263,13 +272,13 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", max_words:
     cells, slices = shape(size // 5 * max_words, min_count)
     most = min(min_count, 65535)
     blocks = rows.mapInArrow(_sketches(max_words, cells, slices, most), SKETCH)
-    bits = stored(blocks.repartition("slice", "line", "block").sortWithinPartitions("slice", "line", "block").mapInArrow(_added(most), "slice int, line int, block long, bits binary"), "phrases-sketch")
+    bits = stored(blocks.repartition("slice", "line", "block").sortWithinPartitions("slice", "line", "block").mapInArrow(_added(most, cells // BLOCKS), "slice int, line int, block long, bits binary"), "phrases-sketch")
     out = None
     for s in range(slices):
         table = np.zeros((DEPTH, cells // 8), np.uint8)
         for r in bits.where(F.col("slice") == s).toLocalIterator():  # at most SLICE_BYTES
-            at = (r.block * BLOCK - s * cells) // 8
-            table[r.line, at : at + BLOCK // 8] = np.frombuffer(r.bits, np.uint8)
+            at = r.block % BLOCKS * (cells // BLOCKS) // 8
+            table[r.line, at : at + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
         own = rows.mapInArrow(_survivors(max_words, cells, slices, s, spark.sparkContext.broadcast(table)), COUNTS)
         out = own if out is None else out.unionByName(own)
     counted = out.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))

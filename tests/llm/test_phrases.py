@@ -94,10 +94,10 @@ def test_sketch_drops_most_rare_phrases(spark):
     batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["en"] * 40)], ["text", "lang"])
     blocks = [r for b in phrases._sketches(3, cells, slices, 10)(iter([batch])) for r in b.to_pylist()]
     table = np.zeros((phrases.DEPTH, cells // 8), np.uint8)
-    for b in phrases._added(10)(iter([pa.RecordBatch.from_pylist(sorted(blocks, key=lambda r: (r["slice"], r["line"], r["block"])))])):
+    for b in phrases._added(10, cells // phrases.BLOCKS)(iter([pa.RecordBatch.from_pylist(sorted(blocks, key=lambda r: (r["slice"], r["line"], r["block"])))])):
         for r in b.to_pylist():
-            at = r["block"] * phrases.BLOCK // 8
-            table[r["line"], at : at + phrases.BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
+            at = r["block"] * (cells // phrases.BLOCKS) // 8
+            table[r["line"], at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
     sent = type("Sent", (), {"value": table})
     kept = [r for b in phrases._survivors(3, cells, slices, 0, sent)(iter([batch])) for r in b.to_pylist() if r["size"]]
     names = {r["phrase"] for r in kept}
