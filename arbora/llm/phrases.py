@@ -29,6 +29,8 @@ SLICE_BYTES, MAX_SLICES = 64 << 20, 16
 BLOCKS = 128
 #: Phrases that a task holds before it sends what it has, and bytes of text that it takes at a time.
 HELD = 1 << 20
+#: Words from which on a task begins its vocabulary anew.
+KNOWN = 1 << 17
 STEP_BYTES = 4 << 20
 #: Bytes that end a piece of a text, and bytes that stand in no word.
 ENDS = np.zeros(256, bool)
@@ -77,7 +79,7 @@ class Counter:
             step = max(1, (1 << self.bits) // 2 - self.max_words)  # so many words always have codes
             for i in range(0, len(pair), step):
                 some = pair.slice(i, step + self.max_words - 1).dictionary_encode()
-                if len(self.names) + len(some.dictionary) >= 1 << self.bits:
+                if len(self.names) + len(some.dictionary) >= min(KNOWN, 1 << self.bits) and len(self.names) > 1:
                     yield
                     self.forget()
                 codes = np.array([self.code(lang_names[x // len(spelling)], spelling[x % len(spelling)]) for x in some.dictionary.to_pylist()], np.int64)
