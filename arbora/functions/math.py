@@ -87,15 +87,20 @@ def _gamma_tail(s: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(out, 0, 1)
 
 
-@F.pandas_udf(DoubleType())
-def chi2_tail(stat: pd.Series, df: pd.Series) -> pd.Series:
-    """Upper tail of the chi-square distribution; 1 for no degrees of freedom or a negative statistic. For tables of pairs, not of rows."""
-    s, x = df.to_numpy(float) / 2, stat.to_numpy(float) / 2
+def tail(stat: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Upper tail of the chi-square distribution; 1 for no degrees of freedom or a statistic that isn't positive."""
+    s, x = df / 2, stat / 2
     good = (s > 0) & (x > 0)
     out = np.ones(len(s))
     if good.any():
         out[good] = _gamma_tail(s[good], x[good])
-    return pd.Series(out)
+    return out
+
+
+@F.pandas_udf(DoubleType())
+def chi2_tail(stat: pd.Series, df: pd.Series) -> pd.Series:
+    """tail() of columns. For tables of pairs, not of rows."""
+    return pd.Series(tail(stat.to_numpy(float), df.to_numpy(float)))
 
 
 def ratio(a: Column, b: Column, both_empty: float) -> Column:

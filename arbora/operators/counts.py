@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -87,30 +87,81 @@ def family_counts(df: DataFrame, families: Sequence[Family], vs: Variables, by:
 
 #: A table up to this many cells is summed in an array of all its cells, a larger one by the cells that occur.
 DENSE = 1 << 16
+#: Cells of tables that a task sums, or passes on, at once.
+TABLE_CELLS = 1 << 24
 CELLS = "family int, v int, r int, q long, j long, k int, n long"
 
 
-def poisson(h: np.ndarray, run: int) -> np.ndarray:
-    """How often each row, given by a 64-bit hash of its key, is in a resample: Poisson(1) by inversion, the same in any task."""
-    x = (h.view(np.uint64) ^ np.uint64(run * 0x9E3779B97F4A7C15 % (1 << 64))) + np.uint64(0x632BE59BD9B4E019)
+def _mixed(x: np.ndarray) -> np.ndarray:
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x
+
+
+def poisson(h: np.ndarray, run: int) -> np.ndarray:
+    """How often each row, given by a 64-bit hash of its key, is in a resample: Poisson(1) by inversion, the same in any task."""
+    x = _mixed((h.view(np.uint64) ^ np.uint64(run * 0x9E3779B97F4A7C15 % (1 << 64))) + np.uint64(0x632BE59BD9B4E019))
     return np.searchsorted(_POISSON, (x >> np.uint64(11)).astype(np.float64) / (1 << 53), "right")
 
 
 #: Cumulative probabilities of Poisson(1), the limit of how often a row is drawn; 18 terms cover double precision.
 _POISSON = np.cumsum(np.exp(-1.0) / np.array([math.factorial(i) for i in range(18)], float))
+#: Rows whose draws one generator deals out; above that, a range's draws are halved by binomials.
+DEALT = 1 << 10
+
+
+class Draws:
+    """How often each of rows numbered 0 to n - 1 is in a resample of n draws with replacement: exactly n draws in all.
+
+    The draws of a range of numbers are split between its halves by a binomial of the halves' lengths, down to blocks of DEALT rows, over which
+    a multinomial deals them. Each of these has a generator of its own, keyed by run and range, so that any task finds the draws of
+    its rows by a walk from the top, and they don't depend on what else it holds.
+    """
+
+    def __init__(self, n: int, run: int):
+        self.n, self.run = n, run
+        self.blocks = max(1, -(-n // DEALT))
+        self.known: dict[tuple[int, int], int] = {(0, self.blocks): n}
+
+    def _generator(self, first: int, last: int) -> np.random.Generator:
+        return np.random.Generator(np.random.Philox(np.random.SeedSequence([self.run % (1 << 63), first, last])))
+
+    def _rows(self, first: int, last: int) -> int:
+        return min(last * DEALT, self.n) - first * DEALT
+
+    def _block(self, block: int) -> np.ndarray:
+        first, last = 0, self.blocks
+        while last - first > 1:
+            middle, n = (first + last) // 2, self.known[first, last]
+            if (first, middle) not in self.known:
+                left = int(self._generator(first, last).binomial(n, self._rows(first, middle) / self._rows(first, last)))
+                self.known[first, middle], self.known[middle, last] = left, n - left
+            first, last = (first, middle) if block < middle else (middle, last)
+        rows = self._rows(first, last)
+        return self._generator(first, last).multinomial(self.known[first, last], np.full(rows, 1 / rows))
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        out = np.empty(len(numbers), np.int64)
+        block = numbers // DEALT
+        for b in np.unique(block).tolist():
+            own = block == b
+            out[own] = self._block(b)[numbers[own] - b * DEALT]
+        return out
 
 
 @dataclass(frozen=True)
 class Packed:
     """A discrete table by columns: a row (part, var, states) for each variable of each chunk of rows, the parts of a chunk next to each
-    other. Plans over it have three columns, however many variables there are, and a scan can pick its variables."""
+    other. Plans over it have three columns, however many variables there are, and a scan can pick its variables.
+
+    key: it also has what tells rows apart, for resamples. draws: the keys are the rows' numbers from 0 on, of so many rows, and a
+    resample has exactly as many draws; if None, they are hashes, and each row is drawn Poisson(1) times by its own."""
 
     rows: DataFrame
     vs: Variables
     weight: bool = False
     key: bool = False
+    draws: int | None = None
 
 
 def state_type(cards: Sequence[int], var: int) -> np.dtype:
@@ -121,8 +172,8 @@ def state_type(cards: Sequence[int], var: int) -> np.dtype:
 PACKED = "part long, var int, states binary"
 
 
-def pack(df: DataFrame, vs: Variables, weight: str | None = None, key: str | None = None) -> Packed:
-    """df by columns; weight and key: columns of 64-bit numbers that say how often a row counts and what tells it apart."""
+def pack(df: DataFrame, vs: Variables, weight: str | None = None, key: str | None = None, draws: int | None = None) -> Packed:
+    """df by columns; weight and key: columns of 64-bit numbers that say how often a row counts and what tells it apart; draws: see Packed."""
     extra = [c for c in (weight, key) if c]
     kinds = [state_type(vs.cards, i) for i in range(len(vs.names) + len(extra))]
 
@@ -132,7 +183,7 @@ def pack(df: DataFrame, vs: Variables, weight: str | None = None, key: str | Non
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(blobs), part)), pa.array(np.arange(len(blobs), dtype=np.int32)), pa.array(blobs, pa.binary())], ["part", "var", "states"])
 
     columns = df.select(*[F.col(n).cast("int").alias(n) for n in vs.names], *[F.col(c).cast("long").alias(c) for c in extra])
-    return Packed(columns.mapInArrow(task, PACKED), vs, bool(weight), bool(key))
+    return Packed(columns.mapInArrow(task, PACKED), vs, bool(weight), bool(key), draws)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], cards: Sequence[int]) -> Iterator[dict[int, np.ndarray]]:
@@ -148,63 +199,160 @@ def chunks(batches: Iterator[pa.RecordBatch], cards: Sequence[int]) -> Iterator[
         yield held
 
 
-def partial_cells(data: Packed, requests: Sequence[tuple[int | None, Family]]) -> DataFrame:
-    """family (place in requests), v, r, q, j, k, n of the cells that occur in a task's rows, for any number of families in one scan.
+#: A resample's number, or None for the rows as they are, and a family.
+Request = tuple[int | None, Family]
+TABLES = "family int, width int, ids binary, n binary"
+
+
+@dataclass
+class Table:
+    """Counts of a family in all the runs that ask for it: cells x runs. ids: the cells that the lines are, or None for all of them in order;
+    a cell's number is j * r + k. places: where the runs stand in the requests."""
+
+    family: Family
+    r: int
+    q: int
+    places: list[int]
+    ids: np.ndarray | None
+    n: np.ndarray
 
-    A request is a resample's number, or None for the rows as they are, and a family. Rows of a resample are weighed by
-    poisson() of the table's key, others by its weight, if any. Each task sums its rows in numpy and sends its tables once;
-    they are dealt by family, so whatever is grouped by family next needs no other shuffle.
+
+def _asked(requests: Sequence[Request]) -> list[tuple[Family, list[int | None], list[int]]]:
+    """Each family once, with the runs that ask for it and their places."""
+    found: dict[Family, tuple[list[int | None], list[int]]] = {}
+    for place, (run, family) in enumerate(requests):
+        runs, places = found.setdefault(family, ([], []))
+        runs.append(run)
+        places.append(place)
+    return [(f, *x) for f, x in found.items()]
+
+
+#: Types of counts by their width in bytes.
+WIDTHS = {1: "u1", 2: "<u2", 4: "<u4", 8: "<i8"}
+
+
+def narrow(n: np.ndarray) -> np.ndarray:
+    """Counts in the smallest type that holds them."""
+    most = int(n.max(initial=0))
+    return n.astype(WIDTHS[1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8])
+
+
+def _merged(ids: np.ndarray, n: np.ndarray, more: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of two sets of cells x runs, by cell."""
+    every, both = np.concatenate([ids, more]), np.concatenate([n, m])
+    order = np.argsort(every, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(every[order]) > 0))
+    return every[order][first], np.add.reduceat(both[order], first, 0)
+
+
+def table_sums(data: Packed, requests: Sequence[Request], emit: Callable[[list[Table]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """emit() of whole tables, some thousands at a time, for any number of requests in one scan.
+
+    A family's configurations are found once for all its runs: rows are sorted by cell, and the cells' sums are taken of the matrix of
+    rows x runs that says how often each run has drawn each row. A task sums what it reads and sends one table a family, in bytes where
+    they hold its counts; tables are dealt by family and added where they meet. A family's cells meet in one task: as many as
+    occur, whatever the number of rows.
     """
     vs, cards = data.vs, data.vs.cards
-    used = sorted({x for _, (v, ps) in requests for x in (v, *ps)})
+    asked = _asked(requests)
+    used = sorted({x for (v, ps), _, _ in asked for x in (v, *ps)})
     d = len(vs.names)
     weight, key = (d if data.weight else None), (d + data.weight if data.key else None)
-    shapes = [(v, [(p, vs.cards[p]) for p in ps], vs.cards[v], configurations((v, ps), vs.cards), run) for run, (v, ps) in requests]
+    every = sorted({run for _, runs, _ in asked for run in runs if run is not None})
+    at = {run: i for i, run in enumerate(every)}
+    draws, resampled = data.draws, bool(every)
+    shapes = [(v, [(p, cards[p]) for p in ps], cards[v], configurations((v, ps), cards), [at.get(run) for run in runs], places) for (v, ps), runs, places in asked]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: list = [None] * len(shapes)
+        exact = [Draws(draws, run) for run in every] if draws is not None else None
         for held in chunks(batches, cards):
             states = {x: held[x].astype(np.int64) for x in used}
             rows = len(states[used[0]])
-            w = None if weight is None else held[weight]
-            weights: dict = {}
-            for i, (v, ps, r, q, run) in enumerate(shapes):
-                if run not in weights:
-                    weights[run] = w if run is None else poisson(held[key], run) * (1 if w is None else w)
+            plain = np.ones(rows) if weight is None else held[weight].astype(float)
+            if resampled:
+                drawn = np.stack([x.of(held[key]) for x in exact] if exact else [poisson(held[key], run) for run in every], 1) * plain[:, None]
+            for i, (v, ps, r, q, runs, _) in enumerate(shapes):
                 cell = np.zeros(rows, np.int64)
                 for p, card in ps:
                     cell = cell * card + states[p]
                 cell = cell * r + states[v]
-                if q * r <= DENSE:
-                    own = np.bincount(cell, weights[run], q * r)
-                    total[i] = own if total[i] is None else total[i] + own
-                else:
+                if len(runs) == 1:
+                    w = (None if weight is None else plain) if runs[0] is None else drawn[:, runs[0]]
+                    if q * r <= DENSE:
+                        own = np.bincount(cell, w, q * r)[:, None]
+                        total[i] = own if total[i] is None else total[i] + own
+                        continue
                     some, back = np.unique(cell, return_inverse=True)
-                    known = total[i] or {}
-                    for c, m in zip(some.tolist(), np.bincount(back, weights[run]).tolist(), strict=True):
-                        known[c] = known.get(c, 0) + m
-                    total[i] = known
+                    own = np.bincount(back, w, len(some))[:, None]
+                else:
+                    w = np.stack([plain if x is None else drawn[:, x] for x in runs], 1) if None in runs or len(runs) < len(every) else drawn[:, runs]
+                    order = np.argsort(cell, kind="stable")
+                    first = np.flatnonzero(np.append(True, np.diff(cell[order]) > 0))
+                    some, own = cell[order][first], np.add.reduceat(w[order], first, 0)
+                    if q * r <= DENSE and q * r * len(runs) <= TABLE_CELLS:
+                        if total[i] is None:
+                            total[i] = np.zeros((q * r, len(runs)))
+                        total[i][some] += own
+                        continue
+                total[i] = (some, own) if total[i] is None else _merged(*total[i], some, own)
         for a in range(0, len(shapes), 4096):
             out = []
             for i in range(a, min(a + 4096, len(shapes))):
-                if total[i] is None:
-                    continue
-                v, _, r, q, _ = shapes[i]
-                cell = np.flatnonzero(total[i]) if q * r <= DENSE else np.array([c for c, m in total[i].items() if m], np.int64)
-                n = total[i][cell] if q * r <= DENSE else np.array([total[i][c] for c in cell.tolist()])
-                out.append(np.stack([np.full(len(cell), x) for x in (i, v, r, q)] + [cell // r, cell % r, n.astype(np.int64)]))
+                if total[i] is not None:
+                    ids, n = total[i] if isinstance(total[i], tuple) else (None, total[i])
+                    n = narrow(n)
+                    out.append((i, n.dtype.itemsize, None if ids is None else ids.tobytes(), n.tobytes()))
+                    total[i] = None
             if out:
-                columns = np.concatenate(out, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] * 3 + [pa.int64()] * 2 + [pa.int32(), pa.int64()], strict=True)], [x.split()[0] for x in CELLS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int32(), pa.int32(), pa.binary(), pa.binary()], strict=True)], ["family", "width", "ids", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, now, ids, n = [], 0, None, None, None
+
+        def done() -> Table:
+            v, _, r, q, _, places = shapes[now]
+            return Table(asked[now][0], r, q, places, ids, n)
+
+        for batch in batches:
+            for i, width, cells, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                own = np.frombuffer(counts, WIDTHS[width]).astype(np.int64).reshape(-1, len(shapes[i][5]))
+                own_ids = None if cells is None else np.frombuffer(cells, np.int64)
+                if i != now:
+                    if now is not None:
+                        held.append(done())
+                        size += n.size
+                        if size > TABLE_CELLS // 16:
+                            yield from emit(held)
+                            held, size = [], 0
+                    now, ids, n = i, own_ids, own
+                elif ids is None:
+                    n = n + own
+                else:
+                    ids, n = _merged(ids, n, own_ids, own)
+        if now is not None:
+            held.append(done())
+        if held:
+            yield from emit(held)
 
     needed = [*used, *[x for x in (weight, key) if x is not None]]
     rows = data.rows if len(needed) > 256 else data.rows.where(F.col("var").isin(needed))
-    return rows.mapInArrow(task, CELLS).repartition("family")
+    return rows.mapInArrow(task, TABLES).repartition("family").sortWithinPartitions("family").mapInArrow(add, schema)
+
+
+def count_cells(data: Packed, requests: Sequence[Request]) -> DataFrame:
+    """family (place in requests), v, r, q, j, k, n of the cells that occur, for any number of requests in one scan."""
 
+    def emit(tables: list[Table]) -> Iterator[pa.RecordBatch]:
+        for t in tables:
+            for place, n in zip(t.places, t.n.T, strict=True):
+                some = np.flatnonzero(n)
+                cell = some if t.ids is None else t.ids[some]
+                m = len(cell)
+                columns = [np.full(m, place, np.int32), np.full(m, t.family[0], np.int32), np.full(m, t.r, np.int32), np.full(m, t.q), cell // t.r, (cell % t.r).astype(np.int32), n[some]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in CELLS.split(", ")])
 
-def count_cells(data: Packed, requests: Sequence[tuple[int | None, Family]]) -> DataFrame:
-    """partial_cells() summed over the tasks."""
-    return partial_cells(data, requests).groupBy("family", "v", "r", "q", "j", "k").agg(F.sum("n").alias("n"))
+    return table_sums(data, requests, emit, CELLS)
 
 
 def with_totals(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:

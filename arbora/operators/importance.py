@@ -2,58 +2,87 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .counts import Variables, families_of, family_counts, normal
-from .scores import score_counts
+from arbora.scratch import fresh
+
+from .counts import Table, Variables, families_of, pack, table_sums
+from .scores import table_scores
+
+WORTH = "g int, u int, v int, d_loglik double, d_bic double, d_k2 double, d_bdeu double, mean_dlogl double, std_dlogl double, n_finite long"
+
+
+def _worth(n: np.ndarray, q: int, card: int, alpha: float, ess: float) -> tuple[np.ndarray, ...]:
+    """Of counts (the other parents' configurations, the parent's states, the child's, groups) what the parent is worth in each group: the four differences of scores, then mean and deviation of the differences of log-probabilities, and how many are finite."""
+    r, groups = n.shape[-2], n.shape[-1]
+    less = n.sum(1)  # the family without the parent, from its counts alone
+    deltas = table_scores(less.reshape(-1, r, groups), q / card, ess) - table_scores(n.reshape(-1, r, groups), float(q), ess)
+    n, less = n.astype(float), less[:, None].astype(float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = np.log((less + alpha / r) / (less.sum(-2, keepdims=True) + alpha)) - np.log((n + alpha / r) / (n.sum(-2, keepdims=True) + alpha))
+    w = np.where(np.isfinite(d), n, 0.0).reshape(-1, groups)
+    d = np.where(w > 0, np.where(np.isfinite(d), d, 0.0).reshape(-1, groups), 0.0)
+    total = w.sum(0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = (w * d).sum(0) / total
+        spread = np.where(total > 1, np.sqrt((w * (d - mean) ** 2).sum(0) / (total - 1)), 0.0)
+    return (*deltas, np.where(total > 0, mean, np.nan), np.where(total > 0, spread, np.nan), total.astype(np.int64))
 
 
 def edge_importance(df: DataFrame, edges: Sequence[tuple[int, int]], vs: Variables, alpha: float = 0.0, ess: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
     """by..., u, v, d_loglik, d_bic, d_k2, d_bdeu, mean_dlogl, std_dlogl, n_finite.
 
     Each delta is the child's score without the edge less that with it, on these data; the per-sample mean and standard
-    deviation (n - 1; 0 for one sample) are of the smoothed log-probabilities, over samples where they are finite. All
-    edges and groups share one scan: the two families of an edge, and the joint cells that a sample falls into.
+    deviation (n - 1; 0 for one sample) are of the smoothed log-probabilities, over samples where they are finite. Packed columns are
+    counted in one scan, a family for each child, with the group as one more variable; the families without each parent are
+    marginals of that table, taken where it is added up. Groups, as many as the samples' labels, are listed first.
     """
-    edges = sorted(edges)
-    n = len(vs.names)
-    with_ = {f[0]: f for f in families_of(edges, n)}
-    full = [with_[v] for _, v in edges]
-    less = [normal(v, set(with_[v][1]) - {u}) for u, v in edges]
-    counts = family_counts(df, [*full, *less], vs, by)
-    m = len(edges)
-    scored = score_counts(counts, [*full, *less], vs, ess, by).withColumn("edge", F.col("family") % m)
-    after = F.col("family") >= m
-    names = ["loglik", "bic", "k2", "bdeu"]
-    deltas = scored.groupBy(*by, "edge").agg(*[F.sum(F.when(after, F.col(c)).otherwise(-F.col(c))).alias(f"d_{c}") for c in names])
-    # A sample's two probabilities depend on its cell of the larger family only.
-    cells = counts.where(F.col("family") < m).withColumnRenamed("family", "edge")
-    place = F.lit(None).cast("long")
-    for i, (u, v) in enumerate(edges):
-        ps = full[i][1]
-        step = 1
-        for p in ps[ps.index(u) + 1 :]:
-            step *= vs.cards[p]
-        j = F.col("j")
-        place = F.when(F.col("edge") == i, F.floor(j / (step * vs.cards[u])) * step + j % step).otherwise(place)
-    r = F.element_at(F.array(*[F.lit(int(vs.cards[v])) for _, v in edges]), F.col("edge") + 1)
-    keys = [*by, "edge"]
-    cells = (
-        cells.withColumn("j2", place.cast("long"))
-        .withColumn("nj", F.sum("n").over(Window.partitionBy(*keys, "j")))
-        .withColumn("n2", F.sum("n").over(Window.partitionBy(*keys, "j2", "k")))
-        .withColumn("nj2", F.sum("n").over(Window.partitionBy(*keys, "j2")))
-    )
-    a = F.lit(float(alpha))
-    d = F.log((F.col("n2") + a / r) / (F.col("nj2") + a)) - F.log((F.col("n") + a / r) / (F.col("nj") + a))
-    cells = cells.withColumn("d", d).where(F.col("d").isNotNull() & ~F.isnan("d") & (F.abs("d") < float("inf")))
-    w = F.col("n").cast("double")
-    moments = cells.groupBy(*keys).agg(F.sum("n").cast("long").alias("n_finite"), (F.sum(w * F.col("d")) / F.sum("n")).alias("mean_dlogl"), F.sum(w * F.col("d") * F.col("d")).alias("_s"))
-    var = (F.col("_s") - F.col("n_finite") * F.col("mean_dlogl") * F.col("mean_dlogl")) / (F.col("n_finite") - 1)
-    moments = moments.withColumn("std_dlogl", F.when(F.col("n_finite") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(0.0))
-    ends = df.sparkSession.createDataFrame([(i, u, v) for i, (u, v) in enumerate(edges)], "edge int, u int, v int")
-    out = deltas.join(moments, keys, "left").join(F.broadcast(ends), "edge")  # a row for each edge of the network
-    return out.select(*by, "u", "v", *[f"d_{c}" for c in names], "mean_dlogl", "std_dlogl", F.coalesce("n_finite", F.lit(0)).alias("n_finite"))
+    edges = sorted(set(edges))
+    spark = df.sparkSession
+    families = [f for f in families_of(edges, len(vs.names)) if f[1]]
+    if not families:
+        return spark.createDataFrame([], T.StructType([*df.select(*by).schema, *T.StructType.fromDDL(WORTH)[1:]]))
+    code = fresh([*df.columns, *by], "g")[0]
+    groups = df.select(*by).distinct().orderBy(*by).collect() if by else [()]
+    names = [f"{code}_{i}" for i in range(len(by))]
+    if by:
+        fields = [T.StructField(n, f.dataType) for n, f in zip(names, df.select(*by).schema, strict=True)]
+        labels = spark.createDataFrame([(i, *r) for i, r in enumerate(groups)], T.StructType([T.StructField(code, T.IntegerType()), *fields]))
+        same = [F.col(b).eqNullSafe(F.col(n)) for b, n in zip(by, names, strict=True)]
+        rows = df.select(*by, *vs.names).join(labels, same).select(*vs.names, code)
+    else:
+        rows = df.select(*vs.names).withColumn(code, F.lit(0))
+    wide = Variables((*vs.names, code), (*vs.cards, max(1, len(groups))))
+    d = len(vs.names)
+    cards, m = vs.cards, wide.cards[-1]
+
+    def emit(tables: list[Table]) -> Iterator[pa.RecordBatch]:
+        for t in tables:
+            v, ps = t.family[0], t.family[1][:-1]  # the group is the last parent, the lowest digit of j
+            cell = np.flatnonzero(t.n[:, 0]) if t.ids is None else t.ids
+            n = t.n[:, 0][cell] if t.ids is None else t.n[:, 0]
+            j, k = cell // t.r, cell % t.r
+            g, j = j % m, j // m
+            seen, own_g = np.unique(g, return_inverse=True)
+            q = t.q // m
+            for at, u in enumerate(ps):
+                step = int(np.prod([cards[p] for p in ps[at + 1 :]], dtype=np.int64))
+                rest, back = np.unique(j // (step * cards[u]) * step + j % step, return_inverse=True)
+                table = np.zeros((len(rest), cards[u], t.r, len(seen)), np.int64)
+                table[back, j // step % cards[u], k, own_g] = n
+                found = _worth(table, q, cards[u], alpha, ess)
+                columns = [pa.array(seen.astype(np.int32)), *[pa.array(np.full(len(seen), x, np.int32)) for x in (u, v)], *map(pa.array, found)]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in WORTH.split(", ")])
+
+    found = table_sums(pack(rows, wide), [(None, (v, (*ps, d))) for v, ps in families], emit, WORTH)
+    if by:
+        found = found.withColumnRenamed("g", code).join(labels, code)
+    labelled = [F.col(n).alias(b) for n, b in zip(names, by, strict=True)]
+    value = F.when(~F.isnan("mean_dlogl"), F.col("mean_dlogl")).alias("mean_dlogl"), F.when(~F.isnan("std_dlogl"), F.col("std_dlogl")).alias("std_dlogl")
+    return found.select(*labelled, "u", "v", "d_loglik", "d_bic", "d_k2", "d_bdeu", *value, "n_finite")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from arbora.functions.math import lgamma, lgamma_array
 
-from .counts import Family, Packed, Variables, configurations, family_counts, partial_cells
+from .counts import Family, Packed, Request, Table, Variables, configurations, family_counts, table_sums
 
 
 def _shapes(families: Sequence[Family], vs: Variables, what: int) -> Column:
@@ -55,47 +55,47 @@ def score_cells(cells: DataFrame, ess: float = 1.0, by: Sequence[str] = ()) -> D
 SCORED = "family int, loglik double, bic double, k2 double, bdeu double"
 
 
-def _scores(cells: np.ndarray, ess: float) -> pa.RecordBatch:
-    """Scores of whole families from their cells (columns family, r, q, j, k, n), some of which several tasks counted."""
-    order = np.lexsort((cells[4], cells[3], cells[0]))
-    family, r, q, j, k, n = cells[:, order]
-    new_j = np.append(True, (family[1:] != family[:-1]) | (j[1:] != j[:-1]))
-    cell = np.flatnonzero(new_j | np.append(True, k[1:] != k[:-1]))
-    n = np.add.reduceat(n, cell).astype(float)
-    family, r, q, new_j = family[cell], r[cell].astype(float), q[cell].astype(float), new_j[cell]
-    at = np.flatnonzero(new_j)
+def table_scores(n: np.ndarray, q: float, ess: float = 1.0) -> np.ndarray:
+    """loglik, bic, k2, bdeu (in the first axis) of tables of counts (..., configurations, states, runs) of q configurations in all; those
+    that are not among the tables have no rows and add nothing."""
+    n = n.astype(float)
+    r = n.shape[-2]
     a = ess / q
-    nj = np.add.reduceat(n, at)
-    loglik = np.add.reduceat(n * np.log(n), at) - nj * np.log(nj)
-    k2 = np.add.reduceat(lgamma_array(n + 1), at) + lgamma_array(r[at]) - lgamma_array(nj + r[at])
-    bdeu = np.add.reduceat(lgamma_array(n + a / r) - lgamma_array(a / r), at) + lgamma_array(a[at]) - lgamma_array(a[at] + nj)
-    family, r, q = family[at], r[at], q[at]
-    one = np.flatnonzero(np.append(True, family[1:] != family[:-1]))
-    total, loglik, k2, bdeu = (np.add.reduceat(x, one) for x in (nj, loglik, k2, bdeu))
-    bic = loglik - 0.5 * (r[one] - 1) * q[one] * np.log(np.maximum(total, 1))
-    return pa.RecordBatch.from_arrays([pa.array(family[one].astype(np.int32)), *map(pa.array, (loglik, bic, k2, bdeu))], [x.split()[0] for x in SCORED.split(", ")])
-
-
-def score_requests(data: Packed, requests: Sequence[tuple[int | None, Family]], ess: float = 1.0) -> DataFrame:
+    nj = n.sum(-2)
+    log_n, log_nj = np.log(np.maximum(n, 1)), np.log(np.maximum(nj, 1))
+    loglik = (n * log_n).sum((-3, -2)) - (nj * log_nj).sum(-2)
+    k2 = lgamma_array(n + 1).sum((-3, -2)) + (lgamma_array(np.full(1, float(r))) - lgamma_array(nj + r)).sum(-2)
+    bdeu = (lgamma_array(n + a / r) - lgamma_array(np.full(1, a / r))).sum((-3, -2)) + (lgamma_array(np.full(1, a)) - lgamma_array(a + nj)).sum(-2)
+    bic = loglik - 0.5 * (r - 1) * q * np.log(np.maximum(nj.sum(-2), 1))
+    return np.stack([loglik, bic, k2, bdeu])
+
+
+def grid(table: Table) -> np.ndarray:
+    """A table's counts as configurations x states x runs, with only the configurations that occur where the table lists its cells."""
+    if table.ids is None:
+        return table.n.reshape(table.q, table.r, -1)
+    j, back = np.unique(table.ids // table.r, return_inverse=True)
+    out = np.zeros((len(j), table.r, table.n.shape[1]), table.n.dtype)
+    out[back, table.ids % table.r] = table.n
+    return out
+
+
+def score_requests(data: Packed, requests: Sequence[Request], ess: float = 1.0) -> DataFrame:
     """family (place in requests), loglik, bic, k2, bdeu of any number of families in one job of two stages. What score_cells() says
     in columns is said in numpy here, as a search asks for it so often that planning those columns takes longer than the counting."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-        for batch in batches:
-            some = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (0, 2, 3, 4, 5, 6)])
-            while size > 1 << 20 and some.shape[1] and (cut := int(np.searchsorted(some[0], held[-1][0, -1], "right"))) < some.shape[1]:
-                held.append(some[:, :cut])
-                yield _scores(np.concatenate(held, 1), ess)
-                some, held, size = some[:, cut:], [], 0
-            if some.shape[1]:
-                held.append(some)
-                size += some.shape[1]
-        if held:
-            yield _scores(np.concatenate(held, 1), ess)
-
-    return partial_cells(data, requests).sortWithinPartitions("family").mapInArrow(task, SCORED)
+    def emit(tables: list[Table]) -> Iterator[pa.RecordBatch]:
+        # Tables of one shape are scored together.
+        shapes: dict[tuple, list[Table]] = {}
+        for t in tables:
+            shapes.setdefault((t.q, t.r, t.n.shape[1]) if t.ids is None else (t.family, -1, 0), []).append(t)
+        for some in shapes.values():
+            found = table_scores(np.stack([grid(t) for t in some]), float(some[0].q), ess).reshape(4, -1)
+            seen = np.concatenate([t.n.sum(0) for t in some]) > 0  # a resample without any row has no scores
+            place = np.array([p for t in some for p in t.places], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(place[seen]), *[pa.array(x[seen]) for x in found]], [x.split()[0] for x in SCORED.split(", ")])
+
+    return table_sums(data, requests, emit, SCORED)
 
 
 def score_families(df: DataFrame, families: Sequence[Family], vs: Variables, ess: float = 1.0, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.operators.counts import pack, variables
+from arbora.operators.order import numbered
 
 from .search import Config, Graph, candidate_parents, kept, scored, unused, walk
 
@@ -16,19 +17,27 @@ def run_number(seed: int, replicate: int) -> int:
     return (seed << 32) + replicate
 
 
-def bootstrap(df: DataFrame, key: Sequence[str], replicates: int = 100, seeds: Sequence[int] = (2025,), cfg: Config = Config(), init: Iterable[tuple[int, int]] = (), names: Sequence[str] | None = None) -> DataFrame:
+def bootstrap(df: DataFrame, key: Sequence[str], replicates: int = 100, seeds: Sequence[int] = (2025,), cfg: Config = Config(), init: Iterable[tuple[int, int]] = (), names: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """seed, u, v, count, prob: how many resamples' networks have the edge. key: columns that tell rows apart.
 
-    A row is drawn Poisson(1) times by a hash of its key, seed and replicate. Candidate parents are found once, on the data
-    themselves, and all cardinalities are those of the data. All resamples are searched in lockstep: each round is one scan in
-    which every resample gets the scores it asks for, so there are as many rounds as the longest search has iterations,
-    however many resamples there are, and the data are neither copied nor sent anywhere.
+    A resample has as many draws as there are rows, with replacement: rows are numbered by a hash of their key, and their draws follow from number, seed
+    and replicate, whatever the partitioning. With exact=False a row is drawn Poisson(1) times by the hash itself, which needs no numbers; a
+    resample's size then varies. Candidate parents are found once, on the data themselves, and all cardinalities are those of the
+    data. All resamples are searched in lockstep: each round is a scan in which every resample that waits gets the scores it
+    asks for and those that its next moves may need, so rounds are fewer than the longest search's iterations, however many
+    resamples there are, and the data are neither copied nor sent anywhere.
     """
     spark = df.sparkSession
     vs = variables(df, names or [c for c in df.columns if c not in key])
     init = list(init)
-    h = unused(vs.names, "key")
-    data = kept(pack(df.select(*vs.names, F.xxhash64(*key).alias(h)), vs, key=h))
+    h = unused([*vs.names, *key], "key")
+    rows, draws = df.select(*vs.names, *[c for c in key if c not in vs.names]), None
+    if exact:
+        rows = numbered(rows, [F.xxhash64(*key), *key, *vs.names], h)
+        draws = rows.count()
+    else:
+        rows = rows.withColumn(h, F.xxhash64(*key))
+    data = kept(pack(rows.select(*vs.names, h), vs, key=h, draws=draws))
     found: list[tuple[int, int, int]] = []
     try:
         cand = candidate_parents(df.select(*vs.names), vs, cfg)
@@ -36,15 +45,17 @@ def bootstrap(df: DataFrame, key: Sequence[str], replicates: int = 100, seeds: S
         known: dict = {run: {} for run in searches}
         needed = {run: next(search) for run, search in searches.items()}
         while needed:
-            ask = [(run, f) for run, fs in needed.items() for f in dict.fromkeys(fs) if f not in known[run]]
+            ask = [(run, f) for run, (fs, soon) in needed.items() for f in dict.fromkeys([*fs, *soon()]) if f not in known[run]]
             for (run, f), x in zip(ask, scored(data, [(run_number(*run), f) for run, f in ask], cfg.score.lower(), cfg.ess), strict=True):
                 known[run][f] = x
-            for run, fs in list(needed.items()):
-                try:
-                    needed[run] = searches[run].send({f: known[run][f] for f in fs})
-                except StopIteration as end:
-                    found += [(run[0], u, v) for u, v in end.value.edges]
-                    del needed[run]
+            for run in list(needed):
+                # On until it needs what is not known.
+                while run in needed and all(f in known[run] for f in needed[run][0]):
+                    try:
+                        needed[run] = searches[run].send({f: known[run][f] for f in needed[run][0]})
+                    except StopIteration as end:
+                        found += [(run[0], u, v) for u, v in end.value.edges]
+                        del needed[run], known[run]
     finally:
         data.rows.unpersist()
     edges = spark.createDataFrame(found, "seed int, u int, v int")

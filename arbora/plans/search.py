@@ -9,17 +9,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.operators.assoc import associations, candidates, sample_rows
-from arbora.operators.counts import Family, Packed, Variables, families_of, normal, pack, variables
+from arbora.operators.assoc import sample_rows, top_candidates
+from arbora.operators.counts import DENSE, TABLE_CELLS, Family, Packed, Request, Variables, configurations, families_of, normal, pack, variables
 from arbora.operators.scores import score_families, score_requests
 from arbora.scratch import stored
 
 EPS = 1e-12
 SCORES = ("bic", "k2", "bdeu")
-#: Families scored in one scan.
-BATCH = 1 << 14
 #: Data of at most so many different rows are searched as these rows and their numbers.
 COMPACT = 1 << 14
+#: Additions into a node that are looked at for a legal one, when the next moves' families are told.
+TRIED = 8
 Move = tuple[str, int, int]
 _RANK = {"add": 0, "remove": 1, "reverse": 2}
 
@@ -42,6 +42,7 @@ class Config:
     assoc_budget: int = 1500  # 0: all
     aspiration: str = "current"  # "initial": against the starting score
     seed: int = 2025
+    ahead: int = 24  # nodes of which the best next moves' families are scored together with what is needed now
 
     def __post_init__(self) -> None:
         if self.score.lower() not in SCORES:
@@ -67,12 +68,16 @@ class Result:
 
 
 class Graph:
-    """A DAG as parent and child sets; a path search answers whether an edge would close a cycle."""
+    """A DAG as parent and child sets with its transitive closure: for each node the bits of all nodes that it reaches, itself included, and
+    of those that reach it. A question is one look at a bit; a new edge joins bits, and a removed one has the closures of the nodes
+    that reached it, and of those that it reached, put together anew from their neighbours'."""
 
     def __init__(self, n: int, edges: Iterable[tuple[int, int]] = ()) -> None:
         self.n = n
         self.parents = [set() for _ in range(n)]
         self.children = [set() for _ in range(n)]
+        self.below = [1 << v for v in range(n)]
+        self.above = [1 << v for v in range(n)]
         for u, v in edges:
             if not (0 <= u < n and 0 <= v < n) or u == v:
                 raise ValueError(f"edge {u} -> {v} is outside the network or a loop")
@@ -83,46 +88,87 @@ class Graph:
     def add(self, u: int, v: int) -> None:
         self.parents[v].add(u)
         self.children[u].add(v)
+        if not self.reaches(u, v):
+            above, below = self.above[u], self.below[v]
+            for a in bits(above):
+                self.below[a] |= below
+            for b in bits(below):
+                self.above[b] |= above
 
     def remove(self, u: int, v: int) -> None:
         self.parents[v].discard(u)
         self.children[u].discard(v)
+        if not any(self.reaches(c, v) for c in self.children[u]):
+            self._renew(bits(self.above[u]), self.below, self.children)
+            self._renew(bits(self.below[v]), self.above, self.parents)
 
-    def reaches(self, a: int, b: int) -> bool:
-        """Whether a directed path leads from a to b."""
-        todo, seen = [a], {a}
+    def _renew(self, nodes: list[int], closure: list[int], near: list[set[int]]) -> None:
+        """The closures of these nodes from their neighbours', each after those of its neighbours that are among them."""
+        inside, done, todo = set(nodes), set(), list(nodes)
         while todo:
-            x = todo.pop()
-            if x == b:
-                return True
-            for y in self.children[x] - seen:
-                seen.add(y)
-                todo.append(y)
-        return False
+            x = todo[-1]
+            wait = [y for y in near[x] if y in inside and y not in done]
+            if x not in done and wait:
+                todo += wait
+                continue
+            todo.pop()
+            if x not in done:
+                done.add(x)
+                closure[x] = 1 << x
+                for y in near[x]:
+                    closure[x] |= closure[y]
 
-    def edges(self) -> list[tuple[int, int]]:
-        return [(u, v) for u in range(self.n) for v in sorted(self.children[u])]
+    def reaches(self, a: int, b: int) -> bool:
+        """Whether a directed path leads from a to b, which a node does to itself."""
+        return bool(self.below[a] >> b & 1)
 
+    def turns(self, u: int, v: int) -> bool:
+        """Whether the edge u -> v can be turned without closing a cycle: no other path leads from u to v."""
+        return not any(c != v and self.reaches(c, v) for c in self.children[u])
 
-Scorer = Callable[[list[Family]], dict[Family, float]]
+    def edges(self) -> list[tuple[int, int]]:
+        return [(u, v) for u in range(self.n) for v in sorted(self.children[u])]
 
 
-def scored(data: Packed, requests: list[tuple[int | None, Family]], score: str, ess: float) -> list[float]:
-    """The score of each request (see partial_cells()), one job for each BATCH of them; 0 where there are no rows."""
-    out = [0.0] * len(requests)
-    for i in range(0, len(requests), BATCH):
-        for r in score_requests(data, requests[i : i + BATCH], ess).select("family", score).collect():
-            out[i + r.family] = r[score]
+def bits(x: int) -> list[int]:
+    """The places of a number's bits."""
+    raw = np.frombuffer(x.to_bytes((x.bit_length() + 7) // 8, "little"), np.uint8)
+    return np.flatnonzero(np.unpackbits(raw, bitorder="little")).tolist()
+
+
+#: Families, and what tells which ones may be needed soon -> their scores.
+Scorer = Callable[[list[Family], Callable[[], list[Family]]], dict[Family, float]]
+
+
+def scored(data: Packed, requests: list[Request], score: str, ess: float) -> list[float]:
+    """The score of each request (see table_sums()), one job for all that a task can hold the tables of; 0 where there are no rows."""
+    out, cards = [0.0] * len(requests), data.vs.cards
+    # Requests of one family stand together, so that its configurations are found once.
+    order = sorted(range(len(requests)), key=lambda i: (requests[i][1], -1 if requests[i][0] is None else requests[i][0]))
+    a = 0
+    while a < len(order):
+        b, cells = a, 0
+        while b < len(order) and (b == a or cells < TABLE_CELLS):
+            v, ps = requests[order[b]][1]
+            cells += min(DENSE, configurations((v, ps), cards) * cards[v])
+            b += 1
+        some = order[a:b]
+        for r in score_requests(data, [requests[i] for i in some], ess).select("family", score).collect():
+            out[some[r.family]] = r[score]
+        a = b
     return out
 
 
 def spark_scorer(data: Packed, score: str, ess: float) -> Scorer:
-    """Scores of families, in one job for each batch that asks for unseen ones. The packed rows should be cached."""
+    """Scores of families; a job is run only where an unseen one is needed, and then brings those that may be needed soon. The packed rows
+    should be cached."""
     known: dict[Family, float] = {}
 
-    def ask(families: list[Family]) -> dict[Family, float]:
-        new = sorted({f for f in families if f not in known})
-        known.update(zip(new, scored(data, [(None, f) for f in new], score, ess), strict=True))
+    def ask(families: list[Family], soon: Callable[[], list[Family]] = list) -> dict[Family, float]:
+        new = {f for f in families if f not in known}
+        if new:
+            new = sorted(new | {f for f in soon() if f not in known})
+            known.update(zip(new, scored(data, [(None, f) for f in new], score, ess), strict=True))
         return {f: known[f] for f in families}
 
     return ask
@@ -135,9 +181,8 @@ def candidate_parents(df: DataFrame, vs: Variables, cfg: Config) -> list[set[int
         return [set(range(n)) - {v} for v in range(n)]
     if cfg.assoc_rows:
         df = sample_rows(df, [F.col(c) for c in vs.names], cfg.assoc_rows, cfg.seed).repartition(df.sparkSession.sparkContext.defaultParallelism)
-    table = associations(df, vs, cfg.assoc_budget, cfg.seed)
     out: list[set[int]] = [set() for _ in range(n)]
-    for r in candidates(table, cfg.cand_metric, cfg.top_k, cfg.mi_threshold, cfg.p_threshold).select("v", "u").collect():
+    for r in top_candidates(df, vs, cfg.cand_metric, cfg.top_k, cfg.mi_threshold, cfg.p_threshold, cfg.assoc_budget, cfg.seed).select("v", "u").collect():
         out[r.v].add(r.u)
     return out
 
@@ -156,9 +201,9 @@ class Gains:
         self.less: dict[tuple[int, int], float] = {}
         self.own = [0.0] * g.n
 
-    def families(self, v: int) -> list[Family]:
-        """All that moves into v need: its own family, with one more candidate, and with one parent less."""
-        p = self.g.parents[v]
+    def families(self, v: int, parents: set[int] | None = None) -> list[Family]:
+        """All that moves into v need: its own family (with its parents, or those given), with one more candidate, and with one parent less."""
+        p = self.g.parents[v] if parents is None else parents
         more = [normal(v, p | {u}) for u in self.cand[v] if u not in p] if len(p) < self.top_in else []
         return [normal(v, p), *more, *[normal(v, p - {u}) for u in p]]
 
@@ -169,6 +214,26 @@ class Gains:
         self.add[self.first[v] : self.first[v + 1]] = [known[normal(v, p | {u})] - base if room and u not in p else -np.inf for u in self.cand[v]]
         self.less = {e: d for e, d in self.less.items() if e[1] != v} | {(u, v): known[normal(v, p - {u})] - base for u in p}
 
+    def soon(self, most: int, changed: Sequence[int]) -> list[Family]:
+        """The families that will be asked for after the best legal additions into so many nodes and the best removals, as known now; for nodes
+        that have just changed, by what additions were worth before."""
+        out, tops = [], []
+        for v, (a, b) in enumerate(zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True)):
+            if len(self.g.parents[v]) < self.top_in:
+                for i in np.argsort(-self.add[a:b])[:TRIED].tolist():
+                    u = self.cand[v][i]
+                    if self.add[a + i] > -np.inf and u not in self.g.parents[v] and self._legal("add", u, v):
+                        tops.append((float(self.add[a + i]), u, v))
+                        break
+        for _, u, v in sorted(tops, reverse=True)[:most]:
+            out += self.families(v, self.g.parents[v] | {u})
+        for (u, v), _ in sorted(self.less.items(), key=lambda x: -x[1])[: most // 4]:
+            if v not in changed and u in self.g.parents[v]:
+                out += self.families(v, self.g.parents[v] - {u})
+                if v in self.at[u]:
+                    out += self.families(u, self.g.parents[u] | {v})
+        return out
+
     def best(self, allowed: Callable[[Move, float], bool]) -> tuple[Move, float] | None:
         """The legal and allowed move of the greatest gain. Of those within EPS the first: by child, additions, removals, reversals, by parent."""
         edges = sorted(self.less)
@@ -195,21 +260,20 @@ class Gains:
             return len(g.children[u]) < self.top_out and not g.reaches(v, u)
         if op == "remove":
             return True
-        if len(g.children[v]) >= self.top_out:
-            return False
-        g.remove(u, v)
-        free = not g.reaches(u, v)
-        g.add(u, v)
-        return free
+        return len(g.children[v]) < self.top_out and g.turns(u, v)
+
+
+#: Families that are needed, and what tells those that may be needed soon.
+Needs = tuple[list[Family], Callable[[], list[Family]]]
 
 
-def walk(n: int, cand: Sequence[set[int]], cfg: Config, init: Iterable[tuple[int, int]] = ()) -> Generator[list[Family], dict[Family, float], Result]:
-    """The search itself: yields the families whose scores it needs, is sent them, and returns the result. The first of the best
-    moves is taken; greedy stops where no move gains more than EPS, tabu goes on with the best move that is not forbidden (or
+def walk(n: int, cand: Sequence[set[int]], cfg: Config, init: Iterable[tuple[int, int]] = ()) -> Generator[Needs, dict[Family, float], Result]:
+    """The search itself: yields the families whose scores it needs, and what tells those that the next moves may need; is sent the former's
+    scores, and returns the result. The first of the best moves is taken; greedy stops where no move gains more than EPS, tabu goes on with the best move that is not forbidden (or
     that beats the aspiration level) and returns the best network met."""
     g = Graph(n, init)
     gains = Gains(g, cand, cfg)
-    known = yield [f for v in range(n) for f in gains.families(v)]
+    known = yield [f for v in range(n) for f in gains.families(v)], list
     for v in range(n):
         gains.update(v, known)
     total = best = start = sum(gains.own)
@@ -241,7 +305,7 @@ def walk(n: int, cand: Sequence[set[int]], cfg: Config, init: Iterable[tuple[int
         if better:
             best, best_edges = total, g.edges()
         changed = [v, u] if op == "reverse" else [v]
-        known = yield [f for x in changed for f in gains.families(x)]
+        known = yield [f for x in changed for f in gains.families(x)], lambda changed=changed: gains.soon(cfg.ahead, changed)
         for x in changed:
             gains.update(x, known)
     return Result(best_edges, best, done, trace)
@@ -253,7 +317,7 @@ def climb(n: int, cand: Sequence[set[int]], scorer: Scorer, cfg: Config, init: I
     needed = next(search)
     while True:
         try:
-            needed = search.send(scorer(needed))
+            needed = search.send(scorer(*needed))
         except StopIteration as end:
             return end.value
 
