@@ -346,30 +346,32 @@ def test_decontamination_of_dropped_and_added_words(spark, frame):
         assert docs[r.doc_id].encode()[r.start_byte : r.end_byte].decode().split() == docs[r.doc_id].split()[r.start_word : r.start_word + r.n_words]
 
 
-def test_decontamination_loses_nothing_at_the_largest_edit_distance():
-    for kind, n in itertools.product(("replaced", "dropped", "added", "mixed"), (8, 15, 30, 45)):
+def test_exact_decontamination_loses_nothing_at_the_largest_edit_distance():
+    for kind, n in itertools.product(("replaced", "dropped", "added", "mixed"), (5, 7, 8, 15, 30, 45)):
         items = [(i, prose(n)) for i in range(200)]
         docs = [prose(20) + " " + changed(t, decontam.allowed(n), kind) + " " + prose(20) for _, t in items]
-        got = {(r[0], r[1]) for r in decontam._search(decontam.prepare(items), pa.array(docs), list(range(200)))}
+        got = {(r[0], r[1]) for r in decontam._search(decontam.prepare(items), pa.array(docs), list(range(200)), exact=True)}
         assert {(i, i) for i in range(200)} <= got
 
 
 @pytest.mark.parametrize("kind", ["replaced", "dropped", "added", "mixed"])
-def test_tables_alone_find_most_at_the_largest_edit_distance(monkeypatch, kind):
-    """Without the count of pairs, which would find all: what the CGK tables are worth."""
-    monkeypatch.setattr(decontam, "_sharing", lambda *_: np.zeros(0, np.int64))
-    for n in (8, 10, 15, 20, 30, 45, 60):
-        items = [(i, prose(n)) for i in range(200)]
+def test_tables_find_nearly_all_at_the_largest_edit_distance(kind):
+    """The path of the query: what the CGK tables decide, without the exact one beside them."""
+    lengths, found = (5, 6, 7, 8, 10, 15, 20, 30, 45, 60), []
+    for n in lengths:
+        items = [(i, prose(n)) for i in range(300)]
         docs = [prose(20) + " " + changed(t, decontam.allowed(n), kind) + " " + prose(20) for _, t in items]
-        got = {(r[0], r[1]) for r in decontam._search(decontam.prepare(items), pa.array(docs), list(range(200)))}
-        assert len({(i, i) for i in range(200)} & got) >= 0.95 * 200, n
+        got = {(r[0], r[1]) for r in decontam._search(decontam.prepare(items), pa.array(docs), list(range(300)))}
+        found.append(len({(i, i) for i in range(300)} & got) / 300)
+        assert found[-1] >= 0.98, (n, found)  # of 300; the README gives the recall of 500
+    assert sum(found) / len(found) >= 0.99
 
 
 def test_short_items_stand_unchanged(spark, frame):
     items = [(1, "Kappa lambda"), (2, "kappa, lambda mu!"), (3, "omega"), (4, "one two three four five six seven"), (5, "...")]
     docs = ["x kappa LAMBDA mu y kappa lambda", "kappa mu lambda", "kappa", "one two three four five six seven", "one two three four five six", "", None]
     found = decontam.find(frame(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert sorted((r.doc_id, r.item_id, r.start_word, r.n_words, r.edits) for r in found) == [(0, 1, 1, 2, 0), (0, 2, 1, 3, 0), (3, 4, 0, 7, 0)]
+    assert sorted((r.doc_id, r.item_id, r.start_word, r.n_words, r.edits) for r in found) == [(0, 1, 1, 2, 0), (0, 2, 1, 3, 0), (3, 4, 0, 7, 0), (4, 4, 0, 6, 1)]
 
 
 def test_decontamination_marks_items_without_id(spark, frame):
