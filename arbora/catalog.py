@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.functions.text import base_name, sanitize_label
-from arbora.operators import assoc, edges, prep, profile, scores
+from arbora.operators import assoc, edges, moments, prep, profile, scores
 from arbora.operators.counts import Variables, cardinalities, drop_parent, families_of, family_counts, with_totals
 from arbora.operators.importance import edge_importance
 from arbora.plans import bootstrap as boot
@@ -544,37 +544,40 @@ def _(spark, sf):
 
 # --- networks -----------------------------------------------------------------------------------------------
 
-_NET = evaluation.Network(
-    ["rain", "sprinkler", "grass"], [["n", "y"], ["n", "y"], ["dry", "wet"]], [[], [0], [1, 0]],
-    [np.array([[0.75, 0.25]]), np.array([[0.5, 0.5], [0.875, 0.125]]), np.array([[1.0, 0.0], [0.25, 0.75], [0.125, 0.875], [0.0625, 0.9375]])],
-)
-_JOINT = """(SELECT rain, sprinkler, grass, r.p * s.p * g.p AS p
-FROM (VALUES (0, 0.75::DOUBLE), (1, 0.25)) r(rain, p) JOIN (VALUES (0, 0, 0.5::DOUBLE), (0, 1, 0.5), (1, 0, 0.875), (1, 1, 0.125)) s(rain, sprinkler, p) USING (rain)
-JOIN (VALUES (0, 0, 0, 1.0::DOUBLE), (0, 0, 1, 0.0), (0, 1, 0, 0.25), (0, 1, 1, 0.75), (1, 0, 0, 0.125), (1, 0, 1, 0.875), (1, 1, 0, 0.0625), (1, 1, 1, 0.9375)) g(sprinkler, rain, grass, p) USING (rain, sprinkler))"""
+#: A network over the first columns of bn_dep, fitted with a count of 1 added to each cell, and what it is measured against.
+_FIT_EDGES, _FIT_LESS = [(0, 2), (1, 2), (0, 3)], [(0, 2)]
 
 
-@query("joint_distribution", f"SELECT rain, sprinkler, grass, p FROM {_JOINT}")
+def _fitted(spark: SparkSession, sf: str, edges: Sequence[tuple[int, int]]) -> evaluation.Network:
+    return evaluation.fit(view(spark, sf, "bn_dep").select(*"abcd"), edges, Variables(tuple("abcd"), (2,) * 4), 1.0)
+
+
+def _fitted_sql(edges: Sequence[tuple[int, int]], p: str) -> str:
+    """All states of a, b, c, d with their probability in the fitted network."""
+    factors = []
+    for v, ps in families_of(edges, 4):
+        own = " AND ".join(f"s.{'abcd'[x]} = g.{'abcd'[x]}" for x in (v, *ps))
+        above = " AND ".join(f"s.{'abcd'[x]} = g.{'abcd'[x]}" for x in ps) or "true"
+        factors.append(f"((SELECT count(*) FROM s WHERE {own}) + 1.0::DOUBLE) / ((SELECT count(*) FROM s WHERE {above}) + 2.0::DOUBLE)")
+    return f"(WITH s AS MATERIALIZED {_sql('bn_dep')} SELECT a, b, c, d, {' * '.join(factors)} AS {p} FROM (SELECT * FROM range(2) w(a), range(2) x(b), range(2) y(c), range(2) z(d)) g)"
+
+
+@query("joint_distribution", f"SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, CAST(c AS INT) AS c, CAST(d AS INT) AS d, round(p, 12) AS p FROM {_fitted_sql(_FIT_EDGES, 'p')}")
 def _(spark, sf):
-    return evaluation.joint(spark, _NET)
+    return evaluation.joint(spark, _fitted(spark, sf, _FIT_EDGES)).withColumn("p", F.round("p", 12))
 
 
-@query(
-    "kl_divergence",
-    f"""WITH p AS {_JOINT}, a AS (SELECT rain, sum(p) AS pa FROM p GROUP BY 1), b AS (SELECT sprinkler, sum(p) AS pb FROM p GROUP BY 1), c AS (SELECT grass, sum(p) AS pc FROM p GROUP BY 1)
-SELECT round(sum(CASE WHEN p > 0 THEN p * (ln(p) - ln(pa * pb * pc)) ELSE 0 END), 9) AS kl FROM p JOIN a USING (rain) JOIN b USING (sprinkler) JOIN c USING (grass)""",
-)
+@query("kl_divergence", f"SELECT round(sum(p * (ln(p) - ln(q))), 9) AS kl FROM {_fitted_sql(_FIT_EDGES, 'p')} JOIN {_fitted_sql(_FIT_LESS, 'q')} USING (a, b, c, d)")
 def _(spark, sf):
-    """The divergence of the product of the marginals: the network's total correlation."""
-    m1, m2 = 0.75 * 0.5 + 0.25 * 0.125, 0.0
-    for r, s in ((0, 0), (0, 1), (1, 0), (1, 1)):
-        m2 += _NET.tables[0][0, r] * _NET.tables[1][r, s] * _NET.tables[2][s * 2 + r, 1]
-    flat = evaluation.Network(_NET.names, _NET.states, [[], [], []], [_NET.tables[0], np.array([[1 - m1, m1]]), np.array([[1 - m2, m2]])])
-    return evaluation.kl_divergence(spark, _NET, flat).select(F.round("kl", 9).alias("kl"))
+    """The divergence of a network with fewer edges, both fitted to the data, summed by family."""
+    return evaluation.kl_by_family(spark, _fitted(spark, sf, _FIT_EDGES), _fitted(spark, sf, _FIT_LESS)).select(F.round("kl", 9).alias("kl"))
 
 
 @query("ancestral_sample")
 def _(spark, sf):
-    return evaluation.sample(spark, _NET, 20_000, 7).groupBy(*_NET.names).agg(F.count("*").alias("n"))
+    """As many draws from the fitted network as the data have rows."""
+    n = view(spark, sf, "bn_dep").count()
+    return evaluation.sample(spark, _fitted(spark, sf, _FIT_EDGES), n, 7).groupBy(*"abcd").agg(F.count("*").alias("n"))
 
 
 _BENCH = "SELECT event_type AS network, CAST(user_id % 3 AS INT) AS n_rows, CASE WHEN value > 400 THEN NULL ELSE value END AS shd, CASE WHEN value < 1 THEN CAST('Infinity' AS DOUBLE) WHEN value > 300 THEN CAST('NaN' AS DOUBLE) ELSE value / 7 END AS kl FROM {t}"
@@ -700,3 +703,36 @@ def _(spark, sf):
 def _(spark, sf):
     p = profile.variance_profile(prep.gene_stats(embeddings(spark, sf)))
     return p.select(*[F.round(f"q{i}", 9).alias(f"q{i}") for i in range(5)], "n_low")
+
+
+_WIDE = ("l_quantity", "l_discount", "l_tax", "l_linenumber", "l_extendedprice")
+
+
+@query(
+    "column_moments",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS n, count(*) - count({c}) AS n_missing, count_if({c} <> 0) AS n_nonzero, round(avg({c}::DOUBLE) / max({c}::DOUBLE), 10) AS relative_mean, round(var_pop({c}::DOUBLE) / (avg({c}::DOUBLE) * avg({c}::DOUBLE)), 8) AS relative_variance,
+min({c})::DOUBLE AS minimum, max({c})::DOUBLE AS maximum, bool_and({c} = round({c})) AS is_integer, {"count(DISTINCT " + c + ")" if c != "l_extendedprice" else "NULL::BIGINT"} AS n_levels FROM lineitem"""
+        for c in _WIDE
+    ),
+)
+def _(spark, sf):
+    """Levels are exact up to a bound, which only prices pass."""
+    stats = moments.column_stats(spark.read.parquet(f"{sf}/lineitem.parquet"), _WIDE).drop("digest")
+    levels = F.when(F.col("column") != "l_extendedprice", F.col("n_levels"))
+    relative = F.round(F.col("variance") / (F.col("mean") * F.col("mean")), 8).alias("relative_variance")
+    mean = F.round(F.col("mean") / F.col("maximum"), 10).alias("relative_mean")
+    return stats.select("*", relative, mean).drop("variance", "mean").withColumn("n_levels", levels)
+
+
+@query("duplicate_rows", "SELECT copies, count(*) AS n_contents, CAST(sum(copies) AS BIGINT) AS n_rows FROM (SELECT count(*) AS copies FROM embeddings GROUP BY embedding) GROUP BY copies")
+def _(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    d = e.select(F.max(F.size("embedding"))).first()[0]
+    return moments.duplicate_rows(e.select(*[F.get("embedding", F.lit(i)).alias(f"e{i}") for i in range(d)]), [f"e{i}" for i in range(d)])
+
+
+@query("importance_or_zero", f"WITH e AS {_sql('edges_nat')} SELECT u, v, CASE WHEN n > 90 THEN w ELSE 0 END::DOUBLE AS importance FROM e")
+def _(spark, sf):
+    e = view(spark, sf, "edges_nat")
+    return edges.with_importance(e.select("u", "v"), e.where("n > 90").select("u", "v", F.col("w").alias("importance")))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from arbora.functions.math import digits, mixed_radix
 
+from .moments import extremes
+
 
 @dataclass(frozen=True)
 class Variables:
@@ -32,11 +34,11 @@ Family = tuple[int, tuple[int, ...]]
 def variables(df: DataFrame, names: Sequence[str] | None = None) -> Variables:
     """Cardinalities as largest code + 1, in one pass. Null or negative codes raise."""
     names = tuple(names or df.columns)
-    r = df.agg(*[F.max(n).alias(f"max_{i}") for i, n in enumerate(names)], *[F.min(n).alias(f"min_{i}") for i, n in enumerate(names)], *[F.count_if(F.col(n).isNull()).alias(f"null_{i}") for i, n in enumerate(names)]).first()
-    for i, n in enumerate(names):
-        if r[f"null_{i}"] or (r[f"min_{i}"] is not None and r[f"min_{i}"] < 0):
+    found = extremes(df, names)
+    for n, (least, _, nulls) in zip(names, found, strict=True):
+        if nulls or (least is not None and least < 0):
             raise ValueError(f"{n}: states must be integers from 0 on, without nulls")
-    return Variables(names, tuple(int(r[f"max_{i}"] or 0) + 1 for i in range(len(names))))
+    return Variables(names, tuple((most or 0) + 1 for _, most, _ in found))
 
 
 def cardinalities(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from arbora.functions.math import f1, ratio
 
+from .order import numbered
+
 
 def skeleton(edges: DataFrame) -> DataFrame:
     """Unordered pairs a < b."""
@@ -95,8 +97,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def ranked(edges: DataFrame, metric: str, ties: Sequence[str] = ("u", "v")) -> DataFrame:
     """edges with rank 1.. by descending metric."""
-    w = Window.orderBy(F.col(metric).desc(), *[F.col(c).desc() for c in ties])
-    return edges.withColumn("rank", F.row_number().over(w))
+    return numbered(edges, [F.col(metric).desc(), *[F.col(c).desc() for c in ties]], "rank", 1)
 
 
 def top(edges: DataFrame, metric: str, n: int, by: Sequence[str] = ()) -> DataFrame:
@@ -118,9 +119,10 @@ def normalised(edges: DataFrame, metric: str, out: str = "norm") -> DataFrame:
 
 def nearest_quantile(edges: DataFrame, metric: str, t: float) -> DataFrame:
     """One row: the value at place round(t (n - 1)) in ascending order."""
-    w = Window.orderBy(metric)
-    n = edges.where(F.col(metric).isNotNull()).select(metric, F.row_number().over(w).alias("place"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("n"))
-    return n.where(F.col("place") == F.floor(t * (F.col("n") - 1) + 0.5) + 1).select(F.col(metric).cast("double").alias("value"))
+    placed = numbered(edges.where(F.col(metric).isNotNull()).select(metric), [metric], "place")
+    size = placed.agg(F.count("*").alias("n"))
+    at = F.col("place") == F.floor(t * (F.col("n") - 1) + 0.5)
+    return placed.join(F.broadcast(size), at).select(F.col(metric).cast("double").alias("value"))  # one row is broadcast
 
 
 def histogram(edges: DataFrame, metric: str, bins: int = 32) -> DataFrame:
@@ -159,6 +161,19 @@ def ego(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return induced(edges, near)
 
 
+def with_importance(edges: DataFrame, importance: DataFrame, metric: str = "importance", default: float = 0.0) -> DataFrame:
+    """edges (u, v, ...) with the metric of a table of importance (u, v, metric), and the default for edges that it doesn't list."""
+    known = importance.select("u", "v", F.col(metric).cast("double").alias(metric)).dropDuplicates(["u", "v"])
+    return edges.drop(metric).join(known, ["u", "v"], "left").withColumn(metric, F.coalesce(metric, F.lit(float(default))))
+
+
+def within(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """Edges of which both ends are among the names (name) and differ."""
+    n = names.select("name").distinct()
+    kept = edges.where("u <> v").join(n.withColumnRenamed("name", "u"), "u", "left_semi")
+    return kept.join(n.withColumnRenamed("name", "v"), "v", "left_semi").select(*edges.columns)
+
+
 def payload(edges: DataFrame, importance: DataFrame, probabilities: DataFrame, truth: DataFrame | None = None) -> DataFrame:
     """edges with importance, probability and verdict where known, and the degrees of both ends."""
     d = degrees(edges).select("node", "degree")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from arbora.functions.text import sanitize_label
 
+from .order import numbered
+
 
 def melt(wide: DataFrame, ident: str, samples: Sequence[str], name: str = "sample") -> DataFrame:
     """A row for each gene and sample; what is not a number counts as 0."""
@@ -53,11 +55,13 @@ def keep_genes(stats: DataFrame, min_mean: float = 0.0, min_detected: float = 0.
 
 
 def top_variance(stats: DataFrame, n: int, keep: Sequence[str] = (), including: bool = False) -> DataFrame:
-    """The n genes of greatest variance plus the listed ones (including: the listed ones count among the n). Ties by gene."""
+    """The n genes of greatest variance plus the listed ones. Ties by gene. including: n genes in all, the listed ones first, and these by variance
+    too where they are more than n."""
     listed = F.col("gene").cast("string").isin(list(keep)) if keep else F.lit(False)
-    order = [F.col("variance").desc(), "gene"]
-    w = Window.orderBy(*([listed.desc()] if including else []), *order)
-    return stats.withColumn("_n", F.row_number().over(w)).where((F.col("_n") <= n) | listed).drop("_n")
+    order = [F.col("variance").desc(), F.col("gene")]
+    if including:
+        return stats.orderBy(listed.desc(), *order).limit(n)
+    return stats.orderBy(*order).limit(n).unionByName(stats.where(listed)).dropDuplicates(["gene"]) if keep else stats.orderBy(*order).limit(n)
 
 
 def variance_quantile(stats: DataFrame, q: float) -> DataFrame:
@@ -121,8 +125,7 @@ def align(samples: DataFrame, meta: DataFrame, groups: Sequence[str] | None = No
         both = both.where(rank > 0).withColumn("_r", rank)
     else:
         both = both.join(both.groupBy("group").agg(F.min("ix").alias("_r")), "group")
-    order = Window.orderBy("_r", "ix")
-    aligned = both.select("sample", "group", (F.row_number().over(order) - 1).alias("row_index"))
+    aligned = numbered(both.select("sample", "group", "_r", "ix"), ["_r", "ix"], "row_index").select("sample", "group", "row_index")
     return aligned, samples.join(last, "sample", "left_anti"), last.join(samples, "sample", "left_anti")
 
 

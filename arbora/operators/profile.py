@@ -57,3 +57,29 @@ def suggest(rows: int, variables: int, high_variance: int | None = None, cpus: i
     up = lambda x: max(500, math.ceil(x / 100) * 100)
     seeds = min(cpus, 10)
     return {"n_bins": bins, "max_parents": parents, "top_var": genes, "iters": up(3 * genes * parents), "iters_bootstrap": up(genes * parents), "seeds": seeds, "bootstrap": math.ceil(200 / seeds)}
+
+
+#: Parts of names (fixed values): of columns that hold genes' identifiers, and of numeric columns that describe genes and are no samples.
+GENE_ID_HINTS = ("ens", "gene", "symbol", "id", "name", "probe", "feature", "protein")
+NUMERIC_ANNOTATION_HINTS = ("length", "len", "width", "chr", "chrom", "start", "end", "strand", "biotype", "exon", "gc_content", "tss", "entrez", "locus", "position")
+
+
+def numeric_annotation(column: str) -> bool:
+    """Whether a numeric column's name says that it describes genes."""
+    return any(h in column.lower() for h in NUMERIC_ANNOTATION_HINTS)
+
+
+def orientation(df: DataFrame, numeric_share: float = 0.9) -> dict:
+    """genes_in_rows, evidence (of three: a column that is no number, more rows than numeric columns, a first column called like a gene's
+    identifier; two make it so), rows, samples (numeric columns, without those that describe genes if genes are in rows), annotations.
+
+    A column counts as numeric if more than numeric_share of its cells read as numbers. One pass, a number a column.
+    """
+    quoted = ["`" + c.replace("`", "``") + "`" for c in df.columns]
+    r = df.agg(F.count("*").alias("n"), *[F.count(F.expr(f"try_cast({q} AS double)")).alias(f"c{i}") for i, q in enumerate(quoted)]).first()
+    numeric = [c for i, c in enumerate(df.columns) if r.n and r[f"c{i}"] > numeric_share * r.n]
+    others = [c for c in df.columns if c not in numeric]
+    evidence = [bool(others), r.n > len(numeric), any(h in df.columns[0].lower() for h in GENE_ID_HINTS)]
+    in_rows = sum(evidence) >= 2
+    about = [c for c in numeric if numeric_annotation(c)] if in_rows else []
+    return {"genes_in_rows": in_rows, "evidence": evidence, "rows": r.n, "samples": [c for c in numeric if c not in about], "annotations": [*others, *about]}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from itertools import product
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 from arbora.operators import edges as sets
 from arbora.operators.counts import Variables, families_of, family_counts, variables
 from arbora.operators.importance import edge_importance
+from arbora.operators.moments import extremes
 from arbora.operators.scores import data_loglik
+from arbora.sources.files import write_table
 
 from .bootstrap import bootstrap, consensus, integrate
 from .evaluation import Network, fit, is_dag, kl_by_family, sid
@@ -57,14 +60,16 @@ def iterations(variables_: int, per_variable: int = 10, least: int = 2000) -> in
     return max(least, per_variable * variables_)
 
 
-SID_MOST = 500
+#: Nodes of networks of which the SID is taken, and states of a network of which the KL divergence is.
+SID_MOST, MAX_STATES = 500, 2_000_000
 
 
-def evaluation_record(spark: SparkSession, n: int, truth: Edges, pred: Edges, net: Network | None = None, data: DataFrame | None = None, pairs: Edges | None = None, alpha: float = 1.0, sid_most: int = SID_MOST, extra: Mapping[str, str] | None = None) -> DataFrame:
+def evaluation_record(spark: SparkSession, n: int, truth: Edges, pred: Edges, net: Network | None = None, data: DataFrame | None = None, pairs: Edges | None = None, alpha: float = 1.0, sid_most: int = SID_MOST, max_states: int = MAX_STATES, extra: Mapping[str, str] | None = None) -> DataFrame:
     """One row: extras, sizes, structural metrics, SID and KL divergence, null where they can't be had.
 
-    pairs restricts truth by directed and prediction by unordered membership. SID needs two acyclic networks of at most sid_most
-    nodes; KL needs the known network's tables and data to fit the predicted structure's.
+    pairs restricts truth by directed and prediction by unordered membership, but not for SID, which is about the whole networks. SID needs two acyclic
+    networks of at most sid_most nodes; KL needs the known network's tables, at most max_states states in all, and data to fit the predicted
+    structure's, of which a state that the network doesn't have raises.
     """
     frame = lambda e: spark.createDataFrame(list(e), "u int, v int")
     t, p = frame(truth), frame(pred)
@@ -74,10 +79,14 @@ def evaluation_record(spark: SparkSession, n: int, truth: Edges, pred: Edges, ne
     row = sets.structure_metrics(t, p)
     t_dag, p_dag = is_dag(n, sorted(set(truth))), is_dag(n, sorted(set(pred)))
     errors = kl = None
-    if pairs is None and t_dag and p_dag and n <= sid_most:
+    if t_dag and p_dag and n <= sid_most:
         errors = sid(spark, n, truth, pred).agg(F.sum("errors")).first()[0]
-    if net is not None and data is not None and p_dag:
+    if net is not None and data is not None and p_dag and math.prod(net.cards) <= max_states:
         vs = Variables(tuple(net.names), tuple(net.cards))
+        seen = extremes(data, vs.names)
+        bad = [(v, lo, hi) for v, card, (lo, hi, nulls) in zip(vs.names, vs.cards, seen, strict=True) if nulls or lo is not None and (lo < 0 or hi >= card)]
+        if bad:
+            raise ValueError(f"data hold states that the network does not have: {bad[:3]}")
         kl = kl_by_family(spark, net, fit(data, pred, vs, alpha)).first().kl
     about = {
         "n_nodes": F.lit(n), "n_true_edges_raw": F.lit(raw[0]), "n_pred_edges_raw": F.lit(raw[1]),
@@ -88,6 +97,12 @@ def evaluation_record(spark: SparkSession, n: int, truth: Edges, pred: Edges, ne
     return row.select(*[F.lit(v).alias(k) for k, v in (extra or {}).items()], *[c.alias(k) for k, c in about.items()], "*")
 
 
+def write_record(record: DataFrame, path: str) -> None:
+    """An evaluation record of one row as a tab-separated table of two lines (path.tsv) and as JSON (path.json): NA and null where a figure can't be had."""
+    write_table(record.coalesce(1), f"{path}.tsv")
+    record.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}.json")
+
+
 def append_record(record: DataFrame, path: str) -> None:
     """Adds the record to a benchmark's table."""
     record.write.mode("append").parquet(path)
@@ -107,14 +122,18 @@ def sweep(spark: SparkSession, datasets: Mapping[str, DataFrame], base: Config =
     """A row for each dataset x size x repetition x setting: the score and edges that the search finds, its iterations and whether its
     budget was binding, and SHD and F1 if the truth is given.
 
-    A size takes so many rows by a hash of the row and the repetition; repetitions of all rows differ only in that hash.
+    A size takes so many rows by a hash of the row and the repetition, the same ones whatever the partitions; of equal rows, which nothing tells apart, each copy
+    has a number of its own. Repetitions of all rows differ only in that hash.
     """
     out = []
     for (name, df), size, rep in product(datasets.items(), sizes, range(reps)):
         vs = variables(df, names)
         part = df.select(*vs.names)
         if size:
-            part = part.withColumn("__n", F.monotonically_increasing_id()).orderBy(F.xxhash64(F.lit(rep), "__n"), "__n").limit(size).drop("__n")
+            # Equal rows are counted and dealt out again under numbers, so that a row's place doesn't follow from where it is stored.
+            copies = part.groupBy(*vs.names).agg(F.count("*").alias("__n"))
+            part = copies.select(*vs.names, F.explode(F.sequence(F.lit(1).cast("long"), "__n")).alias("__n"))
+            part = part.orderBy(F.xxhash64(F.lit(rep), *vs.names, "__n"), *vs.names, "__n").limit(size).drop("__n")
         part = part.cache()
         for row in settings(base, **choices):
             result: Result = learn(part, row["config"], vs=vs)

@@ -3,31 +3,30 @@ edges, importance, verdicts, expression matrices with their samples, evaluation
 
 from __future__ import annotations
 
-import fnmatch
+import csv
+import math
 import os
-import zipfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbora.functions.math import digits
 from arbora.functions.text import sanitize_label
 from arbora.operators.counts import Family, Variables, normal
+from arbora.operators.order import numbered_blocks
 from arbora.operators.prep import melt
 from arbora.operators.scores import probabilities
-from arbora.scratch import scratch_path
-
 from .tables import IMPORTANCE, read_counts
 
 FREQUENCIES = "u int, v int, count long, prob double"
 VAR_MAP = "index int, column_name string, gene_id string, gene_name string, variance double, detected_frac double, used_levels int, whitelisted int"
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, file, line of text files: line orders the lines of a file."""
-    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+def numbered_lines(spark: SparkSession, path: str, where: str = "true") -> DataFrame:
+    """value, file, line of the lines of text files that meet a condition on their value, counted from 0 within their file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return numbered_blocks(lines.where(where), "file", "block", "line").select("value", "file", "line")
 
 
 def read_families(spark: SparkSession, path: str) -> tuple[list[Family], Variables]:
@@ -62,9 +61,10 @@ def conditional_table(counts: DataFrame, families: Sequence[Family], vs: Variabl
 
     ids = by_family([F.array(*[F.lit(p) for p in ps]).cast("array<int>") for _, ps in families])
     names = by_family([F.array(*[F.lit(vs.names[p]) for p in ps]).cast("array<string>") for _, ps in families])
-    values = F.lit(None).cast("array<int>")
-    for i, (_, ps) in enumerate(families):
-        values = F.when(F.col("family") == i, F.array(*digits(F.col("j"), [vs.cards[p] for p in ps])).cast("array<int>")).otherwise(values)
+    # A digit of j is taken with the steps and cardinalities of the family's parents, looked up by its place.
+    cards = by_family([F.array(*[F.lit(int(vs.cards[p])) for p in ps]).cast("array<int>") for _, ps in families])
+    steps = by_family([F.array(*[F.lit(math.prod(vs.cards[p] for p in ps[i + 1 :])) for i in range(len(ps))]).cast("array<bigint>") for _, ps in families])
+    values = F.zip_with(steps, cards, lambda s, r: (F.floor(F.col("j") / s) % r).cast("int"))
     rows = probabilities(counts, families, vs, alpha)
     return rows.select(F.col("v").alias("node_id"), by_family([F.lit(vs.names[v]) for v, _ in families]).alias("node_name"), ids.alias("parent_ids"), names.alias("parent_names"), values.alias("parent_values"), "j", "k", "prob")
 
@@ -83,11 +83,11 @@ def general(x: Column, precision: int = 6) -> Column:
 
 
 def seed_suffix(seed: Column) -> Column:
-    return F.concat(F.lit("_seed"), F.lpad((seed % 10000).cast("string"), 4, "0"))
+    return F.concat(F.lit("_seed"), F.when(F.length(seed.cast("string")) < 4, F.lpad(seed.cast("string"), 4, "0")).otherwise(seed.cast("string")))
 
 
 def write_bootstrap(frequencies: DataFrame, path: str, stem: str = "bootstrap") -> None:
-    """seed, u, v, count, prob -> a folder <stem>_seed0001 for each seed, tab-separated with a header."""
+    """seed, u, v, count, prob -> a folder <stem>_seed0001 for each seed (of four digits at least), tab-separated with a header."""
     named = frequencies.withColumn("run", F.concat(F.lit(stem), seed_suffix(F.col("seed")))).select("run", "u", "v", "count", "prob")
     named.repartition("run").sortWithinPartitions("run", "u", "v").write.mode("overwrite").partitionBy("run").csv(path, sep="\t", header=True)
 
@@ -95,7 +95,16 @@ def write_bootstrap(frequencies: DataFrame, path: str, stem: str = "bootstrap")
 def read_bootstrap(spark: SparkSession, path: str, stem: str = "bootstrap") -> DataFrame:
     """seed, u, v, count, prob of such folders; the seed is that of the folder's name."""
     rows = spark.read.csv(f"{path}/run={stem}_seed*", sep="\t", header=True, schema=FREQUENCIES).withColumn("file", F.input_file_name())
-    return rows.select(F.regexp_extract("file", r"_seed(\d{4})", 1).cast("int").alias("seed"), "u", "v", "count", "prob")
+    return rows.select(F.regexp_extract("file", r"_seed(\d+)", 1).cast("int").alias("seed"), "u", "v", "count", "prob")
+
+
+def read_bootstrap_files(spark: SparkSession, pattern: str | Sequence[str]) -> DataFrame:
+    """file, u, v, count, prob of bootstrap tables of one file each: the first line of a file is passed over, whatever it holds, and so are lines
+    of fewer than four cells; further cells are ignored."""
+    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    p = F.split(F.trim("value"), "\t")
+    rows = numbered_blocks(lines, "file", "block", "line").where((F.col("line") > 0) & (F.size(p) >= 4))
+    return rows.select("file", p[0].cast("int").alias("u"), p[1].cast("int").alias("v"), p[2].cast("long").alias("count"), p[3].cast("double").alias("prob"))
 
 
 def write_consensus(edges: DataFrame, path: str, by: str = "prob", only_edges: bool = False) -> None:
@@ -142,12 +151,10 @@ def read_var_map(spark: SparkSession, path: str) -> DataFrame:
 
 def read_aligned(spark: SparkSession, indices: str, names: str) -> DataFrame:
     """u, v, u_name, v_name of two edge lists whose lines belong together by number. A different number of lines raises."""
-    w = Window.orderBy("file", "line")  # the edges of one network
 
     def lines(path: str, a: str, b: str) -> DataFrame:
-        rows = numbered_lines(spark, path).where("trim(value) <> '' AND value NOT LIKE '#%'").withColumn("n", F.row_number().over(w))
         p = F.split("value", "\t")
-        return rows.select("n", p[0].alias(a), p[1].alias(b))
+        return numbered_lines(spark, path, "trim(value) <> '' AND value NOT LIKE '#%'").select(F.col("line").alias("n"), p[0].alias(a), p[1].alias(b))
 
     both = lines(indices, "u", "v").join(lines(names, "u_name", "v_name"), "n", "full")
     ok = F.col("u").isNotNull() & F.col("u_name").isNotNull()
@@ -171,14 +178,18 @@ def resolve(columns: Sequence[str], wanted: Sequence[str | int]) -> list[str]:
 
 
 def read_wide(spark: SparkSession, path: str, header_row: int = 0, sep: str | None = None) -> DataFrame:
-    """A table of strings whose header is line header_row; what stands before it is skipped. Separator by file name unless given."""
+    """A table of strings whose header is line header_row; what stands before it is skipped. Separator by file name unless given. Cells may be
+    quoted, and then hold separators and doubled quotes; a cell does not go over the end of a line. Missing cells are null."""
     sep = sep or ("," if path.lower().endswith(".csv") else "\t")
     lines = numbered_lines(spark, path)
-    first = lines.orderBy("line").limit(header_row + 1).collect()
-    names = [x.strip() for x in first[-1].value.split(sep)]
-    p = F.split("value", sep, -1)
-    rows = lines.where((F.col("line") > first[-1].line) & (F.trim("value") != ""))
-    return rows.select(*[F.get(p, F.lit(i)).alias(n) for i, n in enumerate(names)])
+    head = lines.where(F.col("line") == header_row).first()
+    if head is None:
+        raise ValueError(f"{path} has no line {header_row}")
+    names = [x.strip() for x in next(csv.reader([head.value], delimiter=sep))]
+    rows = lines.where((F.col("line") > header_row) & (F.trim("value") != ""))
+    cells = ", ".join(f"c{i} string" for i in range(len(names)))
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": "\u0000"}
+    return rows.select(F.from_csv("value", cells, options).alias("c")).select(*[F.coalesce(f"c.c{i}", F.lit(None)).alias(n) for i, n in enumerate(names)])
 
 
 def load_expression(spark: SparkSession, path: str, ident: str | int = 0, name: str | int | None = None, length: str | int | None = None, drop: Sequence[str | int] = (), genes_in_rows: bool = True, header_row: int = 0) -> DataFrame:
@@ -211,7 +222,10 @@ def load_samples(spark: SparkSession, path: str, sample: str | int = 0, group: s
 
 def match_list(genes: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """genes (gene, gene_name) that a list (name) holds by id or by name, and the names that match nothing."""
-    hit = genes.join(wanted, (F.col("gene") == F.col("name")) | (F.col("gene_name") == F.col("name")), "left_semi")
+    # A gene's id and its name are looked up as keys of one equi-join; a gene found by both counts once.
+    keys = genes.select("gene", F.explode(F.array_distinct(F.array("gene", "gene_name"))).alias("name"))
+    found = keys.join(wanted.select("name").distinct(), "name", "left_semi").select("gene").distinct()
+    hit = genes.join(found, "gene", "left_semi")
     known = genes.select(F.explode(F.array("gene", "gene_name")).alias("name")).distinct()
     return hit, wanted.join(known, "name", "left_anti")
 
@@ -235,27 +249,6 @@ def tissue_label(path: Column, suffixes: Sequence[str] = ("smartseq2", "smartseq
     return F.regexp_replace(base, rf"(?i)[._-]({'|'.join(suffixes)})$", "")
 
 
-def read_members(spark: SparkSession, archive: str, pattern: str, drop: Sequence[str] = (), label: str = "part") -> DataFrame:
-    """Matrices (tab-separated, with a header) of a zip archive's members that fit the pattern, one below the other, with the member's
-    name. Members of other columns raise; columns to drop (a time, say) are left out first. They are unpacked to the shared folder."""
-    folder, out = scratch_path(spark, "members"), None
-    local = folder.removeprefix("file://")
-    with zipfile.ZipFile(archive) as z:
-        for member in sorted(fnmatch.filter(z.namelist(), pattern)):
-            path = os.path.join(local, os.path.basename(member))
-            os.makedirs(local, exist_ok=True)
-            with open(path, "wb") as f:
-                f.write(z.read(member))
-            wide = read_wide(spark, f"file://{path}", sep="\t").drop(*drop)
-            one = wide.select(*[F.expr(f"try_cast(trim('\"' FROM `{c}`) AS double)").alias(c.strip('"')) for c in wide.columns]).withColumn(label, F.lit(os.path.basename(member)))
-            if out is not None and one.columns != out.columns:
-                raise ValueError(f"{member} has other columns")
-            out = one if out is None else out.unionByName(one)
-    if out is None:
-        raise ValueError(f"no member of {archive} fits {pattern}")
-    return out
-
-
 def discover(spark: SparkSession, root: str, file: str = "edges.tsv", most: int = 800, prune: Sequence[str] = (".git", "node_modules", "__pycache__")) -> DataFrame:
     """path, n_edges, has_importance of the networks below a folder: those that hold the file. Folders that are the same by links count once."""
     found, seen = [], set()

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arbora.operators import order as order_
 from arbora.operators.counts import Family, Variables
 
 COUNTS = "v int, j long, k string, n long"
@@ -115,4 +116,5 @@ def write_groups(codes: DataFrame, path: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
+    """df with each row's number in the order, from 0."""
+    return order_.numbered(df, order, name)
