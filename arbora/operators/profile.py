@@ -27,15 +27,21 @@ def variance_profile(stats: DataFrame) -> DataFrame:
     return q.crossJoin(F.broadcast(low)).select(*[F.col("q")[i].alias(f"q{i}") for i in range(5)], "n_low")
 
 
-def value_kind(minimum: float, maximum: float, integer: bool, n_unique: int) -> str:
-    """discretized, raw_counts, log_transformed, linear_normalized or continuous_unknown, tested in this order."""
-    if integer and minimum >= 0 and n_unique <= 10:
+#: Bounds of the kinds of values (fixed values): states and greatest state of discrete data, counts' and logarithms' greatest value, linear values' least greatest one.
+STATES, GREATEST_STATE, COUNTS_ABOVE, LOGS_UP_TO, LINEAR_ABOVE = 12, 11, 50, 30, 100
+
+
+def value_kind(minimum: float | None, maximum: float | None, integer: bool, n_unique: int) -> str:
+    """discretized, raw_counts, log_transformed, linear_normalized or continuous_unknown, tested in this order; unknown without any value."""
+    if minimum is None or maximum is None:
+        return "unknown"
+    if integer and minimum >= 0 and n_unique <= STATES and maximum <= GREATEST_STATE:
         return "discretized"
-    if integer and minimum >= 0:
+    if integer and maximum > COUNTS_ABOVE:
         return "raw_counts"
-    if minimum >= 0 and maximum <= 30:
+    if minimum >= 0 and maximum <= LOGS_UP_TO:
         return "log_transformed"
-    return "linear_normalized" if minimum >= 0 else "continuous_unknown"
+    return "linear_normalized" if maximum > LINEAR_ABOVE else "continuous_unknown"
 
 
 def effective_parents(rows: int, card: int, most: int = 3) -> int:
