@@ -6,11 +6,18 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_search import prose
+from test_search import WORDS
 
 import corpus_pipeline
 from arbora.llm import curriculum, decontam, jaccard, pii, toxicity, url_filter, warc
 
+_OWN = random.Random(9)  # other tests' texts don't change with these
+
+
+def prose(n):
+    return " ".join(_OWN.choice(WORDS) for _ in range(n))
+
+
 EXTRA = ["a.b", "x`y", "other_0", "found", "NEW", "digest", "least", "row", "place", "hot_key", "Key", "tie"]
 CLASHING = {
     "pii": ["N_Private"], "mix": ["Size", "TARGET", "Position", "source_SIZE"], "score": ["Score", "LOCATED", "n_Sentences"], "mark": ["N_Leaks"],

@@ -430,8 +430,8 @@ def test_toxicity(spark, frame):
         assert not r.located or all(own[x.start : x.end].decode() in bags for x in r.located)
     assert got[400].score == got[401].score == got[402].score == 0 and got[400].n_sentences == 0 and got[400].located == []
     # Texts that don't fit are passed over; if none fits, there is nothing to learn from, and that is said.
-    with pytest.raises(ValueError, match="fits into 20 bytes"):
-        toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"), max_bytes=20)
+    with pytest.raises(ValueError, match="fits into 5 bytes"):
+        toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"), max_bytes=5)
     assert toxicity.score(frame([]), model).count() == 0
     nothing = toxicity.fit(df, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(df, nothing).where("score >= 0.5").count() == 0
