@@ -53,7 +53,7 @@ def test_wide_tables_take_one_map_and_one_reduce_step(spark):
     stats = M.column_stats(df, names)
     plan = stats._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and stats.count() == 600
-    assert variables(df, names).cards == tuple(5 if i % 7 % 5 else 1 for i in range(1500))
+    assert variables(df, names).cards == tuple(5 if i % 7 % 5 else 1 for i in range(600))
 
 
 def test_extremes(spark):
