@@ -27,11 +27,13 @@ LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 27
 SLICE_BYTES, MAX_SLICES = 64 << 20, 16
 #: Blocks of a line of a sketch's slice, the pieces that tasks send and add up.
 BLOCKS = 128
-#: Phrases that a task holds before it sends what it has, and bytes of text that it takes at a time.
+#: Phrases that a task holds before it sends what it has, phrases that are hashed at once, and bytes of text that it takes at a time: a task's
+#: memory is a few times each of these, whatever the lengths of texts and batches.
 HELD = 1 << 20
+HASHED = 1 << 17
 #: Words from which on a task begins its vocabulary anew.
 KNOWN = 1 << 17
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 #: Bytes that end a piece of a text, and bytes that stand in no word.
 ENDS = np.zeros(256, bool)
 ENDS[[*b".,;:!?\n\x0b\x0c\r"]] = True
@@ -87,6 +89,10 @@ class Counter:
                 if self.held > HELD:
                     yield
 
+    def release(self) -> None:
+        """Gives back what Arrow's pool keeps of freed memory, which a worker would hold on to between tasks too."""
+        pa.default_memory_pool().release_unused()
+
     def code(self, lang: bytes, word: bytes) -> int:
         name = lang + word
         found = self.codes.setdefault(name, len(self.names))
@@ -125,12 +131,15 @@ class Counter:
     def sizes(self, key: np.ndarray) -> np.ndarray:
         return np.sum([self.word(key, i) > 0 for i in range(self.max_words)], 0)
 
-    def hashes(self, key: np.ndarray) -> np.ndarray:
-        of, h = np.frombuffer(self.hash, np.uint64), np.zeros(len(key), np.uint64)
-        for i in range(self.max_words):
-            w = self.word(key, i)
-            h = np.where(w > 0, mix(h * np.uint64(0x9E3779B97F4A7C15) + of[w]), h)
-        return h
+    def hashes(self, keys: np.ndarray) -> np.ndarray:
+        # A copy of the words' hashes, as an array that is looked into can't grow.
+        of, out = np.array(self.hash, np.uint64), np.zeros(len(keys), np.uint64)
+        for a in range(0, len(keys), HASHED):
+            key, h = keys[a : a + HASHED], out[a : a + HASHED]
+            for i in range(self.max_words):
+                w = self.word(key, i)
+                h[:] = np.where(w > 0, mix(h * np.uint64(0x9E3779B97F4A7C15) + of[w]), h)
+        return out
 
 
 def _cells(h: np.ndarray, line: int, cells: int) -> np.ndarray:
@@ -150,11 +159,14 @@ def _sketches(max_words: int, cells: int, slices: int, most: int):
         def send() -> Iterator[pa.RecordBatch]:
             key, count = own.take()
             h = own.hashes(key)
-            part = _slice(h, slices) * cells
             count = np.minimum(count, most)
             for line in range(DEPTH if len(key) else 0):
                 # Sorted with their counts in one number each.
-                both = np.sort(((part + _cells(h, line, cells)) << 16) | count)
+                both = np.empty(len(key), np.int64)
+                for a in range(0, len(key), HASHED):
+                    some = h[a : a + HASHED]
+                    both[a : a + HASHED] = ((_slice(some, slices) * cells + _cells(some, line, cells)) << 16) | count[a : a + HASHED]
+                both.sort()
                 cell = both >> 16
                 begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
                 n = np.minimum(np.add.reduceat(both & 65535, begin), most).astype(np.uint16)
@@ -174,7 +186,12 @@ def _sketches(max_words: int, cells: int, slices: int, most: int):
         for batch in batches:
             for _ in own.add(batch.column(0), batch.column(1)):
                 yield from send()
+                own.release()
+            del batch  # before the next one comes
+            own.release()
         yield from send()
+        own.forget()
+        own.release()
 
     return task
 
@@ -211,12 +228,14 @@ def _survivors(max_words: int, cells: int, slices: int, which: int, sent):
         names = [x.split()[0] for x in COUNTS.split(", ")]
 
         def possible(h: np.ndarray) -> np.ndarray:
-            some = np.flatnonzero(_slice(h, slices) == which)
-            for line in range(DEPTH):
-                c = _cells(h[some], line, cells)
-                some = some[(sent.value[line][c >> 3] >> (c & 7).astype(np.uint8)) & 1 > 0]
             out = np.zeros(len(h), bool)
-            out[some] = True
+            for a in range(0, len(h), HASHED):
+                part = h[a : a + HASHED]
+                some = np.flatnonzero(_slice(part, slices) == which)
+                for line in range(DEPTH):
+                    c = _cells(part[some], line, cells)
+                    some = some[(sent.value[line][c >> 3] >> (c & 7).astype(np.uint8)) & 1 > 0]
+                out[a + some] = True
             return out
 
         def send() -> Iterator[pa.RecordBatch]:
@@ -242,7 +261,12 @@ def _survivors(max_words: int, cells: int, slices: int, which: int, sent):
         for batch in batches:
             for _ in own.add(batch.column(0), batch.column(1)):
                 yield from send()
+                own.release()
+            del batch  # before the next one comes
+            own.release()
         yield from send()
+        own.forget()
+        own.release()
 
     return task
 

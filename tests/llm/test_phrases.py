@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -115,3 +116,19 @@ def test_products_past_64_bits(spark):
 def test_empty(spark):
     assert phrases.mine(spark.createDataFrame([], SCHEMA)).collect() == []
     assert phrases.mine(spark.createDataFrame([(1, None, None)], SCHEMA)).collect() == []
+
+
+def test_memory_of_a_task_is_bounded_by_its_steps():
+    """Working arrays follow the bytes taken and the phrases hashed at a time, not the batch."""
+    draw = np.random.Generator(np.random.PCG64(3))
+    texts = pa.array([" ".join(f"w{x}" for x in draw.integers(0, 3000, 50000)) for _ in range(20)])
+    batch = pa.RecordBatch.from_arrays([texts, pa.array(["en"] * len(texts))], ["text", "lang"])
+    cells, slices = phrases.shape(3 * 20 * 50000, 10)
+    sent = type("Sent", (), {"value": np.zeros((phrases.DEPTH, cells // 8), np.uint8)})
+    for task in (phrases._sketches(3, cells, slices, 10), phrases._survivors(3, cells, slices, 0, sent)):
+        tracemalloc.start()
+        for _ in task(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 85 << 20, peak >> 20
