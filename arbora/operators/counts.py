@@ -91,6 +91,8 @@ def family_counts(df: DataFrame, families: Sequence[Family], vs: Variables, by:
 DENSE = 1 << 16
 #: Cells of tables that a task sums, or passes on, at once.
 TABLE_CELLS = 1 << 24
+#: Data of at most so many different rows are searched, and their edges weighed, as these rows and their numbers.
+COMPACT = 1 << 14
 CELLS = "family int, v int, r int, q long, j long, k int, n long"
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbora.scratch import fresh
+from arbora.scratch import fresh, stored
 
-from .counts import Table, Variables, families_of, pack, table_sums
+from .counts import COMPACT, Table, Variables, families_of, pack, table_sums
 from .scores import table_scores
 
 WORTH = "g int, u int, v int, d_loglik double, d_bic double, d_k2 double, d_bdeu double, mean_dlogl double, std_dlogl double, n_finite long"
@@ -41,23 +41,30 @@ def edge_importance(df: DataFrame, edges: Sequence[tuple[int, int]], vs: Variabl
     Each delta is the child's score without the edge less that with it, on these data; the per-sample mean and standard
     deviation (n - 1; 0 for one sample) are of the smoothed log-probabilities, over samples where they are finite. Packed columns are
     counted in one scan, a family for each child, with the group as one more variable; the families without each parent are
-    marginals of that table, taken where it is added up. Groups, as many as the samples' labels, are listed first.
+    marginals of that table, taken where it is added up. Of few possible rows only the different ones of each group and their numbers are
+    kept, from one pass over df. Groups, as many as the samples' labels, are listed first and sent to all tasks, so that rows don't meet by group.
     """
     edges = sorted(set(edges))
     spark = df.sparkSession
     families = [f for f in families_of(edges, len(vs.names)) if f[1]]
     if not families:
         return spark.createDataFrame([], T.StructType([*df.select(*by).schema, *T.StructType.fromDDL(WORTH)[1:]]))
-    code = fresh([*df.columns, *by], "g")[0]
+    code, weight = fresh([*df.columns, *by], "g", "rows")
+    if np.prod([float(c) for c in vs.cards]) <= COMPACT:
+        df = stored(df.groupBy(*by, *vs.names).agg(F.count("*").alias(weight)), "importance")
+    else:
+        weight = None
+    count = [weight] if weight else []
     groups = df.select(*by).distinct().orderBy(*by).collect() if by else [()]
     names = [f"{code}_{i}" for i in range(len(by))]
     if by:
         fields = [T.StructField(n, f.dataType) for n, f in zip(names, df.select(*by).schema, strict=True)]
         labels = spark.createDataFrame([(i, *r) for i, r in enumerate(groups)], T.StructType([T.StructField(code, T.IntegerType()), *fields]))
         same = [F.col(b).eqNullSafe(F.col(n)) for b, n in zip(by, names, strict=True)]
-        rows = df.select(*by, *vs.names).join(labels, same).select(*vs.names, code)
+        labels = F.broadcast(labels)  # a row for each group
+        rows = df.select(*by, *vs.names, *count).join(labels, same).select(*vs.names, code, *count)
     else:
-        rows = df.select(*vs.names).withColumn(code, F.lit(0))
+        rows = df.select(*vs.names, *count).withColumn(code, F.lit(0))
     wide = Variables((*vs.names, code), (*vs.cards, max(1, len(groups))))
     d = len(vs.names)
     cards, m = vs.cards, wide.cards[-1]
@@ -80,7 +87,7 @@ def edge_importance(df: DataFrame, edges: Sequence[tuple[int, int]], vs: Variabl
                 columns = [pa.array(seen.astype(np.int32)), *[pa.array(np.full(len(seen), x, np.int32)) for x in (u, v)], *map(pa.array, found)]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in WORTH.split(", ")])
 
-    found = table_sums(pack(rows, wide), [(None, (v, (*ps, d))) for v, ps in families], emit, WORTH)
+    found = table_sums(pack(rows, wide, weight), [(None, (v, (*ps, d))) for v, ps in families], emit, WORTH)
     if by:
         found = found.withColumnRenamed("g", code).join(labels, code)
     labelled = [F.col(n).alias(b) for n, b in zip(names, by, strict=True)]

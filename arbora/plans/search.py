@@ -10,14 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.operators.assoc import sample_rows, top_candidates
-from arbora.operators.counts import DENSE, TABLE_CELLS, Family, Packed, Request, Variables, configurations, families_of, normal, pack, variables
+from arbora.operators.counts import COMPACT, DENSE, TABLE_CELLS, Family, Packed, Request, Variables, configurations, families_of, normal, pack, variables
 from arbora.operators.scores import score_families, score_requests
 from arbora.scratch import stored
 
 EPS = 1e-12
 SCORES = ("bic", "k2", "bdeu")
-#: Data of at most so many different rows are searched as these rows and their numbers.
-COMPACT = 1 << 14
 #: Additions into a node that are looked at for a legal one, when the next moves' families are told.
 TRIED = 8
 Move = tuple[str, int, int]

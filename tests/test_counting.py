@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arbora.operators import counts as C
+from arbora.operators import importance
 from arbora.operators.importance import edge_importance
 from arbora.operators.order import numbered
 from arbora.operators.scores import score_requests
@@ -218,3 +219,21 @@ def test_importance_of_one_sample_and_no_edges(spark, frame):
     r = edge_importance(df.limit(1), [(0, 1)], VS).first()
     assert r.n_finite == 1 and r.std_dlogl == 0
     assert edge_importance(df, [], VS, by=["grp"]).columns[:3] == ["grp", "u", "v"]
+
+
+@pytest.mark.parametrize("compact", [1 << 14, 0])
+def test_rows_do_not_meet_by_group(spark, frame, monkeypatch, compact):
+    """Groups are sent to the rows, and of few possible rows each group's different ones are counted first."""
+    df, rows = frame
+    edges = [(0, 1), (0, 2), (1, 2)]
+    want = sorted(map(str, edge_importance(df, edges, VS, 1.0, 3.0, by=["grp"]).collect()))
+    monkeypatch.setattr(importance, "COMPACT", compact)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = edge_importance(df, edges, VS, 1.0, 3.0, by=["grp"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+        assert sorted(map(str, out.collect())) == want and len(want) == 9
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
