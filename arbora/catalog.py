@@ -295,11 +295,18 @@ def _(spark, sf):
     return boot.bootstrap(_keyed(spark, sf), ["key"], 20, (1, 2), search.Config(tabu_tenure=0, assoc_rows=0), names=list("abcdef"))
 
 
+#: Lines that one row of a group is written out to.
+PIECE = 1 << 12
+
+
 def _keyed(spark, sf):
     """bn_dep with a key: lines have none of their own; a number by all columns tells equal ones apart."""
     columns = ["l_linestatus", "l_quantity", "l_discount", "l_linenumber"]
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(*columns).agg(F.count("*").alias("copies"))
-    rows = lines.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    # Few groups stand for all lines: in pieces, dealt out anew, so that many tasks write the lines out.
+    lines = lines.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(PIECE).cast("long"))).alias("before"))
+    lines = lines.repartition(8 * spark.sparkContext.defaultParallelism, *columns, "before")
+    rows = lines.select("*", F.explode(F.sequence(F.col("before") + 1, F.least(F.col("before") + PIECE, F.col("copies")))).alias("copy"))
     a, b, d = F.when(F.col("l_linestatus") == "F", 0).otherwise(1), (F.col("l_quantity") > 25).cast("int"), (F.round(F.col("l_discount") * 100) >= 5).cast("int")
     c = F.greatest(a, b)
     return rows.select(F.xxhash64(*columns, "copy").alias("key"), a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"), (c * d).alias("e"), ((F.col("l_linenumber") + c) % 2).cast("int").alias("f"))

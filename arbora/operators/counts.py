@@ -159,13 +159,15 @@ class Packed:
     other. Plans over it have three columns, however many variables there are, and a scan can pick its variables.
 
     key: it also has what tells rows apart, for resamples. draws: the keys are the rows' numbers from 0 on, of so many rows, and a
-    resample has exactly as many draws; if None, they are hashes, and each row is drawn Poisson(1) times by its own."""
+    resample has exactly as many draws; if None, they are hashes, and each row is drawn Poisson(1) times by its own. drawn: the resamples
+    for each of which a column, after the variables, says how often a row has been drawn; there is no weight or key then (see resampled())."""
 
     rows: DataFrame
     vs: Variables
     weight: bool = False
     key: bool = False
     draws: int | None = None
+    drawn: tuple[int, ...] = ()
 
 
 def state_type(cards: Sequence[int], var: int) -> np.dtype:
@@ -265,16 +267,21 @@ def table_sums(data: Packed, requests: Sequence[Request], emit: Callable[[list[T
     every = sorted({run for _, runs, _ in asked for run in runs if run is not None})
     at = {run: i for i, run in enumerate(every)}
     draws, resampled = data.draws, bool(every)
+    given = [d + data.drawn.index(run) for run in every] if data.drawn else []
+    if data.drawn and any(None in runs for _, runs, _ in asked):
+        raise ValueError("resamples' rows don't tell those of the data")
     shapes = [(v, [(p, cards[p]) for p in ps], cards[v], configurations((v, ps), cards), [at.get(run) for run in runs], places) for (v, ps), runs, places in asked]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: list = [None] * len(shapes)
-        exact = [Draws(draws, run) for run in every] if draws is not None else None
+        exact = [Draws(draws, run) for run in every] if draws is not None and not given else None
         for held in chunks(batches, cards):
             states = {x: held[x].astype(np.int64) for x in used}
             rows = len(states[used[0]])
             plain = np.ones(rows) if weight is None else held[weight].astype(float)
-            if resampled:
+            if given:
+                drawn = np.stack([held[x] for x in given], 1).astype(float)
+            elif resampled:
                 drawn = np.stack([x.of(held[key]) for x in exact] if exact else [poisson(held[key], run) for run in every], 1) * plain[:, None]
             for i, (v, ps, r, q, runs, _) in enumerate(shapes):
                 cell = np.zeros(rows, np.int64)
@@ -339,7 +346,7 @@ def table_sums(data: Packed, requests: Sequence[Request], emit: Callable[[list[T
         if held:
             yield from emit(held)
 
-    needed = [*used, *[x for x in (weight, key) if x is not None]]
+    needed = [*used, *[x for x in (weight, key) if x is not None], *given]
     rows = data.rows if len(needed) > 256 else data.rows.where(F.col("var").isin(needed))
     return rows.mapInArrow(task, TABLES).repartition("family").sortWithinPartitions("family").mapInArrow(add, schema)
 
@@ -359,6 +366,27 @@ def count_cells(data: Packed, requests: Sequence[Request]) -> DataFrame:
     return table_sums(data, requests, emit, CELLS)
 
 
+def resampled(data: Packed, runs: Sequence[int]) -> Packed:
+    """The different rows of data and how often each resample has drawn them, from one scan: what resamples of few possible rows are learnt
+    from. Tables of them are those of data."""
+    cards, d = data.vs.cards, len(data.vs.names)
+    whole: Family = (0, tuple(range(1, d)))
+
+    def emit(tables: list[Table]) -> Iterator[pa.RecordBatch]:
+        for t in tables:
+            rest, k = np.divmod(np.arange(len(t.n)) if t.ids is None else t.ids, t.r)
+            states = {0: k}
+            for p in reversed(whole[1]):
+                rest, states[p] = np.divmod(rest, cards[p])
+            some = t.n.any(1)
+            blobs = [states[x][some].astype(state_type(cards, x)).tobytes() for x in range(d)]
+            place = {p: i for i, p in enumerate(t.places)}
+            blobs += [t.n[some, place[i]].astype("<i8").tobytes() for i in range(len(runs))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(blobs), np.int64)), pa.array(np.arange(len(blobs), dtype=np.int32)), pa.array(blobs, pa.binary())], ["part", "var", "states"])
+
+    return Packed(table_sums(data, [(run, whole) for run in runs], emit, PACKED), data.vs, drawn=tuple(runs))
+
+
 def with_totals(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """counts and, with k null, the total of each configuration: an aggregate of the aggregate."""
     totals = counts.groupBy(*by, "family", "v", "j").agg(F.sum("n").alias("n")).withColumn("k", F.lit(None).cast("int"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.operators.counts import pack, variables
+from arbora.operators.counts import COMPACT, TABLE_CELLS, pack, resampled, variables
 from arbora.operators.order import numbered
 
 from .search import Config, Graph, candidate_parents, kept, scored, unused, walk
@@ -25,7 +26,8 @@ def bootstrap(df: DataFrame, key: Sequence[str], replicates: int = 100, seeds: S
     resample's size then varies. Candidate parents are found once, on the data themselves, and all cardinalities are those of the
     data. All resamples are searched in lockstep: each round is a scan in which every resample that waits gets the scores it
     asks for and those that its next moves may need, so rounds are fewer than the longest search's iterations, however many
-    resamples there are, and the data are neither copied nor sent anywhere.
+    resamples there are, and the data are neither copied nor sent anywhere. Of few possible rows, one scan counts how often each resample has
+    drawn each different one, and the rounds are scans of these.
     """
     spark = df.sparkSession
     vs = variables(df, names or [c for c in df.columns if c not in key])
@@ -37,7 +39,9 @@ def bootstrap(df: DataFrame, key: Sequence[str], replicates: int = 100, seeds: S
         draws = rows.count()
     else:
         rows = rows.withColumn(h, F.xxhash64(*key))
-    data = kept(pack(rows.select(*vs.names, h), vs, key=h, draws=draws))
+    packed, runs = pack(rows.select(*vs.names, h), vs, key=h, draws=draws), [run_number(s, b) for s in dict.fromkeys(seeds) for b in range(replicates)]
+    different = np.prod([float(c) for c in vs.cards])
+    data = kept(resampled(packed, runs) if runs and different <= COMPACT and different * len(runs) <= TABLE_CELLS else packed)
     found: list[tuple[int, int, int]] = []
     try:
         cand = candidate_parents(df.select(*vs.names), vs, cfg)

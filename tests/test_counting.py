@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from arbora import catalog
 from arbora.operators import counts as C
 from arbora.operators import importance
 from arbora.operators.importance import edge_importance
@@ -237,3 +238,39 @@ def test_rows_do_not_meet_by_group(spark, frame, monkeypatch, compact):
         assert sorted(map(str, out.collect())) == want and len(want) == 9
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+@pytest.mark.parametrize("dense", [1 << 16, 4])
+def test_resamples_of_few_possible_rows(spark, frame, monkeypatch, dense):
+    """One scan counts the different rows of all resamples, and all their tables come from it."""
+    monkeypatch.setattr(C, "DENSE", dense)
+    df, rows = frame
+    numbers = numbered(df, [F.xxhash64(*df.columns)], "number", 0)
+    packed = C.pack(numbers.select(*VS.names, "number"), VS, key="number", draws=len(rows))
+    runs = [7, 3, 5]
+    small = C.resampled(packed, runs)
+    asked = [(run, C.normal(v, ps)) for v, ps in [(0, ()), (1, (0, 2)), (2, (3,)), (3, (0, 1, 2))] for run in (3, 5, 7)]
+    got = lambda data: sorted(tuple(r) for r in C.count_cells(data, asked).collect())
+    assert got(small) == got(packed)
+    with pytest.raises(ValueError, match="resamples"):
+        C.count_cells(small, [(None, (0, ()))])
+    kinds = small.rows.where("var = 0").collect()
+    assert len(kinds) == 1 and len(kinds[0].states) <= math.prod(VS.cards)
+
+
+def test_bootstrap_by_different_rows_changes_nothing(spark, frame, monkeypatch):
+    df, _ = frame
+    df = df.select(F.monotonically_increasing_id().alias("id"), *VS.names).localCheckpoint()
+    run = lambda: sorted(map(tuple, boot.bootstrap(df, ["id"], 4, (1, 2), Config(tabu_tenure=0), names=list(VS.names)).collect()))
+    got = run()
+    monkeypatch.setattr(boot, "COMPACT", 0)
+    assert got == run() and got
+
+
+def test_lines_of_few_groups_are_written_out_by_many_tasks(spark, monkeypatch):
+    lines = catalog._keyed(spark, "/root/testdata/sf0.001")
+    whole = sorted(map(tuple, lines.collect()))
+    assert lines.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    monkeypatch.setattr(catalog, "PIECE", 1)
+    assert sorted(map(tuple, catalog._keyed(spark, "/root/testdata/sf0.001").collect())) == whole
+    assert len({r[0] for r in whole}) == len(whole) == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
