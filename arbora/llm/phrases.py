@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -12,208 +12,245 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, flat, mix, spread, steps, stored, words
+from .common import BASE, LOWER, flat, mix, spread, steps, stored, word_hashes, words
 
 MAX_WORDS = 3
 MIN_COUNT = 10
 TOP = 2000
 #: Share (percent) of a phrase's occurrences inside one longer phrase from which on it is dropped.
 SUBSUMED = 50
-#: Rows of a sketch, and occurrences that fall on average on a cell for each wanted count of 10.
-DEPTH, LOAD = 3, 4
-#: Cells of a row of a sketch at least and at most, and bytes of the cells' bits that are sent to all tasks at once: a larger sketch is cut by
-#: hash into slices, each a scan of its own. Beyond MAX_SLICES the cells get fuller, so that more rare phrases are counted and dropped.
-LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 27
+#: Rows of a sketch, places of a cell that are counted apart, and occurrences that fall on average on a cell for each wanted count of 10, where
+#: there is room and where there is not. A place is so seldom shared that one row is enough: a cell has its bit for phrases that are frequent.
+DEPTH, PLACES = 1, 128
+LOAD, CROWDED = 8, 32
+#: Cells of a row of a sketch at least and at most, and bytes of the cells' bits that are sent to all tasks at once: only a sketch that would be
+#: CROWDED is cut by hash into slices, each a scan of its own (some 27 GB of text a slice, with a count of 10). Beyond MAX_SLICES the cells get
+#: fuller, so that more rare phrases are counted and dropped.
+LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 29
 SLICE_BYTES, MAX_SLICES = 64 << 20, 16
-#: Blocks of a line of a sketch's slice, the pieces that tasks send and add up.
-BLOCKS = 128
-#: Phrases that a task holds before it sends what it has, phrases that are hashed at once, and bytes of text that it takes at a time: a task's
-#: memory is a few times each of these, whatever the lengths of texts and batches.
+#: Blocks of a line of a sketch's slice, the pieces that tasks send and add up. What a task adds up holds the different places of one block.
+BLOCKS = 1024
+#: Phrases (or words, or so many times 16 bytes of words) that a task holds before it sends what it has, and bytes of text that it takes at a
+#: time: a task's memory is a few times each of these, whatever the lengths of texts and batches.
 HELD = 1 << 20
-HASHED = 1 << 17
-#: Words from which on a task begins its vocabulary anew.
-KNOWN = 1 << 17
 STEP_BYTES = 1 << 20
 #: Bytes that end a piece of a text, and bytes that stand in no word.
 ENDS = np.zeros(256, bool)
 ENDS[[*b".,;:!?\n\x0b\x0c\r"]] = True
 _WORD = ~ENDS
 _WORD[[0x20, 0x09]] = False
-SKETCH = "slice int, line int, block long, size int, places binary, counts binary"
+SKETCH = "slice int, line int, block long, size int, counts binary"
 COUNTS = "lang string, phrase string, size int, n long"
 
 
+class Words(NamedTuple):
+    """Words of some texts: lower-cased bytes, starts and ends, whether each but the last goes on with the next one, languages by number, and their names."""
+
+    raw: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    on: np.ndarray
+    lang: np.ndarray
+    langs: list[bytes]
+
+    def hashes(self, max_words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For phrases of 1, 2, ... words that begin with each word: their hashes, the same in every task, and which of them are there."""
+        of = np.array([xxhash.xxh64_intdigest(x) for x in self.langs], np.uint64)
+        one = mix(word_hashes(self.raw, self.start, self.end) + of[self.lang])
+        h, going = one, np.ones(len(one), bool)
+        for m in range(max_words):
+            if m:
+                h = mix(h[:-1] * BASE + one[m:])
+                going = going[:-1] & self.on[m - 1 : m - 1 + len(h)]
+            yield h, going
+
+    def spelled(self) -> pa.Array:
+        bounds = np.append(0, np.cumsum(self.end - self.start)).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(self.start), [None, pa.py_buffer(bounds), pa.py_buffer(self.raw[_WORD[self.raw]])])
+
+
+def read(texts: pa.Array, langs: pa.Array) -> Iterator[Words]:
+    """The words of texts, STEP_BYTES of text at a time."""
+    raw, offsets = flat(texts)
+    lang = langs.fill_null("und").dictionary_encode()
+    lang_of, names = lang.indices.to_numpy(), [x.encode() for x in lang.dictionary.to_pylist()]
+    for a, b in steps(offsets, STEP_BYTES):
+        part, off = LOWER[raw[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
+        start, end, place = words(part, off, _WORD)
+        if not len(start):
+            continue
+        owner = np.repeat(np.arange(b - a), np.diff(place))
+        # A word goes on with the next one if no end of a piece or text stands between them.
+        ends = np.flatnonzero(ENDS[part])
+        on = (owner[1:] == owner[:-1]) & (np.diff(np.searchsorted(ends, start)) == 0)
+        yield Words(part, start, end, on, lang_of[a:b][owner], names)
+
+
+def release() -> None:
+    """Gives back what Arrow's pool keeps of freed memory, which a worker would hold on to between tasks too."""
+    pa.default_memory_pool().release_unused()
+
+
 class Counter:
-    """Phrases of a task as 64-bit codes: the codes of their words, each of bits bits from the lowest on, 0 for none.
+    """Phrases of a task, counted as 64-bit keys: the codes of their words, each of bits bits from the lowest on, 0 for none.
 
-    A word's code stands for its language and itself, so that phrases of languages stay apart; equal codes are equal phrases."""
+    A word's code stands for its language and itself, so that phrases of languages stay apart; equal keys are equal phrases. Codes hold from
+    one take() to the next."""
 
     def __init__(self, max_words: int):
         self.max_words, self.bits = max_words, 63 // max_words
-        self.parts: list[np.ndarray] = []
-        self.held = 0
+        self.room = min(HELD, (1 << self.bits) - 1)
         self.forget()
 
     def forget(self) -> None:
-        # Words by code, after their language and a tab; their hashes, and how long the language is.
-        self.codes: dict[bytes, int] = {b"": 0}
-        self.names = [b""]
-        self.hash, self.tab = array("Q", [0]), array("i", [0])
-
-    def add(self, texts: pa.Array, langs: pa.Array) -> Iterator[None]:
-        """Collects the phrases of the texts; yields whenever the caller should take() them."""
-        raw, offsets = flat(texts)
-        lang = langs.fill_null("und").dictionary_encode()
-        lang_of, lang_names = lang.indices.to_numpy(), [x.encode() + b"\t" for x in lang.dictionary.to_pylist()]
-        for a, b in steps(offsets, STEP_BYTES):
-            part, off = LOWER[raw[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
-            start, end, place = words(part, off, _WORD)
-            if not len(start):
-                continue
-            owner = np.repeat(np.arange(b - a), np.diff(place))
-            bounds = np.append(0, np.cumsum(end - start)).astype(np.int32)
-            spelled = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(part[_WORD[part]])]).dictionary_encode()
-            spelling = spelled.dictionary.to_pylist()
-            pair = pa.array(lang_of[a:b][owner].astype(np.int64) * len(spelling) + spelled.indices.to_numpy())
-            # A word goes on with the next one if no end of a piece or text stands between them.
-            ends = np.flatnonzero(ENDS[part])
-            on = (owner[1:] == owner[:-1]) & (np.diff(np.searchsorted(ends, start)) == 0)
-            step = max(1, (1 << self.bits) // 2 - self.max_words)  # so many words always have codes
-            for i in range(0, len(pair), step):
-                some = pair.slice(i, step + self.max_words - 1).dictionary_encode()
-                if len(self.names) + len(some.dictionary) >= min(KNOWN, 1 << self.bits) and len(self.names) > 1:
-                    yield
-                    self.forget()
-                codes = np.array([self.code(lang_names[x // len(spelling)], spelling[x % len(spelling)]) for x in some.dictionary.to_pylist()], np.int64)
-                self.phrases(codes[some.indices.to_numpy()], on[i:], step)
-                if self.held > HELD:
-                    yield
-
-    def release(self) -> None:
-        """Gives back what Arrow's pool keeps of freed memory, which a worker would hold on to between tasks too."""
-        pa.default_memory_pool().release_unused()
-
-    def code(self, lang: bytes, word: bytes) -> int:
-        name = lang + word
-        found = self.codes.setdefault(name, len(self.names))
-        if found == len(self.names):
-            self.names.append(name)
-            self.hash.append(xxhash.xxh64_intdigest(name))  # the same in every task
-            self.tab.append(len(lang))
-        return found
-
-    def spelled(self, codes: np.ndarray) -> tuple[pa.Array, pa.Array]:
-        """Languages and words of codes."""
-        some, back = np.unique(codes, return_inverse=True)
-        names = [(self.names[c], self.tab[c]) for c in some.tolist()]
-        at = pa.array(back)
-        return pa.array([n[: max(0, k - 1)].decode() for n, k in names], pa.string()).take(at), pa.array([n[k:].decode() for n, k in names], pa.string()).take(at)
-
-    def phrases(self, code: np.ndarray, on: np.ndarray, step: int) -> None:
-        """Adds the phrases that begin with one of the first step words."""
-        phrase, going = code, np.ones(len(code), bool)
-        for m in range(self.max_words):
-            if m:
-                phrase = phrase[:-1] + (code[m:] << np.int64(self.bits * m))
-                going = going[:-1] & on[m - 1 : m - 1 + len(phrase)]
-            self.parts.append(phrase[:step][going[:step]])
-            self.held += len(self.parts[-1])
-
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct phrases collected since the last time, ascending, and how often each occurs."""
-        out = np.unique(np.concatenate([np.zeros(0, np.int64), *self.parts]), return_counts=True)
-        self.parts, self.held = [], 0
-        return out
-
-    def word(self, key: np.ndarray, i: int) -> np.ndarray:
-        return (key >> np.int64(self.bits * i)) & np.int64((1 << self.bits) - 1)
-
-    def sizes(self, key: np.ndarray) -> np.ndarray:
-        return np.sum([self.word(key, i) > 0 for i in range(self.max_words)], 0)
-
-    def hashes(self, keys: np.ndarray) -> np.ndarray:
-        # A copy of the words' hashes, as an array that is looked into can't grow.
-        of, out = np.array(self.hash, np.uint64), np.zeros(len(keys), np.uint64)
-        for a in range(0, len(keys), HASHED):
-            key, h = keys[a : a + HASHED], out[a : a + HASHED]
-            for i in range(self.max_words):
-                w = self.word(key, i)
-                h[:] = np.where(w > 0, mix(h * np.uint64(0x9E3779B97F4A7C15) + of[w]), h)
-        return out
+        # Words one after another with the numbers of their languages; by size, which of them begin a phrase.
+        self.words: list[pa.Array] = []
+        self.langs: list[np.ndarray] = []
+        self.starts: list[list[np.ndarray]] = [[] for _ in range(self.max_words)]
+        self.known: dict[bytes, int] = {}
+        self.n_words = self.n_bytes = self.n_phrases = 0
+
+    def add(self, text: Words, kept: list[np.ndarray]) -> Iterator[None]:
+        """Collects the phrases of 1, 2, ... words that begin where kept says; yields whenever the caller should take() them."""
+        spelled, length = text.spelled(), text.end - text.start
+        step = max(1, self.room // 2 - self.max_words)  # so many words always have codes
+        for i in range(0, len(length), step):
+            here = [those[i : i + step] for those in kept]
+            used = np.zeros(len(length[i : i + step + self.max_words - 1]), bool)
+            for m, those in enumerate(here):
+                for j in range(m + 1):
+                    used[j : j + len(those)] |= those
+            n, size = int(used.sum()), int(length[i : i + len(used)][used].sum())
+            if self.n_words and (self.n_words + n > self.room or self.n_bytes + size > 16 * HELD):
+                yield
+            number = np.array([self.known.setdefault(x, len(self.known)) for x in text.langs], np.int64)
+            place = np.cumsum(used) + (self.n_words - 1)
+            self.words.append(spelled.slice(i, len(used)).filter(pa.array(used)))
+            self.langs.append(number[text.lang[i : i + len(used)][used]])
+            for starts, those in zip(self.starts, here, strict=True):
+                starts.append(place[: len(those)][those].astype(np.int32))
+                self.n_phrases += len(starts[-1])
+            self.n_words, self.n_bytes = self.n_words + n, self.n_bytes + size
+            if self.n_phrases > HELD:
+                yield
+
+    def take(self) -> Iterator[tuple[pa.Array, pa.Array, int, np.ndarray]]:
+        """The phrases collected since the last time, each once: languages, phrases, their words' number, how often each occurs."""
+        names = pa.concat_arrays([pa.array([], pa.binary()), *self.words]).dictionary_encode()
+        lang = np.concatenate([np.zeros(0, np.int64), *self.langs])
+        word = pa.array(lang * len(names.dictionary) + names.indices.to_numpy()).dictionary_encode()
+        spelled, langs, of = names.dictionary.cast(pa.string()), pa.array([x.decode() for x in self.known], pa.string()), word.dictionary.to_numpy()
+        code = word.indices.to_numpy().astype(np.int64) + 1
+        keys = [np.zeros(0, np.int64)]
+        for m, starts in enumerate(self.starts):
+            start = np.concatenate([np.zeros(0, np.int32), *starts])
+            keys.append(sum(code[start + j] << np.int64(self.bits * j) for j in range(m + 1)))
+        self.forget()
+        key, count = np.unique(np.concatenate(keys), return_counts=True)
+        # Shorter phrases have smaller keys.
+        ends = [*np.searchsorted(key, [1 << self.bits * m for m in range(1, self.max_words)]).tolist(), len(key)]
+        for m, (first, last) in enumerate(zip([0, *ends], ends, strict=False), 1):
+            for a in range(first, last, 1 << 16):
+                some = key[a : min(last, a + (1 << 16))]
+                at = [of[(some >> np.int64(self.bits * i) & np.int64((1 << self.bits) - 1)) - 1] for i in range(m)]
+                phrase = pc.binary_join_element_wise(*[spelled.take(pa.array(x % len(spelled))) for x in at], " ")
+                yield langs.take(pa.array(at[0] // len(spelled))), phrase, m, count[a : a + len(some)]
 
 
-def _cells(h: np.ndarray, line: int, cells: int) -> np.ndarray:
-    return (mix(h + np.uint64((line + 1) * 0xD1B54A32D192ED03 % (1 << 64))) & np.uint64(cells - 1)).astype(np.int64)
+def _places(h: np.ndarray, line: int, cells: int) -> np.ndarray:
+    """Places of hashes in a line, PLACES neighbouring ones a cell."""
+    h = mix(h + np.uint64(line * 0xD1B54A32D192ED03 % (1 << 64))) if line else h
+    return (h & np.uint64(cells * PLACES - 1)).astype(np.int64)
 
 
-def _slice(h: np.ndarray, slices: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) % np.uint64(slices)).astype(np.int64)
+def _slice(h: np.ndarray, slices: int) -> np.ndarray | int:
+    return ((h >> np.uint64(40)) % np.uint64(slices)).astype(np.int64) if slices > 1 else 0
 
 
 def _sketches(max_words: int, cells: int, slices: int, most: int):
-    """Task: texts and languages -> its sketch, by blocks: places of the cells that aren't 0, and their counts (most at most)."""
+    """Task: texts and languages -> its sketch, by blocks: the places that aren't 0, and their counts (most at most)."""
+    wide = cells // BLOCKS * PLACES
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Counter(max_words)
+        parts: list[list[np.ndarray]] = [[] for _ in range(DEPTH)]
+        held = 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            key, count = own.take()
-            h = own.hashes(key)
-            count = np.minimum(count, most)
-            for line in range(DEPTH if len(key) else 0):
-                # Sorted with their counts in one number each.
-                both = np.empty(len(key), np.int64)
-                for a in range(0, len(key), HASHED):
-                    some = h[a : a + HASHED]
-                    both[a : a + HASHED] = ((_slice(some, slices) * cells + _cells(some, line, cells)) << 16) | count[a : a + HASHED]
-                both.sort()
-                cell = both >> 16
-                begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-                n = np.minimum(np.add.reduceat(both & 65535, begin), most).astype(np.uint16)
-                cell = cell[begin]
-                block = cell // (cells // BLOCKS)
+            for line in range(DEPTH if held else 0):
+                every = np.concatenate(parts[line])
+                parts[line].clear()
+                every.sort()
+                begin = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+                n = np.minimum(np.diff(begin, append=len(every)), most)
+                place = every[begin]
+                block = place // wide
                 first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-                last = np.append(first[1:], len(cell))
+                last = np.append(first[1:], len(place))
+                # Distances of places and counts are small numbers: byte by byte, the higher ones compress to nothing.
+                step = np.diff(place, prepend=0)
+                step[first] = place[first] % wide
+                planes = np.empty((6, len(place)), np.uint8)
+                planes[:4], planes[4:] = step.astype("<u4").view(np.uint8).reshape(-1, 4).T, n.astype("<u2").view(np.uint8).reshape(-1, 2).T
                 for i in range(0, len(first), 512):
                     spans = list(zip(first[i : i + 512].tolist(), last[i : i + 512].tolist(), strict=True))
                     at = block[first[i : i + 512]]
-                    # Distances of places are small numbers, which compress well.
-                    places = [pa.compress(np.diff(cell[a:b] % (cells // BLOCKS), prepend=0).astype(np.uint32).tobytes(), "zstd", asbytes=True) for a, b in spans]
-                    counts = [pa.compress(n[a:b].tobytes(), "zstd", asbytes=True) for a, b in spans]
+                    counts = [pa.compress(planes[:, a:b].tobytes(), "zstd", asbytes=True) for a, b in spans]
                     columns = [(at // BLOCKS).astype(np.int32), np.full(len(at), line, np.int32), at, np.array([b - a for a, b in spans], np.int32)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(places, pa.binary()), pa.array(counts, pa.binary())], [x.split()[0] for x in SKETCH.split(", ")])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(counts, pa.binary())], [x.split()[0] for x in SKETCH.split(", ")])
 
         for batch in batches:
-            for _ in own.add(batch.column(0), batch.column(1)):
-                yield from send()
-                own.release()
+            for text in read(batch.column(0), batch.column(1)):
+                for h, going in text.hashes(max_words):
+                    h = h[going]
+                    for line in range(DEPTH):
+                        parts[line].append(_slice(h, slices) * (cells * PLACES) + _places(h, line, cells))
+                    held += len(h)
+                if held > HELD:
+                    yield from send()
+                    held = 0
+                    release()
             del batch  # before the next one comes
-            own.release()
+            release()
         yield from send()
-        own.forget()
-        own.release()
+        release()
 
     return task
 
 
+def _distinct(both: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of places and counts, each pair one number (16 bits the count), sorted in place: the different places and their counts (most at most)."""
+    both.sort()
+    place = both >> 16
+    begin = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    return place[begin], np.minimum(np.add.reduceat(both & 65535, begin), most)
+
+
 def _added(most: int, block_cells: int):
-    """Task: blocks of sketches, sorted by slice, line and block -> slice, line, block, the bits of the cells that reach most."""
+    """Task: blocks of sketches, sorted by slice, line and block -> slice, line, block, the bits of the cells with a place that reaches most."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total = None, np.zeros(block_cells, np.int32)
+        at, parts, held, known = None, [], 0, 0
 
         def done() -> pa.RecordBatch:
-            bits = np.packbits(total >= most, bitorder="little").tobytes()
+            place, n = _distinct(np.concatenate(parts), most)
+            full = np.zeros(block_cells, bool)
+            full[place[n >= most] // PLACES] = True
+            bits = np.packbits(full, bitorder="little").tobytes()
             return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([at[2]], pa.int64()), pa.array([bits], pa.binary())], ["slice", "line", "block", "bits"])
 
         for batch in batches:
-            for s, line, block, n, places, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for s, line, block, m, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (s, line, block) != at:
                     if at is not None:
                         yield done()
-                    at, total = (s, line, block), np.zeros(block_cells, np.int32)
-                cell = np.cumsum(np.frombuffer(pa.decompress(places, n * 4, "zstd", asbytes=True), np.uint32), dtype=np.int64)
-                total[cell] = np.minimum(total[cell] + np.frombuffer(pa.decompress(counts, n * 2, "zstd", asbytes=True), np.uint16), most)
+                    at, parts, held, known = (s, line, block), [], 0, 0
+                planes = np.frombuffer(pa.decompress(counts, m * 6, "zstd", asbytes=True), np.uint8).reshape(6, m)
+                place = np.cumsum(planes[:4].T.copy().view("<u4")[:, 0], dtype=np.int64)
+                parts.append(place << 16 | planes[4:].T.copy().view("<u2")[:, 0])
+                held += m
+                if held > HELD + 2 * known:
+                    place, n = _distinct(np.concatenate(parts), most)
+                    parts, held, known = [place << 16 | n], len(place), len(place)
         if at is not None:
             yield done()
 
@@ -226,56 +263,44 @@ def _survivors(max_words: int, cells: int, slices: int, which: int, sent):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Counter(max_words)
         names = [x.split()[0] for x in COUNTS.split(", ")]
+        total: dict[bytes, int] = {}
 
-        def possible(h: np.ndarray) -> np.ndarray:
+        def possible(h: np.ndarray, going: np.ndarray) -> np.ndarray:
+            some = np.flatnonzero(going & (_slice(h, slices) == which))
+            for line in range(DEPTH):
+                c = _places(h[some], line, cells) // PLACES
+                some = some[(sent.value[line][c >> 3] >> (c & 7).astype(np.uint8)) & 1 > 0]
             out = np.zeros(len(h), bool)
-            for a in range(0, len(h), HASHED):
-                part = h[a : a + HASHED]
-                some = np.flatnonzero(_slice(part, slices) == which)
-                for line in range(DEPTH):
-                    c = _cells(part[some], line, cells)
-                    some = some[(sent.value[line][c >> 3] >> (c & 7).astype(np.uint8)) & 1 > 0]
-                out[a + some] = True
+            out[some] = True
             return out
 
         def send() -> Iterator[pa.RecordBatch]:
-            every, count = own.take()
-            kept = np.flatnonzero(possible(own.hashes(every)))
-            if which == 0 and len(every):
-                total: dict[bytes, int] = {}
-                one = every < 1 << own.bits
-                for c, n in zip(every[one].tolist(), count[one].tolist(), strict=True):
-                    lang = own.names[c][: own.tab[c] - 1]
-                    total[lang] = total.get(lang, 0) + n
-                m = len(total)
-                yield pa.RecordBatch.from_arrays([pa.array([g.decode() for g in total]), pa.array([""] * m), pa.array(np.zeros(m, np.int32)), pa.array(list(total.values()), pa.int64())], names)
-            for a in range(0, len(kept), 1 << 16):
-                key = every[kept[a : a + (1 << 16)]]
-                m = own.sizes(key)
-                lang, text = own.spelled(own.word(key, 0))
-                for i in range(1, max_words):
-                    more = pc.binary_join_element_wise(text, own.spelled(own.word(key, i))[1], " ")
-                    text = pc.if_else(pa.array(m > i), more, text)
-                yield pa.RecordBatch.from_arrays([lang, text, pa.array(m.astype(np.int32)), pa.array(count[kept[a : a + (1 << 16)]])], names)
+            for lang, phrase, m, count in own.take():
+                yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(count), m, np.int32)), pa.array(count)], names)
 
         for batch in batches:
-            for _ in own.add(batch.column(0), batch.column(1)):
-                yield from send()
-                own.release()
+            for text in read(batch.column(0), batch.column(1)):
+                for lang, n in zip(text.langs, np.bincount(text.lang, minlength=len(text.langs)).tolist(), strict=True):
+                    total[lang] = total.get(lang, 0) + n
+                for _ in own.add(text, [possible(h, going) for h, going in text.hashes(max_words)]):
+                    yield from send()
+                    release()
             del batch  # before the next one comes
-            own.release()
+            release()
         yield from send()
-        own.forget()
-        own.release()
+        release()
+        if which == 0:
+            found = {lang.decode(): n for lang, n in total.items() if n}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([""] * len(found), pa.string()), pa.array(np.zeros(len(found), np.int32)), pa.array(list(found.values()), pa.int64())], names)
 
     return task
 
 
 def shape(occurrences: int, min_count: int) -> tuple[int, int]:
-    """Cells of a row and slices of a sketch for so many occurrences: enough that a cell's rare phrases together stay under min_count."""
+    """Cells of a row and slices of a sketch for so many occurrences: enough that few cells have a frequent phrase, and few slices."""
     wanted = max(LEAST_CELLS, occurrences * 10 // (LOAD * max(1, min_count)))
     bound = min(MOST_CELLS, SLICE_BYTES * 8 // DEPTH)
-    slices = min(MAX_SLICES, -(-wanted // bound))
+    slices = min(MAX_SLICES, -(-wanted * LOAD // (CROWDED * bound)))
     cells = LEAST_CELLS
     while cells < wanted / slices and 2 * cells <= bound:
         cells *= 2

@@ -132,3 +132,21 @@ def test_memory_of_a_task_is_bounded_by_its_steps():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 85 << 20, peak >> 20
+
+
+def test_more_text_needs_no_more_scans():
+    """10 GB of text (6 GB of Parquet) are read twice, as little ones are, and 50 GB three times; what is sent keeps its bound."""
+    for gb, scans in ((0.1, 1), (1, 1), (10.4, 1), (25, 1), (50, 2)):
+        cells, slices = phrases.shape(int(gb * 1e9) // 5 * 3, 10)
+        assert slices == scans and phrases.DEPTH * cells // 8 <= phrases.SLICE_BYTES
+
+
+def test_a_crowded_sketch_drops_most_rare_phrases():
+    """32 rare phrases on a cell don't give it its bit."""
+    draw = np.random.Generator(np.random.PCG64(8))
+    texts = [" ".join([*(f"r{x}" for x in draw.integers(0, 10**12, 17500)), "same", "words", "here"]) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["en"] * 40)], ["text", "lang"])
+    blocks = [r for b in phrases._sketches(3, 1 << 16, 1, 10)(iter([batch])) for r in b.to_pylist()]
+    blocks.sort(key=lambda r: (r["slice"], r["line"], r["block"]))
+    bits = [r["bits"] for b in phrases._added(10, (1 << 16) // phrases.BLOCKS)(iter([pa.RecordBatch.from_pylist(blocks)])) for r in b.to_pylist()]
+    assert 6 <= sum(np.unpackbits(np.frombuffer(b, np.uint8)).sum() for b in bits) < 100
