@@ -41,6 +41,9 @@ _WORD = ~ENDS
 _WORD[[0x20, 0x09]] = False
 SKETCH = "slice int, line int, block long, size int, counts binary"
 COUNTS = "lang string, phrase string, size int, n long"
+#: Buckets of phrases by hash. Tasks send one piece a bucket, of phrases after their languages and a tab, and counts.
+BUCKETS = 512
+PIECES = "bucket int, size int, bytes int, counts binary"
 
 
 class Words(NamedTuple):
@@ -296,6 +299,82 @@ def _survivors(max_words: int, cells: int, slices: int, which: int, sent):
     return task
 
 
+def _dealt(task):
+    """Task: what task yields, rows of COUNTS, as pieces of buckets."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[pa.Array] = []
+        counts: list[np.ndarray] = []
+        buckets: list[np.ndarray] = []
+
+        def send() -> Iterator[pa.RecordBatch]:
+            bucket = np.concatenate([np.zeros(0, np.int32), *buckets])
+            order = np.argsort(bucket, kind="stable")
+            raw, offsets = flat(pa.concat_arrays([pa.array([], pa.string()), *ids]).take(pa.array(order)))
+            n = np.concatenate([np.zeros(0, np.int64), *counts])[order]
+            for x in (ids, counts, buckets):
+                x.clear()
+            bucket = bucket[order]
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            last = np.append(first[1:], len(bucket))[: len(first)]
+            # Lengths and counts byte by byte, then the phrases.
+            planes = np.empty((8, len(n)), np.uint8)
+            planes[:4], planes[4:] = (x.astype("<u4").view(np.uint8).reshape(-1, 4).T for x in (np.diff(offsets), n))
+            pieces = [planes[:, a:b].tobytes() + raw[offsets[a] : offsets[b]].tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+            columns = [bucket[first], (last - first).astype(np.int32), np.array(list(map(len, pieces)), np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([pa.compress(x, "zstd", asbytes=True) for x in pieces], pa.binary())], [x.split()[0] for x in PIECES.split(", ")])
+
+        for lang, phrase, _, n in (b.columns for b in task(batches)):
+            ids.append(pc.binary_join_element_wise(lang, phrase, "\t"))
+            raw, offsets = flat(ids[-1])
+            buckets.append((word_hashes(raw, offsets[:-1], offsets[1:]) % np.uint64(BUCKETS)).astype(np.int32))
+            counts.append(n.to_numpy())
+            if sum(map(len, buckets)) >= HELD // 2:
+                yield from send()
+                release()
+        yield from send()
+        release()
+
+    return dealt
+
+
+def _summed(min_count: int):
+    """Task: pieces, sorted by bucket -> id, n of the phrases that occur min_count times or more, and of languages."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, held, known = None, [], 0, 0
+
+        def summed() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(parts).group_by("id", use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+            return pa.record_batch([rows["id"].chunk(0), rows["n_sum"].chunk(0)], ["id", "n"])
+
+        def done() -> pa.RecordBatch:
+            rows = summed()
+            return rows.filter(pc.or_(pc.greater_equal(rows["n"], min_count), pc.ends_with(rows["id"], "\t")))
+
+        for batch in batches:
+            for bucket, m, size, piece in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if bucket != at:
+                    if at is not None:
+                        yield done()
+                        release()
+                    at, parts, held, known = bucket, [], 0, 0
+                raw = pa.decompress(piece, size, "zstd")
+                length, n = (np.frombuffer(raw[: 8 * m], np.uint8).reshape(2, 4, m)[i].T.copy().view("<u4")[:, 0] for i in (0, 1))
+                bounds = np.append(0, np.cumsum(length)).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.string(), m, [None, pa.py_buffer(bounds), raw.slice(8 * m)])
+                parts.append(pa.record_batch([ids, pa.array(n.astype(np.int64))], ["id", "n"]))
+                held += m
+                if held > HELD // 2 + 2 * known:
+                    parts = [summed()]
+                    held = known = len(parts[0])
+        if at is not None:
+            yield done()
+            release()
+
+    return task
+
+
 def shape(occurrences: int, min_count: int) -> tuple[int, int]:
     """Cells of a row and slices of a sketch for so many occurrences: enough that few cells have a frequent phrase, and few slices."""
     wanted = max(LEAST_CELLS, occurrences * 10 // (LOAD * max(1, min_count)))
@@ -330,10 +409,13 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", max_words:
         for r in bits.where(F.col("slice") == s).toLocalIterator():  # at most SLICE_BYTES
             at = r.block % BLOCKS * (cells // BLOCKS) // 8
             table[r.line, at : at + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
-        own = rows.mapInArrow(_survivors(max_words, cells, slices, s, spark.sparkContext.broadcast(table)), COUNTS)
+        own = rows.mapInArrow(_dealt(_survivors(max_words, cells, slices, s, spark.sparkContext.broadcast(table))), PIECES)
         out = own if out is None else out.unionByName(own)
-    counted = out.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
-    return stored(counted.where((F.col("n") >= min_count) | (F.col("size") == 0)), "phrases-frequent")
+    counted = out.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_summed(min_count), "id string, n long")
+    # No phrase holds a tab, and no word a space.
+    phrase = F.substring_index("id", "\t", -1)
+    counted = counted.select(F.expr("left(id, length(id) - length(substring_index(id, '\t', -1)) - 1)").alias("lang"), phrase.alias("phrase"), F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " "))).alias("size"), "n")
+    return stored(counted, "phrases-frequent")
 
 
 def _id(lang: Column, phrase: Column) -> Column:
